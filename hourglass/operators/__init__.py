@@ -13,7 +13,7 @@ from hourglass.operators.position import number_rows, positions, with_pos  # noq
 from hourglass.operators.scale import (  # noqa: F401
     apply_scaler, apply_scaler_matrix, fit_scaler, fit_scaler_matrix, invert_scaler,
 )
-from hourglass.operators.sequences import concat_families, explode_horizon, flatten_attrs, sequences  # noqa: F401
+from hourglass.operators.sequences import concat_families, explode_horizon, flatten_attrs  # noqa: F401
 from hourglass.operators.windows import (  # noqa: F401
     blocked_folds, gap_windows, hashed_folds, split_rows, split_windows, target_timestamps, test_blocks,
 )
