@@ -66,14 +66,21 @@ def param_grid(spark: SparkSession, params: Mapping[str, Sequence],
         if skip is not None and skip(d):
             continue
         rows.append(d)
-    schema_fields = []
+    kinds = []
     for n in names:
         vals = [r[n] for r in rows]
-        kind = "double" if any(isinstance(v, float) for v in vals) else "bigint"
-        schema_fields.append(f"`{n}` {kind}")
-    data = [(i + 1, *[float(r[n]) if "double" in schema_fields[j] else r[n]
-                      for j, n in enumerate(names)]) for i, r in enumerate(rows)]
-    return spark.createDataFrame(data, "config_id bigint, " + ", ".join(schema_fields))
+        if any(isinstance(v, str) for v in vals):
+            kinds.append("string")
+        elif any(isinstance(v, bool) for v in vals):
+            kinds.append("boolean")
+        elif any(isinstance(v, float) for v in vals):
+            kinds.append("double")
+        else:
+            kinds.append("bigint")
+    conv = {"double": float, "string": str, "boolean": bool, "bigint": int}
+    data = [(i + 1, *[conv[k](r[n]) for k, n in zip(kinds, names)]) for i, r in enumerate(rows)]
+    schema = "config_id bigint, " + ", ".join(f"`{n}` {k}" for n, k in zip(names, kinds))
+    return spark.createDataFrame(data, schema)
 
 
 def grid_literal(grid_rows: Sequence[Mapping]) -> Column:
@@ -89,8 +96,8 @@ def with_grid(df: DataFrame, grid: DataFrame) -> DataFrame:
 
     The grid is a parameter table whose size is fixed by its value lists
     (checked against ``MAX_GRID_ROWS``); it is inlined as a literal array
-    and exploded, so no join is planned.  Callers pass small per-key
-    summaries (Gram partials), never raw rows.
+    and exploded, so no join is planned.  Callers attach it to per-key
+    summaries (sufficient statistics), not to raw rows.
     """
     rows = grid.limit(MAX_GRID_ROWS + 1).collect()
     if len(rows) > MAX_GRID_ROWS:

@@ -25,7 +25,8 @@ def _ordered(values: Column, role: str, offset: str = "offset") -> Column:
 def sequences(w: DataFrame, x_col: str = "scaled", y_col: str = "value",
               keys: Sequence[str] = ("series",), window: str = "window_id",
               attrs: Sequence[str] | None = None, families: bool = False,
-              train: int | None = None, predict: int | None = None) -> DataFrame:
+              train: int | None = None, predict: int | None = None,
+              target_ts: str | None = None) -> DataFrame:
     """One row per ``(keys, window)``: ``x`` (inputs) and ``y`` (targets) arrays.
 
     * plain: ``x ARRAY<DOUBLE>`` of the input values.
@@ -33,6 +34,7 @@ def sequences(w: DataFrame, x_col: str = "scaled", y_col: str = "value",
     * ``attrs`` and ``families``: ``x`` values and ``x_attrs ARRAY<ARRAY<DOUBLE>>``
       side by side (the two-family layout).
     ``train``/``predict`` drop partial windows (``size(x) = train`` and ``size(y) = predict``).
+    ``target_ts`` names a timestamp column whose first target-row value is kept as ``t0``.
     """
     v = F.col(x_col).cast("double")
     aggs = []
@@ -44,6 +46,8 @@ def sequences(w: DataFrame, x_col: str = "scaled", y_col: str = "value",
             aggs.append(_ordered(F.array(*[F.col(q(a)).cast("double") for a in attrs]), "x")
                         .alias("x_attrs"))
     aggs.append(_ordered(F.col(y_col).cast("double"), "y").alias("y"))
+    if target_ts:
+        aggs.append(F.min(F.when(F.col("role") == "y", F.col(target_ts))).alias("t0"))
     out = w.groupBy(*keys, window).agg(*aggs)
     if train is not None:
         out = out.where(F.size("x") == train)

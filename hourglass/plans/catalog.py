@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 import hourglass.functions.calendar as cal
 from hourglass.functions.numeric import as_float, clip_floor
 from hourglass.operators import joins, lags, metrics, panel, position, scale, sequences, windows
-from hourglass.plans import forecast, sqlparts as S, univariate
+from hourglass.plans import forecast, lagmodels, sqlparts as S, univariate
 from hourglass.plans.present import present, wrap_sql
 from hourglass.session import ensure_checkpoint_dir
 from hourglass.sources import fixtures as fx
@@ -605,3 +605,174 @@ def q_sink_fold_slices(spark, sf):
 @query("sort_time", LONG, S.with_(S.sparse()) + "SELECT * FROM sparse WHERE series = 'error' ORDER BY ts")
 def q_sort_time(spark, sf):
     return fx.panel_hourly_sparse(spark, sf).where(F.col("series") == "error").orderBy("ts")
+
+
+# ---------------------------------------------------------------- 2.4 / 2.6 / 2.8 cross-validation
+
+UNI_GRID = {"kind": ["mean", "last"], "l2": [0.0, 1.0, 10.0]}
+CV_GRID_SQL = "cvgrid AS (SELECT * FROM (VALUES " + ", ".join(
+    f"({i + 1}, '{k}', {l2!r})" for i, (k, l2) in enumerate(
+        (k, l2) for k in UNI_GRID["kind"] for l2 in UNI_GRID["l2"])) + ") g(config_id, kind, l2))"
+
+CV_CTES = [S.hourly(), S.drop_incomplete("di", "panel"), S.with_pos("pp", "di"),
+           S.gap_windows("win", "pp", S_TRAIN, S_PREDICT, S_GAP),
+           """folds AS (SELECT *, CAST(window_id // 5 AS INTEGER) AS fold,
+  CASE WHEN window_id % 5 < 4 THEN 'train' ELSE 'val' END AS fold_role FROM win WHERE window_id // 5 < 4)""",
+           CV_GRID_SQL,
+           """cvstats AS (SELECT series, fold, avg(value) AS mean,
+  CASE WHEN stddev_pop(value) IS NULL OR stddev_pop(value) <= 1e-12 THEN 1.0 ELSE stddev_pop(value) END AS std
+  FROM folds WHERE role = 'x' AND fold_role = 'train' GROUP BY series, fold)""",
+           "cvscaled AS (SELECT f.*, (f.value - s.mean) / s.std AS scaled FROM folds f LEFT JOIN cvstats s USING (series, fold))",
+           f"""cvseq AS (SELECT * FROM (SELECT series, fold, fold_role, window_id,
+    list(scaled ORDER BY "offset") FILTER (WHERE role = 'x') AS x,
+    list(value ORDER BY "offset") FILTER (WHERE role = 'y') AS y
+  FROM cvscaled GROUP BY series, fold, fold_role, window_id) g WHERE len(x) = {S_TRAIN} AND len(y) = {S_PREDICT})""",
+           """cvrows AS (SELECT s.series, s.fold, s.fold_role, s.window_id, g.config_id, g.kind, g.l2,
+    CASE WHEN g.kind = 'last' THEN s.x[len(s.x)] ELSE list_sum(s.x) / len(s.x) END AS feature,
+    unnest(s.y) AS target, CAST(generate_subscripts(s.y, 1) - 1 AS INTEGER) AS horizon
+  FROM cvseq s, cvgrid g)""",
+           """cvagg AS (SELECT series, fold, config_id, kind, l2, horizon, count(*) AS n,
+    covar_pop(target, feature) AS cxy, var_pop(feature) AS vx, avg(feature) AS mx, avg(target) AS my
+  FROM cvrows WHERE fold_role = 'train' AND feature IS NOT NULL AND target IS NOT NULL
+  GROUP BY series, fold, config_id, kind, l2, horizon)""",
+           """cvmodel AS (SELECT *, my - slope * mx AS intercept FROM (
+  SELECT *, CASE WHEN vx * n + l2 <> 0 THEN cxy * n / (vx * n + l2) END AS slope FROM cvagg) t)""",
+           """cvpred AS (SELECT r.series, r.fold, r.config_id, r.kind, r.l2, r.window_id, r.horizon,
+    CASE WHEN m.intercept + m.slope * r.feature IS NULL THEN NULL
+         ELSE greatest(m.intercept + m.slope * r.feature, 0) END AS prediction, r.target
+  FROM cvrows r LEFT JOIN cvmodel m USING (series, fold, config_id, kind, l2, horizon)
+  WHERE r.fold_role = 'val')""",
+           """fold_mse AS (SELECT config_id, kind, l2, fold, avg(pow(prediction - target, 2)) AS mse,
+    count(pow(prediction - target, 2)) AS n FROM cvpred GROUP BY config_id, kind, l2, fold)""",
+           """scores AS (SELECT config_id, kind, l2, avg(mse) AS mse, stddev_pop(mse) AS mse_std,
+    count(mse) AS folds FROM fold_mse GROUP BY config_id, kind, l2)"""]
+SCORE_SPEC = "config_id:i kind:s l2:d mse:d mse_std:d folds:i"
+
+
+def _uni_cv(spark, sf):
+    grid = joins.param_grid(spark, UNI_GRID)
+    return univariate.cross_validate_univariate(fx.panel_hourly(spark, sf), grid, S_TRAIN, S_PREDICT, S_GAP,
+                                                k=4, size=5, train_windows=4)
+
+
+@query("config_fold_series", "config_id:i kind:s l2:d fold:i series:s train_windows:i val_windows:i",
+       S.with_(*CV_CTES) + """SELECT g.config_id, g.kind, g.l2, f.fold, f.series, f.train_windows, f.val_windows
+FROM (SELECT fold, series, count(DISTINCT window_id) FILTER (WHERE fold_role = 'train') AS train_windows,
+             count(DISTINCT window_id) FILTER (WHERE fold_role = 'val') AS val_windows
+      FROM folds GROUP BY fold, series) f, cvgrid g""")
+def q_config_fold_series(spark, sf):
+    grid = joins.param_grid(spark, UNI_GRID)
+    fs = (_folds(spark, sf).groupBy("fold", "series")
+          .agg(F.count_distinct(F.when(F.col("fold_role") == "train", F.col("window_id"))).alias("train_windows"),
+               F.count_distinct(F.when(F.col("fold_role") == "val", F.col("window_id"))).alias("val_windows")))
+    return joins.with_grid(fs, grid)
+
+
+@query("mse_global", "config_id:i kind:s l2:d fold:i mse:d n:i", S.with_(*CV_CTES) + "SELECT * FROM fold_mse")
+def q_mse_global(spark, sf):
+    return _uni_cv(spark, sf)[0]
+
+
+@query("cv_score", SCORE_SPEC, S.with_(*CV_CTES) + "SELECT * FROM scores")
+def q_cv_score(spark, sf):
+    return _uni_cv(spark, sf)[1]
+
+
+@query("best_config", SCORE_SPEC, S.with_(*CV_CTES) + "SELECT * FROM scores ORDER BY mse, config_id LIMIT 1")
+def q_best_config(spark, sf):
+    return metrics.best_config(_uni_cv(spark, sf)[1])
+
+
+@query("sort_scores", SCORE_SPEC, S.with_(*CV_CTES) + "SELECT * FROM scores ORDER BY mse, config_id")
+def q_sort_scores(spark, sf):
+    return metrics.sort_scores(_uni_cv(spark, sf)[1])
+
+
+@query("sink_cv_results", SCORE_SPEC, S.with_(*CV_CTES) + "SELECT * FROM scores")
+def q_sink_cv_results(spark, sf):
+    path = scratch_path(spark, "scores")
+    io.write_scores(_uni_cv(spark, sf)[1], path)
+    return (spark.read.option("header", True)
+            .schema("config_id BIGINT, kind STRING, l2 DOUBLE, mse DOUBLE, mse_std DOUBLE, folds BIGINT")
+            .csv(path))
+
+
+# ---------------------------------------------------------------- 2.9 block prediction and sinks
+
+PB_CTES = FLAG_CTES + [S.sequences("seq", "scaled"), S.horizon_rows("hr", "seq"), S.univariate_fit("model", "hr"),
+                       S.test_panel(), S.with_pos("tp", "testp"),
+                       """tb AS (SELECT tp.*, pos // 52 AS block_id, CAST(pos % 52 AS INTEGER) AS "offset",
+    CASE WHEN pos % 52 < 48 THEN 'x' ELSE 'y' END AS role FROM tp)""",
+                       "tbs AS (SELECT tb.*, (tb.value - st.mean) / st.std AS scaled FROM tb LEFT JOIN stats st USING (series))",
+                       """tseq AS (SELECT * FROM (SELECT series, block_id,
+    list(scaled ORDER BY "offset") FILTER (WHERE role = 'x') AS x FROM tbs GROUP BY series, block_id) g
+  WHERE len(x) = 48)""",
+                       """bpred AS (SELECT s.series, s.block_id, m.horizon, t.ts,
+    CASE WHEN m.intercept + m.slope * (list_sum(s.x) / len(s.x)) IS NULL THEN NULL
+         ELSE greatest(m.intercept + m.slope * (list_sum(s.x) / len(s.x)), 0) END AS prediction
+  FROM tseq s JOIN model m USING (series)
+  JOIN tb t ON t.series = s.series AND t.block_id = s.block_id AND t."offset" = m.horizon + 48)"""]
+
+
+def _block_pred(spark, sf):
+    p = fx.panel_hourly(spark, sf)
+    model, stats = univariate.train_univariate(p, TRAIN, PREDICT, GAP)
+    return univariate.predict_blocks_univariate(fx.test_panel(p), model, stats, TRAIN, PREDICT)
+
+
+@query("predict_blocks", "series:s block_id:i horizon:i ts:t prediction:d",
+       S.with_(*PB_CTES) + "SELECT * FROM bpred")
+def q_predict_blocks(spark, sf):
+    return _block_pred(spark, sf)
+
+
+@query("sink_predictions", "timestamp:s *:d", S.with_(*PB_CTES)
+       + """SELECT * FROM (PIVOT (SELECT strftime(ts, '%Y-%m-%dT%H:%MZ') AS timestamp, series, prediction FROM bpred)
+  ON series USING first(prediction) GROUP BY timestamp) p""")
+def q_sink_predictions(spark, sf):
+    path = scratch_path(spark, "pred")
+    io.write_predictions(_block_pred(spark, sf).select("series", "ts", "prediction"), path)
+    return spark.read.option("header", True).csv(path)
+
+
+@query("update_by_key", LONG, S.with_(*PB_CTES)
+       + "SELECT t.series, t.ts, COALESCE(b.prediction, t.value) AS value FROM testp t LEFT JOIN bpred b USING (series, ts)")
+def q_update_by_key(spark, sf):
+    p = fx.panel_hourly(spark, sf)
+    return joins.fill_from(fx.test_panel(p), _block_pred(spark, sf).select("series", "ts", "prediction"))
+
+
+# ---------------------------------------------------------------- 2.9 lag models (rows-only checks)
+
+LAG_GRID = {"l2": [0.1, 1.0, 10.0]}
+
+
+def _lag_blocks(spark, sf, layout):
+    p = fx.panel_hourly(spark, sf)
+    model, stats = lagmodels.fit_lags(p, layout, TRAIN, PREDICT, GAP, l2=1.0, l2_attr=10.0)
+    return lagmodels.predict_blocks(fx.test_panel(p), model, stats, layout, TRAIN, PREDICT)
+
+
+PRED_SPEC = "series:s block_id:i horizon:i ts:t prediction:d"
+
+
+@query("forecast_lags", PRED_SPEC)
+def q_forecast_lags(spark, sf):
+    return _lag_blocks(spark, sf, "lags")
+
+
+@query("forecast_lags_calendar", PRED_SPEC)
+def q_forecast_lags_calendar(spark, sf):
+    return _lag_blocks(spark, sf, "lags_calendar")
+
+
+@query("forecast_two_family", PRED_SPEC)
+def q_forecast_two_family(spark, sf):
+    return _lag_blocks(spark, sf, "two_family")
+
+
+@query("cross_validate", "config_id:i l2:d mse:d mse_std:d folds:i")
+def q_cross_validate(spark, sf):
+    grid = joins.param_grid(spark, LAG_GRID)
+    return lagmodels.cross_validate(fx.panel_hourly(spark, sf), grid, "lags", S_TRAIN, S_PREDICT, S_GAP,
+                                    k=4, size=5, train_windows=4)[1]
