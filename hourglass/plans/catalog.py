@@ -776,3 +776,103 @@ def q_cross_validate(spark, sf):
     grid = joins.param_grid(spark, LAG_GRID)
     return lagmodels.cross_validate(fx.panel_hourly(spark, sf), grid, "lags", S_TRAIN, S_PREDICT, S_GAP,
                                     k=4, size=5, train_windows=4)[1]
+
+
+# ---------------------------------------------------------------- 2.9 recursive fill, all-series model
+
+REC_STEPS = 4
+REC_ONLY = [
+    """lag1 AS (SELECT p.series, p.ts, p.value, l.value AS value_lag1 FROM panel p
+  LEFT JOIN panel l ON l.series = p.series AND l.ts + INTERVAL 1 HOUR = p.ts)""",
+    """rmodel AS (SELECT series, regr_slope(value, value_lag1) AS slope,
+  regr_intercept(value, value_lag1) AS intercept FROM lag1 GROUP BY series)""",
+    "t0 AS (SELECT series, ts, value FROM testp)"]
+for _k in range(1, REC_STEPS + 1):
+    REC_ONLY.append(f"""r{_k} AS (SELECT {_k} AS step, c.series, c.ts, m.intercept + m.slope * pv.value AS prediction
+  FROM t{_k - 1} c JOIN t{_k - 1} pv ON pv.series = c.series AND pv.ts + INTERVAL 1 HOUR = c.ts
+  JOIN rmodel m ON m.series = c.series
+  WHERE c.ts IN (SELECT ts FROM t{_k - 1} GROUP BY ts HAVING count(value) = 0) AND pv.value IS NOT NULL)""")
+    REC_ONLY.append(f"""t{_k} AS (SELECT c.series, c.ts, COALESCE(r.prediction, c.value) AS value
+  FROM t{_k - 1} c LEFT JOIN r{_k} r USING (series, ts))""")
+REC_UNION = " UNION ALL ".join(f"SELECT * FROM r{k}" for k in range(1, REC_STEPS + 1))
+
+
+def _recursive(spark, sf):
+    from hourglass.plans import recursive
+    p = fx.panel_hourly(spark, sf)
+    model = recursive.lag1_linear_model(p)
+    return recursive.recursive_fill(fx.test_panel(p), recursive.lag1_predictor(model), steps=REC_STEPS)
+
+
+@query("forecast_recursive", "step:i series:s ts:t prediction:d",
+       S.with_(S.hourly(), S.test_panel(), *REC_ONLY) + REC_UNION)
+def q_forecast_recursive(spark, sf):
+    return _recursive(spark, sf)
+
+
+@query("union_predictions", "model:s series:s ts:t prediction:d",
+       S.with_(*PB_CTES, *REC_ONLY) + "SELECT 'univariate' AS model, series, ts, prediction FROM bpred UNION ALL "
+       + "SELECT 'recursive' AS model, series, ts, prediction FROM (" + REC_UNION + ") r")
+def q_union_predictions(spark, sf):
+    a = _block_pred(spark, sf).select(F.lit("univariate").alias("model"), "series", "ts", "prediction")
+    b = _recursive(spark, sf).select(F.lit("recursive").alias("model"), "series", "ts", "prediction")
+    return a.unionByName(b)
+
+
+MATRIX_FEATURES = {
+    "is_holiday": f"CAST({S.is_holiday('ts')} AS DOUBLE)",
+    "is_school_holiday": f"CAST({S.is_school_holiday('ts')} AS DOUBLE)",
+    "is_weekend": f"CAST({S.dow('ts')} IN (5, 6) AS DOUBLE)",
+    "hour_8": "CAST(hour(ts) = 8 AS DOUBLE)",
+    "value_lag1": "value_lag1",
+    "value_lag2": "value_lag2",
+}
+
+
+@query("scaler_fit_matrix", "feature:s mean:d std:d", S.with_(S.sparse(), LAGGED_SQL) + " UNION ALL ".join(
+    f"""SELECT '{name}' AS feature, avg(x) AS mean,
+  CASE WHEN stddev_pop(x) IS NULL OR stddev_pop(x) <= 1e-12 THEN 1.0 ELSE stddev_pop(x) END AS std
+FROM (SELECT {expr} AS x FROM lagged) t""" for name, expr in MATRIX_FEATURES.items()))
+def q_scaler_fit_matrix(spark, sf):
+    lg = _lagged(spark, sf)
+    t = F.col("ts")
+    feats = lg.select(
+        (cal.fixed_holiday(t) | cal.easter_holiday(t)).cast("double").alias("is_holiday"),
+        cal.school_holiday(t).cast("double").alias("is_school_holiday"),
+        cal.is_weekend(t).cast("double").alias("is_weekend"),
+        (F.hour(t) == 8).cast("double").alias("hour_8"), "value_lag1", "value_lag2")
+    return scale.fit_scaler_matrix(feats, list(MATRIX_FEATURES))
+
+
+def _global(spark, sf):
+    from hourglass.plans import global_model
+    return global_model.fit_global(fx.panel_hourly(spark, sf), l1=1e-3)
+
+
+@query("forecast_all_series", "series:s mse:d n:i")
+def q_forecast_all_series(spark, sf):
+    return _global(spark, sf)[1]
+
+
+@query("feature_importance", "feature:s importance:d")
+def q_feature_importance(spark, sf):
+    from hourglass.plans import global_model
+    model, _, names = _global(spark, sf)
+    return global_model.feature_importance(model, global_model.feature_names(names), k=None)
+
+
+@query("top_weights", "feature:s importance:d")
+def q_top_weights(spark, sf):
+    from hourglass.plans import global_model
+    model, _, names = _global(spark, sf)
+    return global_model.feature_importance(model, global_model.feature_names(names), k=11)
+
+
+@query("attribution", "series:s feature:i mean_abs_contribution:d rank:i")
+def q_attribution(spark, sf):
+    from hourglass.plans import global_model
+    p = fx.panel_hourly(spark, sf)
+    model, stats = lagmodels.fit_lags(p, "lags", TRAIN, PREDICT, GAP, l2=1.0)
+    w = windows.gap_windows(panel.drop_incomplete(p), TRAIN, PREDICT, GAP)
+    smp = lagmodels.samples(scale.apply_scaler(w, stats), "lags", ["series"], TRAIN, PREDICT)
+    return global_model.attribution(smp, model, ["series"])

@@ -170,7 +170,10 @@ def solve_lasso(stats: np.ndarray, p: int, q: int, l1: float, max_iter: int = 20
 def solve(summed: DataFrame, keys: Sequence[str], p: int, q: int, families: Sequence[int] | None = None,
           param_cols: Sequence[str] = ("l2",), method: str = "ridge",
           carry: Sequence[str] = ()) -> DataFrame:
-    """Model rows ``(keys, params..., horizon, intercept, coef ARRAY<DOUBLE>, n)`` per key and config.
+    """Model rows ``(keys, params..., horizon, intercept, coef, weight, fmean, n)`` per key and config.
+
+    ``coef`` is in the unit of the inputs, ``weight`` on standardized inputs
+    (lasso) or equal to ``coef`` (ridge), ``fmean`` the training mean of each input.
 
     ``families`` splits the ``p`` features into consecutive blocks, each
     with its own penalty column of ``param_cols`` (two-family model).
@@ -186,6 +189,7 @@ def solve(summed: DataFrame, keys: Sequence[str], p: int, q: int, families: Sequ
         T.StructField("intercept", T.DoubleType()),
         T.StructField("coef", T.ArrayType(T.DoubleType())),
         T.StructField("weight", T.ArrayType(T.DoubleType())),
+        T.StructField("fmean", T.ArrayType(T.DoubleType())),
         T.StructField("n", T.LongType())])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -207,10 +211,11 @@ def solve(summed: DataFrame, keys: Sequence[str], p: int, q: int, families: Sequ
                         continue
                     b0, coef = res
                     wstd = coef
+                fmean = (stats[1:1 + p] / stats[0]).tolist()
                 for h in range(q):
                     row = {k: r[k] for k in keys + param_cols}
                     row.update(horizon=h, intercept=float(b0[h]), coef=coef[:, h].tolist(),
-                               weight=wstd[:, h].tolist(), n=int(stats[0]))
+                               weight=wstd[:, h].tolist(), fmean=fmean, n=int(stats[0]))
                     rows.append(row)
             if rows:
                 yield pd.DataFrame(rows, columns=[f.name for f in schema.fields])
@@ -244,8 +249,8 @@ def predict_direct(samples: DataFrame, model: DataFrame, keys: Sequence[str],
                       lambda acc, v: acc + v)
     pred = F.col("intercept") + dot
     has_y = "y" in samples.columns
-    j = samples.join(model.drop("weight", "n"), keys)
-    cols = [c for c in model.columns if c not in (*keys, "horizon", "intercept", "coef", "weight", "n")]
+    j = samples.join(model.drop("weight", "fmean", "n"), keys)
+    cols = [c for c in model.columns if c not in (*keys, "horizon", "intercept", "coef", "weight", "fmean", "n")]
     tgt = F.element_at(F.col("y"), F.col("horizon") + 1) if has_y else F.lit(None).cast("double")
     return j.select(*keys, *cols, window, "horizon",
                     (clip_floor(pred) if clip else pred).alias("prediction"), tgt.alias("target"))
