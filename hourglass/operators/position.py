@@ -37,6 +37,9 @@ def number_rows(df: DataFrame, ts: str = "ts", keys: Sequence[str] = (), out: st
     local = c.withColumn(
         "_r", F.row_number().over(Window.partitionBy(*keys, "_chunk").orderBy(ts)) - 1)
     counts = c.groupBy(*keys, "_chunk").agg(F.count(F.lit(1)).alias("_n"))
+    # Running offsets over the count table: one row per (keys, chunk).  Without
+    # keys this window has no partition, deliberately: the table has
+    # ``time span / chunk`` rows (about 520 for ten years of weekly chunks).
     before = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(*keys, "_chunk",
                             F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))

@@ -10,11 +10,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hourglass.operators.position import count_positions, with_pos
+from hourglass.operators.position import count_positions, positions
 
 
-def _ensure_pos(df: DataFrame, pos: str, ts: str) -> DataFrame:
-    return df if pos in df.columns else with_pos(df, ts=ts, out=pos)
+def _ensure_pos(df: DataFrame, pos: str, ts: str):
+    """``(df with pos, N)``; N is a scalar subquery over the distinct-timestamp table only."""
+    if pos in df.columns:
+        return df, count_positions(df, pos)
+    tbl = positions(df, ts=ts, out=pos)
+    return df.join(tbl, ts), count_positions(tbl, pos)
 
 
 def gap_windows(df: DataFrame, train: int = 48, predict: int = 4, gap: int = 26,
@@ -29,10 +33,9 @@ def gap_windows(df: DataFrame, train: int = 48, predict: int = 4, gap: int = 26,
     """
     if min(train, predict) < 1 or gap < 1:
         raise ValueError("train, predict and gap must be positive")
-    df = _ensure_pos(df, pos, ts)
+    df, n = _ensure_pos(df, pos, ts)
     step = train + predict + gap - 1
     total = train + predict + gap
-    n = count_positions(df, pos)
     wid = F.floor(F.col(pos) / F.lit(step)).cast("long")
     off = (F.col(pos) % F.lit(step)).cast("int")
     role = (F.when(off < train, F.lit("x"))
@@ -46,7 +49,7 @@ def gap_windows(df: DataFrame, train: int = 48, predict: int = 4, gap: int = 26,
 def test_blocks(df: DataFrame, history: int = 48, predict: int = 4, ts: str = "ts",
                 pos: str = "pos") -> DataFrame:
     """Consecutive blocks of ``history + predict`` rows: ``block_id``, ``block_offset``, ``role``."""
-    df = _ensure_pos(df, pos, ts)
+    df, _ = _ensure_pos(df, pos, ts)
     size = history + predict
     off = (F.col(pos) % F.lit(size)).cast("int")
     return df.withColumns({
@@ -71,8 +74,8 @@ def split_windows(w: DataFrame, frac: float = 0.8, window: str = "window_id") ->
 
 def split_rows(df: DataFrame, frac: float = 0.8, pos: str = "pos", ts: str = "ts") -> DataFrame:
     """Chronological split by row position: the first ``floor(N * frac)`` rows train."""
-    df = _ensure_pos(df, pos, ts)
-    cut = F.floor(count_positions(df, pos) * F.lit(frac))
+    df, n = _ensure_pos(df, pos, ts)
+    cut = F.floor(n * F.lit(frac))
     return df.withColumn("split", F.when(F.col(pos) < cut, F.lit("train")).otherwise(F.lit("val")))
 
 
