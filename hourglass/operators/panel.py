@@ -29,7 +29,7 @@ def to_long(wide: DataFrame, ts: str = "ts", series: Sequence[str] | None = None
     """Wide panel to long ``(series, ts, value)``; NaN becomes NULL."""
     names = list(series) if series is not None else series_of(wide, ts)
     w = wide.select(F.col(q(ts)).alias("ts"), *[F.col(q(n)).cast("double").alias(n) for n in names])
-    return (w.unpivot("ts", names, "series", "value")
+    return (w.unpivot("ts", [F.col(q(n)) for n in names], "series", "value")
             .select("series", "ts", nan_to_null("value").alias("value")))
 
 
