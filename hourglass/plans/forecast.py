@@ -15,6 +15,7 @@ from hourglass.operators.scale import apply_scaler, fit_scaler
 from hourglass.operators.sequences import sequences
 from hourglass.operators.windows import gap_windows
 from hourglass.plans.univariate import fit_univariate, predict_univariate
+from hourglass.session import materialize
 
 
 def windowed(panel: DataFrame, train: int = 48, predict: int = 4, gap: int = 26,
@@ -25,7 +26,7 @@ def windowed(panel: DataFrame, train: int = 48, predict: int = 4, gap: int = 26,
     their unit (the reference fits scaled inputs against raw targets).
     """
     p = drop_incomplete(panel) if complete_only else panel
-    w = gap_windows(p, train, predict, gap)
+    w = materialize(gap_windows(p, train, predict, gap))
     stats = fit_scaler(w, where=F.col("role") == "x")
     return apply_scaler(w, stats)
 

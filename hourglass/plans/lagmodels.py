@@ -27,6 +27,7 @@ from hourglass.operators.scale import apply_scaler, fit_scaler
 from hourglass.operators.sequences import sequences
 from hourglass.operators.windows import blocked_folds, gap_windows, target_timestamps, test_blocks
 from hourglass.plans import direct
+from hourglass.session import materialize
 
 N_ATTR = len(ATTRIBUTE_NAMES)
 
@@ -64,7 +65,7 @@ def fit_lags(panel: DataFrame, layout: str = "lags", train: int = 48, predict: i
     Returns ``(model, scaler_stats)``.  Inputs are scaled with training
     statistics; targets stay raw.
     """
-    w = gap_windows(drop_incomplete(panel), train, predict, gap)
+    w = materialize(gap_windows(drop_incomplete(panel), train, predict, gap))
     stats = fit_scaler(w, where=F.col("role") == "x")
     s = samples(apply_scaler(w, stats), layout, ["series"], train, predict)
     p, fam, pcols = width(layout, train)
@@ -86,8 +87,6 @@ def predict_blocks(test: DataFrame, model: DataFrame, stats: DataFrame, layout:
     x = (apply_scaler(b, stats)
          .withColumnsRenamed({"block_offset": "offset"}))
     s = samples(x, layout, ["series"], history, predict, window="block_id")
-    if layout == "lags":
-        s = s
     pred = direct.predict_direct(s.drop("y"), model, ["series"], window="block_id", clip=clip)
     tgt = target_timestamps(b, history).select("series", "block_id", "horizon", "ts")
     return (pred.join(tgt, ["series", "block_id", "horizon"])
@@ -106,7 +105,7 @@ def cross_validate(panel: DataFrame, grid: DataFrame, layout: str = "lags", trai
     Returns ``(fold_mse, scores)``.
     """
     p0 = drop_incomplete(panel) if complete_only else panel
-    w = blocked_folds(gap_windows(p0, train, predict, gap), k, size, train_windows)
+    w = materialize(blocked_folds(gap_windows(p0, train, predict, gap), k, size, train_windows))
     keys = ["series", "fold"]
     stats = fit_scaler(w, keys=keys, where=(F.col("role") == "x") & (F.col("fold_role") == "train"))
     s = samples(apply_scaler(w, stats, keys=keys), layout, keys + ["fold_role"], train, predict)

@@ -20,6 +20,7 @@ from hourglass.operators.panel import drop_incomplete
 from hourglass.operators.scale import apply_scaler, fit_scaler
 from hourglass.operators.sequences import sequences
 from hourglass.operators.windows import blocked_folds, gap_windows, target_timestamps, test_blocks
+from hourglass.session import materialize
 
 
 def window_summary(x: Column, kind: str | Column = "mean") -> Column:
@@ -77,7 +78,7 @@ def predict_univariate(seq: DataFrame, model: DataFrame, keys: Sequence[str] = (
 def train_univariate(panel: DataFrame, train: int = 48, predict: int = 4, gap: int = 26,
                      kind: str = "mean", l2: float = 0.0):
     """Final model on all windows of the complete panel: ``(model, scaler_stats)``."""
-    w = gap_windows(drop_incomplete(panel), train, predict, gap)
+    w = materialize(gap_windows(drop_incomplete(panel), train, predict, gap))
     stats = fit_scaler(w, where=F.col("role") == "x")
     seq = sequences(apply_scaler(w, stats), train=train, predict=predict)
     return fit_univariate(seq, kind=kind, l2=l2), stats
@@ -111,7 +112,7 @@ def cross_validate_univariate(panel: DataFrame, grid: DataFrame, train: int = 24
     """
     from hourglass.operators.joins import with_grid
     p0 = drop_incomplete(panel) if complete_only else panel
-    w = blocked_folds(gap_windows(p0, train, predict, gap), k, size, train_windows)
+    w = materialize(blocked_folds(gap_windows(p0, train, predict, gap), k, size, train_windows))
     keys = ["series", "fold"]
     stats = fit_scaler(w, keys=keys, where=(F.col("role") == "x") & (F.col("fold_role") == "train"))
     seq = sequences(apply_scaler(w, stats, keys=keys), keys=keys + ["fold_role"], train=train, predict=predict)

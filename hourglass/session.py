@@ -76,3 +76,13 @@ def cut_lineage(df):
     """Reliable checkpoint (survives executor loss), never a local one."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def materialize(df):
+    """Write a result that several later branches read (scalar subqueries, self-joins).
+
+    Without it every branch re-derives the result from the source scan;
+    with it the source is read once and the plan below is cut.  Reliable
+    checkpoint in the shared folder, so a lost executor does not replay it.
+    """
+    return cut_lineage(df)

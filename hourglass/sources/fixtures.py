@@ -4,7 +4,10 @@ These only put the test tables into the long panel schema
 ``(series STRING, ts TIMESTAMP, value DOUBLE)``; none of the forecasting
 work happens here.  Every builder is one aggregation (map-side partial
 combine, so a hot series or hour does not land in one task) and grows
-with its input table.
+with its input table.  Each panel is materialized once (reliable
+checkpoint): the operators downstream read it several times (scalar
+subqueries, semi-joins, position tables) and must not rescan the raw table
+for each read.
 """
 
 from __future__ import annotations
@@ -13,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hourglass.functions.numeric import nan_to_null
+from hourglass.session import materialize
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,14 +38,13 @@ def _grid_counts(keyed: DataFrame, unit: str, step: str) -> DataFrame:
     observations and summed in ONE aggregation: no join, one shuffle keyed by
     (series, ts), which has no hot key even when one series is hot.
     """
-    lo = keyed.select(F.min("ts")).scalar()
-    hi = keyed.select(F.max("ts")).scalar()
+    b = keyed.select(F.struct(F.min("ts").alias("lo"), F.max("ts").alias("hi"))).scalar()
     grid = (keyed.select("series").distinct()
-            .select("series", F.explode(F.sequence(lo, hi, F.expr(f"INTERVAL 1 {step}"))).alias("ts"))
+            .select("series", F.explode(F.sequence(b["lo"], b["hi"], F.expr(f"INTERVAL 1 {step}"))).alias("ts"))
             .withColumn("n", F.lit(0.0)))
     obs = keyed.select("series", "ts", F.lit(1.0).alias("n"))
-    return (obs.unionByName(grid)
-            .groupBy("series", "ts").agg(F.sum("n").alias("value")))
+    return materialize(obs.unionByName(grid)
+                       .groupBy("series", "ts").agg(F.sum("n").alias("value")))
 
 
 def panel_hourly(spark: SparkSession, sf_dir: str, series_col: str = "event_type") -> DataFrame:
@@ -60,8 +63,8 @@ def panel_users(spark: SparkSession, sf_dir: str) -> DataFrame:
 def panel_hourly_sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean event value per (event_type, hour), only hours that occur."""
     ev = _events(spark, sf_dir).where(F.col("ts").isNotNull() & F.col("event_type").isNotNull())
-    return (ev.groupBy(F.col("event_type").alias("series"), F.date_trunc("hour", "ts").alias("ts"))
-            .agg(F.avg("value").alias("value")))
+    return materialize(ev.groupBy(F.col("event_type").alias("series"), F.date_trunc("hour", "ts").alias("ts"))
+                       .agg(F.avg("value").alias("value")))
 
 
 def panel_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,13 +73,12 @@ def panel_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     keyed = o.select(F.col("o_orderpriority").alias("series"),
                      F.date_trunc("day", F.col("o_orderdate").cast("timestamp")).alias("ts"),
                      nan_to_null("o_totalprice").alias("v"))
-    lo = keyed.select(F.min("ts")).scalar()
-    hi = keyed.select(F.max("ts")).scalar()
+    b = keyed.select(F.struct(F.min("ts").alias("lo"), F.max("ts").alias("hi"))).scalar()
     grid = (keyed.select("series").distinct()
-            .select("series", F.explode(F.sequence(lo, hi, F.expr("INTERVAL 1 DAY"))).alias("ts"))
+            .select("series", F.explode(F.sequence(b["lo"], b["hi"], F.expr("INTERVAL 1 DAY"))).alias("ts"))
             .withColumn("v", F.lit(0.0)))
-    return (keyed.unionByName(grid).groupBy("series", "ts")
-            .agg(F.coalesce(F.sum("v"), F.lit(0.0)).alias("value")))
+    return materialize(keyed.unionByName(grid).groupBy("series", "ts")
+                       .agg(F.coalesce(F.sum("v"), F.lit(0.0)).alias("value")))
 
 
 def test_panel(panel: DataFrame, history: int = 48, predict: int = 4) -> DataFrame:
@@ -88,11 +90,10 @@ def test_panel(panel: DataFrame, history: int = 48, predict: int = 4) -> DataFra
     positions and does not use this index.
     """
     size = history + predict
-    lo = panel.select(F.min("ts")).scalar()
-    hi = panel.select(F.max("ts")).scalar()
-    idx = F.floor((F.unix_seconds("ts") - F.unix_seconds(lo)) / 3600)
-    n_hours = F.floor((F.unix_seconds(hi) - F.unix_seconds(lo)) / 3600) + 1
+    b = panel.select(F.struct(F.min("ts").alias("lo"), F.max("ts").alias("hi"))).scalar()
+    idx = F.floor((F.unix_seconds("ts") - F.unix_seconds(b["lo"])) / 3600)
+    n_hours = F.floor((F.unix_seconds(b["hi"]) - F.unix_seconds(b["lo"])) / 3600) + 1
     whole = F.floor(n_hours / size) * size
-    return (panel.where(idx < whole)
-            .select("series", "ts",
-                    F.when(idx % size < history, F.col("value")).cast("double").alias("value")))
+    return materialize(panel.where(idx < whole)
+                       .select("series", "ts",
+                               F.when(idx % size < history, F.col("value")).cast("double").alias("value")))
