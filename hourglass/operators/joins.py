@@ -39,11 +39,18 @@ def semi_timestamps(attrs: DataFrame, x: DataFrame, ts: str = "ts") -> DataFrame
 
 def fill_from(panel: DataFrame, preds: DataFrame, value: str = "value",
               prediction: str = "prediction", keys: Sequence[str] = ("series", "ts")) -> DataFrame:
-    """Write predictions into the panel where ``keys`` match; other rows unchanged."""
-    p = preds.select(*keys, F.col(prediction).alias("_pred"))
-    return (panel.join(p, list(keys), "left")
-            .withColumn(value, F.when(F.col("_pred").isNotNull(), F.col("_pred")).otherwise(F.col(value)))
-            .drop("_pred"))
+    """Write predictions into the panel where ``keys`` match; other rows unchanged.
+
+    Boolean marker columns of ``preds`` whose names start with ``_`` are
+    carried (False where nothing was written).
+    """
+    extra = [c for c in preds.columns if c.startswith("_")]
+    p = preds.select(*keys, F.col(prediction).alias("_pred"), *extra)
+    out = (panel.join(p, list(keys), "left")
+           .withColumn(value, F.when(F.col("_pred").isNotNull(), F.col("_pred")).otherwise(F.col(value)))
+           .drop("_pred"))
+    # Marker columns of ``preds`` (leading underscore) say which rows were written.
+    return out.withColumns({c: F.coalesce(F.col(c), F.lit(False)) for c in extra})
 
 
 def unmatched(preds: DataFrame, panel: DataFrame, keys: Sequence[str] = ("series", "ts")) -> DataFrame:

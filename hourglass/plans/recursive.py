@@ -53,11 +53,13 @@ def recursive_fill(test: DataFrame, predictor: Callable[[DataFrame], DataFrame],
         for c in prev_cols:
             cand = cand.where(F.col(c).isNotNull())
         pred = predictor(cand).withColumn("step", F.lit(step))
+        nxt = fill_from(current, pred.withColumn("_new", F.lit(True)))
         if checkpoint:
-            pred = cut_lineage(pred)
-        current = fill_from(current, pred)
-        if checkpoint:
-            current = cut_lineage(current)
-        part = pred.select("step", "series", "ts", "prediction")
+            # One reliable checkpoint per round; the round's predictions are
+            # read back from it, so no round replays the earlier ones.
+            nxt = cut_lineage(nxt)
+        part = nxt.where(F.col("_new")).select(F.lit(step).alias("step"), "series", "ts",
+                                               F.col("value").alias("prediction"))
         out = part if out is None else out.unionByName(part)
+        current = nxt.drop("_new")
     return out
