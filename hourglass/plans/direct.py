@@ -8,9 +8,9 @@ all ``q`` horizons at once.  The fit needs only
 1. ``mapInPandas`` over partitions sorted by key (a local sort, no shuffle)
    streams the rows and emits ONE partial statistics vector per key and
    partition, computed with numpy on Arrow batches.
-2. The vectors are summed element-wise with a built-in aggregation keyed
-   by ``(key, element)``: map-side combine, and the reduction key spreads a
-   hot series over all reducers.
+2. The vectors, cut into 64-wide chunks, are summed with built-in
+   ``sum`` aggregates keyed by ``(key, chunk)``: map-side combine, and the
+   reduction key spreads a hot series over many reducers.
 3. A per-key solve (``mapInPandas`` again) turns the summed statistics into
    intercepts and coefficients.  Its input is one row per key (x configs),
    sized by the model width, never by the data.
@@ -37,17 +37,22 @@ def _stats_len(p: int, q: int) -> int:
     return 1 + p + q + p * p + p * q
 
 
-def _key_tuple(row, keys):
-    return tuple(row[k] for k in keys)
+CHUNK = 64
 
 
 def partial_stats(df: DataFrame, keys: Sequence[str], p: int, q: int, f: str = "f",
                   y: str = "y") -> DataFrame:
-    """Per (key, partition): ``stats = [n, sum f, sum y, f'f (row-major), f'y (row-major)]``."""
+    """Per (key, partition): ``stats = [n, sum f, sum y, f'f (row-major), f'y (row-major)]``.
+
+    The vector is emitted as fixed-width chunks, rows ``(keys, chunk, v0..v63)``,
+    so the element-wise sum downstream is plain column ``sum``s.
+    """
     keys = list(keys)
     key_fields = [df.schema[k] for k in keys]
-    schema = T.StructType(key_fields + [T.StructField("stats", T.ArrayType(T.DoubleType()))])
+    schema = T.StructType(key_fields + [T.StructField("chunk", T.IntegerType())]
+                          + [T.StructField(f"v{j}", T.DoubleType()) for j in range(CHUNK)])
     width = _stats_len(p, q)
+    n_chunks = -(-width // CHUNK)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cur_key, acc = None, None
@@ -70,39 +75,50 @@ def partial_stats(df: DataFrame, keys: Sequence[str], p: int, q: int, f: str = "
                 X, Y = X[ok], Y[ok]
                 if k != cur_key:
                     flush()
-                    cur_key, acc = k, np.zeros(width)
+                    cur_key, acc = k, np.zeros(n_chunks * CHUNK)
                 acc[0] += len(X)
                 acc[1:1 + p] += X.sum(axis=0)
                 acc[1 + p:1 + p + q] += Y.sum(axis=0)
                 acc[1 + p + q:1 + p + q + p * p] += (X.T @ X).ravel()
-                acc[1 + p + q + p * p:] += (X.T @ Y).ravel()
+                acc[1 + p + q + p * p:width] += (X.T @ Y).ravel()
             # Emit finished keys batch by batch so memory stays O(one key).
-            if len(out_keys) > 0:
-                yield _frame(keys, out_keys, out_stats)
+            if out_keys:
+                yield _frame(keys, out_keys, out_stats, n_chunks)
                 out_keys, out_stats = [], []
         flush()
         if out_keys:
-            yield _frame(keys, out_keys, out_stats)
+            yield _frame(keys, out_keys, out_stats, n_chunks)
 
     return df.select(*keys, f, y).sortWithinPartitions(*keys).mapInPandas(run, schema)
 
 
-def _frame(keys, key_rows, stats):
-    d = {k: [kr[i] for kr in key_rows] for i, k in enumerate(keys)}
-    d["stats"] = [s.tolist() for s in stats]
+def _frame(keys, key_rows, stats, n_chunks):
+    m = np.stack(stats).reshape(len(stats) * n_chunks, CHUNK)
+    d = {k: np.repeat(np.array([kr[i] for kr in key_rows], dtype=object), n_chunks)
+         for i, k in enumerate(keys)}
+    d["chunk"] = np.tile(np.arange(n_chunks, dtype=np.int32), len(stats))
+    for j in range(CHUNK):
+        d[f"v{j}"] = m[:, j]
     return pd.DataFrame(d)
 
 
 def summed_stats(partials: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Element-wise sum of the partial vectors per key with built-in aggregation."""
+    """Chunk-wise sum of the partial vectors per key with built-in ``sum`` aggregates.
+
+    Keyed by ``(key, chunk)``: map-side combine, and the chunks of a hot key
+    go to different reducers.  The per-key gather at the end holds
+    ``width / 64`` rows, a size fixed by the model.
+    """
     keys = list(keys)
-    cells = partials.select(*keys, F.posexplode("stats").alias("i", "v"))
-    summed = cells.groupBy(*keys, "i").agg(F.sum("v").alias("v"))
-    return summed.groupBy(*keys).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda s: s["v"]).alias("stats"))
+    vals = [f"v{j}" for j in range(CHUNK)]
+    summed = partials.groupBy(*keys, "chunk").agg(*[F.sum(v).alias(v) for v in vals])
+    packed = summed.select(*keys, F.struct("chunk", F.array(*vals).alias("a")).alias("c"))
+    return packed.groupBy(*keys).agg(
+        F.flatten(F.transform(F.array_sort(F.collect_list("c")), lambda s: s["a"])).alias("stats"))
 
 
 def _unpack(stats: np.ndarray, p: int, q: int):
+    stats = stats[:_stats_len(p, q)]
     n = stats[0]
     sx = stats[1:1 + p]
     sy = stats[1 + p:1 + p + q]
