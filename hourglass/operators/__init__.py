@@ -6,7 +6,7 @@ from hourglass.operators.joins import (  # noqa: F401
 from hourglass.operators.lags import delta_hours, lag_features, shift_continuous, shift_rows  # noqa: F401
 from hourglass.operators.metrics import best_config, cv_score, mse, sort_scores  # noqa: F401
 from hourglass.operators.panel import (  # noqa: F401
-    align, clip, drop_incomplete, drop_incomplete_subset, drop_report, filter_series, finite_mask,
+    align, clip, drop_incomplete, drop_incomplete_subset, drop_report, filter_series, finite_mask, sort_time,
     mask_if, missing_ts, series_of, to_long, to_wide,
 )
 from hourglass.operators.position import number_rows, positions, with_pos  # noqa: F401

@@ -101,3 +101,8 @@ def mask_if(df: DataFrame, cond: Column, cols: Sequence[str]) -> DataFrame:
 
 def clip(df: DataFrame, col: str, lo: float = 0.0) -> DataFrame:
     return df.withColumn(col, clip_floor(col, lo))
+
+
+def sort_time(df: DataFrame, ts: str = "ts", keys: Sequence[str] = ()) -> DataFrame:
+    """Rows in time order (then ``keys``): a range-partitioned global sort, used at sinks only."""
+    return df.orderBy(F.col(ts), *[F.col(k) for k in keys])

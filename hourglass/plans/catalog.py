@@ -604,7 +604,7 @@ def q_sink_fold_slices(spark, sf):
 
 @query("sort_time", LONG, S.with_(S.sparse()) + "SELECT * FROM sparse WHERE series = 'error' ORDER BY ts")
 def q_sort_time(spark, sf):
-    return fx.panel_hourly_sparse(spark, sf).where(F.col("series") == "error").orderBy("ts")
+    return panel.sort_time(fx.panel_hourly_sparse(spark, sf).where(F.col("series") == "error"))
 
 
 # ---------------------------------------------------------------- 2.4 / 2.6 / 2.8 cross-validation
@@ -814,9 +814,7 @@ def q_forecast_recursive(spark, sf):
        S.with_(*PB_CTES, *REC_ONLY) + "SELECT 'univariate' AS model, series, ts, prediction FROM bpred UNION ALL "
        + "SELECT 'recursive' AS model, series, ts, prediction FROM (" + REC_UNION + ") r")
 def q_union_predictions(spark, sf):
-    a = _block_pred(spark, sf).select(F.lit("univariate").alias("model"), "series", "ts", "prediction")
-    b = _recursive(spark, sf).select(F.lit("recursive").alias("model"), "series", "ts", "prediction")
-    return a.unionByName(b)
+    return forecast.stack_predictions({"univariate": _block_pred(spark, sf), "recursive": _recursive(spark, sf)})
 
 
 MATRIX_FEATURES = {

@@ -42,3 +42,12 @@ def univariate_scores(panel: DataFrame, train: int = 48, predict: int = 4, gap:
     model = fit_univariate(seq, kind=kind)
     pred = predict_univariate(seq, model, kind=kind)
     return mse(pred, ["series"])
+
+
+def stack_predictions(parts: dict[str, DataFrame], cols=("series", "ts", "prediction")) -> DataFrame:
+    """Predictions of several models or rounds stacked with a ``model`` label (``unionByName``)."""
+    out = None
+    for name, df in parts.items():
+        d = df.select(F.lit(name).alias("model"), *cols)
+        out = d if out is None else out.unionByName(d)
+    return out
