@@ -65,7 +65,7 @@ def lag_features(long: DataFrame, lags: Sequence[int] = (1, 2), unit_seconds: in
 
 def shift_rows(long: DataFrame, lags: Sequence[int] = (1,), value: str = "value", ts: str = "ts",
                keys: Sequence[str] = ("series",), prefix: str = "prev_{n}_",
-               chunk_seconds: int = DEFAULT_CHUNK_SECONDS, with_prev_ts: bool = False) -> DataFrame:
+               chunk_seconds: int | None = DEFAULT_CHUNK_SECONDS, with_prev_ts: bool = False) -> DataFrame:
     """Value ``n`` ROWS earlier within each series (positional; holes in time are ignored).
 
     Rows are numbered per series without a per-series window (see

@@ -1,7 +1,8 @@
 """Row positions in time order without a single-partition window.
 
 A ``row_number()`` over a window with no ``PARTITION BY`` sends every row
-to one task.  Here the time axis is cut into chunks (``chunk_seconds``);
+to one task.  Here the time axis is cut into chunks (``chunk_seconds``, or
+an adaptive width of about a million rows per chunk);
 rows are numbered inside their chunk (a window partitioned by chunk), the
 chunk sizes are counted (one row per chunk), turned into running offsets,
 and added back.  The per-chunk count table is the only thing ordered
@@ -19,27 +20,42 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-DEFAULT_CHUNK_SECONDS = 7 * 24 * 3600
+DEFAULT_CHUNK_SECONDS = None          # adaptive: see ``_chunk``
+TARGET_ROWS_PER_CHUNK = 1_000_000
 
 
-def _chunk(ts: str, chunk_seconds: int):
-    return F.floor(F.unix_micros(F.col(ts)) / F.lit(chunk_seconds * 1_000_000))
+def _chunk(df: DataFrame, ts: str, chunk_seconds: int | None):
+    """Chunk id of each row.
+
+    A fixed width when ``chunk_seconds`` is given.  Otherwise the width is
+    a scalar subquery, ``time span * TARGET_ROWS_PER_CHUNK / rows``, so a chunk
+    holds about that many rows on average whatever the time resolution
+    (hourly panels or raw event timestamps).
+    """
+    us = F.unix_micros(F.col(ts))
+    if chunk_seconds is not None:
+        return F.floor(us / F.lit(chunk_seconds * 1_000_000))
+    b = df.select(F.struct(F.min(us).alias("lo"), F.max(us).alias("hi"),
+                           F.count(F.lit(1)).alias("n")).alias("b")).scalar()
+    width = F.greatest(F.lit(1.0), (b["hi"] - b["lo"] + 1).cast("double")
+                       * F.lit(float(TARGET_ROWS_PER_CHUNK)) / F.greatest(b["n"], F.lit(1)).cast("double"))
+    return F.floor((us - b["lo"]) / width)
 
 
 def number_rows(df: DataFrame, ts: str = "ts", keys: Sequence[str] = (), out: str = "pos",
-                chunk_seconds: int = DEFAULT_CHUNK_SECONDS) -> DataFrame:
+                chunk_seconds: int | None = DEFAULT_CHUNK_SECONDS) -> DataFrame:
     """0-based position of each row in ``ts`` order within ``keys``.
 
     Rows must be unique per ``(keys, ts)``; ties are broken by ``ts`` only.
     """
     keys = list(keys)
-    c = df.withColumn("_chunk", _chunk(ts, chunk_seconds))
+    c = df.withColumn("_chunk", _chunk(df, ts, chunk_seconds))
     local = c.withColumn(
         "_r", F.row_number().over(Window.partitionBy(*keys, "_chunk").orderBy(ts)) - 1)
     counts = c.groupBy(*keys, "_chunk").agg(F.count(F.lit(1)).alias("_n"))
     # Running offsets over the count table: one row per (keys, chunk).  Without
     # keys this window has no partition, deliberately: the table has
-    # ``time span / chunk`` rows (about 520 for ten years of weekly chunks).
+    # ``rows / TARGET_ROWS_PER_CHUNK`` rows, never the data rows themselves.
     before = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(*keys, "_chunk",
                             F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
@@ -49,14 +65,14 @@ def number_rows(df: DataFrame, ts: str = "ts", keys: Sequence[str] = (), out: st
 
 
 def positions(df: DataFrame, ts: str = "ts", out: str = "pos",
-              chunk_seconds: int = DEFAULT_CHUNK_SECONDS) -> DataFrame:
+              chunk_seconds: int | None = DEFAULT_CHUNK_SECONDS) -> DataFrame:
     """Table ``(ts, pos)``: 0-based position of every DISTINCT timestamp."""
     d = df.select(ts).distinct()
     return number_rows(d, ts=ts, out=out, chunk_seconds=chunk_seconds)
 
 
 def with_pos(df: DataFrame, ts: str = "ts", out: str = "pos",
-             chunk_seconds: int = DEFAULT_CHUNK_SECONDS) -> DataFrame:
+             chunk_seconds: int | None = DEFAULT_CHUNK_SECONDS) -> DataFrame:
     """Add the position of each row's timestamp among the distinct timestamps (W1).
 
     This is the "row index after dropping incomplete rows" of a wide panel:
