@@ -1,8 +1,8 @@
 """Row positions in time order without a single-partition window.
 
 A ``row_number()`` over a window with no ``PARTITION BY`` sends every row
-to one task.  Here the time axis is cut into chunks (``chunk_seconds``, or
-an adaptive width of about a million rows per chunk);
+to one task.  Here the time axis is cut into chunks (``chunk_seconds``, a
+week by default, or with ``None`` an adaptive width of about a million rows);
 rows are numbered inside their chunk (a window partitioned by chunk), the
 chunk sizes are counted (one row per chunk), turned into running offsets,
 and added back.  The per-chunk count table is the only thing ordered
@@ -20,7 +20,10 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-DEFAULT_CHUNK_SECONDS = None          # adaptive: see ``_chunk``
+# Regular panels (the data model): a week is 168 hourly rows per series and chunk.
+# ``chunk_seconds=None`` picks an adaptive width for irregular timestamps at
+# the price of one extra (min, max, count) pass over the input.
+DEFAULT_CHUNK_SECONDS = 7 * 24 * 3600
 TARGET_ROWS_PER_CHUNK = 1_000_000
 
 
@@ -54,8 +57,8 @@ def number_rows(df: DataFrame, ts: str = "ts", keys: Sequence[str] = (), out: st
         "_r", F.row_number().over(Window.partitionBy(*keys, "_chunk").orderBy(ts)) - 1)
     counts = c.groupBy(*keys, "_chunk").agg(F.count(F.lit(1)).alias("_n"))
     # Running offsets over the count table: one row per (keys, chunk).  Without
-    # keys this window has no partition, deliberately: the table has
-    # ``rows / TARGET_ROWS_PER_CHUNK`` rows, never the data rows themselves.
+    # keys this window has no partition, deliberately: the table has one row
+    # per chunk (520 for ten years of weeks), never the data rows themselves.
     before = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(*keys, "_chunk",
                             F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))

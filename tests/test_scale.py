@@ -47,3 +47,9 @@ def test_number_rows_hot_chunks_bounded(spark):
     biggest = df.groupBy("series", "_chunk").count().agg(F.max("count")).first()[0]
     assert biggest <= 24
     assert isinstance(pd.Timestamp(BASE), pd.Timestamp)
+
+
+def test_adaptive_chunks_exact(spark):
+    df = _hot_panel(spark)
+    pos = position.number_rows(df, keys=["series"], chunk_seconds=None).toPandas().sort_values(["series", "ts"])
+    assert pos["pos"].tolist() == pos.groupby("series").cumcount().tolist()
