@@ -7,7 +7,7 @@ scalar subqueries.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hourglass.operators.position import count_positions, positions
@@ -93,6 +93,6 @@ def blocked_folds(w: DataFrame, k: int = 5, size: int = 53, train: int = 42,
                         .otherwise(F.lit("val"))))
 
 
-def hashed_folds(df: DataFrame, k: int = 5, seed: int = 42, key: str = "ts") -> Column | DataFrame:
+def hashed_folds(df: DataFrame, k: int = 5, seed: int = 42, key: str = "ts") -> DataFrame:
     """Random-looking k-fold assignment that is stable under repartitioning and retries."""
     return df.withColumn("fold", F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(k)).cast("int"))

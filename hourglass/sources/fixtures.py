@@ -34,7 +34,7 @@ def _grid_counts(keyed: DataFrame, unit: str, step: str) -> DataFrame:
     """Count rows per (series, truncated ts) on the full grid min..max, 0 where absent.
 
     The grid is generated per series with ``sequence`` + ``explode`` between
-    the global bounds (two scalar subqueries), then unioned with the
+    the global bounds (one scalar subquery), then unioned with the
     observations and summed in ONE aggregation: no join, one shuffle keyed by
     (series, ts), which has no hot key even when one series is hot.
     """
