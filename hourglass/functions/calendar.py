@@ -161,9 +161,20 @@ def one_hot(df: DataFrame, c: str, domain: Sequence | None = None, prefix: str |
     return out.drop(c) if drop else out
 
 
+MAX_LEVELS = 1000
+
+
 def observed_levels(df: DataFrame, c: str) -> list:
-    """Sorted distinct levels of a low-cardinality column (hour, month, ...)."""
-    return [r[0] for r in df.select(c).where(F.col(c).isNotNull()).distinct().orderBy(c).collect()]
+    """Sorted distinct levels of a low-cardinality column (hour, month, ...).
+
+    The level list becomes output columns, so it is bounded (``MAX_LEVELS``)
+    and checked before it reaches the driver.
+    """
+    rows = (df.select(c).where(F.col(c).isNotNull()).distinct().orderBy(c)
+            .limit(MAX_LEVELS + 1).collect())
+    if len(rows) > MAX_LEVELS:
+        raise ValueError(f"{c} has more than {MAX_LEVELS} levels; pass a fixed domain")
+    return [r[0] for r in rows]
 
 
 ATTRIBUTE_NAMES = (
