@@ -33,8 +33,13 @@ from hourglass.functions.numeric import clip_floor
 from hourglass.operators.joins import with_grid
 
 
+def _tri(p: int) -> int:
+    return p * (p + 1) // 2
+
+
 def _stats_len(p: int, q: int) -> int:
-    return 1 + p + q + p * p + p * q
+    # f'f is symmetric: only its upper triangle (row-major) is carried.
+    return 1 + p + q + _tri(p) + p * q
 
 
 CHUNK = 64
@@ -42,7 +47,7 @@ CHUNK = 64
 
 def partial_stats(df: DataFrame, keys: Sequence[str], p: int, q: int, f: str = "f",
                   y: str = "y") -> DataFrame:
-    """Per (key, partition): ``stats = [n, sum f, sum y, f'f (row-major), f'y (row-major)]``.
+    """Per (key, partition): ``stats = [n, sum f, sum y, upper triangle of f'f, f'y]`` (row-major).
 
     The vector is emitted as fixed-width chunks, rows ``(keys, chunk, v0..v63)``,
     so the element-wise sum downstream is plain column ``sum``s.
@@ -53,6 +58,8 @@ def partial_stats(df: DataFrame, keys: Sequence[str], p: int, q: int, f: str = "
                           + [T.StructField(f"v{j}", T.DoubleType()) for j in range(CHUNK)])
     width = _stats_len(p, q)
     n_chunks = -(-width // CHUNK)
+    iu = np.triu_indices(p)
+    t = _tri(p)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cur_key, acc = None, None
@@ -79,8 +86,8 @@ def partial_stats(df: DataFrame, keys: Sequence[str], p: int, q: int, f: str = "
                 acc[0] += len(X)
                 acc[1:1 + p] += X.sum(axis=0)
                 acc[1 + p:1 + p + q] += Y.sum(axis=0)
-                acc[1 + p + q:1 + p + q + p * p] += (X.T @ X).ravel()
-                acc[1 + p + q + p * p:width] += (X.T @ Y).ravel()
+                acc[1 + p + q:1 + p + q + t] += (X.T @ X)[iu]
+                acc[1 + p + q + t:width] += (X.T @ Y).ravel()
             # Emit finished keys batch by batch so memory stays O(one key).
             if out_keys:
                 yield _frame(keys, out_keys, out_stats, n_chunks)
@@ -119,11 +126,14 @@ def summed_stats(partials: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def _unpack(stats: np.ndarray, p: int, q: int):
     stats = stats[:_stats_len(p, q)]
+    t = _tri(p)
     n = stats[0]
     sx = stats[1:1 + p]
     sy = stats[1 + p:1 + p + q]
-    xtx = stats[1 + p + q:1 + p + q + p * p].reshape(p, p)
-    xty = stats[1 + p + q + p * p:].reshape(p, q)
+    upper = np.zeros((p, p))
+    upper[np.triu_indices(p)] = stats[1 + p + q:1 + p + q + t]
+    xtx = upper + upper.T - np.diag(np.diag(upper))
+    xty = stats[1 + p + q + t:].reshape(p, q)
     return n, sx, sy, xtx, xty
 
 
