@@ -116,3 +116,26 @@ def cross_validate(panel: DataFrame, grid: DataFrame, layout: str = "lags", trai
     cfg = [c for c in grid.columns]
     fold_mse = mse(pred, cfg + ["fold"])
     return fold_mse, cv_score(fold_mse, cfg)
+
+
+def holdout_scores(panel: DataFrame, layout: str = "lags", train: int = 48, predict: int = 4, gap: int = 26,
+                   frac: float = 0.8, l2: float = 1.0, l2_attr: float | None = None):
+    """Chronological holdout: first ``frac`` of the windows train, the rest score.
+
+    The scaler and the models use the training windows only.  Returns
+    ``(mse_by_series, pooled_mse)``; the pooled error is over all series'
+    validation rows together, not a mean of per-series errors.
+    """
+    from hourglass.operators.windows import split_windows
+    w = materialize(split_windows(gap_windows(drop_incomplete(panel), train, predict, gap), frac))
+    stats = fit_scaler(w, where=(F.col("role") == "x") & (F.col("split") == "train"))
+    s = samples(apply_scaler(w, stats), layout, ["series", "split"], train, predict)
+    p, fam, pcols = width(layout, train)
+    grid = None
+    if layout == "two_family":
+        grid = panel.sparkSession.createDataFrame(
+            [(1, float(l2), float(l2 if l2_attr is None else l2_attr))], "config_id bigint, l2 double, l2_attr double")
+    model = direct.fit_direct(s.where(F.col("split") == "train").drop("split"), ["series"], p, predict,
+                              grid=grid, l2=l2, families=fam, param_cols=pcols)
+    pred = direct.predict_direct(s.where(F.col("split") == "val").drop("split"), model, ["series"])
+    return mse(pred, ["series"]), mse(pred, [])

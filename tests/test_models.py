@@ -77,3 +77,15 @@ def test_param_grid_nested_order_and_skip(spark):
                          skip=lambda d: d["lr"] == 0.001 and d["epochs"] == 50)
     assert [(r.config_id, r.epochs, r.lr) for r in g.orderBy("config_id").collect()] == [
         (1, 50, 0.01), (2, 100, 0.001), (3, 100, 0.01)]
+
+
+def test_holdout_scores_run_on_fixture(spark):
+    from hourglass.plans import lagmodels
+    from hourglass.sources import fixtures as fx
+    from tests.conftest import SF01
+    by_series, pooled = lagmodels.holdout_scores(fx.panel_hourly(spark, SF01), "lags", 24, 4, 5, l2=1.0)
+    rows = by_series.collect()
+    assert len(rows) == 5 and all(r.mse >= 0 for r in rows)
+    p = pooled.first()
+    assert p.n == sum(r.n for r in rows)
+    assert abs(p.mse - sum(r.mse * r.n for r in rows) / p.n) < 1e-9
