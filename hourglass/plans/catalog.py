@@ -8,7 +8,6 @@ are built from ``REGISTRY``.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -20,7 +19,7 @@ from hourglass.functions.numeric import as_float, clip_floor
 from hourglass.operators import joins, lags, metrics, panel, position, scale, sequences, windows
 from hourglass.plans import forecast, lagmodels, sqlparts as S, univariate
 from hourglass.plans.present import present, wrap_sql
-from hourglass.session import ensure_checkpoint_dir
+from hourglass.session import scratch_dir
 from hourglass.sources import fixtures as fx
 from hourglass.sources import panels as io
 
@@ -53,9 +52,8 @@ def oracle(name: str) -> str | None:
 
 
 def scratch_path(spark: SparkSession, tag: str) -> str:
-    """A fresh folder under the shared checkpoint directory (never machine-local on a cluster)."""
-    base = ensure_checkpoint_dir(spark).rstrip("/")
-    return f"{base}/hourglass-{tag}-{uuid.uuid4().hex}"
+    """A fresh folder below the shared folder, for queries that write and read back."""
+    return scratch_dir(spark, tag)
 
 
 LONG = "series:s ts:t value:d"

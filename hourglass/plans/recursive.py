@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from hourglass.operators.joins import fill_from
 from hourglass.operators.lags import lag_features, shift_continuous
 from hourglass.operators.panel import missing_ts
-from hourglass.session import cut_lineage
+from hourglass.session import materialize
 
 
 def lag1_linear_model(train: DataFrame) -> DataFrame:
@@ -57,7 +57,7 @@ def recursive_fill(test: DataFrame, predictor: Callable[[DataFrame], DataFrame],
         if checkpoint:
             # One reliable checkpoint per round; the round's predictions are
             # read back from it, so no round replays the earlier ones.
-            nxt = cut_lineage(nxt)
+            nxt = materialize(nxt)
         part = nxt.where(F.col("_new")).select(F.lit(step).alias("step"), "series", "ts",
                                                F.col("value").alias("prediction"))
         out = part if out is None else out.unionByName(part)

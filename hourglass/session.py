@@ -9,9 +9,10 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings the library depends on for correct results (UTC calendar parts) and
 # for scale (AQE coalescing, skew-join splitting, runtime broadcast decisions).
@@ -45,18 +46,22 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
 
 
 def configure(spark: SparkSession) -> SparkSession:
-    """Apply the runtime-settable part of ``REQUIRED_CONF`` to a given session."""
+    """Apply the runtime-settable part of ``REQUIRED_CONF`` to a given session.
+
+    Raises when the session time zone cannot be set to UTC: every calendar
+    result would be silently wrong otherwise.
+    """
     for k, v in REQUIRED_CONF.items():
-        try:
+        if spark.conf.isModifiable(k):
             spark.conf.set(k, v)
-        except Exception:  # static conf on a shared session: leave it
-            pass
+    if spark.conf.get("spark.sql.session.timeZone") != "UTC":
+        raise RuntimeError("spark.sql.session.timeZone must be UTC")
     ensure_checkpoint_dir(spark)
     ship_package(spark)
     return spark
 
 
-_SHIPPED: set[int] = set()
+_SHIPPED: set[str] = set()
 
 
 def ship_package(spark: SparkSession) -> None:
@@ -68,7 +73,7 @@ def ship_package(spark: SparkSession) -> None:
     ``SparkContext.addPyFile``, which distributes it like ``--py-files``.
     """
     sc = spark.sparkContext
-    if id(sc) in _SHIPPED:
+    if sc.applicationId in _SHIPPED:
         return
     pkg = os.path.dirname(os.path.abspath(__file__))
     root = os.path.dirname(pkg)
@@ -80,15 +85,16 @@ def ship_package(spark: SparkSession) -> None:
                     full = os.path.join(dirpath, f)
                     z.write(full, os.path.relpath(full, root))
     sc.addPyFile(out)
-    _SHIPPED.add(id(sc))
+    _SHIPPED.add(sc.applicationId)
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the reliable checkpoint folder, setting one only when unset.
+    """Return the shared folder for intermediates, setting one only when unset.
 
-    On a cluster ``spark.checkpoint.dir`` names a shared folder and is used
-    as is.  Only when nothing is configured (unit tests on one machine) a
-    fresh scratch folder is taken.
+    ``spark.checkpoint.dir`` is read from the session and used as is.  When
+    nothing is configured, a scratch folder is taken on a local master (unit
+    tests on one machine); on any other master this raises, because executors
+    would write to their own disks.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -96,22 +102,36 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        if sc.master != "local" and not sc.master.startswith("local["):
+            raise RuntimeError(f"set spark.checkpoint.dir to a folder shared by all executors (master {sc.master})")
         configured = tempfile.mkdtemp(prefix="hourglass-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
 
 
-def cut_lineage(df):
-    """Reliable checkpoint (survives executor loss), never a local one."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def scratch_dir(spark: SparkSession, tag: str) -> str:
+    """A new path below the shared folder; nothing is created yet."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{tag}-{uuid.uuid4().hex[:12]}"
 
 
-def materialize(df):
-    """Write a result that several later branches read (scalar subqueries, self-joins).
+def materialize(df: DataFrame, tag: str = "table") -> DataFrame:
+    """Write ``df`` as parquet in the shared folder and return the written table.
 
-    Without it every branch re-derives the result from the source scan;
-    with it the source is read once and the plan below is cut.  Reliable
-    checkpoint in the shared folder, so a lost executor does not replay it.
+    For results that several later branches read: the plan below is cut, a
+    lost executor does not replay it, and later readers keep column pruning
+    and vectorized scans (a row-format checkpoint would lose both).
     """
-    return cut_lineage(df)
+    path = scratch_dir(df.sparkSession, tag)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete the files of ``materialize`` results that no plan reads any more."""
+    for df in tables:
+        spark = df.sparkSession
+        base = ensure_checkpoint_dir(spark).rstrip("/").split(":", 1)[-1].lstrip("/")
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            if base in folder:
+                path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
