@@ -127,7 +127,7 @@ SELECT doc_id, min(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PART
     "op9_revisit_resolution": r"""
 WITH c AS (
   SELECT page_id, k, url, md5(coalesce(html, '')) AS digest,
-         to_timestamp(1704067200 + page_id * 61 % 864000 + k * (page_id % 40 + 1) * 3600) AT TIME ZONE 'UTC' AS at,
+         to_timestamp(1704067200 + page_id * 61 % 864000 + k * (page_id % 40 + 1) * 3600) AT TIME ZONE 'UTC' AS taken,
          (k = 0 OR (k = 2 AND page_id % 4 = 0)) AS full_response,
          CASE WHEN (k = 2 AND page_id % 4 = 0) OR (k = 3 AND page_id % 8 = 0) THEN '2' ELSE '1' END AS version
   FROM pages, (SELECT unnest([0, 1, 2, 3]) AS k)),
@@ -142,10 +142,10 @@ r AS (SELECT *, CASE WHEN scheme = '' THEN bare ELSE
          page_id * 4 + k AS record_id, '"' || substring(digest, 1, 8) || '-' || version || '"' AS etag FROM p),
 j AS (SELECT v.*, f.record_id AS refers_to, f.etag AS stored_etag, f.digest AS stored_digest
       FROM (SELECT * FROM r WHERE NOT full_response) v
-      ASOF LEFT JOIN (SELECT * FROM r WHERE full_response) f ON v.curl = f.curl AND v.at >= f.at),
+      ASOF LEFT JOIN (SELECT * FROM r WHERE full_response) f ON v.curl = f.curl AND v.taken >= f.taken),
 q AS (SELECT *, CASE WHEN refers_to IS NULL THEN 'no_response' WHEN etag = stored_etag THEN 'resolved' ELSE 'validator_mismatch' END AS outcome FROM j)
-SELECT record_id, curl AS canonical_url, strftime(at, '%Y-%m-%d %H:%M:%S') AS captured_at, refers_to, outcome, etag,
-       strftime(at, '%Y-%m-%d %H:%M:%S') AS date, CASE WHEN outcome = 'resolved' THEN '100' ELSE '0' END AS content_length,
+SELECT record_id, curl AS canonical_url, strftime(taken, '%Y-%m-%d %H:%M:%S') AS captured_at, refers_to, outcome, etag,
+       strftime(taken, '%Y-%m-%d %H:%M:%S') AS date, CASE WHEN outcome = 'resolved' THEN '100' ELSE '0' END AS content_length,
        CASE WHEN outcome = 'resolved' THEN stored_digest END AS payload_digest FROM q""",
     "op10_decontaminate": r"""
 WITH fold AS (SELECT 'ABCDEFGHIJKLMNOPQRSTUVWXYZ' AS up, 'abcdefghijklmnopqrstuvwxyz' AS low),
@@ -157,7 +157,7 @@ sizes AS (SELECT DISTINCT size FROM win),
 grams AS (SELECT doc_id, i, size, array_to_string(w[i : i + size - 1], ' ') AS gram
           FROM (SELECT doc_id, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM d, sizes WHERE len(w) >= size)),
 found AS (SELECT g.doc_id, g.i, g.size, win.item_id FROM grams g JOIN win ON win.gram = g.gram AND win.size = g.size),
-hit AS (SELECT doc_id, count(DISTINCT at) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + size)) AS at FROM found) GROUP BY doc_id),
+hit AS (SELECT doc_id, count(DISTINCT word_no) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + size)) AS word_no FROM found) GROUP BY doc_id),
 items AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT doc_id, item_id FROM found) GROUP BY doc_id)
 SELECT d.doc_id, len(d.w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
        sha256(coalesce(ids, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
