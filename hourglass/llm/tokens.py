@@ -1,64 +1,106 @@
-"""Word-cached tokenisation inside Python workers.
-
-The tokenizers used here never build a token across white space, so a text's
-ids are those of its white-space separated chunks one after the other.  Most
-chunks repeat; each worker keeps the ids of recent chunks as bytes in two
-generations of bounded size, and asks the tokenizer for the rest in batches.
-``check_splittable`` verifies the property on the tokenizer's own settings.
+"""Cached tokenisation inside Python workers.
+
+A tokenizer file whose pre-tokenizer is the known word pattern never builds a
+token across white space, so a text's ids are those of its chunks between
+ASCII white space, one after the other.  Each worker keeps the ids of recent
+chunks as bytes, in two generations of bounded size.  A new chunk of ASCII
+and Latin-1 letters, where lower-casing and composition are plain, is split
+into pieces (letter runs, single digits, runs of other marks); new pieces go
+to the tokenizer's own model, many in one call.  Any other new chunk goes
+through the whole tokenizer.
 """
 
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+import re
+from collections.abc import Iterable
 
 import numpy as np
 
-CACHE_CHUNKS = 250_000
-_SLICE_BYTES = 1 << 22
+CACHE_CHUNKS = 300_000
+CACHE_PIECES = 200_000
+_SLICE = 1 << 20
+# The pre-tokenizer pattern that the cache relies on, and the same for ASCII and Latin-1 letters.
+KNOWN_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\s0-9a-zß-öø-ÿ]+")
+_OTHER = re.compile(r"[^\t\n\r\x20-\x7eÀ-ÖØ-öø-ÿ]|<\|")  # special tokens start with '<|'
+_SPACE = re.compile(rb"[ \n]")
 
 
 def check_splittable(path: str) -> None:
-    """Raise unless the tokenizer file drops white space before it builds tokens."""
+    """Raise unless the tokenizer file splits texts by the known pattern."""
     with open(path, encoding="utf-8") as f:
-        pre = json.load(f)["pre_tokenizer"]
-    first = (pre.get("pretokenizers") or [pre])[0]
-    if first.get("type") != "Split" or first.get("behavior") != "Removed" or not first.get("invert"):
-        raise ValueError(f"{path}: tokens may span white space, so texts cannot be tokenised word by word")
+        settings = json.load(f)
+    first = (settings["pre_tokenizer"].get("pretokenizers") or [settings["pre_tokenizer"]])[0]
+    if first.get("pattern") != {"Regex": KNOWN_PATTERN} or first.get("behavior") != "Removed" or not first.get("invert"):
+        raise ValueError(f"{path}: not a tokenizer of the supported word pattern")
 
 
 class WordTokenizer:
-    """Text to ids as little-endian unsigned 32-bit bytes."""
-
-    def __init__(self, path: str, cache_chunks: int = CACHE_CHUNKS):
-        from tokenizers import Tokenizer
-        self.encode = Tokenizer.from_file(path).encode
-        self.limit, self.young, self.old = cache_chunks, {}, {}
-
-    def _learn(self, chunk: bytes) -> bytes:
-        ids = self.old.get(chunk)
-        if ids is None:
-            ids = np.array(self.encode(chunk.decode("utf-8"), add_special_tokens=False).ids, "<u4").tobytes()
-        if len(self.young) >= self.limit:
-            self.old, self.young = self.young, {}
-        if len(chunk) <= 64:
-            self.young[chunk] = ids
-        return ids
-
-    def pieces(self, text: str | None) -> Iterator[bytes]:
-        """The ids of the text, a few megabytes of it at a time."""
-        data, at = (text or "").encode("utf-8"), 0
-        while at < len(data):
-            end = len(data)
-            if end - at > _SLICE_BYTES:  # cut behind a space or line end
-                end = 1 + max(data.rfind(b" ", at, at + _SLICE_BYTES), data.rfind(b"\n", at, at + _SLICE_BYTES))
-                end = end if end > at else len(data)
-            get, learn = self.young.get, self._learn
-            yield b"".join([get(c) or learn(c) for c in data[at:end].split()])
+    """Text to ids as little-endian unsigned 32-bit bytes; exactly the ids of the tokenizer file."""
+
+    def __init__(self, path: str, cache_chunks: int = CACHE_CHUNKS, cache_pieces: int = CACHE_PIECES):
+        from tokenizers import Tokenizer, pre_tokenizers
+        self.whole = Tokenizer.from_file(path)
+        self.model = Tokenizer(self.whole.model)
+        to_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.model.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), to_bytes])
+        self.cache_chunks, self.cache_pieces = cache_chunks, cache_pieces
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+
+    def _encode_pieces(self, pieces: Iterable[str]) -> None:
+        new = [p for p in pieces if p not in self.pieces]
+        if not new:
+            return
+        encoded = self.model.encode(" ".join(new), add_special_tokens=False)
+        ids = np.array(encoded.ids, "<u4")
+        ends = np.searchsorted(np.array(encoded.word_ids), np.arange(len(new)), "right").tolist()
+        at = 0
+        for piece, end in zip(new, ends, strict=True):
+            self.pieces[piece] = ids[at:end].tobytes()
             at = end
 
+    def _encode_chunks(self, chunks: Iterable[bytes]) -> dict[bytes, bytes]:
+        out, plain = {}, {}
+        for chunk in chunks:
+            text = chunk.decode("utf-8")
+            if _OTHER.search(text):
+                out[chunk] = np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+            else:
+                plain[chunk] = _PIECE.findall(text.lower())
+        if len(self.pieces) > self.cache_pieces:
+            self.pieces.clear()
+        self._encode_pieces(dict.fromkeys(p for ps in plain.values() for p in ps))
+        get = self.pieces.__getitem__
+        for chunk, ps in plain.items():
+            out[chunk] = b"".join(map(get, ps))
+        return out
+
+    def _part(self, data: bytes) -> bytes:
+        chunks = data.split()
+        found = list(map(self.young.get, chunks))
+        if None in found:
+            old = self.old.get
+            missing = {c: old(c) for c, ids in zip(chunks, found, strict=True) if ids is None}
+            missing.update(self._encode_chunks([c for c, ids in missing.items() if ids is None]))
+            found = [missing[c] if ids is None else ids for c, ids in zip(chunks, found, strict=True)]
+            if len(self.young) + len(missing) > self.cache_chunks:
+                self.old, self.young = self.young, {}
+            self.young.update((c, ids) for c, ids in missing.items() if len(c) <= 64)
+        return b"".join(found)
+
     def ids(self, text: str | None) -> bytes:
-        return b"".join(self.pieces(text))
+        """The text's ids; long texts are worked through about a megabyte at a time."""
+        data, at, out = (text or "").encode("utf-8"), 0, []
+        while at < len(data):
+            cut = _SPACE.search(data, at + _SLICE)
+            end = cut.end() if cut else len(data)
+            out.append(self._part(data[at:end]))
+            at = end
+        return b"".join(out)
 
 
 _TOKENIZERS: dict[str, WordTokenizer] = {}
