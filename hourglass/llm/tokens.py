@@ -1,31 +1,38 @@
-"""Cached tokenisation inside Python workers.
-
-A tokenizer file whose pre-tokenizer is the known word pattern never builds a
-token across white space, so a text's ids are those of its chunks between
-ASCII white space, one after the other.  Each worker keeps the ids of recent
-chunks as bytes, in two generations of bounded size.  A new chunk of ASCII
-and Latin-1 letters, where lower-casing and composition are plain, is split
-into pieces (letter runs, single digits, runs of other marks); new pieces go
-to the tokenizer's own model, many in one call.  Any other new chunk goes
-through the whole tokenizer.
+"""Cached tokenisation of text batches inside Python workers.
+
+A tokenizer file whose pre-tokenizer is the known word pattern encodes a text
+piece by piece: letter runs, single digits, runs of other marks.  For texts
+of ASCII and Latin-1 letters, where lower-casing and composition are plain,
+Arrow splits a few megabytes of texts into pieces and numbers the distinct
+ones; only those are looked up in a cache of two generations of bounded
+size, new ones go to the tokenizer's own model, and numpy lays the ids out
+again.  Any other text goes through the whole tokenizer, chunk by chunk
+between ASCII white space, which no token spans.
 """
 
 from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterable
+import struct
+from collections.abc import Iterable, Iterator
+from itertools import pairwise
 
 import numpy as np
 
-CACHE_CHUNKS = 300_000
-CACHE_PIECES = 200_000
-_SLICE = 1 << 20
-# The pre-tokenizer pattern that the cache relies on, and the same for ASCII and Latin-1 letters.
+CACHE_PIECES = 300_000
+CACHE_CHUNKS = 50_000
+_SLICE = 1 << 22
+# Fixed value: the pre-tokenizer pattern that the pieces rely on.
 KNOWN_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-_PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\s0-9a-zß-öø-ÿ]+")
-_OTHER = re.compile(r"[^\t\n\r\x20-\x7eÀ-ÖØ-öø-ÿ]|<\|")  # special tokens start with '<|'
-_SPACE = re.compile(rb"[ \n]")
+# The same for lower-cased ASCII and Latin-1 letters: every piece that is no letter run.
+_MARK = r"('s|'t|'re|'ve|'m|'ll|'d|[0-9]|[^\s0-9a-zß-öø-ÿ]+)"
+_OTHER = r"[^\t\n\r\x20-\x7eÀ-ÖØ-öø-ÿ]|<\|"  # special tokens start with '<|'
+_SPACE = re.compile(r"[ \n]")
+# The byte-level alphabet: bytes that are no visible Latin-1 character are numbered from 256 on.
+_HIDDEN = [b for b in range(256) if not (0x21 <= b <= 0x7E or 0xA1 <= b <= 0xAC or b >= 0xAE)]
+_BYTE_MARKS = {b: 256 + k for k, b in enumerate(_HIDDEN)}
+_PACK = [struct.Struct(f"<{n}I").pack for n in range(16)]
 
 
 def check_splittable(path: str) -> None:
@@ -38,69 +45,99 @@ def check_splittable(path: str) -> None:
 
 
 class WordTokenizer:
-    """Text to ids as little-endian unsigned 32-bit bytes; exactly the ids of the tokenizer file."""
+    """Texts to ids; exactly the ids of the tokenizer file."""
 
-    def __init__(self, path: str, cache_chunks: int = CACHE_CHUNKS, cache_pieces: int = CACHE_PIECES):
-        from tokenizers import Tokenizer, pre_tokenizers
+    def __init__(self, path: str, cache_pieces: int = CACHE_PIECES, cache_chunks: int = CACHE_CHUNKS):
+        from tokenizers import Tokenizer
         self.whole = Tokenizer.from_file(path)
-        self.model = Tokenizer(self.whole.model)
-        to_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        self.model.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), to_bytes])
-        self.cache_chunks, self.cache_pieces = cache_chunks, cache_pieces
-        self.young: dict[bytes, bytes] = {}
-        self.old: dict[bytes, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
-
-    def _encode_pieces(self, pieces: Iterable[str]) -> None:
-        new = [p for p in pieces if p not in self.pieces]
-        if not new:
-            return
-        encoded = self.model.encode(" ".join(new), add_special_tokens=False)
-        ids = np.array(encoded.ids, "<u4")
-        ends = np.searchsorted(np.array(encoded.word_ids), np.arange(len(new)), "right").tolist()
-        at = 0
-        for piece, end in zip(new, ends, strict=True):
-            self.pieces[piece] = ids[at:end].tobytes()
-            at = end
-
-    def _encode_chunks(self, chunks: Iterable[bytes]) -> dict[bytes, bytes]:
-        out, plain = {}, {}
-        for chunk in chunks:
-            text = chunk.decode("utf-8")
-            if _OTHER.search(text):
-                out[chunk] = np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-            else:
-                plain[chunk] = _PIECE.findall(text.lower())
-        if len(self.pieces) > self.cache_pieces:
-            self.pieces.clear()
-        self._encode_pieces(dict.fromkeys(p for ps in plain.values() for p in ps))
-        get = self.pieces.__getitem__
-        for chunk, ps in plain.items():
-            out[chunk] = b"".join(map(get, ps))
-        return out
-
-    def _part(self, data: bytes) -> bytes:
-        chunks = data.split()
-        found = list(map(self.young.get, chunks))
-        if None in found:
-            old = self.old.get
-            missing = {c: old(c) for c, ids in zip(chunks, found, strict=True) if ids is None}
-            missing.update(self._encode_chunks([c for c, ids in missing.items() if ids is None]))
-            found = [missing[c] if ids is None else ids for c, ids in zip(chunks, found, strict=True)]
-            if len(self.young) + len(missing) > self.cache_chunks:
-                self.old, self.young = self.young, {}
-            self.young.update((c, ids) for c, ids in missing.items() if len(c) <= 64)
-        return b"".join(found)
-
-    def ids(self, text: str | None) -> bytes:
-        """The text's ids; long texts are worked through about a megabyte at a time."""
-        data, at, out = (text or "").encode("utf-8"), 0, []
-        while at < len(data):
-            cut = _SPACE.search(data, at + _SLICE)
-            end = cut.end() if cut else len(data)
-            out.append(self._part(data[at:end]))
-            at = end
-        return b"".join(out)
+        self.model = self.whole.model
+        self.cache_pieces, self.cache_chunks = cache_pieces, cache_chunks
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.chunks: dict[bytes, bytes] = {}
+
+    def _piece(self, piece: str) -> bytes:
+        marks = piece if piece.isascii() else piece.encode("utf-8").decode("latin-1").translate(_BYTE_MARKS)
+        ids = [token.id for token in self.model.tokenize(marks)]
+        return _PACK[len(ids)](*ids) if len(ids) < len(_PACK) else np.array(ids, "<u4").tobytes()
+
+    def _lookup(self, pieces: list[str]) -> list[bytes]:
+        """The ids of distinct pieces."""
+        found = list(map(self.young.get, pieces))
+        missing = {p: self.old.get(p) for p, ids in zip(pieces, found, strict=True) if ids is None}
+        if not missing:
+            return found
+        for piece, ids in missing.items():
+            if ids is None:
+                missing[piece] = self._piece(piece)
+        if len(self.young) + len(missing) > self.cache_pieces:
+            self.old, self.young = self.young, {}
+        self.young.update((p, ids) for p, ids in missing.items() if len(p) <= 64)
+        return [missing[p] if ids is None else ids for p, ids in zip(pieces, found, strict=True)]
+
+    def _plain(self, parts) -> list[np.ndarray]:
+        """The ids of an Arrow array of texts without other marks."""
+        import pyarrow.compute as pc
+        spaced = pc.replace_substring_regex(pc.utf8_lower(parts), pattern=_MARK, replacement=r" \1 ")
+        split = pc.ascii_split_whitespace(spaced)
+        coded = split.flatten().dictionary_encode()
+        per_piece = self._lookup(coded.dictionary.to_pylist())
+        flat = np.frombuffer(b"".join(per_piece), "<u4")
+        size = np.fromiter(map(len, per_piece), np.int32, len(per_piece)) // 4
+        start = np.cumsum(size, dtype=np.int32) - size
+        piece = coded.indices.to_numpy(zero_copy_only=False)
+        sizes = size[piece]
+        ends = np.concatenate(([0], np.cumsum(sizes, dtype=np.int32)))
+        shift = start[piece] - ends[:-1].astype(np.int32)
+        ids = flat[np.repeat(shift, sizes) + np.arange(ends[-1], dtype=np.int32)]
+        cuts = ends[split.offsets.to_numpy()].tolist()
+        return [ids[a:b] for a, b in pairwise(cuts)]
+
+    def _other(self, text: str) -> np.ndarray:
+        out = []
+        for chunk in text.encode("utf-8").split():
+            ids = self.chunks.get(chunk)
+            if ids is None:
+                ids = np.array(self.whole.encode(chunk.decode("utf-8"), add_special_tokens=False).ids, "<u4").tobytes()
+                if len(self.chunks) >= self.cache_chunks:
+                    self.chunks.clear()
+                if len(chunk) <= 64:
+                    self.chunks[chunk] = ids
+            out.append(ids)
+        return np.frombuffer(b"".join(out), "<u4")
+
+    def _encode(self, parts: list[str]) -> list[np.ndarray]:
+        import pyarrow as pa
+        import pyarrow.compute as pc
+        texts = pa.array(parts, pa.large_string())
+        other = pc.match_substring_regex(texts, _OTHER)
+        plain = iter(self._plain(texts.filter(pc.invert(other))))
+        return [self._other(text) if o else next(plain) for text, o in zip(parts, other.to_pylist(), strict=True)]
+
+    def batch(self, texts: Iterable[str | None]) -> Iterator[np.ndarray]:
+        """The ids of each text (little-endian unsigned 32-bit).
+
+        A few megabytes are worked on at a time, also within a long text;
+        null gives no ids.
+        """
+        parts: list[str] = []
+        size = 0
+        for text in texts:
+            text, at, begun = text or "", 0, []
+            while len(text) - at > _SLICE and (cut := _SPACE.search(text, at + _SLICE)):
+                begun += self._encode([text[at:cut.end()]])
+                at = cut.end()
+            if begun:
+                yield from self._encode(parts)
+                parts, size = [], 0
+                yield np.concatenate(begun + self._encode([text[at:]]))
+                continue
+            parts.append(text)
+            size += len(text)
+            if size > _SLICE:
+                yield from self._encode(parts)
+                parts, size = [], 0
+        yield from self._encode(parts)
 
 
 _TOKENIZERS: dict[str, WordTokenizer] = {}

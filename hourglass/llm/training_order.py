@@ -75,13 +75,17 @@ def sequences(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str = "
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = []
-            for name, text in batch.itertuples(index=False, name=None):
-                ids = np.append(np.frombuffer(tokenizer(tokenizer_path).ids(text), "<u4"), np.uint32(end_id))
+            rows, held = [], 0
+            for name, text_ids in zip(batch["id"], tokenizer(tokenizer_path).batch(batch["text"]), strict=True):
+                ids = np.append(text_ids, np.uint32(end_id))
                 if int(ids.max()) >= 1 << 8 * id_bytes:
                     raise ValueError(f"ids need more than {id_bytes} bytes")
                 ids = ids.astype(kind)
                 rows += [(name, at, min(seq_len, len(ids) - at), ids[at:at + seq_len].tobytes()) for at in range(0, len(ids), seq_len)]
+                held += len(ids)
+                if held > 1 << 20:
+                    yield pd.DataFrame(rows, columns=["id", "start", "n_ids", "ids"])
+                    rows, held = [], 0
             yield pd.DataFrame(rows, columns=["id", "start", "n_ids", "ids"])
 
     rows = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"))

@@ -18,6 +18,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain, repeat
 
 import numpy as np
 import pandas as pd
@@ -108,9 +109,9 @@ def pack(examples: DataFrame, ids_of, columns: list[str], limits: Limits = Limit
          power_of_two_tail: bool = False, keep: str = "") -> DataFrame:
     """Pack the rows of ``examples``.
 
-    ``ids_of(row)`` runs in the task and gives an example's ids (numpy
-    ``<u4``) and a boolean array of the loss-bearing ones; ``row`` has
-    ``columns``.  ``keep`` is the schema of the columns passed on with every
+    ``ids_of(batch)`` runs in the task and gives, for each row of a pandas
+    batch with ``columns``, its ids (numpy ``<u4``) and a boolean array of
+    the loss-bearing ones.  ``keep`` is the schema of the columns passed on with every
     piece, for example ``"doc_id long"``.  An example longer than the limits
     is cut; an example without ids gives no piece.  Repeated rows are packed
     as often as they occur.
@@ -137,9 +138,8 @@ def pack(examples: DataFrame, ids_of, columns: list[str], limits: Limits = Limit
             return out
 
         for batch in batches:
-            for row in batch[columns].itertuples(index=False, name=None):
-                ids, loss = ids_of(row)
-                kept = tuple(row[columns.index(c)] for c in names)
+            kept_columns = zip(*(batch[c] for c in names), strict=True) if names else repeat(())
+            for kept, (ids, loss) in zip(kept_columns, ids_of(batch)):  # noqa: B905
                 start = 0
                 for end in cut_points(loss, limits):
                     piece = (kept, start, ids[start:end].copy(), loss[start:end].copy(), len(ids))
@@ -191,11 +191,12 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: st
     check_splittable(tokenizer_path)
     end = np.array([end_id], "<u4")
 
-    def ids_of(row):
-        ids = np.concatenate((np.frombuffer(tokenizer(tokenizer_path).ids(row[1]), "<u4"), end))
-        loss = np.ones(len(ids), bool)
-        loss[0] = False
-        return ids, loss
+    def ids_of(batch: pd.DataFrame):
+        for text_ids in tokenizer(tokenizer_path).batch(batch["text"]):
+            ids = np.concatenate((text_ids, end))
+            loss = np.ones(len(ids), bool)
+            loss[0] = False
+            yield ids, loss
 
     rows = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"))
     packed = pack(rows, ids_of, ["id", "text"], limits, power_of_two_tail=power_of_two_tail, keep="id string")
@@ -207,10 +208,11 @@ def pack_instructions(examples: DataFrame, tokenizer_path: str, end_id: int, id_
     """Pack instruction data: ``prompt`` and ``response`` texts; only the response and its ``end_id`` bear loss."""
     check_splittable(tokenizer_path)
 
-    def ids_of(row):
-        prompt, response = (np.frombuffer(tokenizer(tokenizer_path).ids(t), "<u4") for t in row[1:])
-        ids = np.concatenate((prompt, response, np.array([end_id], "<u4")))
-        return ids, np.arange(len(ids)) >= len(prompt)
+    def ids_of(batch: pd.DataFrame):
+        both = tokenizer(tokenizer_path).batch(chain.from_iterable(zip(batch["prompt"], batch["response"], strict=True)))
+        for prompt in both:
+            ids = np.concatenate((prompt, next(both), np.array([end_id], "<u4")))
+            yield ids, np.arange(len(ids)) >= len(prompt)
 
     rows = examples.select(F.col(id_col).cast("string").alias("id"), "prompt", "response")
     packed = pack(rows, ids_of, ["id", "prompt", "response"], limits, keep="id string")
