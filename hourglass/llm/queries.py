@@ -22,11 +22,13 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def op1_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Write all documents' sequences in training order, read every shard back, and return the index with both checksums."""
+    """Write all documents' sequences in training order, read every shard back, and return one row per document part with both checksums."""
     path = training_order.new_path(spark)
     index = training_order.write_training_order(_read(spark, sf_dir, "documents").select("doc_id", "text"), path, tokenizer_path(), END_ID, ORDER_KEY)
     back = training_order.read_training_order(spark, path).select("slot", F.crc32("record").alias("read_crc32"))
-    return index.join(back, "slot", "left")
+    parts = index.join(back, "slot", "left").select("*", F.posexplode("segments").alias("segment", "part"))
+    return parts.select("slot", "shard", "byte_offset", "n_ids", "segment", F.col("part.id").alias("doc_id"), F.col("part.start").alias("start"),
+                        F.col("part.length").alias("length"), "crc32", "read_crc32")
 
 
 def op2_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,26 +1,29 @@
 """Training-order materialisation: a keyed permutation of all sequences, written as fixed-stride shards.
 
-Documents are tokenised and cut into sequences of at most ``seq_len`` ids.
-Every sequence has a dense index (its task's offset plus its place in the
-task's output, as stored in the written sequence table).  A four-round
-Feistel network on the smallest even-width domain that holds all N indices,
-cycle-walked until the value is below N, permutes the indices: the result is
-the sequence's global slot.  Slots are range-partitioned into shards of a
-fixed number of records; a record is the padded ids in a fixed number of
-bytes, so slot s lies in shard s // per_shard at byte
-(s % per_shard) * stride, and a reader can stop and go on anywhere.
-
-Scale: the sequences are written once and shuffled once, by slot.  The
-permutation is computed per row, so no global sort or shuffle of a whole
-list is needed.  Only a row count per task reaches one place.  Shards are
+Documents are tokenised; the ids of a task's documents, each followed by the
+end id, form one stream that is cut into sequences of ``seq_len`` ids (only a
+task's last sequence is shorter and padded).  Every sequence has a dense
+index: its task's offset plus its place in the task's output, as stored in
+the written sequence table.  A four-round Feistel network on an even-width
+domain of less than four times N values, cycle-walked until the value is
+below N, permutes the indices: the result is the sequence's global slot.
+Slots are range-partitioned into shards of a fixed number of records; a
+record is the padded ids in a fixed number of bytes, so slot s lies in shard
+s // per_shard at byte (s % per_shard) * stride, and a reader can stop and go
+on anywhere.
+
+Scale: the sequences are written once and shuffled once, by shard, as
+compressed records.  The permutation is computed per row, so there is no
+global sort.  Only a row count per task reaches the driver.  Shards are
 written by Spark's own text writer (records are raw bytes ended by one line
 feed), so they land in any store that Spark writes to and a lost task is
-simply repeated.  The order depends on the key and on the row order of the
-input; the written index table records it.
+simply repeated.  The order depends on the key and on how the input's rows
+are split into tasks; the written index records it.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,8 +34,8 @@ from pyspark.sql import functions as F
 from hourglass.llm.tokens import check_splittable, tokenizer
 from hourglass.session import materialize, release, scratch_dir
 
-SEQ_LEN = 512
-PER_SHARD = 16_384
+SEQ_LEN = 2048
+PER_SHARD = 8192
 ROUNDS = 4
 
 
@@ -64,34 +67,70 @@ def permute(index: np.ndarray, n: int, key: int) -> np.ndarray:
     return slots.astype(np.int64)
 
 
-def sequences(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text",
+def _kind(id_bytes: int) -> str:
+    return {2: "<u2", 4: "<u4"}[id_bytes]
+
+
+def _squeeze(record: bytes, id_bytes: int) -> bytes:
+    """A record with its bytes ordered by place within the id (they compress better so), by zstd."""
+    import zstandard
+    return zstandard.compress(np.frombuffer(record, np.uint8).reshape(-1, id_bytes).T.tobytes(), 1)
+
+
+def _unsqueeze(packed: bytes, id_bytes: int) -> bytes:
+    import zstandard
+    return np.frombuffer(zstandard.decompress(packed), np.uint8).reshape(id_bytes, -1).T.tobytes()
+
+
+def sequences(docs: DataFrame, tokenizer_path: str, end_id: int, pad_id: int = 0, id_col: str = "doc_id", text_col: str = "text",
               seq_len: int = SEQ_LEN, id_bytes: int = 2) -> DataFrame:
-    """Written table of (id, start, n_ids, ids, task, place): every document's ids and ``end_id``, cut by ``seq_len``.
+    """Written table of all sequences: n_ids, segments, packed record, crc32 (of the padded record), task, place.
 
-    Null text counts as empty; repeated rows give their sequences each time.
+    ``segments`` lists the documents inside: id, start (of the part within
+    the document's ids) and length.  Null text counts as empty; repeated rows
+    give their ids each time.
     """
     check_splittable(tokenizer_path)
-    kind = {2: "<u2", 4: "<u4"}[id_bytes]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows, pending, have = [], [], 0
+
+        def emit() -> None:
+            record = np.full(seq_len, pad_id, _kind(id_bytes))
+            record[:have] = np.concatenate([ids for _, _, ids in pending])
+            record = record.tobytes()
+            segments = [{"id": name, "start": start, "length": len(ids)} for name, start, ids in pending]
+            rows.append((have, segments, _squeeze(record, id_bytes), zlib.crc32(record)))
+
+        def flush() -> pd.DataFrame:
+            out = pd.DataFrame(rows, columns=["n_ids", "segments", "packed", "crc32"])
+            rows.clear()
+            return out
+
         for batch in batches:
-            rows, held = [], 0
             for name, text_ids in zip(batch["id"], tokenizer(tokenizer_path).batch(batch["text"]), strict=True):
                 ids = np.append(text_ids, np.uint32(end_id))
                 if int(ids.max()) >= 1 << 8 * id_bytes:
                     raise ValueError(f"ids need more than {id_bytes} bytes")
-                ids = ids.astype(kind)
-                rows += [(name, at, min(seq_len, len(ids) - at), ids[at:at + seq_len].tobytes()) for at in range(0, len(ids), seq_len)]
-                held += len(ids)
-                if held > 1 << 20:
-                    yield pd.DataFrame(rows, columns=["id", "start", "n_ids", "ids"])
-                    rows, held = [], 0
-            yield pd.DataFrame(rows, columns=["id", "start", "n_ids", "ids"])
-
+                ids, at = ids.astype(_kind(id_bytes)), 0
+                while at < len(ids):
+                    part = ids[at:at + seq_len - have]
+                    pending.append((name, at, part))
+                    at, have = at + len(part), have + len(part)
+                    if have == seq_len:
+                        emit()
+                        pending, have = [], 0
+                if len(rows) >= 512:
+                    yield flush()
+        if have:
+            emit()
+        yield flush()
+
+    segment = f"array<struct<id: {docs.schema[id_col].dataType.simpleString()}, start: long, length: int>>"
     rows = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"))
-    cut = rows.mapInPandas(run, "id string, start long, n_ids int, ids binary")
+    cut = rows.mapInPandas(run, "n_ids int, segments array<struct<id: string, start: long, length: int>>, packed binary, crc32 long")
     place = F.monotonically_increasing_id()
-    return materialize(cut.select(F.col("id").cast(docs.schema[id_col].dataType).alias("id"), "start", "n_ids", "ids",
+    return materialize(cut.select("n_ids", F.col("segments").cast(segment).alias("segments"), "packed", "crc32",
                                   F.shiftright(place, 33).alias("task"), place.bitwiseAND(F.lit((1 << 33) - 1)).alias("place")), "sequences")
 
 
@@ -119,21 +158,24 @@ def write_training_order(docs: DataFrame, path: str, tokenizer_path: str, end_id
                          per_shard: int = PER_SHARD, id_bytes: int = 2) -> DataFrame:
     """Write ``path/shards/shard=K`` and ``path/index``; returns the index table.
 
-    Index: slot, shard, byte_offset, id, start, n_ids, crc32 (of the padded
+    Index: slot, shard, byte_offset, n_ids, segments, crc32 (of the padded
     record).  Empty input writes an empty index and no record.
     """
-    rows = sequences(docs, tokenizer_path, end_id, id_col, text_col, seq_len, id_bytes)
+    rows = sequences(docs, tokenizer_path, end_id, pad_id, id_col, text_col, seq_len, id_bytes)
     slots, total = assign_slots(rows, key)
     stride = seq_len * id_bytes + 1
-    pad = F.lit(pad_id.to_bytes(id_bytes, "little").hex())
-    placed = slots.select(
-        "slot", F.floor(F.col("slot") / per_shard).cast("long").alias("shard"),
-        (F.col("slot") % per_shard * stride).alias("byte_offset"), F.col("id").alias(id_col), "start", "n_ids",
-        F.concat("ids", F.unhex(F.repeat(pad, F.lit(seq_len) - F.col("n_ids")))).alias("record"))
-    (placed.select("slot", "shard", F.col("record").cast("string").alias("value"))
-     .repartitionByRange(max(1, -(-total // per_shard)), "shard").sortWithinPartitions("shard", "slot")
-     .select("value", "shard").write.partitionBy("shard").option("lineSep", "\n").text(f"{path}/shards"))
-    placed.withColumn("crc32", F.crc32("record")).drop("record").write.parquet(f"{path}/index")
+    placed = slots.withColumn("shard", F.floor(F.col("slot") / per_shard).cast("long"))
+
+    @F.pandas_udf("binary")
+    def record(packed: pd.Series) -> pd.Series:
+        return packed.map(lambda b: _unsqueeze(b, id_bytes))
+
+    (placed.select("slot", "shard", "packed").repartitionByRange(max(1, -(-total // per_shard)), "shard")
+     .select("slot", "shard", record("packed").cast("string").alias("value"))
+     .sortWithinPartitions("shard", "slot").select("value", "shard")
+     .write.partitionBy("shard").option("lineSep", "\n").text(f"{path}/shards"))
+    (placed.select("slot", "shard", (F.col("slot") % per_shard * stride).alias("byte_offset"), "n_ids", "segments", "crc32")
+     .write.parquet(f"{path}/index"))
     release(rows)
     return docs.sparkSession.read.parquet(f"{path}/index")
 
