@@ -28,14 +28,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hourglass.llm.tokens import check_splittable, tokenizer
 from hourglass.session import materialize, release, scratch_dir
 
-SEQ_LEN = 2048
-PER_SHARD = 8192
+SEQ_LEN = 4096
+PER_SHARD = 2048
+_SLICE = 256
 ROUNDS = 4
 
 
@@ -71,17 +73,6 @@ def _kind(id_bytes: int) -> str:
     return {2: "<u2", 4: "<u4"}[id_bytes]
 
 
-def _squeeze(record: bytes, id_bytes: int) -> bytes:
-    """A record with its bytes ordered by place within the id (they compress better so), by zstd."""
-    import zstandard
-    return zstandard.compress(np.frombuffer(record, np.uint8).reshape(-1, id_bytes).T.tobytes(), 1)
-
-
-def _unsqueeze(packed: bytes, id_bytes: int) -> bytes:
-    import zstandard
-    return np.frombuffer(zstandard.decompress(packed), np.uint8).reshape(id_bytes, -1).T.tobytes()
-
-
 def sequences(docs: DataFrame, tokenizer_path: str, end_id: int, pad_id: int = 0, id_col: str = "doc_id", text_col: str = "text",
               seq_len: int = SEQ_LEN, id_bytes: int = 2) -> DataFrame:
     """Written table of all sequences: n_ids, segments, packed record, crc32 (of the padded record), task, place.
@@ -94,13 +85,14 @@ def sequences(docs: DataFrame, tokenizer_path: str, end_id: int, pad_id: int = 0
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows, pending, have = [], [], 0
+        squeeze = zstandard.ZstdCompressor(level=3).compress
 
         def emit() -> None:
             record = np.full(seq_len, pad_id, _kind(id_bytes))
             record[:have] = np.concatenate([ids for _, _, ids in pending])
             record = record.tobytes()
             segments = [{"id": name, "start": start, "length": len(ids)} for name, start, ids in pending]
-            rows.append((have, segments, _squeeze(record, id_bytes), zlib.crc32(record)))
+            rows.append((have, segments, squeeze(record), zlib.crc32(record)))
 
         def flush() -> pd.DataFrame:
             out = pd.DataFrame(rows, columns=["n_ids", "segments", "packed", "crc32"])
@@ -120,7 +112,7 @@ def sequences(docs: DataFrame, tokenizer_path: str, end_id: int, pad_id: int = 0
                     if have == seq_len:
                         emit()
                         pending, have = [], 0
-                if len(rows) >= 512:
+                if len(rows) >= _SLICE:
                     yield flush()
         if have:
             emit()
@@ -168,7 +160,7 @@ def write_training_order(docs: DataFrame, path: str, tokenizer_path: str, end_id
 
     @F.pandas_udf("binary")
     def record(packed: pd.Series) -> pd.Series:
-        return packed.map(lambda b: _unsqueeze(b, id_bytes))
+        return packed.map(zstandard.ZstdDecompressor().decompress)
 
     (placed.select("slot", "shard", "packed").repartitionByRange(max(1, -(-total // per_shard)), "shard")
      .select("slot", "shard", record("packed").cast("string").alias("value"))
@@ -190,8 +182,11 @@ def read_training_order(spark: SparkSession, path: str, first_slot: int = 0, seq
             for shard, content in batch.itertuples(index=False, name=None):
                 if len(content) % stride:
                     raise ValueError(f"shard {shard} is torn: {len(content)} bytes")
-                slots = shard * per_shard + np.arange(len(content) // stride)
-                yield pd.DataFrame({"slot": slots, "record": [content[i * stride:(i + 1) * stride - 1] for i in range(len(slots))]})
+                n = len(content) // stride
+                for at in range(0, n, _SLICE):
+                    places = range(at, min(at + _SLICE, n))
+                    yield pd.DataFrame({"slot": [shard * per_shard + i for i in places],
+                                        "record": [content[i * stride:(i + 1) * stride - 1] for i in places]})
 
     files = spark.read.format("binaryFile").load(f"{path}/shards")
     if "shard" not in files.columns:  # nothing was written
