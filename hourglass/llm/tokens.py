@@ -19,8 +19,10 @@ from collections.abc import Iterable, Iterator
 from itertools import pairwise
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-CACHE_PIECES = 300_000
+CACHE_PIECES = 200_000
 CACHE_CHUNKS = 50_000
 _SLICE = 1 << 22
 # Fixed value: the pre-tokenizer pattern that the pieces rely on.
@@ -77,7 +79,6 @@ class WordTokenizer:
 
     def _plain(self, parts) -> list[np.ndarray]:
         """The ids of an Arrow array of texts without other marks."""
-        import pyarrow.compute as pc
         spaced = pc.replace_substring_regex(pc.utf8_lower(parts), pattern=_MARK, replacement=r" \1 ")
         split = pc.ascii_split_whitespace(spaced)
         coded = split.flatten().dictionary_encode()
@@ -107,8 +108,6 @@ class WordTokenizer:
         return np.frombuffer(b"".join(out), "<u4")
 
     def _encode(self, parts: list[str]) -> list[np.ndarray]:
-        import pyarrow as pa
-        import pyarrow.compute as pc
         texts = pa.array(parts, pa.large_string())
         other = pc.match_substring_regex(texts, _OTHER)
         plain = iter(self._plain(texts.filter(pc.invert(other))))
@@ -138,6 +137,7 @@ class WordTokenizer:
                 yield from self._encode(parts)
                 parts, size = [], 0
         yield from self._encode(parts)
+        pa.default_memory_pool().release_unused()  # the worker lives on; later stages need the memory
 
 
 _TOKENIZERS: dict[str, WordTokenizer] = {}
