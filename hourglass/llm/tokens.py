@@ -16,7 +16,7 @@ import json
 import re
 import struct
 from collections.abc import Iterable, Iterator
-from itertools import pairwise
+from itertools import islice, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +24,7 @@ import pyarrow.compute as pc
 
 CACHE_PIECES = 200_000
 CACHE_CHUNKS = 50_000
+KEPT_PIECES = 50_000
 _SLICE = 1 << 22
 # Fixed value: the pre-tokenizer pattern that the pieces rely on.
 KNOWN_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -137,7 +138,12 @@ class WordTokenizer:
                 yield from self._encode(parts)
                 parts, size = [], 0
         yield from self._encode(parts)
-        pa.default_memory_pool().release_unused()  # the worker lives on; later stages need the memory
+
+    def rest(self) -> None:
+        """Give memory back at the end of a task, as the worker lives on; the pieces met first, mostly frequent ones, stay."""
+        newest = self.young if len(self.young) >= KEPT_PIECES else self.old or self.young
+        self.old, self.young = {}, dict(islice(newest.items(), KEPT_PIECES))
+        pa.default_memory_pool().release_unused()
 
 
 _TOKENIZERS: dict[str, WordTokenizer] = {}
@@ -148,3 +154,9 @@ def tokenizer(path: str) -> WordTokenizer:
     if path not in _TOKENIZERS:
         _TOKENIZERS[path] = WordTokenizer(path)
     return _TOKENIZERS[path]
+
+
+def rest() -> None:
+    """``WordTokenizer.rest`` for every tokenizer of the worker."""
+    for t in _TOKENIZERS.values():
+        t.rest()

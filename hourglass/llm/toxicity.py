@@ -62,7 +62,7 @@ class Model:
 
 class Matcher:
     """Looks words up; remembers recent words in a bounded cache."""
-    KEEP = 300_000
+    KEEP = 100_000
 
     def __init__(self, model: Model):
         self.exact, self.clean = frozenset(model.terms), model.clean

@@ -32,7 +32,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hourglass.llm.tokens import check_splittable, tokenizer
+from hourglass.llm.tokens import check_splittable, rest, tokenizer
 from hourglass.session import materialize, release, scratch_dir
 
 SEQ_LEN = 4096
@@ -117,6 +117,7 @@ def sequences(docs: DataFrame, tokenizer_path: str, end_id: int, pad_id: int = 0
         if have:
             emit()
         yield flush()
+        rest()
 
     segment = f"array<struct<id: {docs.schema[id_col].dataType.simpleString()}, start: long, length: int>>"
     rows = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"))

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hourglass.llm.tokens import check_splittable, tokenizer
+from hourglass.llm.tokens import check_splittable, rest, tokenizer
 
 PIECES = ("start long, length long, ids binary, doc_tokens long, loss_tokens long, "
           "sequence_id long, offset long")
@@ -161,6 +161,7 @@ def pack(examples: DataFrame, ids_of, columns: list[str], limits: Limits = Limit
             if held > 1 << 20:
                 yield flush()
         yield flush()
+        rest()
 
     schema = f"{keep}, {PIECES}" if keep else PIECES
     return examples.select(columns).mapInPandas(run, schema)
