@@ -36,7 +36,8 @@ _WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
 # Lower-cases A-Z and turns every other ASCII byte that is no digit or letter into a space.
 _FOLD = bytes(b if b >= 0x80 or chr(b).isalnum() else 0x20 for b in range(256)).lower()
 
-HITS = "n_words long, n_hit long, items array<string>, spans array<struct<start: long, stop: long>>"
+HITS = ("n_words long, n_hit long, items array<string>, "
+        "spans array<struct<start: long, stop: long, from_char: long, to_char: long>>")
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -57,16 +58,27 @@ def _runs(hit: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True))
 
 
-def cut(text: str, spans: list[tuple[int, int]]) -> str:
-    """The text without the given runs of words (numbers of words, end exclusive)."""
-    data = text.encode("utf-8", "surrogatepass")
+def spans_of(text: str | None, hit: np.ndarray) -> list[dict[str, int]]:
+    """Runs of hit words by word number, and the characters that they take in the text (ends exclusive)."""
+    runs = _runs(hit)
+    if not runs:
+        return []
+    data = text.encode("utf-8")
     place = [m.span() for m in _WORD.finditer(data)]
-    parts, at = [], 0
-    for a, b in spans:
-        parts.append(data[at:place[a][0]])
-        at = place[b - 1][1]
-    parts.append(data[at:])
-    return b"".join(parts).decode("utf-8", "surrogatepass")
+    return [{"start": a, "stop": b, "from_char": len(data[:place[a][0]].decode("utf-8")), "to_char": len(data[:place[b - 1][1]].decode("utf-8"))}
+            for a, b in runs]
+
+
+def merge_spans(spans: list) -> list[dict[str, int]]:
+    """The union of spans of one text; spans that touch become one."""
+    out: list[dict[str, int]] = []
+    for s in sorted(({k: s[k] for k in ("start", "stop", "from_char", "to_char")} for s in spans), key=lambda s: s["start"]):
+        if out and s["start"] <= out[-1]["stop"]:
+            if s["stop"] > out[-1]["stop"]:
+                out[-1]["stop"], out[-1]["to_char"] = s["stop"], s["to_char"]
+        else:
+            out.append(s)
+    return out
 
 
 def blocks_of(benchmark: DataFrame, block_words: int = BLOCK_WORDS, window: int = WINDOW):
@@ -93,7 +105,7 @@ def _scan(docs: DataFrame, automaton: ItemAutomaton, text_col: str) -> DataFrame
         for text in texts:
             hit, found = hit_words(text, shared.value)
             rows.append((len(hit), int(hit.sum()), sorted(x for x in found if x is not None),
-                         [{"start": a, "stop": b} for a, b in _runs(hit)]))
+                         spans_of(text, hit)))
         return pd.DataFrame(rows, columns=["n_words", "n_hit", "items", "spans"])
 
     return docs.withColumn("hits", scan(F.col(text_col)))
@@ -104,7 +116,8 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
     """The documents with a struct ``hits`` (it replaces a column of that name).
 
     ``hits``: ``n_words``, ``n_hit``, ``items`` (sorted ids of the items with
-    an occurring window) and ``spans`` (runs of hit words, by word number).
+    an occurring window) and ``spans`` (runs of hit words, by word number
+    and by character).
     Items without an id match words but name no item.  Every row is returned,
     repeats included; an empty benchmark hits nothing.
     """
@@ -125,12 +138,10 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
     def merge(own: pd.DataFrame, others: pd.Series) -> pd.DataFrame:
         rows = []
         for n_words, items, spans, other in zip(own["n_words"], own["items"], own["spans"], others, strict=True):
-            hit, found = np.zeros(n_words, bool), set(items)
-            for h in [{"items": items, "spans": spans}, *(other if other is not None else [])]:
-                found.update(h["items"])
-                for s in h["spans"]:
-                    hit[s["start"]:s["stop"]] = True
-            rows.append((n_words, int(hit.sum()), sorted(found), [{"start": a, "stop": b} for a, b in _runs(hit)]))
+            blocks = list(other) if other is not None else []
+            merged = merge_spans([x for part in (spans, *(b["spans"] for b in blocks)) for x in part])
+            names = set(items).union(*(b["items"] for b in blocks))
+            rows.append((n_words, sum(x["stop"] - x["start"] for x in merged), sorted(names), merged))
         return pd.DataFrame(rows, columns=["n_words", "n_hit", "items", "spans"])
 
     return (with_key(out, id_col, F.col(text_col)).join(more, KEY, "left")
@@ -147,10 +158,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     columns = docs.columns
     found = find_contamination(docs, benchmark, id_col, text_col, window)
 
-    @F.pandas_udf("string")
-    def without(texts: pd.Series, hits: pd.DataFrame) -> pd.Series:
-        return pd.Series([t if not n else cut(t, [(s["start"], s["stop"]) for s in spans])
-                          for t, n, spans in zip(texts, hits["n_hit"], hits["spans"], strict=True)], dtype=object)
-
     kept = found.where(F.col("hits.n_hit") <= max_coverage * F.col("hits.n_words"))
-    return kept.withColumn(text_col, without(text_col, "hits")).select(columns)
+    begin = F.concat(F.array(F.lit(0).cast("long")), F.col("hits.spans.to_char"))
+    end = F.concat(F.col("hits.spans.from_char"), F.array(F.length(text_col).cast("long")))
+    parts = F.transform(F.arrays_zip(begin.alias("a"), end.alias("b")), lambda p: F.col(text_col).substr((p["a"] + 1).cast("int"), (p["b"] - p["a"]).cast("int")))
+    rest = F.when(F.col("hits.n_hit") == 0, F.col(text_col)).otherwise(F.array_join(parts, ""))
+    return kept.withColumn(text_col, rest).select(columns)
