@@ -108,7 +108,8 @@ def _scan(docs: DataFrame, automaton: ItemAutomaton, text_col: str) -> DataFrame
                          spans_of(text, hit)))
         return pd.DataFrame(rows, columns=["n_words", "n_hit", "items", "spans"])
 
-    return docs.withColumn("hits", scan(F.col(text_col)))
+    # not to be evaluated once for a filter on the hits and once for the hits
+    return docs.withColumn("hits", scan.asNondeterministic()(F.col(text_col)))
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",

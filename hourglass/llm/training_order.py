@@ -143,7 +143,7 @@ def assign_slots(rows: DataFrame, key: int) -> tuple[DataFrame, int]:
         index = before[np.searchsorted(tasks, task.to_numpy(np.int64))] + place.to_numpy(np.int64)
         return pd.Series(permute(index, total, key))
 
-    return rows.withColumn("slot", slot("task", "place")), total
+    return rows.withColumn("slot", slot.asNondeterministic()("task", "place")), total  # evaluated once, however often it is used
 
 
 def write_training_order(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, key: int, pad_id: int = 0,
