@@ -144,7 +144,7 @@ def _contexts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         for text, toxic in batch.itertuples(index=False, name=None):
             words = _WORD.findall((text or "").lower())
-            seen = set(zip(words, [""] + words[:-1], words[1:] + [""], strict=True))
+            seen = set(zip(words, ["", *words], [*words[1:], ""]))  # noqa: B905  # the second list is longer by one
             seen = [(w, f"{a} {b}", int(toxic > 0)) for w, a, b in seen if 3 <= len(w) <= 40]
             yield pd.DataFrame(seen, columns=["word", "context", "toxic"])
 
