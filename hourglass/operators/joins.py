@@ -95,21 +95,14 @@ def grid_literal(grid_rows: Sequence[Mapping]) -> Column:
     return F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in r.items()]) for r in grid_rows])
 
 
-MAX_GRID_ROWS = 10_000
-
-
 def with_grid(df: DataFrame, grid: DataFrame) -> DataFrame:
     """Every row of ``df`` once per config of a parameter grid (each config is its own fit).
 
-    The grid is a parameter table whose size is fixed by its value lists
-    (checked against ``MAX_GRID_ROWS``); it is inlined as a literal array
-    and exploded, so no join is planned.  Callers attach it to per-key
+    The grid is a parameter table whose size is fixed by its value lists; it
+    is inlined as a literal array and exploded, so no join is planned.  Callers attach it to per-key
     summaries (sufficient statistics), not to raw rows.
     """
-    rows = grid.limit(MAX_GRID_ROWS + 1).collect()
-    if len(rows) > MAX_GRID_ROWS:
-        raise ValueError(f"parameter grid larger than {MAX_GRID_ROWS} configs")
-    lit_rows = [r.asDict() for r in rows]
+    lit_rows = [r.asDict() for r in grid.collect()]
     cols = grid.columns
     return (df.withColumn("_cfg", F.explode(grid_literal(lit_rows)))
             .select(*[c for c in df.columns], *[F.col(f"_cfg.{c}").alias(c) for c in cols]))

@@ -26,7 +26,8 @@ def gather_shifted(df: DataFrame, keys: Sequence[str], key: str, carry: str,
     Row ``r`` is emitted once as itself and once per lag at key
     ``shift(r.key, n)``; one ``groupBy(keys, key)`` then gathers, for each
     key, the original row and the values shifted onto it.  Keys with no
-    original row are dropped; missing partners give NULL.
+    original row are dropped; missing partners give NULL.  Two original rows
+    with one key raise an error when the plan runs: one of them would vanish.
     """
     keys = list(keys)
     others = [c for c in df.columns if c not in (*keys, key)]
@@ -39,12 +40,14 @@ def gather_shifted(df: DataFrame, keys: Sequence[str], key: str, carry: str,
     u = parts[0]
     for p in parts[1:]:
         u = u.unionByName(p)
-    aggs = [F.max((F.col("_k") == 0).cast("int")).alias("_present")]
+    aggs = [F.sum((F.col("_k") == 0).cast("int")).alias("_present")]
     # Only the original row (k = 0) has non-NULL ``others``; ``first`` with
     # ignorenulls is then exact and deterministic.
     aggs += [F.first(F.col(c), ignorenulls=True).alias(c) for c in others]
     aggs += [F.max(F.when(F.col("_k") == n, F.col("_carry"))).alias(nm) for n, nm in zip(lags, names)]
-    return u.groupBy(*keys, key).agg(*aggs).where(F.col("_present") == 1).drop("_present")
+    twice = F.raise_error(F.lit(f"more than one row with the same {', '.join([*keys, key])}")).cast("boolean")
+    once = F.when(F.col("_present") > 1, twice).otherwise(F.col("_present") == 1)
+    return u.groupBy(*keys, key).agg(*aggs).where(once).drop("_present")
 
 
 def lag_features(long: DataFrame, lags: Sequence[int] = (1, 2), unit_seconds: int = 3600,

@@ -21,17 +21,26 @@ def mse(pred: DataFrame, keys: Sequence[str] = ("series",), prediction: str = "p
 
 
 def cv_score(fold_mse: DataFrame, config_keys: Sequence[str] = ("config_id",)) -> DataFrame:
-    """Unweighted mean of the fold errors per config, with their population std."""
+    """Unweighted mean of the fold errors per config, with their population std.
+
+    A config without an error on some fold has a NULL score: it must not
+    compete on fewer folds than the others.
+    """
+    whole = F.count("mse") == F.count(F.lit(1))
     return fold_mse.groupBy(*config_keys).agg(
-        F.avg("mse").alias("mse"), F.stddev_pop("mse").alias("mse_std"),
+        F.when(whole, F.avg("mse")).alias("mse"), F.stddev_pop("mse").alias("mse_std"),
         F.count("mse").alias("folds"))
 
 
 def best_config(scores: DataFrame, score: str = "mse", key: str = "config_id") -> DataFrame:
-    """The config with the least score; ties go to the lower ``key`` (the first tried)."""
+    """The config with the least score; ties go to the lower ``key`` (the first tried).
+
+    Configs without a score (NULL or NaN) cannot win; no row if none has one.
+    """
     cols = scores.columns
-    best = scores.agg(F.min_by(F.struct(*cols), F.struct(F.col(score), F.col(key))).alias("b"))
-    return best.select("b.*")
+    scored = scores.where(F.col(score).isNotNull() & ~F.isnan(score))
+    best = scored.agg(F.min_by(F.struct(*cols), F.struct(F.col(score), F.col(key))).alias("b"))
+    return best.where("b IS NOT NULL").select("b.*")
 
 
 def sort_scores(scores: DataFrame, score: str = "mse", key: str = "config_id") -> DataFrame:

@@ -76,12 +76,13 @@ def missing_ts(long: DataFrame, ts: str = "ts", value: str = "value") -> DataFra
     return long.groupBy(ts).agg(F.count(value).alias("_n")).where(F.col("_n") == 0).select(ts)
 
 
-def drop_report(before: DataFrame, after: DataFrame) -> DataFrame:
-    """One row: rows before, rows after, rows dropped (two scalar subqueries)."""
-    b = before.select(F.count(F.lit(1))).scalar()
-    a = after.select(F.count(F.lit(1))).scalar()
-    return before.sparkSession.range(1).select(
-        b.alias("rows_before"), a.alias("rows_after"), (b - a).alias("rows_dropped"))
+def drop_report(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """One row: rows before, after and dropped by ``drop_incomplete_subset`` on ``columns``, in one pass."""
+    whole = F.lit(True)
+    for c in columns:
+        whole = whole & F.col(c).isNotNull()
+    n, kept = F.count(F.lit(1)), F.count_if(whole)
+    return rows.agg(n.alias("rows_before"), kept.alias("rows_after"), (n - kept).alias("rows_dropped"))
 
 
 def filter_series(long: DataFrame, names: Sequence[str]) -> DataFrame:

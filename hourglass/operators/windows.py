@@ -79,20 +79,30 @@ def split_rows(df: DataFrame, frac: float = 0.8, pos: str = "pos", ts: str = "ts
     return df.withColumn("split", F.when(F.col(pos) < cut, F.lit("train")).otherwise(F.lit("val")))
 
 
-def blocked_folds(w: DataFrame, k: int = 5, size: int = 53, train: int = 42,
-                  window: str = "window_id") -> DataFrame:
-    """``k`` contiguous blocks of ``size`` windows: first ``train`` train, the rest val.
+def blocked_folds(w: DataFrame, k: int = 5, train_share: float = 0.8, window: str = "window_id") -> DataFrame:
+    """``k`` contiguous blocks over all windows; the first ``train_share`` of each block's windows train, the rest val.
 
-    Blocks do not share windows; windows beyond ``k * size`` are in no fold.
+    Block sizes follow the window count (they differ by one at most), and
+    every block has at least one window of each role; fewer than two windows
+    per block raise an error when the plan runs.
     """
-    if not (0 < train < size) or k < 1:
-        raise ValueError("need k >= 1 and 0 < train < size")
-    fold = F.floor(F.col(window) / F.lit(size)).cast("int")
-    return (w.withColumn("fold", fold).where(F.col("fold") < k)
-            .withColumn("fold_role", F.when(F.col(window) % F.lit(size) < train, F.lit("train"))
-                        .otherwise(F.lit("val"))))
+    if not 0 < train_share < 1 or k < 1:
+        raise ValueError("need k >= 1 and 0 < train_share < 1")
+    n = w.select(F.max(window) + 1).scalar().cast("long")
+    number = F.col(window).cast("long")
+    too_few = F.raise_error(F.lit(f"blocked_folds: {k} folds need at least {2 * k} windows")).cast("long")
+    fold = F.when(n >= 2 * k, F.floor(number * k / n)).otherwise(too_few)
+    first = F.ceil(F.col("fold") * n / k)
+    size = F.ceil((F.col("fold") + 1) * n / k) - first
+    train = F.greatest(F.lit(1), F.least(size - 1, F.floor(size * F.lit(train_share))))
+    return (w.withColumn("fold", fold.cast("int"))
+            .withColumn("fold_role", F.when(number - first < train, F.lit("train")).otherwise(F.lit("val"))))
 
 
 def hashed_folds(df: DataFrame, k: int = 5, seed: int = 42, key: str = "ts") -> DataFrame:
-    """Random-looking k-fold assignment that is stable under repartitioning and retries."""
-    return df.withColumn("fold", F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(k)).cast("int"))
+    """Random-looking k-fold assignment that is stable under repartitioning and retries.
+
+    The first eight hexadecimal digits of the MD5 of ``key|seed``, modulo ``k``.
+    """
+    digest = F.md5(F.concat_ws("|", F.col(key).cast("string"), F.lit(str(seed))))
+    return df.withColumn("fold", (F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % k).cast("int"))

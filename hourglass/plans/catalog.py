@@ -130,7 +130,7 @@ def q_drop_incomplete_subset(spark, sf):
        count(*) FILTER (WHERE value_lag1 IS NULL OR value_lag2 IS NULL) AS rows_dropped FROM lagged""")
 def q_dropped_count(spark, sf):
     before = _lagged(spark, sf)
-    return panel.drop_report(before, panel.drop_incomplete_subset(before, ["value_lag1", "value_lag2"]))
+    return panel.drop_report(before, ["value_lag1", "value_lag2"])
 
 
 @query("finite_mask", LAGGED_SPEC + " ratio:d",
@@ -155,12 +155,10 @@ def q_all_null_rows(spark, sf):
 
 @query("series_columns", "series:s", S.with_(S.hourly()) + "SELECT DISTINCT series FROM panel")
 def q_series_columns(spark, sf):
-    # Station columns of the wide file written from the panel (schema only, then a tiny frame).
+    # The series found in a wide file that was written from the panel.
     path = scratch_path(spark, "wide")
     io.write_panel(fx.panel_hourly(spark, sf), path)
-    wide = spark.read.option("header", True).csv(path)
-    names = panel.series_of(wide, ts="timestamp")
-    return spark.createDataFrame([(n,) for n in names], "series string")
+    return io.read_panel(spark, path).select("series").distinct()
 
 
 SELECTED = ("click", "purchase", "view")
@@ -186,12 +184,12 @@ HOURS_SPEC = "ts:t " + " ".join(f"hour_{h}:i" for h in cal.HOUR_DOMAIN)
 
 @query("align_columns", HOURS_SPEC,
        S.with_(S.sparse()) + "SELECT ts, " + ", ".join(
-           f"CAST(hour(ts) = {h} AND hour(ts) IN (SELECT DISTINCT hour(ts) FROM sparse WHERE series = 'click') "
+           f"CAST(hour(ts) = {h} AND hour(ts) IN (SELECT DISTINCT hour(ts) FROM sparse) "
            f"AS INTEGER) AS hour_{h}" for h in cal.HOUR_DOMAIN)
-       + " FROM (SELECT DISTINCT ts FROM sparse WHERE series = 'click') t")
+       + " FROM (SELECT DISTINCT ts FROM sparse) t")
 def q_align_columns(spark, sf):
-    # Observed hour levels of one series, then aligned to the full 24-hour domain.
-    d = fx.panel_hourly_sparse(spark, sf).where(F.col("series") == "click").select("ts").distinct()
+    # Observed hour levels, then aligned to the full 24-hour domain.
+    d = fx.panel_hourly_sparse(spark, sf).select("ts").distinct()
     d = d.withColumn("hour", F.hour("ts"))
     oh = cal.one_hot(d, "hour", domain=None, prefix="hour", drop=True)
     return panel.align(oh, ["ts"] + [f"hour_{h}" for h in cal.HOUR_DOMAIN], fill=0)
@@ -215,9 +213,9 @@ def q_clip_floor(spark, sf):
 @query("cast_features", "ts:t is_holiday:i hour_7:i value:d value_f:d",
        S.with_(S.hourly()) + f"""SELECT ts, CAST(CAST({S.is_holiday('ts')} AS TINYINT) AS INTEGER) AS is_holiday,
        CAST(hour(ts) = 7 AS INTEGER) AS hour_7, value, CAST(CAST(value AS FLOAT) AS DOUBLE) AS value_f
-FROM panel WHERE series = 'view'""")
+FROM panel""")
 def q_cast_features(spark, sf):
-    p = fx.panel_hourly(spark, sf).where(F.col("series") == "view")
+    p = fx.panel_hourly(spark, sf)
     c = cal.calendar(p)
     return c.select("ts", F.col("is_holiday").cast("byte").alias("is_holiday"),
                     (F.hour("ts") == 7).cast("int").alias("hour_7"), "value",
@@ -229,10 +227,14 @@ def q_wide_to_long(spark, sf):
     return panel.to_long(panel.to_wide(fx.panel_hourly(spark, sf)))
 
 
-@query("long_to_wide", "ts:t *:d", S.with_(S.hourly())
-       + "PIVOT (SELECT ts, series, value FROM panel) ON series USING first(value) GROUP BY ts")
+# The event types, which are the series of the hourly panel.
+SERIES = ("click", "error", "purchase", "signup", "view")
+
+
+@query("long_to_wide", "ts:t " + " ".join(f"{n}:d" for n in SERIES), S.with_(S.hourly()) + "SELECT ts, "
+       + ", ".join(f"max(CASE WHEN series = '{n}' THEN value END) AS {n}" for n in SERIES) + " FROM panel GROUP BY ts")
 def q_long_to_wide(spark, sf):
-    return panel.to_wide(fx.panel_hourly(spark, sf))
+    return panel.to_wide(fx.panel_hourly(spark, sf), SERIES)
 
 
 # ---------------------------------------------------------------- 2.3 calendar
@@ -300,13 +302,14 @@ def q_one_hot_fixed(spark, sf):
     return cal.one_hot(d, "dow", cal.WEEKDAY_DOMAIN, "day_of_week", drop=True)
 
 
-@query("one_hot_observed", "ts:t *:i", S.with_(S.hourly())
-       + """SELECT ts, COALESCE(COLUMNS(* EXCLUDE (ts)), 0) FROM (
-  PIVOT (SELECT ts, 'month_' || CAST(month(ts) AS VARCHAR) AS lvl, 1 AS one FROM (SELECT DISTINCT ts FROM panel) d)
-  ON lvl USING max(one) GROUP BY ts) p""")
+@query("one_hot_observed", "ts:t level:s flag:i", S.with_(S.hourly())
+       + """SELECT t.ts, 'month_' || CAST(m.month AS VARCHAR) AS level, CAST(month(t.ts) = m.month AS INTEGER) AS flag
+FROM (SELECT DISTINCT ts FROM panel) t, (SELECT DISTINCT month(ts) AS month FROM panel) m""")
 def q_one_hot_observed(spark, sf):
     d = fx.panel_hourly(spark, sf).select("ts").distinct().withColumn("month", F.month("ts"))
-    return cal.one_hot(d, "month", domain=None, prefix="month", drop=True)
+    wide = cal.one_hot(d, "month", domain=None, prefix="month", drop=True)
+    levels = [c for c in wide.columns if c != "ts"]
+    return wide.unpivot(["ts"], levels, "level", "flag")
 
 
 ATTR_SPEC = "ts:t " + " ".join(f"{a}:i" for a in cal.ATTRIBUTE_NAMES)
@@ -336,10 +339,10 @@ def q_join_attributes(spark, sf):
        S.with_(S.hourly(), S.sparse(),
                f"""attrs AS (SELECT ts, CAST({S.is_holiday('ts')} AS INTEGER) AS is_holiday,
        CAST({S.is_school_holiday('ts')} AS INTEGER) AS is_school_holiday FROM (SELECT DISTINCT ts FROM panel) d)""")
-       + "SELECT * FROM attrs WHERE ts IN (SELECT ts FROM sparse WHERE series = 'signup')")
+       + "SELECT * FROM attrs WHERE ts IN (SELECT ts FROM sparse)")
 def q_semi_timestamps(spark, sf):
     attrs = cal.calendar(fx.panel_hourly(spark, sf).select("ts").distinct())
-    x = fx.panel_hourly_sparse(spark, sf).where(F.col("series") == "signup")
+    x = fx.panel_hourly_sparse(spark, sf)
     return joins.semi_timestamps(attrs, x)
 
 
@@ -432,53 +435,50 @@ def q_sequence_1(spark, sf):
     return _flag_seq(spark, sf)
 
 
-SHORT_ATTRS = ["is_holiday", "is_school_holiday", "hour_0", "hour_12", "day_of_week_5"]
-
-
-def _short_attr_windows(spark, sf):
+def _attr_windows(spark, sf):
     p = fx.panel_hourly(spark, sf)
-    w = windows.gap_windows(panel.drop_incomplete(p), S_TRAIN, S_PREDICT, S_GAP)
+    w = windows.gap_windows(panel.drop_incomplete(p), TRAIN, PREDICT, GAP)
     w = scale.apply_scaler(w, scale.fit_scaler(w, where=F.col("role") == "x"))
     return joins.with_attributes(w, cal.attributes(p))
 
 
-SHORT_CTES = [S.hourly(), S.drop_incomplete("di", "panel"), S.with_pos("pp", "di"),
-              S.gap_windows("win", "pp", S_TRAIN, S_PREDICT, S_GAP), S.scaler("stats", "scaled", "win"),
+ATTR_CTES = [S.hourly(), S.drop_incomplete("di", "panel"), S.with_pos("pp", "di"),
+              S.gap_windows("win", "pp", TRAIN, PREDICT, GAP), S.scaler("stats", "scaled", "win"),
               f"attrs AS (SELECT ts, {S.attribute_select('ts')} FROM (SELECT DISTINCT ts FROM panel) d)",
               "wa AS (SELECT * FROM scaled LEFT JOIN attrs USING (ts))"]
-ARR = ", ".join(f"CAST({a} AS DOUBLE)" for a in SHORT_ATTRS)
+ARR = ", ".join(f"CAST({a} AS DOUBLE)" for a in cal.ATTRIBUTE_NAMES)
 
 
-@query("sequence_multi", "series:s window_id:i x:aad y:ad", S.with_(*SHORT_CTES) + f"""
+@query("sequence_multi", "series:s window_id:i x:aad y:ad", S.with_(*ATTR_CTES) + f"""
 SELECT * FROM (SELECT series, window_id,
     list([scaled, {ARR}] ORDER BY "offset") FILTER (WHERE role = 'x') AS x,
     list(value ORDER BY "offset") FILTER (WHERE role = 'y') AS y
-  FROM wa GROUP BY series, window_id) g WHERE len(x) = {S_TRAIN} AND len(y) = {S_PREDICT}""")
+  FROM wa GROUP BY series, window_id) g WHERE len(x) = {TRAIN} AND len(y) = {PREDICT}""")
 def q_sequence_multi(spark, sf):
-    return sequences.sequences(_short_attr_windows(spark, sf), attrs=SHORT_ATTRS,
-                               train=S_TRAIN, predict=S_PREDICT)
+    return sequences.sequences(_attr_windows(spark, sf), attrs=cal.ATTRIBUTE_NAMES,
+                               train=TRAIN, predict=PREDICT)
 
 
 TWO_FAM_SQL = f"""two AS (SELECT * FROM (SELECT series, window_id,
     list(scaled ORDER BY "offset") FILTER (WHERE role = 'x') AS x,
     list([{ARR}] ORDER BY "offset") FILTER (WHERE role = 'x') AS x_attrs,
     list(value ORDER BY "offset") FILTER (WHERE role = 'y') AS y
-  FROM wa GROUP BY series, window_id) g WHERE len(x) = {S_TRAIN} AND len(y) = {S_PREDICT})"""
+  FROM wa GROUP BY series, window_id) g WHERE len(x) = {TRAIN} AND len(y) = {PREDICT})"""
 
 
 def _two_family(spark, sf):
-    return sequences.sequences(_short_attr_windows(spark, sf), attrs=SHORT_ATTRS, families=True,
-                               train=S_TRAIN, predict=S_PREDICT)
+    return sequences.sequences(_attr_windows(spark, sf), attrs=cal.ATTRIBUTE_NAMES, families=True,
+                               train=TRAIN, predict=PREDICT)
 
 
 @query("sequence_two_family", "series:s window_id:i x:ad x_attrs:aad y:ad",
-       S.with_(*SHORT_CTES, TWO_FAM_SQL) + "SELECT * FROM two")
+       S.with_(*ATTR_CTES, TWO_FAM_SQL) + "SELECT * FROM two")
 def q_sequence_two_family(spark, sf):
     return _two_family(spark, sf)
 
 
 @query("sequence_flatten", "series:s window_id:i x_all:ad",
-       S.with_(*SHORT_CTES, TWO_FAM_SQL) + "SELECT series, window_id, list_concat(x, flatten(x_attrs)) AS x_all FROM two")
+       S.with_(*ATTR_CTES, TWO_FAM_SQL) + "SELECT series, window_id, list_concat(x, flatten(x_attrs)) AS x_all FROM two")
 def q_sequence_flatten(spark, sf):
     return sequences.concat_families(_two_family(spark, sf)).select("series", "window_id", "x_all")
 
@@ -567,14 +567,21 @@ def q_split_rows(spark, sf):
     return windows.split_rows(fx.panel_hourly(spark, sf))
 
 
+# Four blocks over all windows; ceil(fold * nw / 4) is a block's first window.
+FOLD_SQL = ["foldcount AS (SELECT max(window_id) + 1 AS nw FROM win)",
+             """folded AS (SELECT win.*, nw, CAST(window_id * 4 // nw AS INTEGER) AS fold FROM win, foldcount)""",
+             """placed AS (SELECT *, (fold * nw + 3) // 4 AS first_window,
+  ((fold + 1) * nw + 3) // 4 - (fold * nw + 3) // 4 AS block_size FROM folded)""",
+             """folds AS (SELECT * EXCLUDE (nw, first_window, block_size),
+  CASE WHEN window_id - first_window < greatest(1, least(block_size - 1, floor(block_size * 0.8)))
+       THEN 'train' ELSE 'val' END AS fold_role FROM placed)"""]
 FOLD_CTES = [S.hourly(), S.with_pos("pp", "panel"), S.gap_windows("win", "pp", S_TRAIN, S_PREDICT, S_GAP),
-             """folds AS (SELECT *, CAST(window_id // 5 AS INTEGER) AS fold,
-  CASE WHEN window_id % 5 < 4 THEN 'train' ELSE 'val' END AS fold_role FROM win WHERE window_id // 5 < 4)"""]
+             *FOLD_SQL]
 
 
 def _folds(spark, sf):
     w = windows.gap_windows(fx.panel_hourly(spark, sf), S_TRAIN, S_PREDICT, S_GAP)
-    return windows.blocked_folds(w, k=4, size=5, train=4)
+    return windows.blocked_folds(w, k=4, train_share=0.8)
 
 
 @query("blocked_folds", "series:s ts:t window_id:i role:s fold:i fold_role:s",
@@ -583,7 +590,9 @@ def q_blocked_folds(spark, sf):
     return _folds(spark, sf).select("series", "ts", "window_id", "role", "fold", "fold_role")
 
 
-@query("shuffled_folds", "ts:t fold:i")
+@query("shuffled_folds", "ts:t fold:i", S.with_(S.hourly())
+       + """SELECT ts, CAST(CAST('0x' || substring(md5(strftime(ts, '%Y-%m-%d %H:%M:%S') || '|42'), 1, 8) AS BIGINT) % 5 AS INTEGER) AS fold
+FROM (SELECT DISTINCT ts FROM panel) t""")
 def q_shuffled_folds(spark, sf):
     d = fx.panel_hourly(spark, sf).select("ts").distinct()
     return windows.hashed_folds(d, k=5, seed=42)
@@ -600,9 +609,9 @@ def q_sink_fold_slices(spark, sf):
 # ---------------------------------------------------------------- 2.8 sorts / unions
 
 
-@query("sort_time", LONG, S.with_(S.sparse()) + "SELECT * FROM sparse WHERE series = 'error' ORDER BY ts")
+@query("sort_time", LONG, S.with_(S.sparse()) + "SELECT * FROM sparse ORDER BY ts")
 def q_sort_time(spark, sf):
-    return panel.sort_time(fx.panel_hourly_sparse(spark, sf).where(F.col("series") == "error"))
+    return panel.sort_time(fx.panel_hourly_sparse(spark, sf))
 
 
 # ---------------------------------------------------------------- 2.4 / 2.6 / 2.8 cross-validation
@@ -614,8 +623,7 @@ CV_GRID_SQL = "cvgrid AS (SELECT * FROM (VALUES " + ", ".join(
 
 CV_CTES = [S.hourly(), S.drop_incomplete("di", "panel"), S.with_pos("pp", "di"),
            S.gap_windows("win", "pp", S_TRAIN, S_PREDICT, S_GAP),
-           """folds AS (SELECT *, CAST(window_id // 5 AS INTEGER) AS fold,
-  CASE WHEN window_id % 5 < 4 THEN 'train' ELSE 'val' END AS fold_role FROM win WHERE window_id // 5 < 4)""",
+           *FOLD_SQL,
            CV_GRID_SQL,
            """cvstats AS (SELECT series, fold, avg(value) AS mean,
   CASE WHEN stddev_pop(value) IS NULL OR stddev_pop(value) <= 1e-12 THEN 1.0 ELSE stddev_pop(value) END AS std
@@ -634,7 +642,7 @@ CV_CTES = [S.hourly(), S.drop_incomplete("di", "panel"), S.with_pos("pp", "di"),
   FROM cvrows WHERE fold_role = 'train' AND feature IS NOT NULL AND target IS NOT NULL
   GROUP BY series, fold, config_id, kind, l2, horizon)""",
            """cvmodel AS (SELECT *, my - slope * mx AS intercept FROM (
-  SELECT *, CASE WHEN vx * n + l2 <> 0 THEN cxy * n / (vx * n + l2) END AS slope FROM cvagg) t)""",
+  SELECT *, CASE WHEN vx * n + l2 <> 0 THEN cxy * n / (vx * n + l2) ELSE 0 END AS slope FROM cvagg) t)""",
            """cvpred AS (SELECT r.series, r.fold, r.config_id, r.kind, r.l2, r.window_id, r.horizon,
     CASE WHEN m.intercept + m.slope * r.feature IS NULL THEN NULL
          ELSE greatest(m.intercept + m.slope * r.feature, 0) END AS prediction, r.target
@@ -642,7 +650,7 @@ CV_CTES = [S.hourly(), S.drop_incomplete("di", "panel"), S.with_pos("pp", "di"),
   WHERE r.fold_role = 'val')""",
            """fold_mse AS (SELECT config_id, kind, l2, fold, avg(pow(prediction - target, 2)) AS mse,
     count(pow(prediction - target, 2)) AS n FROM cvpred GROUP BY config_id, kind, l2, fold)""",
-           """scores AS (SELECT config_id, kind, l2, avg(mse) AS mse, stddev_pop(mse) AS mse_std,
+           """scores AS (SELECT config_id, kind, l2, CASE WHEN count(mse) = count(*) THEN avg(mse) END AS mse, stddev_pop(mse) AS mse_std,
     count(mse) AS folds FROM fold_mse GROUP BY config_id, kind, l2)"""]
 SCORE_SPEC = "config_id:i kind:s l2:d mse:d mse_std:d folds:i"
 
@@ -650,7 +658,7 @@ SCORE_SPEC = "config_id:i kind:s l2:d mse:d mse_std:d folds:i"
 def _uni_cv(spark, sf):
     grid = joins.param_grid(spark, UNI_GRID)
     return univariate.cross_validate_univariate(fx.panel_hourly(spark, sf), grid, S_TRAIN, S_PREDICT, S_GAP,
-                                                k=4, size=5, train_windows=4)
+                                                k=4, train_share=0.8)
 
 
 @query("config_fold_series", "config_id:i kind:s l2:d fold:i series:s train_windows:i val_windows:i",
@@ -724,9 +732,9 @@ def q_predict_blocks(spark, sf):
     return _block_pred(spark, sf)
 
 
-@query("sink_predictions", "timestamp:s *:d", S.with_(*PB_CTES)
-       + """SELECT * FROM (PIVOT (SELECT strftime(ts, '%Y-%m-%dT%H:%MZ') AS timestamp, series, prediction FROM bpred)
-  ON series USING first(prediction) GROUP BY timestamp) p""")
+@query("sink_predictions", "timestamp:s " + " ".join(f"{n}:d" for n in SERIES), S.with_(*PB_CTES)
+       + "SELECT strftime(ts, '%Y-%m-%dT%H:%MZ') AS timestamp, "
+       + ", ".join(f"max(CASE WHEN series = '{n}' THEN prediction END) AS {n}" for n in SERIES) + " FROM bpred GROUP BY timestamp")
 def q_sink_predictions(spark, sf):
     path = scratch_path(spark, "pred")
     io.write_predictions(_block_pred(spark, sf).select("series", "ts", "prediction"), path)
@@ -740,6 +748,13 @@ def q_update_by_key(spark, sf):
     return joins.fill_from(fx.test_panel(p), _block_pred(spark, sf).select("series", "ts", "prediction"))
 
 
+@query("unmatched_predictions", "series:s ts:t prediction:d", S.with_(*PB_CTES, S.sparse())
+       + "SELECT b.series, b.ts, b.prediction FROM bpred b ANTI JOIN sparse s ON s.series = b.series AND s.ts = b.ts")
+def q_unmatched_predictions(spark, sf):
+    # Predictions for hours that the panel with holes does not have.
+    return joins.unmatched(_block_pred(spark, sf).select("series", "ts", "prediction"), fx.panel_hourly_sparse(spark, sf))
+
+
 # ---------------------------------------------------------------- 2.9 lag models (rows-only checks)
 
 LAG_GRID = {"l2": [0.1, 1.0, 10.0]}
@@ -769,11 +784,17 @@ def q_forecast_two_family(spark, sf):
     return _lag_blocks(spark, sf, "two_family")
 
 
+@query("holdout_scores", "series:s mse:d n:i")
+def q_holdout_scores(spark, sf):
+    # Trained on the first 80 % of the windows, scored on the rest.
+    return lagmodels.holdout_scores(fx.panel_hourly(spark, sf), "lags", TRAIN, PREDICT, GAP, l2=1.0)[0]
+
+
 @query("cross_validate", "config_id:i l2:d mse:d mse_std:d folds:i")
 def q_cross_validate(spark, sf):
     grid = joins.param_grid(spark, LAG_GRID)
     return lagmodels.cross_validate(fx.panel_hourly(spark, sf), grid, "lags", S_TRAIN, S_PREDICT, S_GAP,
-                                    k=4, size=5, train_windows=4)[1]
+                                    k=4, train_share=0.8)[1]
 
 
 # ---------------------------------------------------------------- 2.9 recursive fill, all-series model
@@ -815,29 +836,17 @@ def q_union_predictions(spark, sf):
     return forecast.stack_predictions({"univariate": _block_pred(spark, sf), "recursive": _recursive(spark, sf)})
 
 
-MATRIX_FEATURES = {
-    "is_holiday": f"CAST({S.is_holiday('ts')} AS DOUBLE)",
-    "is_school_holiday": f"CAST({S.is_school_holiday('ts')} AS DOUBLE)",
-    "is_weekend": f"CAST({S.dow('ts')} IN (5, 6) AS DOUBLE)",
-    "hour_8": "CAST(hour(ts) = 8 AS DOUBLE)",
-    "value_lag1": "value_lag1",
-    "value_lag2": "value_lag2",
-}
+MATRIX_FEATURES = [*cal.ATTRIBUTE_NAMES, "value_lag1", "value_lag2"]
 
 
-@query("scaler_fit_matrix", "feature:s mean:d std:d", S.with_(S.sparse(), LAGGED_SQL) + " UNION ALL ".join(
+@query("scaler_fit_matrix", "feature:s mean:d std:d", S.with_(
+    S.sparse(), LAGGED_SQL, f"la AS (SELECT value_lag1, value_lag2, {S.attribute_select('ts')} FROM lagged)") + " UNION ALL ".join(
     f"""SELECT '{name}' AS feature, avg(x) AS mean,
   CASE WHEN stddev_pop(x) IS NULL OR stddev_pop(x) <= 1e-12 THEN 1.0 ELSE stddev_pop(x) END AS std
-FROM (SELECT {expr} AS x FROM lagged) t""" for name, expr in MATRIX_FEATURES.items()))
+FROM (SELECT CAST({name} AS DOUBLE) AS x FROM la) t""" for name in MATRIX_FEATURES))
 def q_scaler_fit_matrix(spark, sf):
-    lg = _lagged(spark, sf)
-    t = F.col("ts")
-    feats = lg.select(
-        (cal.fixed_holiday(t) | cal.easter_holiday(t)).cast("double").alias("is_holiday"),
-        cal.school_holiday(t).cast("double").alias("is_school_holiday"),
-        cal.is_weekend(t).cast("double").alias("is_weekend"),
-        (F.hour(t) == 8).cast("double").alias("hour_8"), "value_lag1", "value_lag2")
-    return scale.fit_scaler_matrix(feats, list(MATRIX_FEATURES))
+    feats = joins.with_attributes(_lagged(spark, sf), cal.attributes(fx.panel_hourly(spark, sf)))
+    return scale.fit_scaler_matrix(feats.select(*[F.col(c).cast("double").alias(c) for c in MATRIX_FEATURES]), MATRIX_FEATURES)
 
 
 def _global(spark, sf):

@@ -94,7 +94,7 @@ def predict_blocks(test: DataFrame, model: DataFrame, stats: DataFrame, layout:
 
 
 def cross_validate(panel: DataFrame, grid: DataFrame, layout: str = "lags", train: int = 24,
-                   predict: int = 4, gap: int = 5, k: int = 4, size: int = 5, train_windows: int = 4,
+                   predict: int = 4, gap: int = 5, k: int = 4, train_share: float = 0.8,
                    complete_only: bool = True):
     """Blocked k-fold scores for every config of ``grid``.
 
@@ -105,7 +105,7 @@ def cross_validate(panel: DataFrame, grid: DataFrame, layout: str = "lags", trai
     Returns ``(fold_mse, scores)``.
     """
     p0 = drop_incomplete(panel) if complete_only else panel
-    w = materialize(blocked_folds(gap_windows(p0, train, predict, gap), k, size, train_windows))
+    w = materialize(blocked_folds(gap_windows(p0, train, predict, gap), k, train_share))
     keys = ["series", "fold"]
     stats = fit_scaler(w, keys=keys, where=(F.col("role") == "x") & (F.col("fold_role") == "train"))
     s = samples(apply_scaler(w, stats, keys=keys), layout, keys + ["fold_role"], train, predict)

@@ -55,14 +55,11 @@ def daily(name: str = "daily") -> str:
 
 def test_panel(name: str = "testp", src: str = "panel", history: int = 48, predict: int = 4) -> str:
     size = history + predict
-    return f"""{name}_b AS (SELECT min(ts) AS lo, max(ts) AS hi FROM {src}),
+    return f"""{name}_b AS (SELECT min(ts) AS lo FROM {src}),
 {name} AS (
   SELECT series, ts, CASE WHEN idx % {size} < {history} THEN value END AS value
-  FROM (SELECT p.series, p.ts, p.value,
-               CAST(floor((epoch(p.ts) - epoch(b.lo)) / 3600) AS BIGINT) AS idx,
-               (CAST(floor((epoch(b.hi) - epoch(b.lo)) / 3600) AS BIGINT) + 1) // {size} * {size} AS whole
-        FROM {src} p, {name}_b b) t
-  WHERE idx < whole)"""
+  FROM (SELECT p.series, p.ts, p.value, CAST(floor((epoch(p.ts) - epoch(b.lo)) / 3600) AS BIGINT) AS idx
+        FROM {src} p, {name}_b b) t)"""
 
 
 def with_pos(name: str, src: str) -> str:
@@ -127,8 +124,8 @@ def horizon_rows(name: str, seq: str, keys: str = "series", window: str = "windo
 
 def univariate_fit(name: str, rows: str, keys: str = "series") -> str:
     return f"""{name} AS (
-  SELECT {keys}, horizon, regr_slope(target, feature) AS slope,
-         regr_intercept(target, feature) AS intercept
+  SELECT {keys}, horizon, coalesce(regr_slope(target, feature), 0) AS slope,
+         coalesce(regr_intercept(target, feature), avg(target) FILTER (WHERE feature IS NOT NULL)) AS intercept
   FROM {rows} GROUP BY {keys}, horizon)"""
 
 

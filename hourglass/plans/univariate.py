@@ -53,7 +53,7 @@ def _fit(rows: DataFrame, keys: Sequence[str], l2: float | str = 0.0) -> DataFra
                 F.var_pop("feature").alias("_vx"), F.avg("feature").alias("_mx"),
                 F.avg("target").alias("_my"))
     den = F.col("_vx") * F.col("_n") + pen
-    slope = F.when(den != 0, F.col("_cxy") * F.col("_n") / den)
+    slope = F.when(den != 0, F.col("_cxy") * F.col("_n") / den).otherwise(0.0)  # a constant feature predicts the mean
     return (agg.withColumn("slope", slope)
             .withColumn("intercept", F.col("_my") - F.col("slope") * F.col("_mx"))
             .drop("_n", "_cxy", "_vx", "_mx", "_my"))
@@ -100,7 +100,7 @@ def predict_blocks_univariate(test: DataFrame, model: DataFrame, stats: DataFram
 
 
 def cross_validate_univariate(panel: DataFrame, grid: DataFrame, train: int = 24, predict: int = 4,
-                              gap: int = 5, k: int = 4, size: int = 5, train_windows: int = 4,
+                              gap: int = 5, k: int = 4, train_share: float = 0.8,
                               complete_only: bool = True):
     """Blocked k-fold scores of the univariate model over a grid with ``kind`` and ``l2`` columns.
 
@@ -112,7 +112,7 @@ def cross_validate_univariate(panel: DataFrame, grid: DataFrame, train: int = 24
     """
     from hourglass.operators.joins import with_grid
     p0 = drop_incomplete(panel) if complete_only else panel
-    w = materialize(blocked_folds(gap_windows(p0, train, predict, gap), k, size, train_windows))
+    w = materialize(blocked_folds(gap_windows(p0, train, predict, gap), k, train_share))
     keys = ["series", "fold"]
     stats = fit_scaler(w, keys=keys, where=(F.col("role") == "x") & (F.col("fold_role") == "train"))
     seq = sequences(apply_scaler(w, stats, keys=keys), keys=keys + ["fold_role"], train=train, predict=predict)
@@ -132,7 +132,7 @@ def cross_validate_univariate(panel: DataFrame, grid: DataFrame, train: int = 24
     cfg_cols = grid.columns
     pick = lambda name: F.when(F.col("kind") == "last", F.col(f"{name}_last")).otherwise(F.col(f"{name}_mean"))
     den = pick("vx") * pick("n") + F.col("l2")
-    slope = F.when(den != 0, pick("cxy") * pick("n") / den)
+    slope = F.when(den != 0, pick("cxy") * pick("n") / den).otherwise(0.0)
     model = (with_grid(suff, grid)
              .select(*keys, *cfg_cols, "horizon", slope.alias("slope"), pick("mx").alias("_mx"),
                      pick("my").alias("_my"))

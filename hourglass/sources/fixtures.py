@@ -85,15 +85,11 @@ def test_panel(panel: DataFrame, history: int = 48, predict: int = 4) -> DataFra
     """Simulated test panel: blocks of ``history + predict`` hours, target values nulled.
 
     Only for the regular hour grid of ``panel_hourly``: the hour index from
-    the first grid hour marks block members; the trailing partial block is
-    left out.  The job under test (``test_blocks``) computes its own
+    the first grid hour marks block members; a trailing partial block keeps
+    its rows.  The job under test (``test_blocks``) computes its own
     positions and does not use this index.
     """
     size = history + predict
-    b = panel.select(F.struct(F.min("ts").alias("lo"), F.max("ts").alias("hi"))).scalar()
+    b = panel.select(F.struct(F.min("ts").alias("lo"))).scalar()
     idx = F.floor((F.unix_seconds("ts") - F.unix_seconds(b["lo"])) / 3600)
-    n_hours = F.floor((F.unix_seconds(b["hi"]) - F.unix_seconds(b["lo"])) / 3600) + 1
-    whole = F.floor(n_hours / size) * size
-    return materialize(panel.where(idx < whole)
-                       .select("series", "ts",
-                               F.when(idx % size < history, F.col("value")).cast("double").alias("value")))
+    return materialize(panel.select("series", "ts", F.when(idx % size < history, F.col("value")).cast("double").alias("value")))

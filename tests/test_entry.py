@@ -2,6 +2,7 @@ import duckdb
 
 import __spark_entry__ as E
 from tests.conftest import SF
+from tools.check_oracle import digest
 
 
 def test_entry_runs(spark):
@@ -20,7 +21,9 @@ def test_sample_queries_match_oracle_at_smoke_scale(spark):
     for t in ("events", "orders", "supplier"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
     for name in ("lag_join", "gap_windows", "attributes", "forecast_univariate", "cv_score"):
-        s = sorted(map(tuple, E.queries()[name](spark, SF).collect()))
-        res = con.sql(E.oracle_sql()[name])
-        d = sorted(map(tuple, res.fetchall()))
-        assert len(s) == len(d), name
+        df = E.queries()[name](spark, SF)
+        columns = sorted(df.columns)
+        con.sql(f"CREATE VIEW oracle_{name} AS {E.oracle_sql()[name]}")
+        want = con.sql(f"SELECT {', '.join(f'"{c}"' for c in columns)} FROM oracle_{name}").fetchall()
+        got = [tuple(r) for r in df.select(columns).collect()]
+        assert digest(columns, got)[0] == digest(columns, want)[0], name

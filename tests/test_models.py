@@ -72,6 +72,30 @@ def test_best_config_tie_goes_to_lower_id(spark):
     assert metrics.best_config(s).first().config_id == 1
 
 
+def test_unscored_configs_never_win(spark):
+    s = spark.createDataFrame([(1, None), (2, float("nan")), (3, 1.0), (4, 1.0)], "config_id long, mse double")
+    assert metrics.best_config(s).first().config_id == 3
+    assert metrics.best_config(s.where("config_id < 3")).count() == 0
+
+
+def test_a_config_that_failed_on_a_fold_has_no_score(spark):
+    f = spark.createDataFrame([(1, 0, 1.0), (1, 1, None), (2, 0, 2.0), (2, 1, 4.0)], "config_id long, fold int, mse double")
+    assert {r.config_id: r.mse for r in metrics.cv_score(f).collect()} == {1: None, 2: 3.0}
+
+
+def test_a_constant_series_is_forecast_by_its_mean(spark):
+    from hourglass.plans.univariate import fit_univariate
+    rows = [("a", w, [2.0] * 3, [5.0 + w]) for w in range(3)]
+    m = fit_univariate(spark.createDataFrame(rows, "series string, window_id long, x array<double>, y array<double>")).collect()
+    assert [(r.slope, r.intercept) for r in m] == [(0.0, 6.0)]
+
+
+def test_infinite_values_are_not_masked(spark):
+    from hourglass.functions.numeric import is_finite
+    rows = spark.createDataFrame([(float("inf"),), (1.0,), (float("nan"),), (None,)], "x double")
+    assert [r.ok for r in rows.select(is_finite("x").alias("ok")).collect()] == [True, True, False, False]
+
+
 def test_param_grid_nested_order_and_skip(spark):
     g = joins.param_grid(spark, {"epochs": [50, 100], "lr": [0.001, 0.01]},
                          skip=lambda d: d["lr"] == 0.001 and d["epochs"] == 50)

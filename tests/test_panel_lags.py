@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from hourglass.functions.numeric import clip_floor
 from hourglass.operators import joins, lags, panel
 from hourglass.sources import panels as io
+from tests.conftest import long_df
 
 BASE = dt.datetime(2024, 1, 1)
 
@@ -104,3 +105,10 @@ def test_missing_ts(spark):
             ("b", BASE + dt.timedelta(hours=1), None)]
     assert [r.ts for r in panel.missing_ts(_df(spark, rows)).collect()] == [BASE]
     assert not math.isnan(1.0)
+
+
+def test_duplicate_keys_are_an_error_and_not_lost(spark):
+    import pytest
+    p = long_df(spark, [("a", "2024-01-01 00:00", 1.0), ("a", "2024-01-01 00:00", 2.0), ("a", "2024-01-01 01:00", 3.0)])
+    with pytest.raises(Exception, match="more than one row"):
+        lags.lag_features(p).collect()

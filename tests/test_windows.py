@@ -62,14 +62,23 @@ def test_positions_per_series(spark):
 
 def test_folds_disjoint_and_blocks(spark):
     w = windows.gap_windows(_hours(spark, 720), 24, 4, 5)
-    f = windows.blocked_folds(w, k=4, size=5, train=4)
+    f = windows.blocked_folds(w, k=4, train_share=0.8)
     wins = f.select("fold", "fold_role", "window_id").distinct().collect()
     by_fold = {}
     for r in wins:
         by_fold.setdefault(r.fold, set()).add(r.window_id)
     all_w = [x for s in by_fold.values() for x in s]
-    assert len(all_w) == len(set(all_w)) == 20
-    assert sum(1 for r in wins if r.fold_role == "val") == 4
+    n = w.select("window_id").distinct().count()
+    assert len(all_w) == len(set(all_w)) == n == 22  # every window is in one fold
+    assert sorted(map(len, by_fold.values())) == [5, 5, 6, 6]
+    assert all({r.fold_role for r in wins if r.fold == k} == {"train", "val"} for k in range(4))
+    assert all(max(by_fold[k]) + 1 == min(by_fold[k + 1]) for k in range(3))
+
+
+def test_too_few_windows_for_the_folds_is_an_error(spark):
+    w = windows.gap_windows(_hours(spark, 240), 24, 4, 5)
+    with pytest.raises(Exception, match="need at least 40 windows"):
+        windows.blocked_folds(w, k=20).collect()
 
 
 def test_test_blocks_and_targets(spark):
