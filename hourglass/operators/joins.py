@@ -1,11 +1,10 @@
 """Joins: attributes onto samples, timestamp semi-joins, key updates, parameter grids.
 
-Broadcast policy: ``broadcast()`` is written only for sides whose size is
-fixed by parameters (the parameter grid).  Every data-derived side
-(attributes, predictions, scaler statistics) is left to AQE, which
-broadcasts it when its *measured* runtime size is under
-``spark.sql.adaptive.autoBroadcastJoinThreshold`` and otherwise keeps a
-sort-merge join whose skewed partitions it splits.
+Broadcast policy: ``broadcast()`` is never written here.  Spark broadcasts a
+side whose estimated size, or under AQE measured size, is below its threshold
+and otherwise keeps a sort-merge join.  A join of many rows with one row per
+key (statistics, models) is salted by ``per_key_join``, so a series with a
+large share of the rows is spread over tasks also then.
 """
 
 from __future__ import annotations
@@ -32,6 +31,21 @@ def with_attributes(x: DataFrame, attrs: DataFrame | None = None, ts: str = "ts"
     return x.join(attrs, ts, "left")
 
 
+SALTS = 8
+
+
+def per_key_join(rows: DataFrame, per_key: DataFrame, keys: Sequence[str], how: str = "left", salts: int = SALTS) -> DataFrame:
+    """Join ``rows`` with a table of few rows per key, each key dealt to ``salts`` tasks.
+
+    The small table is repeated once per salt; a row's salt is a hash of its
+    plain columns, so a retried task deals its rows the same way.
+    """
+    plain = [c for c, kind in rows.dtypes if not kind.startswith(("array", "map", "struct"))]
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in plain]), F.lit(salts)))
+    copies = per_key.withColumn("_salt", F.explode(F.array(*[F.lit(s).cast("long") for s in range(salts)])))
+    return salted.join(copies, [*keys, "_salt"], how).drop("_salt")
+
+
 def semi_timestamps(attrs: DataFrame, x: DataFrame, ts: str = "ts") -> DataFrame:
     """Attribute rows whose timestamp occurs in ``x``."""
     return attrs.join(x.select(ts).distinct(), ts, "left_semi")

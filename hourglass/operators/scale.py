@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from hourglass.operators.joins import per_key_join
 from hourglass.operators.panel import q
 
 # Deviations at or below this are treated as zero (the scale becomes 1).
@@ -37,9 +38,9 @@ def fit_scaler(x: DataFrame, keys: Sequence[str] = ("series",), value: str = "va
 
 def apply_scaler(df: DataFrame, stats: DataFrame, keys: Sequence[str] = ("series",),
                  value: str = "value", out: str = "scaled") -> DataFrame:
-    """``(value - mean) / std`` with the statistics of ``stats`` (joined on ``keys``)."""
+    """``(value - mean) / std`` with the statistics of ``stats`` (salted join on ``keys``: a hot key is split)."""
     s = stats.select(*keys, F.col("mean").alias("_mean"), F.col("std").alias("_std"))
-    return (df.join(s, list(keys), "left")
+    return (per_key_join(df, s, keys)
             .withColumn(out, (F.col(value) - F.col("_mean")) / F.col("_std"))
             .drop("_mean", "_std"))
 
@@ -48,7 +49,7 @@ def invert_scaler(df: DataFrame, stats: DataFrame, keys: Sequence[str] = ("serie
                   col: str = "prediction", out: str | None = None) -> DataFrame:
     """``col * std + mean``: back to the original unit."""
     s = stats.select(*keys, F.col("mean").alias("_mean"), F.col("std").alias("_std"))
-    return (df.join(s, list(keys), "left")
+    return (per_key_join(df, s, keys)
             .withColumn(out or col, F.col(col) * F.col("_std") + F.col("_mean"))
             .drop("_mean", "_std"))
 

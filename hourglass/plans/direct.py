@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hourglass.functions.numeric import clip_floor
-from hourglass.operators.joins import with_grid
+from hourglass.operators.joins import per_key_join, with_grid
 
 
 def _tri(p: int) -> int:
@@ -275,7 +275,7 @@ def predict_direct(samples: DataFrame, model: DataFrame, keys: Sequence[str],
                       lambda acc, v: acc + v)
     pred = F.col("intercept") + dot
     has_y = "y" in samples.columns
-    j = samples.join(model.drop("weight", "fmean", "n"), keys)
+    j = per_key_join(samples, model.drop("weight", "fmean", "n"), keys, "inner")
     cols = [c for c in model.columns if c not in (*keys, "horizon", "intercept", "coef", "weight", "fmean", "n")]
     tgt = F.element_at(F.col("y"), F.col("horizon") + 1) if has_y else F.lit(None).cast("double")
     return j.select(*keys, *cols, window, "horizon",

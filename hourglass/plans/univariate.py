@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hourglass.functions.numeric import clip_floor
+from hourglass.operators.joins import per_key_join
 from hourglass.operators.metrics import cv_score, mse
 from hourglass.operators.panel import drop_incomplete
 from hourglass.operators.scale import apply_scaler, fit_scaler
@@ -70,7 +71,7 @@ def predict_univariate(seq: DataFrame, model: DataFrame, keys: Sequence[str] = (
     """``(keys, window, horizon, prediction, target)``; predictions clipped at 0 by default."""
     rows = horizon_rows(seq, keys, window, kind)
     p = F.col("intercept") + F.col("slope") * F.col("feature")
-    return (rows.join(model, [*keys, "horizon"], "left")
+    return (per_key_join(rows, model, [*keys, "horizon"])
             .select(*keys, window, "horizon", (clip_floor(p) if clip else p).alias("prediction"),
                     "target"))
 
@@ -92,7 +93,7 @@ def predict_blocks_univariate(test: DataFrame, model: DataFrame, stats: DataFram
     seq = sequences(x, window="block_id", train=history)
     feats = seq.select("series", "block_id", window_summary(F.col("x"), kind).alias("feature"))
     p = F.col("intercept") + F.col("slope") * F.col("feature")
-    pred = feats.join(model, ["series"]).select(
+    pred = per_key_join(feats, model, ["series"], "inner").select(
         "series", "block_id", "horizon", (clip_floor(p) if clip else p).alias("prediction"))
     tgt = target_timestamps(b, history).select("series", "block_id", "horizon", "ts")
     return pred.join(tgt, ["series", "block_id", "horizon"]).select(
@@ -140,7 +141,7 @@ def cross_validate_univariate(panel: DataFrame, grid: DataFrame, train: int = 24
     va = rows.where(F.col("fold_role") == "val")
     feat = F.when(F.col("kind") == "last", F.col("f_last")).otherwise(F.col("f_mean"))
     p = F.col("intercept") + F.col("slope") * feat
-    pred = va.join(model, keys + ["horizon"]).select(
+    pred = per_key_join(va, model, keys + ["horizon"], "inner").select(
         *keys, *cfg_cols, "window_id", "horizon", clip_floor(p).alias("prediction"), "target")
     fold_mse = mse(pred, cfg_cols + ["fold"])
     return fold_mse, cv_score(fold_mse, cfg_cols)

@@ -53,3 +53,24 @@ def test_adaptive_chunks_exact(spark):
     df = _hot_panel(spark)
     pos = position.number_rows(df, keys=["series"], chunk_seconds=None).toPandas().sort_values(["series", "ts"])
     assert pos["pos"].tolist() == pos.groupby("series").cumcount().tolist()
+
+
+def test_hot_series_is_spread_over_the_scaler_join_and_the_sequences(spark):
+    from hourglass.operators import scale, sequences, windows
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+            "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k, None) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        df = _hot_panel(spark)
+        scaled = scale.apply_scaler(df, scale.fit_scaler(df))
+        sizes = scaled.where(F.col("series") == "hot").rdd.glom().map(len).collect()
+        assert sum(sizes) == 3000 and max(sizes) < 0.5 * sum(sizes)
+        w = windows.gap_windows(df, 24, 4, 5)
+        seq = sequences.sequences(scale.apply_scaler(w, scale.fit_scaler(w, where=F.col("role") == "x")), train=24, predict=4)
+        sizes = seq.where(F.col("series") == "hot").rdd.glom().map(len).collect()
+        assert max(sizes) < 0.5 * sum(sizes)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
