@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CACHE_PIECES = 200_000
+CACHE_PIECES = 150_000
 CACHE_CHUNKS = 50_000
 KEPT_PIECES = 50_000
 _SLICE = 1 << 22

@@ -36,7 +36,7 @@ from hourglass.llm.tokens import check_splittable, rest, tokenizer
 from hourglass.session import materialize, release, scratch_dir
 
 SEQ_LEN = 4096
-PER_SHARD = 2048
+PER_SHARD = 1024
 _SLICE = 256
 ROUNDS = 4
 
