@@ -37,10 +37,33 @@ def _many_series_cv(spark, sf_dir):
     from hourglass.plans import univariate
     from hourglass.sources import fixtures as fx
     grid = param_grid(spark, {"kind": ["mean", "last"], "l2": [0.0, 1.0, 10.0]})
-    return univariate.cross_validate_univariate(fx.panel_users(spark, sf_dir), grid, 24, 4, 5, 4, 5, 4)[1]
+    return univariate.cross_validate_univariate(fx.panel_users(spark, sf_dir), grid, 24, 4, 5, k=4)[1]
 
 
-EXTRA = {"users_forecast_lags": _many_series_lags, "users_cross_validate": _many_series_cv}
+def _many_series_lag_join(spark, sf_dir):
+    """Exact lags 1 and 2 of the user panel."""
+    from hourglass.operators import lags
+    from hourglass.sources import fixtures as fx
+    return lags.lag_features(fx.panel_users(spark, sf_dir), [1, 2])
+
+
+def _many_series_shift(spark, sf_dir):
+    """Positional shifts of the user panel."""
+    from hourglass.operators import lags
+    from hourglass.sources import fixtures as fx
+    return lags.shift_rows(fx.panel_users(spark, sf_dir), [1, 2])
+
+
+def _many_series_univariate(spark, sf_dir):
+    """The flagship flow (windows, scaler, fit, error per series) on the user panel."""
+    from hourglass.plans import forecast
+    from hourglass.sources import fixtures as fx
+    return forecast.univariate_scores(fx.panel_users(spark, sf_dir))
+
+
+EXTRA = {"users_forecast_lags": _many_series_lags, "users_cross_validate": _many_series_cv,
+         "users_lag_join": _many_series_lag_join, "users_shift_rows": _many_series_shift,
+         "users_forecast_univariate": _many_series_univariate}
 
 
 def main() -> None:

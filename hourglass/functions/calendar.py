@@ -143,38 +143,25 @@ def one_hot_columns(c: str | Column, domain: Sequence, prefix: str) -> list[Colu
     return [F.coalesce((col == F.lit(v)).cast("int"), F.lit(0)).alias(f"{prefix}_{v}") for v in domain]
 
 
-def one_hot(df: DataFrame, c: str, domain: Sequence | None = None, prefix: str | None = None,
-            drop: bool = False) -> DataFrame:
-    """One-hot a column over a fixed domain.
-
-    ``domain=None`` takes the levels observed in the data (a distinct
-    aggregation, sorted; its result is a handful of levels and is the only
-    value brought to the driver).  Fixed domains are the default in
-    ``attributes`` because observed levels can change the width between
-    train and test.
-    """
-    prefix = prefix or c
-    if domain is None:
-        domain = observed_levels(df, c)
-    cols = one_hot_columns(c, domain, prefix)
-    out = df.select("*", *cols)
+def one_hot(df: DataFrame, c: str, domain: Sequence, prefix: str | None = None, drop: bool = False) -> DataFrame:
+    """One-hot a column over a fixed domain, one column per level."""
+    out = df.select("*", *one_hot_columns(c, domain, prefix or c))
     return out.drop(c) if drop else out
 
 
-MAX_LEVELS = 1000
-
-
-def observed_levels(df: DataFrame, c: str) -> list:
-    """Sorted distinct levels of a low-cardinality column (hour, month, ...).
+def one_hot_observed(df: DataFrame, c: str, prefix: str | None = None) -> DataFrame:
+    """One-hot a column over the levels that occur in it, as long rows ``(..., level, flag)``.
 
-    The level list becomes output columns, so it is bounded (``MAX_LEVELS``)
-    and checked before it reaches the driver.
+    Every row comes once per level, ``level`` being ``prefix_value``; a null
+    value has flag 0 everywhere.  The sorted levels enter as a scalar
+    subquery, so their number is not limited by a column count and nothing
+    is collected.
     """
-    rows = (df.select(c).where(F.col(c).isNotNull()).distinct().orderBy(c)
-            .limit(MAX_LEVELS + 1).collect())
-    if len(rows) > MAX_LEVELS:
-        raise ValueError(f"{c} has more than {MAX_LEVELS} levels; pass a fixed domain")
-    return [r[0] for r in rows]
+    levels = df.select(F.array_sort(F.collect_set(c))).scalar()
+    name = F.concat(F.lit(f"{prefix or c}_"), F.col("_level").cast("string"))
+    flag = F.coalesce((_c(c) == F.col("_level")).cast("int"), F.lit(0))
+    return (df.select("*", F.explode(levels).alias("_level"))
+            .withColumns({"level": name, "flag": flag}).drop("_level", c))
 
 
 ATTRIBUTE_NAMES = (

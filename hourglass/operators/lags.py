@@ -1,6 +1,6 @@
 """Lags by exact time offset and by row, time deltas, continuity masks.
 
-All lags are computed by stacking each row with shifted copies of itself
+All lags are computed by exploding each row into itself and its shifted copies
 and aggregating by ``(series, ts)`` (or ``(series, row)``).  That is one
 shuffle with map-side combine on a key holding one row per series and
 time, so a series with a third of all rows is spread over every task,
@@ -10,7 +10,7 @@ be unique, as in the canonical panel.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,36 +18,36 @@ from pyspark.sql import functions as F
 from hourglass.operators.position import DEFAULT_CHUNK_SECONDS, number_rows
 
 
-def gather_shifted(df: DataFrame, keys: Sequence[str], key: str, carry: str,
-                   shift: Callable[[Column, int], Column], lags: Sequence[int],
-                   names: Sequence[str]) -> DataFrame:
-    """For every row, the ``carry`` value of the row whose ``key`` is ``shift(key, n)`` earlier.
+def gather_shifted(df: DataFrame, keys: Sequence[str], key: str, carried: Mapping[str, Mapping[int, str]],
+                   shift: Callable[[Column, int], Column]) -> DataFrame:
+    """For every row, values of the rows whose ``key`` is ``shift(key, n)`` earlier.
 
-    Row ``r`` is emitted once as itself and once per lag at key
-    ``shift(r.key, n)``; one ``groupBy(keys, key)`` then gathers, for each
+    ``carried`` maps a column to ``{n: output name}``.  Row ``r`` is emitted
+    once as itself and once per lag at key ``shift(r.key, n)`` (one generator
+    over one scan of ``df``); one ``groupBy(keys, key)`` then gathers, for each
     key, the original row and the values shifted onto it.  Keys with no
     original row are dropped; missing partners give NULL.  Two original rows
     with one key raise an error when the plan runs: one of them would vanish.
     """
     keys = list(keys)
     others = [c for c in df.columns if c not in (*keys, key)]
-    parts = [df.select(*keys, key, *others, F.lit(0).alias("_k"),
-                       F.lit(None).cast(df.schema[carry].dataType).alias("_carry"))]
-    for n in lags:
-        parts.append(df.select(*keys, shift(F.col(key), n).alias(key),
-                               *[F.lit(None).cast(df.schema[c].dataType).alias(c) for c in others],
-                               F.lit(n).alias("_k"), F.col(carry).alias("_carry")))
-    u = parts[0]
-    for p in parts[1:]:
-        u = u.unionByName(p)
+    lags = sorted({n for names in carried.values() for n in names})
+    places = [F.struct(F.lit(0).alias("k"), F.col(key).alias("at"))]
+    places += [F.struct(F.lit(n).alias("k"), shift(F.col(key), n).alias("at")) for n in lags]
+    k = F.col("_copy.k")
+    rows = df.withColumn("_copy", F.explode(F.array(*places))).select(
+        *keys, F.col("_copy.at").alias(key), k.alias("_k"),
+        *[F.when(k == 0, F.col(c)).alias(c) for c in others],
+        *[F.when(k > 0, F.col(c)).alias(f"_from_{c}") for c in carried])
     aggs = [F.sum((F.col("_k") == 0).cast("int")).alias("_present")]
     # Only the original row (k = 0) has non-NULL ``others``; ``first`` with
     # ignorenulls is then exact and deterministic.
     aggs += [F.first(F.col(c), ignorenulls=True).alias(c) for c in others]
-    aggs += [F.max(F.when(F.col("_k") == n, F.col("_carry"))).alias(nm) for n, nm in zip(lags, names)]
+    aggs += [F.max(F.when(F.col("_k") == n, F.col(f"_from_{c}"))).alias(name)
+             for c, names in carried.items() for n, name in names.items()]
     twice = F.raise_error(F.lit(f"more than one row with the same {', '.join([*keys, key])}")).cast("boolean")
     once = F.when(F.col("_present") > 1, twice).otherwise(F.col("_present") == 1)
-    return u.groupBy(*keys, key).agg(*aggs).where(once).drop("_present")
+    return rows.groupBy(*keys, key).agg(*aggs).where(once).drop("_present")
 
 
 def lag_features(long: DataFrame, lags: Sequence[int] = (1, 2), unit_seconds: int = 3600,
@@ -58,12 +58,12 @@ def lag_features(long: DataFrame, lags: Sequence[int] = (1, 2), unit_seconds: in
     Same result as a left self-join on the shifted timestamp, without the
     join.  Output columns are ``value`` + ``suffix`` (``value_lag1``, ...).
     """
-    names = [f"{value}{suffix.format(n=n)}" for n in lags]
+    names = {n: f"{value}{suffix.format(n=n)}" for n in lags}
 
     def shift(c: Column, n: int) -> Column:
         return c + F.make_dt_interval(secs=F.lit(n * unit_seconds))
 
-    return gather_shifted(long, keys, ts, value, shift, list(lags), names)
+    return gather_shifted(long, keys, ts, {value: names}, shift)
 
 
 def shift_rows(long: DataFrame, lags: Sequence[int] = (1,), value: str = "value", ts: str = "ts",
@@ -77,13 +77,10 @@ def shift_rows(long: DataFrame, lags: Sequence[int] = (1,), value: str = "value"
     """
     lags = sorted(set(lags) | ({1} if with_prev_ts else set()))
     numbered = number_rows(long, ts=ts, keys=keys, out="_row", chunk_seconds=chunk_seconds)
-    numbered = numbered.withColumn("_vt", F.struct(F.col(value).alias("v"), F.col(ts).alias("t")))
-    tmp = [f"_p{n}" for n in lags]
-    g = gather_shifted(numbered, keys, "_row", "_vt", lambda c, n: c + F.lit(n), lags, tmp)
-    out = g.withColumns({prefix.format(n=n) + value: F.col(f"_p{n}.v") for n in lags})
+    carried = {value: {n: prefix.format(n=n) + value for n in lags}}
     if with_prev_ts:
-        out = out.withColumn("prev_ts", F.col("_p1.t"))
-    return out.drop("_row", "_vt", *tmp)
+        carried[ts] = {1: "prev_ts"}
+    return gather_shifted(numbered, keys, "_row", carried, lambda c, n: c + F.lit(n)).drop("_row")
 
 
 def delta_hours(df: DataFrame, ts: str = "ts", prev_ts: str = "prev_ts") -> DataFrame:

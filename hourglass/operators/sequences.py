@@ -34,7 +34,7 @@ def sequences(w: DataFrame, x_col: str = "scaled", y_col: str = "value",
     * ``attrs`` and ``families``: ``x`` values and ``x_attrs ARRAY<ARRAY<DOUBLE>>``
       side by side (the two-family layout).
     ``train``/``predict`` drop partial windows (``size(x) = train`` and ``size(y) = predict``).
-    ``target_ts`` names a timestamp column whose first target-row value is kept as ``t0``.
+    ``target_ts`` names a timestamp column whose target-row values are kept as the array ``y_ts``.
     """
     v = F.col(x_col).cast("double")
     aggs = []
@@ -47,7 +47,7 @@ def sequences(w: DataFrame, x_col: str = "scaled", y_col: str = "value",
                         .alias("x_attrs"))
     aggs.append(_ordered(F.col(y_col).cast("double"), "y").alias("y"))
     if target_ts:
-        aggs.append(F.min(F.when(F.col("role") == "y", F.col(target_ts))).alias("t0"))
+        aggs.append(_ordered(F.col(target_ts), "y").alias("y_ts"))
     out = w.groupBy(*keys, window).agg(*aggs)
     if train is not None:
         out = out.where(F.size("x") == train)

@@ -19,7 +19,7 @@ from hourglass.functions.numeric import as_float, clip_floor
 from hourglass.operators import joins, lags, metrics, panel, position, scale, sequences, windows
 from hourglass.plans import forecast, lagmodels, sqlparts as S, univariate
 from hourglass.plans.present import present, wrap_sql
-from hourglass.session import scratch_dir
+from hourglass.session import materialize, scratch_dir
 from hourglass.sources import fixtures as fx
 from hourglass.sources import panels as io
 
@@ -307,9 +307,7 @@ def q_one_hot_fixed(spark, sf):
 FROM (SELECT DISTINCT ts FROM panel) t, (SELECT DISTINCT month(ts) AS month FROM panel) m""")
 def q_one_hot_observed(spark, sf):
     d = fx.panel_hourly(spark, sf).select("ts").distinct().withColumn("month", F.month("ts"))
-    wide = cal.one_hot(d, "month", domain=None, prefix="month", drop=True)
-    levels = [c for c in wide.columns if c != "ts"]
-    return wide.unpivot(["ts"], levels, "level", "flag")
+    return cal.one_hot_observed(d, "month")
 
 
 ATTR_SPEC = "ts:t " + " ".join(f"{a}:i" for a in cal.ATTRIBUTE_NAMES)
@@ -705,8 +703,17 @@ def q_sink_cv_results(spark, sf):
 
 # ---------------------------------------------------------------- 2.9 block prediction and sinks
 
-PB_CTES = FLAG_CTES + [S.sequences("seq", "scaled"), S.horizon_rows("hr", "seq"), S.univariate_fit("model", "hr"),
-                       S.test_panel(), S.with_pos("tp", "testp"),
+# Models learn from the first half of the hours and fill blocks of the second half.
+HISTORY_SHARE = 0.5
+HISTORY_CTES = [S.hourly(), S.with_pos("allpos", "panel"),
+                f"cut AS (SELECT CAST(floor((max(pos) + 1) * {HISTORY_SHARE}) AS BIGINT) AS c FROM allpos)",
+                "hist AS (SELECT series, ts, value FROM allpos, cut WHERE pos < c)",
+                "later AS (SELECT series, ts, value FROM allpos, cut WHERE pos >= c)",
+                S.test_panel(src="later")]
+PB_CTES = HISTORY_CTES + [S.drop_incomplete("di", "hist"), S.with_pos("pp", "di"),
+                       S.gap_windows("win", "pp", TRAIN, PREDICT, GAP), S.scaler("stats", "scaled", "win"),
+                       S.sequences("seq", "scaled"), S.horizon_rows("hr", "seq"), S.univariate_fit("model", "hr"),
+                       S.with_pos("tp", "testp"),
                        """tb AS (SELECT tp.*, pos // 52 AS block_id, CAST(pos % 52 AS INTEGER) AS "offset",
     CASE WHEN pos % 52 < 48 THEN 'x' ELSE 'y' END AS role FROM tp)""",
                        "tbs AS (SELECT tb.*, (tb.value - st.mean) / st.std AS scaled FROM tb LEFT JOIN stats st USING (series))",
@@ -720,16 +727,21 @@ PB_CTES = FLAG_CTES + [S.sequences("seq", "scaled"), S.horizon_rows("hr", "seq")
   JOIN tb t ON t.series = s.series AND t.block_id = s.block_id AND t."offset" = m.horizon + 48)"""]
 
 
-def _block_pred(spark, sf):
-    p = fx.panel_hourly(spark, sf)
-    model, stats = univariate.train_univariate(p, TRAIN, PREDICT, GAP)
-    return univariate.predict_blocks_univariate(fx.test_panel(p), model, stats, TRAIN, PREDICT)
+def _history_and_test(spark, sf):
+    s = materialize(windows.split_rows(fx.panel_hourly(spark, sf), HISTORY_SHARE))
+    part = lambda name: s.where(F.col("split") == name).select("series", "ts", "value")
+    return part("train"), fx.test_panel(part("val"))
+
+
+def _block_pred(history, test):
+    model, stats = univariate.train_univariate(history, TRAIN, PREDICT, GAP)
+    return univariate.predict_blocks_univariate(test, model, stats, TRAIN, PREDICT)
 
 
 @query("predict_blocks", "series:s block_id:i horizon:i ts:t prediction:d",
        S.with_(*PB_CTES) + "SELECT * FROM bpred")
 def q_predict_blocks(spark, sf):
-    return _block_pred(spark, sf)
+    return _block_pred(*_history_and_test(spark, sf))
 
 
 @query("sink_predictions", "timestamp:s " + " ".join(f"{n}:d" for n in SERIES), S.with_(*PB_CTES)
@@ -737,22 +749,23 @@ def q_predict_blocks(spark, sf):
        + ", ".join(f"max(CASE WHEN series = '{n}' THEN prediction END) AS {n}" for n in SERIES) + " FROM bpred GROUP BY timestamp")
 def q_sink_predictions(spark, sf):
     path = scratch_path(spark, "pred")
-    io.write_predictions(_block_pred(spark, sf).select("series", "ts", "prediction"), path)
+    io.write_predictions(_block_pred(*_history_and_test(spark, sf)).select("series", "ts", "prediction"), path)
     return spark.read.option("header", True).csv(path)
 
 
 @query("update_by_key", LONG, S.with_(*PB_CTES)
        + "SELECT t.series, t.ts, COALESCE(b.prediction, t.value) AS value FROM testp t LEFT JOIN bpred b USING (series, ts)")
 def q_update_by_key(spark, sf):
-    p = fx.panel_hourly(spark, sf)
-    return joins.fill_from(fx.test_panel(p), _block_pred(spark, sf).select("series", "ts", "prediction"))
+    history, test = _history_and_test(spark, sf)
+    return joins.fill_from(test, _block_pred(history, test).select("series", "ts", "prediction"))
 
 
 @query("unmatched_predictions", "series:s ts:t prediction:d", S.with_(*PB_CTES, S.sparse())
        + "SELECT b.series, b.ts, b.prediction FROM bpred b ANTI JOIN sparse s ON s.series = b.series AND s.ts = b.ts")
 def q_unmatched_predictions(spark, sf):
     # Predictions for hours that the panel with holes does not have.
-    return joins.unmatched(_block_pred(spark, sf).select("series", "ts", "prediction"), fx.panel_hourly_sparse(spark, sf))
+    pred = _block_pred(*_history_and_test(spark, sf)).select("series", "ts", "prediction")
+    return joins.unmatched(pred, fx.panel_hourly_sparse(spark, sf))
 
 
 # ---------------------------------------------------------------- 2.9 lag models (rows-only checks)
@@ -761,9 +774,9 @@ LAG_GRID = {"l2": [0.1, 1.0, 10.0]}
 
 
 def _lag_blocks(spark, sf, layout):
-    p = fx.panel_hourly(spark, sf)
-    model, stats = lagmodels.fit_lags(p, layout, TRAIN, PREDICT, GAP, l2=1.0, l2_attr=10.0)
-    return lagmodels.predict_blocks(fx.test_panel(p), model, stats, layout, TRAIN, PREDICT)
+    history, test = _history_and_test(spark, sf)
+    model, stats = lagmodels.fit_lags(history, layout, TRAIN, PREDICT, GAP, l2=1.0, l2_attr=10.0)
+    return lagmodels.predict_blocks(test, model, stats, layout, TRAIN, PREDICT)
 
 
 PRED_SPEC = "series:s block_id:i horizon:i ts:t prediction:d"
@@ -790,6 +803,14 @@ def q_holdout_scores(spark, sf):
     return lagmodels.holdout_scores(fx.panel_hourly(spark, sf), "lags", TRAIN, PREDICT, GAP, l2=1.0)[0]
 
 
+@query("cross_validate_two_family", "config_id:i l2:d l2_attr:d mse:d mse_std:d folds:i")
+def q_cross_validate_two_family(spark, sf):
+    # Separate penalties for the lags and for the calendar of the target hour.
+    grid = joins.param_grid(spark, {"l2": [0.1, 1.0, 10.0], "l2_attr": [1.0, 10.0]})
+    return lagmodels.cross_validate(fx.panel_hourly(spark, sf), grid, "two_family", S_TRAIN, S_PREDICT, S_GAP,
+                                    k=4, train_share=0.8)[1]
+
+
 @query("cross_validate", "config_id:i l2:d mse:d mse_std:d folds:i")
 def q_cross_validate(spark, sf):
     grid = joins.param_grid(spark, LAG_GRID)
@@ -801,8 +822,8 @@ def q_cross_validate(spark, sf):
 
 REC_STEPS = 4
 REC_ONLY = [
-    """lag1 AS (SELECT p.series, p.ts, p.value, l.value AS value_lag1 FROM panel p
-  LEFT JOIN panel l ON l.series = p.series AND l.ts + INTERVAL 1 HOUR = p.ts)""",
+    """lag1 AS (SELECT p.series, p.ts, p.value, l.value AS value_lag1 FROM hist p
+  LEFT JOIN hist l ON l.series = p.series AND l.ts + INTERVAL 1 HOUR = p.ts)""",
     """rmodel AS (SELECT series, regr_slope(value, value_lag1) AS slope,
   regr_intercept(value, value_lag1) AS intercept FROM lag1 GROUP BY series)""",
     "t0 AS (SELECT series, ts, value FROM testp)"]
@@ -816,24 +837,34 @@ for _k in range(1, REC_STEPS + 1):
 REC_UNION = " UNION ALL ".join(f"SELECT * FROM r{k}" for k in range(1, REC_STEPS + 1))
 
 
-def _recursive(spark, sf):
+def _recursive(history, test):
     from hourglass.plans import recursive
-    p = fx.panel_hourly(spark, sf)
-    model = recursive.lag1_linear_model(p)
-    return recursive.recursive_fill(fx.test_panel(p), recursive.lag1_predictor(model), steps=REC_STEPS)
+    model = recursive.lag1_linear_model(history)
+    return recursive.recursive_fill(test, recursive.lag1_predictor(model), steps=REC_STEPS)
 
 
 @query("forecast_recursive", "step:i series:s ts:t prediction:d",
-       S.with_(S.hourly(), S.test_panel(), *REC_ONLY) + REC_UNION)
+       S.with_(*HISTORY_CTES, *REC_ONLY) + REC_UNION)
 def q_forecast_recursive(spark, sf):
-    return _recursive(spark, sf)
+    return _recursive(*_history_and_test(spark, sf))
+
+
+@query("forecast_recursive_all", "step:i series:s ts:t prediction:d")
+def q_forecast_recursive_all(spark, sf):
+    # The all-series model with both lags of every series, fitted on the history.
+    from hourglass.plans import global_model, recursive
+    history, test = _history_and_test(spark, sf)
+    names = global_model.series_names(history)
+    model = global_model.fit_targets(materialize(global_model.wide_samples(history, names)), names, l1=1e-3)
+    return recursive.recursive_fill(test, global_model.recursive_predictor(model, len(names)), steps=REC_STEPS, lags=(1, 2))
 
 
 @query("union_predictions", "model:s series:s ts:t prediction:d",
        S.with_(*PB_CTES, *REC_ONLY) + "SELECT 'univariate' AS model, series, ts, prediction FROM bpred UNION ALL "
        + "SELECT 'recursive' AS model, series, ts, prediction FROM (" + REC_UNION + ") r")
 def q_union_predictions(spark, sf):
-    return forecast.stack_predictions({"univariate": _block_pred(spark, sf), "recursive": _recursive(spark, sf)})
+    history, test = _history_and_test(spark, sf)
+    return forecast.stack_predictions({"univariate": _block_pred(history, test), "recursive": _recursive(history, test)})
 
 
 MATRIX_FEATURES = [*cal.ATTRIBUTE_NAMES, "value_lag1", "value_lag2"]

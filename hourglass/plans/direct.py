@@ -15,8 +15,7 @@ all ``q`` horizons at once.  The fit needs only
    intercepts and coefficients.  Its input is one row per key (x configs),
    sized by the model width, never by the data.
 
-Penalties (ridge ``l2`` per feature family, or lasso ``l1``) enter only in
-step 3, so a parameter grid multiplies the tiny solve stage, not the data.
+Penalties (ridge ``l2`` per feature family) enter only in step 3, so a parameter grid multiplies the tiny solve stage, not the data.
 """
 
 from __future__ import annotations
@@ -154,52 +153,12 @@ def solve_ridge(stats: np.ndarray, p: int, q: int, penalty: np.ndarray):
     return intercept, coef
 
 
-def solve_lasso(stats: np.ndarray, p: int, q: int, l1: float, max_iter: int = 2000,
-                tol: float = 1e-10):
-    """Lasso on standardized features by coordinate descent on the covariance matrix.
-
-    Objective per target: ``1/(2n) |y - b0 - Z w|^2 + l1 |w|_1`` with ``Z``
-    the standardized features (population std, zero std -> 1).  Returns
-    raw-unit intercepts/coefficients and the standardized weights.
-    """
-    n, sx, sy, xtx, xty = _unpack(stats, p, q)
-    if n < 1:
-        return None
-    mx, my = sx / n, sy / n
-    cov = xtx / n - np.outer(mx, mx)
-    cxy = xty / n - np.outer(mx, my)
-    sd = np.sqrt(np.clip(np.diag(cov), 0, None))
-    sd = np.where(sd <= 1e-12, 1.0, sd)
-    cs = cov / np.outer(sd, sd)
-    cy = cxy / sd[:, None]
-    w = np.zeros((p, q))
-    diag = np.diag(cs).copy()
-    for t in range(q):
-        wt = w[:, t]
-        for _ in range(max_iter):
-            delta = 0.0
-            for j in range(p):
-                if diag[j] <= 0:
-                    continue
-                rho = cy[j, t] - cs[j] @ wt + diag[j] * wt[j]
-                new = np.sign(rho) * max(abs(rho) - l1, 0.0) / diag[j]
-                delta = max(delta, abs(new - wt[j]))
-                wt[j] = new
-            if delta < tol:
-                break
-        w[:, t] = wt
-    coef = w / sd[:, None]
-    intercept = my - mx @ coef
-    return intercept, coef, w
-
-
 def solve(summed: DataFrame, keys: Sequence[str], p: int, q: int, families: Sequence[int] | None = None,
-          param_cols: Sequence[str] = ("l2",), method: str = "ridge",
+          param_cols: Sequence[str] = ("l2",),
           carry: Sequence[str] = ()) -> DataFrame:
-    """Model rows ``(keys, params..., horizon, intercept, coef, weight, fmean, n)`` per key and config.
+    """Model rows ``(keys, params..., horizon, intercept, coef, fmean, n)`` per key and config.
 
-    ``coef`` is in the unit of the inputs, ``weight`` on standardized inputs
-    (lasso) or equal to ``coef`` (ridge), ``fmean`` the training mean of each input.
+    ``coef`` is in the unit of the inputs, ``fmean`` the training mean of each input.
 
     ``families`` splits the ``p`` features into consecutive blocks, each
     with its own penalty column of ``param_cols`` (two-family model).
@@ -214,7 +173,6 @@ def solve(summed: DataFrame, keys: Sequence[str], p: int, q: int, families: Sequ
         T.StructField("horizon", T.IntegerType()),
         T.StructField("intercept", T.DoubleType()),
         T.StructField("coef", T.ArrayType(T.DoubleType())),
-        T.StructField("weight", T.ArrayType(T.DoubleType())),
         T.StructField("fmean", T.ArrayType(T.DoubleType())),
         T.StructField("n", T.LongType())])
 
@@ -224,24 +182,16 @@ def solve(summed: DataFrame, keys: Sequence[str], p: int, q: int, families: Sequ
             for rec in pdf.itertuples(index=False):
                 r = rec._asdict()
                 stats = np.asarray(r["stats"], dtype=np.float64)
-                if method == "lasso":
-                    res = solve_lasso(stats, p, q, float(r[param_cols[0]]))
-                    if res is None:
-                        continue
-                    b0, coef, wstd = res
-                else:
-                    pen = np.concatenate([np.full(size, float(r[c]))
-                                          for size, c in zip(families, param_cols)])
-                    res = solve_ridge(stats, p, q, pen)
-                    if res is None:
-                        continue
-                    b0, coef = res
-                    wstd = coef
+                pen = np.concatenate([np.full(size, float(r[c])) for size, c in zip(families, param_cols)])
+                res = solve_ridge(stats, p, q, pen)
+                if res is None:
+                    continue
+                b0, coef = res
                 fmean = (stats[1:1 + p] / stats[0]).tolist()
                 for h in range(q):
                     row = {k: r[k] for k in keys + param_cols}
                     row.update(horizon=h, intercept=float(b0[h]), coef=coef[:, h].tolist(),
-                               weight=wstd[:, h].tolist(), fmean=fmean, n=int(stats[0]))
+                               fmean=fmean, n=int(stats[0]))
                     rows.append(row)
             if rows:
                 yield pd.DataFrame(rows, columns=[f.name for f in schema.fields])
@@ -249,10 +199,22 @@ def solve(summed: DataFrame, keys: Sequence[str], p: int, q: int, families: Sequ
     return summed.mapInPandas(run, schema)
 
 
+BUCKET_WINDOWS = 256
+
+
 def fit_direct(samples: DataFrame, keys: Sequence[str], p: int, q: int, grid: DataFrame | None = None,
                l2: float = 1.0, families: Sequence[int] | None = None,
-               param_cols: Sequence[str] = ("l2",), method: str = "ridge") -> DataFrame:
-    """Fit one direct model per key (and per grid config) on samples with ``f`` and ``y`` arrays."""
+               param_cols: Sequence[str] = ("l2",), window: str | None = None) -> DataFrame:
+    """Fit one direct model per key (and per grid config) on samples with ``f`` and ``y`` arrays.
+
+    With ``window`` the samples are first dealt by key and run of
+    ``BUCKET_WINDOWS`` windows: a short series then emits one statistics
+    vector instead of one per task (a vector is some 30 times as wide as a
+    sample), and a long series is still split over its runs.
+    """
+    if window is not None:
+        run = F.floor(F.col(window) / F.lit(BUCKET_WINDOWS))
+        samples = samples.select(*keys, "f", "y", run.alias("_run")).repartition(*keys, "_run")
     summed = summed_stats(partial_stats(samples, keys, p, q), keys)
     if grid is None:
         summed = summed.withColumns({c: F.lit(float(l2)) for c in param_cols})
@@ -260,12 +222,12 @@ def fit_direct(samples: DataFrame, keys: Sequence[str], p: int, q: int, grid: Da
     else:
         summed = with_grid(summed, grid)
         carry = [c for c in grid.columns if c not in param_cols]
-    return solve(summed, keys, p, q, families, param_cols, method, carry)
+    return solve(summed, keys, p, q, families, param_cols, carry)
 
 
 def predict_direct(samples: DataFrame, model: DataFrame, keys: Sequence[str],
-                   window: str = "window_id", clip: bool = True, f: str = "f") -> DataFrame:
-    """``(keys, model params, window, horizon, prediction, target)``: a join plus array arithmetic.
+                   window: str = "window_id", clip: bool = True, f: str = "f", carry: Sequence[str] = ()) -> DataFrame:
+    """``(keys, model params, window, carry, horizon, prediction, target)``: a join plus array arithmetic.
 
     The dot product is a higher-order function (JVM side).  Targets are
     ``y[horizon]`` when the samples carry ``y``.
@@ -275,8 +237,8 @@ def predict_direct(samples: DataFrame, model: DataFrame, keys: Sequence[str],
                       lambda acc, v: acc + v)
     pred = F.col("intercept") + dot
     has_y = "y" in samples.columns
-    j = per_key_join(samples, model.drop("weight", "fmean", "n"), keys, "inner")
-    cols = [c for c in model.columns if c not in (*keys, "horizon", "intercept", "coef", "weight", "fmean", "n")]
+    j = per_key_join(samples, model.drop("fmean", "n"), keys, "inner")
+    cols = [c for c in model.columns if c not in (*keys, "horizon", "intercept", "coef", "fmean", "n")]
     tgt = F.element_at(F.col("y"), F.col("horizon") + 1) if has_y else F.lit(None).cast("double")
-    return j.select(*keys, *cols, window, "horizon",
+    return j.select(*keys, *cols, window, *carry, "horizon",
                     (clip_floor(pred) if clip else pred).alias("prediction"), tgt.alias("target"))

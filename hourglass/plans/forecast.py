@@ -1,7 +1,7 @@
 """End-to-end forecasting flows composed from the operators.
 
-Each function is lazy: it returns the final DataFrame and leaves the
-action to the caller.
+Each function returns the final DataFrame; the windows are written to the
+shared folder while the plan is built, the rest runs with the caller's action.
 """
 
 from __future__ import annotations

@@ -2,15 +2,15 @@
 
 Three input layouts, one solver (``hourglass.plans.direct``):
 
-* ``lags``: the 48 scaled input values.
+* ``lags``: the 48 scaled input values; one model per series for all horizons.
 * ``lags_calendar``: the same followed by the 45 calendar attributes of the
-  first target hour (one penalty).
+  target hour (one penalty).  The attributes differ between horizons, so
+  there is one model per series and horizon.
 * ``two_family``: the same vector, but lags and calendar carry separate
   penalties (block-diagonal ridge).
 
-The calendar family uses the attributes of the target hour: hour, weekday
-and month of the other window hours follow from it, which keeps the model
-width at 93 instead of 48 x 46.
+The calendar family uses the attributes of the predicted hour only, which
+keeps the model width at 93 instead of 48 x 46.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from hourglass.operators.metrics import cv_score, mse
 from hourglass.operators.panel import drop_incomplete
 from hourglass.operators.scale import apply_scaler, fit_scaler
 from hourglass.operators.sequences import sequences
-from hourglass.operators.windows import blocked_folds, gap_windows, target_timestamps, test_blocks
+from hourglass.operators.windows import blocked_folds, gap_windows, test_blocks
 from hourglass.plans import direct
 from hourglass.session import materialize
 
@@ -33,15 +33,39 @@ N_ATTR = len(ATTRIBUTE_NAMES)
 
 
 def features(seq: DataFrame, layout: str) -> DataFrame:
-    """Add the input vector ``f`` for a layout."""
+    """Add the input vector ``f``; calendar layouts get one row per target hour, numbered ``step``."""
     if layout == "lags":
         return seq.withColumn("f", F.col("x"))
     if layout in ("lags_calendar", "two_family"):
-        cal = F.array(*[c.cast("double") for c in attribute_columns("t0")])
-        return seq.withColumn("f", F.concat(F.col("x"), cal))
+        hours = seq.select("*", F.posexplode("y_ts").alias("step", "_hour"))
+        cal = F.array(*[c.cast("double") for c in attribute_columns("_hour")])
+        return (hours.withColumn("f", F.concat(F.col("x"), cal))
+                .withColumn("y", F.array(F.element_at("y", F.col("step") + 1)))
+                .withColumn("y_ts", F.array("_hour")).drop("_hour"))
     raise ValueError(f"unknown layout {layout!r}")
 
 
+def fit_layout(s: DataFrame, layout: str, keys: Sequence[str], train: int, predict: int, grid: DataFrame | None = None,
+               l2: float = 1.0) -> DataFrame:
+    """Ridge models of a layout; those of the calendar layouts are also keyed by ``step`` and have one horizon."""
+    p, families, penalties = width(layout, train)
+    if layout != "lags":
+        keys, predict = [*keys, "step"], 1
+    return direct.fit_direct(s, keys, p, predict, grid=grid, l2=l2, families=families, param_cols=penalties, window="window_id")
+
+
+def predict_layout(s: DataFrame, model: DataFrame, layout: str, keys: Sequence[str], window: str = "window_id",
+                   clip: bool = True) -> DataFrame:
+    """``(keys, params, window, horizon, ts, prediction, target)`` with the models of ``fit_layout``."""
+    if layout == "lags":
+        pred = direct.predict_direct(s, model, keys, window, clip, carry=["y_ts"])
+        at = F.col("horizon")
+    else:
+        pred = direct.predict_direct(s, model, [*keys, "step"], window, clip, carry=["y_ts"])
+        pred, at = pred.drop("horizon").withColumnRenamed("step", "horizon"), F.lit(0)
+    return pred.withColumn("ts", F.element_at("y_ts", at + 1)).drop("y_ts")
+
+
 def width(layout: str, train: int) -> tuple[int, list[int] | None, list[str]]:
     """Feature count, family sizes and penalty columns of a layout."""
     if layout == "lags":
@@ -53,8 +77,7 @@ def width(layout: str, train: int) -> tuple[int, list[int] | None, list[str]]:
 
 def samples(scaled: DataFrame, layout: str, keys: Sequence[str], train: int, predict: int,
             window: str = "window_id") -> DataFrame:
-    ts = "ts" if layout != "lags" else None
-    seq = sequences(scaled, keys=keys, window=window, train=train, predict=predict, target_ts=ts)
+    seq = sequences(scaled, keys=keys, window=window, train=train, predict=predict, target_ts="ts")
     return features(seq, layout)
 
 
@@ -68,13 +91,11 @@ def fit_lags(panel: DataFrame, layout: str = "lags", train: int = 48, predict: i
     w = materialize(gap_windows(drop_incomplete(panel), train, predict, gap))
     stats = fit_scaler(w, where=F.col("role") == "x")
     s = samples(apply_scaler(w, stats), layout, ["series"], train, predict)
-    p, fam, pcols = width(layout, train)
     grid = None
     if layout == "two_family":
         grid = panel.sparkSession.createDataFrame(
             [(1, float(l2), float(l2 if l2_attr is None else l2_attr))], "config_id bigint, l2 double, l2_attr double")
-    model = direct.fit_direct(s, ["series"], p, predict, grid=grid, l2=l2, families=fam, param_cols=pcols)
-    return model, stats
+    return fit_layout(s, layout, ["series"], train, predict, grid, l2), stats
 
 
 def predict_blocks(test: DataFrame, model: DataFrame, stats: DataFrame, layout: str = "lags",
@@ -87,10 +108,8 @@ def predict_blocks(test: DataFrame, model: DataFrame, stats: DataFrame, layout:
     x = (apply_scaler(b, stats)
          .withColumnsRenamed({"block_offset": "offset"}))
     s = samples(x, layout, ["series"], history, predict, window="block_id")
-    pred = direct.predict_direct(s.drop("y"), model, ["series"], window="block_id", clip=clip)
-    tgt = target_timestamps(b, history).select("series", "block_id", "horizon", "ts")
-    return (pred.join(tgt, ["series", "block_id", "horizon"])
-            .select("series", "block_id", "horizon", "ts", "prediction"))
+    pred = predict_layout(s, model, layout, ["series"], "block_id", clip)
+    return pred.select("series", "block_id", "horizon", "ts", "prediction")
 
 
 def cross_validate(panel: DataFrame, grid: DataFrame, layout: str = "lags", train: int = 24,
@@ -109,10 +128,8 @@ def cross_validate(panel: DataFrame, grid: DataFrame, layout: str = "lags", trai
     keys = ["series", "fold"]
     stats = fit_scaler(w, keys=keys, where=(F.col("role") == "x") & (F.col("fold_role") == "train"))
     s = samples(apply_scaler(w, stats, keys=keys), layout, keys + ["fold_role"], train, predict)
-    p, fam, pcols = width(layout, train)
-    model = direct.fit_direct(s.where(F.col("fold_role") == "train"), keys, p, predict, grid=grid,
-                              families=fam, param_cols=pcols)
-    pred = direct.predict_direct(s.where(F.col("fold_role") == "val").drop("fold_role"), model, keys)
+    model = fit_layout(s.where(F.col("fold_role") == "train"), layout, keys, train, predict, grid)
+    pred = predict_layout(s.where(F.col("fold_role") == "val").drop("fold_role"), model, layout, keys)
     cfg = [c for c in grid.columns]
     fold_mse = mse(pred, cfg + ["fold"])
     return fold_mse, cv_score(fold_mse, cfg)
@@ -130,12 +147,10 @@ def holdout_scores(panel: DataFrame, layout: str = "lags", train: int = 48, pred
     w = materialize(split_windows(gap_windows(drop_incomplete(panel), train, predict, gap), frac))
     stats = fit_scaler(w, where=(F.col("role") == "x") & (F.col("split") == "train"))
     s = samples(apply_scaler(w, stats), layout, ["series", "split"], train, predict)
-    p, fam, pcols = width(layout, train)
     grid = None
     if layout == "two_family":
         grid = panel.sparkSession.createDataFrame(
             [(1, float(l2), float(l2 if l2_attr is None else l2_attr))], "config_id bigint, l2 double, l2_attr double")
-    model = direct.fit_direct(s.where(F.col("split") == "train").drop("split"), ["series"], p, predict,
-                              grid=grid, l2=l2, families=fam, param_cols=pcols)
-    pred = direct.predict_direct(s.where(F.col("split") == "val").drop("split"), model, ["series"])
+    model = fit_layout(s.where(F.col("split") == "train").drop("split"), layout, ["series"], train, predict, grid, l2)
+    pred = predict_layout(s.where(F.col("split") == "val").drop("split"), model, layout, ["series"])
     return mse(pred, ["series"]), mse(pred, [])

@@ -20,7 +20,7 @@ from hourglass.operators.metrics import cv_score, mse
 from hourglass.operators.panel import drop_incomplete
 from hourglass.operators.scale import apply_scaler, fit_scaler
 from hourglass.operators.sequences import sequences
-from hourglass.operators.windows import blocked_folds, gap_windows, target_timestamps, test_blocks
+from hourglass.operators.windows import blocked_folds, gap_windows, test_blocks
 from hourglass.session import materialize
 
 
@@ -90,14 +90,12 @@ def predict_blocks_univariate(test: DataFrame, model: DataFrame, stats: DataFram
     """Test blocks scaled with TRAIN statistics -> ``(series, block_id, horizon, ts, prediction)``."""
     b = test_blocks(test, history, predict)
     x = apply_scaler(b, stats).withColumnRenamed("block_offset", "offset")
-    seq = sequences(x, window="block_id", train=history)
-    feats = seq.select("series", "block_id", window_summary(F.col("x"), kind).alias("feature"))
+    seq = sequences(x, window="block_id", train=history, target_ts="ts")
+    feats = seq.select("series", "block_id", window_summary(F.col("x"), kind).alias("feature"),
+                       F.posexplode("y_ts").alias("horizon", "ts"))
     p = F.col("intercept") + F.col("slope") * F.col("feature")
-    pred = per_key_join(feats, model, ["series"], "inner").select(
-        "series", "block_id", "horizon", (clip_floor(p) if clip else p).alias("prediction"))
-    tgt = target_timestamps(b, history).select("series", "block_id", "horizon", "ts")
-    return pred.join(tgt, ["series", "block_id", "horizon"]).select(
-        "series", "block_id", "horizon", "ts", "prediction")
+    return per_key_join(feats, model, ["series", "horizon"], "inner").select(
+        "series", "block_id", "horizon", "ts", (clip_floor(p) if clip else p).alias("prediction"))
 
 
 def cross_validate_univariate(panel: DataFrame, grid: DataFrame, train: int = 24, predict: int = 4,

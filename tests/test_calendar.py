@@ -45,5 +45,6 @@ def test_attributes_width_and_one_hot(spark):
 
 def test_one_hot_observed_only_present_levels(spark):
     df = spark.createDataFrame([(1,), (3,), (3,)], "m int")
-    out = cal.one_hot(df, "m", domain=None, prefix="month")
-    assert [c for c in out.columns if c.startswith("month_")] == ["month_1", "month_3"]
+    out = cal.one_hot_observed(df, "m", "month")
+    assert sorted((r.level, r.flag) for r in out.collect()) == [("month_1", 0), ("month_1", 0), ("month_1", 1),
+                                                                ("month_3", 0), ("month_3", 1), ("month_3", 1)]

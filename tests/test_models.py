@@ -46,15 +46,77 @@ def test_linear_rule_recovered(spark):
     assert pred.where(F.abs(F.col("prediction") - F.col("target")) > 1e-6).count() == 0
 
 
-def test_lasso_zeroes_irrelevant_features(spark):
+def test_lasso_zeroes_irrelevant_features_and_shrinks_by_the_penalty(spark):
+    from hourglass.plans import global_model
     rng = np.random.default_rng(2)
-    X = rng.normal(size=(500, 5))
-    y = 3 * X[:, 0] + 0.01 * rng.normal(size=500)
-    rows = [("all", i, X[i].tolist(), [float(y[i])]) for i in range(500)]
-    df = spark.createDataFrame(rows, "model string, window_id long, f array<double>, y array<double>")
-    summed = direct.summed_stats(direct.partial_stats(df, ["model"], 5, 1), ["model"])
-    m = direct.solve(summed.withColumn("l1", F.lit(0.1)), ["model"], 5, 1, param_cols=["l1"], method="lasso").first()
-    assert abs(m.coef[0] - 3) < 0.2 and all(abs(c) < 1e-9 for c in m.coef[1:])
+    X = rng.normal(size=(500, 4))
+    X[:, 3] = 1.0  # a constant input
+    y0 = 3 * X[:, 0] + 0.01 * rng.normal(size=500)
+    rows = [(BASE + dt.timedelta(hours=i), X[i].tolist(), [float(y0[i]), 7.0, float(-2 * X[i, 1])]) for i in range(500)]
+    df = spark.createDataFrame(rows, "ts timestamp, f array<double>, y array<double>")
+    m = {r.series: r for r in global_model.fit_targets(df, ["a", "b", "c"], l1=0.1).collect()}
+    # of a single strong input, lasso takes the standardized weight minus the penalty
+    cov = np.cov(X[:, 0], y0, bias=True)[0, 1] / X[:, 0].std()
+    assert abs(m["a"].weight[0] - (cov - 0.1)) < 2e-2
+    assert all(abs(c) < 1e-3 for c in m["a"].coef[1:])
+    assert abs(m["b"].intercept - 7) < 1e-6 and all(abs(c) < 1e-6 for c in m["b"].coef)  # a constant target
+    assert m["c"].coef[1] < -1.8
+    pred = global_model.predict_targets(df, spark.createDataFrame(list(m.values()), global_model.MODEL), 3).collect()
+    assert len(pred) == 1500
+    for r in pred[:50]:
+        i = int((r.ts - BASE).total_seconds() // 3600)
+        assert abs(r.prediction - (m[r.series].intercept + X[i] @ np.array(m[r.series].coef))) < 1e-9
+        assert r.target == rows[i][2][r.horizon]
+
+
+def test_targets_beyond_one_block_are_all_predicted(spark):
+    from hourglass.plans import global_model
+    n = global_model.BLOCK + 3
+    model = spark.createDataFrame([(h // global_model.BLOCK, f"s{h:03d}", h, 0.0, float(h), [1.0], [1.0], 2) for h in range(n)], global_model.MODEL)
+    df = spark.createDataFrame([(BASE, [0.5], [0.0] * n)], "ts timestamp, f array<double>, y array<double>")
+    got = {r.horizon: r.prediction for r in global_model.predict_targets(df, model, n).collect()}
+    assert got == {h: h + 0.5 for h in range(n)}
+    empty = global_model.fit_targets(df.limit(0), ["a"])
+    assert empty.count() == 0 and global_model.predict_targets(df, empty, 1).count() == 0
+
+
+def test_recursive_fill_with_both_lags_of_all_series(spark):
+    from hourglass.plans import global_model
+    # a(t) = a(t-1) + b(t-2), b(t) = a(t-2)
+    known = {"a": [1.0, 2.0, None, None, None], "b": [10.0, 20.0, None, None, None]}
+    rows = [(s, BASE + dt.timedelta(hours=h), v) for s, vs in known.items() for h, v in enumerate(vs)]
+    test = spark.createDataFrame(rows, "series string, ts timestamp, value double")
+    p = len(global_model.CALENDAR_FEATURES)
+    unit = lambda *on: [1.0 if i - p in on else 0.0 for i in range(p + 4)]  # noqa: E731  # inputs: a1 b1 a2 b2
+    model = spark.createDataFrame([(0, "a", 0, 0.0, 0.0, unit(0, 3), unit(0, 3), 1), (0, "b", 1, 0.0, 0.0, unit(2), unit(2), 1)], global_model.MODEL)
+    out = recursive.recursive_fill(test, global_model.recursive_predictor(model, 2), steps=4, lags=(1, 2))
+    got = sorted((r.step, r.series, r.ts.hour, r.prediction) for r in out.collect())
+    assert got == [(1, "a", 2, 12.0), (1, "b", 2, 1.0), (2, "a", 3, 32.0), (2, "b", 3, 2.0), (3, "a", 4, 33.0), (3, "b", 4, 12.0)]
+
+
+def test_calendar_layout_uses_the_attributes_of_each_target_hour(spark):
+    from hourglass.functions.calendar import ATTRIBUTE_NAMES
+    from hourglass.plans import lagmodels
+    hours = [dt.datetime(2024, 1, 31, 22) + dt.timedelta(hours=h) for h in range(4)]  # crosses into February
+    seq = spark.createDataFrame([("a", 0, [1.0], [5.0, 6.0, 7.0, 8.0], hours)],
+                                "series string, window_id long, x array<double>, y array<double>, y_ts array<timestamp>")
+    at = {n: 1 + i for i, n in enumerate(ATTRIBUTE_NAMES)}
+    rows = sorted(lagmodels.features(seq, "two_family").collect(), key=lambda r: r.step)
+    assert [r.y for r in rows] == [[5.0], [6.0], [7.0], [8.0]]
+    assert [r.f[at["month_1"]] for r in rows] == [1, 1, 0, 0] and [r.f[at["month_2"]] for r in rows] == [0, 0, 1, 1]
+    assert [next(h for h in range(24) if r.f[at[f"hour_{h}"]]) for r in rows] == [22, 23, 0, 1]
+
+
+def test_attribution_against_brute_force(spark):
+    from hourglass.plans import global_model
+    rng = np.random.default_rng(5)
+    X, coef, mean = rng.normal(size=(40, 3)), rng.normal(size=(2, 3)), rng.normal(size=3)
+    s = spark.createDataFrame([("a", i, X[i].tolist()) for i in range(40)], "series string, window_id long, f array<double>")
+    m = spark.createDataFrame([("a", h, coef[h].tolist(), mean.tolist()) for h in range(2)], "series string, horizon int, coef array<double>, fmean array<double>")
+    want = np.abs((X - mean)[:, None, :] * coef[None]).mean(axis=(0, 1))
+    got = global_model.attribution(s, m, ["series"], top=2).collect()
+    assert {r.feature for r in got} == set(np.argsort(-want)[:2].tolist())
+    assert all(abs(r.mean_abs_contribution - want[r.feature]) < 1e-9 for r in got)
 
 
 def test_recursive_fill_fixed_coefficients(spark):
