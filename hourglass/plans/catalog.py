@@ -266,7 +266,7 @@ def q_date_parts(spark, sf):
 
 
 @query("fixed_holiday", "ts:t fixed_holiday:b", S.with_(S.daily(), DAYS)
-       + "SELECT ts, " + S.month_day("ts") + " IN (" + ", ".join(f"'{x}'" for x in cal.FIXED_HOLIDAYS)
+       + "SELECT ts, " + S.month_day("ts") + " IN (" + S.FIXED_HOLIDAYS_SQL
        + ") AS fixed_holiday FROM days")
 def q_fixed_holiday(spark, sf):
     d = fx.panel_daily(spark, sf).select("ts").distinct()

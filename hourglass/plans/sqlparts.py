@@ -5,9 +5,11 @@ Only the independent check uses these; the Spark side never parses SQL.
 
 from __future__ import annotations
 
-from hourglass.functions.calendar import (
-    EASTER_OFFSETS, FIXED_HOLIDAYS, HOUR_DOMAIN, MONTH_DOMAIN, SCHOOL_HOLIDAY_RANGES, WEEKDAY_DOMAIN,
-)
+# Fixed values, written out here so that a wrong entry on the Spark side shows as a difference.
+FIXED_HOLIDAYS_SQL = ("'01-01', '01-02', '02-08', '04-27', '05-01', '05-02', "
+                      "'06-25', '08-15', '10-31', '11-01', '12-25', '12-26'")
+EASTER_OFFSETS_SQL = "0, 1, 49"
+SCHOOL_HOLIDAYS_SQL = "({md} BETWEEN '06-25' AND '08-31' OR {md} BETWEEN '12-25' AND '12-31' OR {md} BETWEEN '01-01' AND '01-02')"
 
 
 def with_(*ctes: str) -> str:
@@ -153,15 +155,12 @@ def easter(year: str) -> str:
 
 
 def is_holiday(ts: str) -> str:
-    fixed = ", ".join(f"'{x}'" for x in FIXED_HOLIDAYS)
-    offs = ", ".join(str(o) for o in EASTER_OFFSETS)
-    return (f"({month_day(ts)} IN ({fixed}) OR "
-            f"date_diff('day', {easter(f'year({ts})')}, CAST({ts} AS DATE)) IN ({offs}))")
+    return (f"({month_day(ts)} IN ({FIXED_HOLIDAYS_SQL}) OR "
+            f"date_diff('day', {easter(f'year({ts})')}, CAST({ts} AS DATE)) IN ({EASTER_OFFSETS_SQL}))")
 
 
 def is_school_holiday(ts: str) -> str:
-    md = month_day(ts)
-    return "(" + " OR ".join(f"{md} BETWEEN '{lo}' AND '{hi}'" for lo, hi in SCHOOL_HOLIDAY_RANGES) + ")"
+    return SCHOOL_HOLIDAYS_SQL.format(md=month_day(ts))
 
 
 def dow(ts: str) -> str:
@@ -171,7 +170,7 @@ def dow(ts: str) -> str:
 def attribute_select(ts: str = "ts") -> str:
     parts = [f"CAST({is_holiday(ts)} AS INTEGER) AS is_holiday",
              f"CAST({is_school_holiday(ts)} AS INTEGER) AS is_school_holiday"]
-    parts += [f"CAST(hour({ts}) = {h} AS INTEGER) AS hour_{h}" for h in HOUR_DOMAIN]
-    parts += [f"CAST(month({ts}) = {m} AS INTEGER) AS month_{m}" for m in MONTH_DOMAIN]
-    parts += [f"CAST({dow(ts)} = {d} AS INTEGER) AS day_of_week_{d}" for d in WEEKDAY_DOMAIN]
+    parts += [f"CAST(hour({ts}) = {h} AS INTEGER) AS hour_{h}" for h in range(24)]
+    parts += [f"CAST(month({ts}) = {m} AS INTEGER) AS month_{m}" for m in range(1, 13)]
+    parts += [f"CAST({dow(ts)} = {d} AS INTEGER) AS day_of_week_{d}" for d in range(7)]
     return ",\n    ".join(parts)
