@@ -22,11 +22,12 @@ from pyspark.sql import functions as F
 # Element kinds of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp".split())
+PRE = frozenset("listing pre textarea xmp".split())
 UNSEEN = frozenset("area audio base canvas col colgroup datalist embed head iframe link math meta noembed noframes noscript "
-                   "object param rp script source style svg template textarea title track video".split())
+                   "object param rp script source style svg template title track video".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer "
                   "form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section "
-                  "summary table tbody td tfoot th thead tr ul".split())
+                  "summary table tbody td tfoot th thead tr ul xmp".split())
 SPACED = frozenset("blockquote dl h1 h2 h3 h4 h5 h6 ol p pre table ul".split())
 LISTS = frozenset("ol ul menu dir".split())
 CLOSES_P = BLOCK - frozenset("body dd dt html legend li optgroup option summary tbody td tfoot th thead tr".split())
@@ -40,6 +41,19 @@ IMPLIED = {
     "tbody": ({"tbody", "thead", "tfoot", "caption"}, {"table"}), "thead": ({"tbody", "thead", "tfoot", "caption"}, {"table"}),
     "tfoot": ({"tbody", "thead", "tfoot", "caption"}, {"table"}),
 }
+# The keywords of the two properties that decide visibility; other values are no declarations.
+DISPLAY = frozenset("block contents flex flow flow-root grid inherit initial inline inline-block inline-flex inline-grid inline-table list-item math none "
+                    "revert revert-layer ruby run-in table table-caption table-cell table-column table-column-group table-footer-group "
+                    "table-header-group table-row table-row-group unset -ms-flexbox -ms-inline-flexbox -webkit-box -webkit-flex "
+                    "-webkit-inline-box -webkit-inline-flex".split())
+VISIBILITY = frozenset("collapse hidden inherit initial revert revert-layer unset visible".split())
+# The default screen that media conditions are tested against, in pixels and keywords.
+SCREEN = {"width": 1280, "height": 800, "device-width": 1280, "device-height": 800, "aspect-ratio": 1.6, "device-aspect-ratio": 1.6,
+          "resolution": 1, "-webkit-device-pixel-ratio": 1, "color": 8, "color-index": 0, "monochrome": 0, "grid": 0,
+          "orientation": "landscape", "hover": "hover", "any-hover": "hover", "pointer": "fine", "any-pointer": "fine", "scripting": "enabled",
+          "update": "fast", "display-mode": "browser", "prefers-color-scheme": "light", "prefers-reduced-motion": "no-preference",
+          "prefers-contrast": "no-preference", "forced-colors": "none", "inverted-colors": "none"}
+UNITS = {"": 1, "px": 1, "em": 16, "rem": 16, "pt": 4 / 3, "pc": 16, "in": 96, "cm": 96 / 2.54, "mm": 96 / 25.4, "dppx": 1, "x": 1, "dpi": 1 / 96, "dpcm": 2.54 / 96}
 #: Cells wider than this are not padded against; their text is whole all the same.
 ALIGN_WIDTH = 60
 #: Deeper elements are taken as siblings, as browsers do; their text is whole all the same.
@@ -47,7 +61,9 @@ MAX_DEPTH = 512
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*+)((?:"[^"]*"|'[^']*'|[^'">])*+)(?:>|\Z)|[^<]++|<""", re.S)
 _ATTR = re.compile(r"""([^\s"'=<>/]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
-_RULE = re.compile(r"([^{}]+)\{([^{}]*)\}")
+_CSS = re.compile(r"""/\*.*?(?:\*/|\Z)|"(?:[^"\\\n]|\\.)*+"?|'(?:[^'\\\n]|\\.)*+'?|url\([^"')]*+\)|\\.|[{};]|[^"'/\\{};u]++|.""", re.S | re.I)
+_SELECTOR = re.compile(r"[.#]?(?:[A-Za-z_-]|[^\x00-\x7f]|\\[^0-9a-fA-F])(?:[\w-]|[^\x00-\x7f]|\\[^0-9a-fA-F])*")
+_COMPARED = re.compile(r"(?:([^<>=]+)(<=?|>=?|=))?([^<>=]+)(?:(<=?|>=?|=)([^<>=]+))?")
 _SPACES = re.compile(r"[ \t\n\r\f]+")
 
 
@@ -65,8 +81,8 @@ def _attributes(source: str) -> dict[str, str]:
     return out
 
 
-def parse(page: str) -> tuple[Node, str]:
-    """The page's tree and the text of its style elements."""
+def parse(page: str) -> tuple[Node, list[tuple[str, str]]]:
+    """The page's tree and the (media, text) of its style elements that hold where scripts run."""
     root, styles, at = Node("#root", {}), [], 0
     stack = [root]
 
@@ -117,42 +133,218 @@ def parse(page: str) -> tuple[Node, str]:
         stack[-1].children.append(node)
         if tag in RAW:
             end = re.compile(rf"</{tag}[\s/>]", re.I).search(page, at)
+            inside = page[at:end.start() if end else len(page)]
             if tag == "style":
-                styles.append(page[at:end.start() if end else len(page)])
+                if node.attrs.get("type", "").strip().lower() in ("", "text/css") and not any(n.tag in ("noscript", "template") for n in stack):
+                    styles.append((node.attrs.get("media", ""), inside))
+            elif tag == "textarea":
+                node.children.append(html.unescape(re.sub(r"\A\r?\n", "", inside)))
+            elif tag == "xmp":
+                node.children.append(inside)
             at = end.start() if end else len(page)
             close_at = page.find(">", at)
             at = close_at + 1 if end and close_at >= 0 else len(page)
         elif tag not in VOID and len(stack) < MAX_DEPTH:
             stack.append(node)
-    return root, "".join(styles)
-
-
-def _hiding_rules(styles: str) -> dict[str, str]:
-    """Plain tag, .class and #id selectors that set display: none or visibility."""
-    rules: dict[str, str] = {}
-    for selectors, body in _RULE.findall(re.sub(r"/\*.*?\*/", "", styles, flags=re.S)):
-        body = re.sub(r"\s+", "", body).lower()
-        if "display:none" in body or "visibility:" in body:
-            for s in selectors.split(","):
-                if re.fullmatch(r"[.#]?[A-Za-z][\w-]*", s.strip()):
-                    rules[s.strip()] = body
+    return root, styles
+
+
+def _number_of(value: str) -> float | None:
+    ratio = re.fullmatch(r"(\d+(?:\.\d+)?)/(\d+(?:\.\d+)?)", value)
+    if ratio:
+        return float(ratio[1]) / float(ratio[2]) if float(ratio[2]) else None
+    m = re.fullmatch(r"([+-]?(?:\d+(?:\.\d*)?|\.\d+))([a-z]*)", value)
+    return float(m[1]) * UNITS[m[2]] if m and m[2] in UNITS else None
+
+
+def _compare(a: float | None, sign: str, b: float | None) -> bool | None:
+    if a is None or b is None:
+        return None
+    return {"<": a < b, "<=": a <= b, ">": a > b, ">=": a >= b, "=": a == b}[sign]
+
+
+def _on_screen(feature: str) -> bool | None:
+    """Whether the default screen has a media feature, such as min-width: 40em or width >= 600px; None if unknown."""
+    feature = re.sub(r"\s+", "", feature)
+    name, colon, value = feature.partition(":")
+    if colon:
+        bound = re.match(r"(-webkit-)?(min|max)-", name)
+        has = SCREEN.get(name if not bound else (bound[1] or "") + name[bound.end():])
+        if has is None or isinstance(has, str):
+            return None if has is None or bound else has == value
+        return _compare(has, {"min": ">=", "max": "<="}[bound[2]] if bound else "=", _number_of(value))
+    if feature in SCREEN:
+        return SCREEN[feature] not in (0, "none", "no-preference")
+    m = _COMPARED.fullmatch(feature)
+    if not m or not (m[2] or m[4]):
+        return None
+    left, middle, right = (SCREEN.get(v, _number_of(v)) if v else None for v in (m[1], m[3], m[5]))
+    if any(isinstance(v, str) for v in (left, middle, right)):
+        return None
+    tests = [_compare(a, sign, b) for a, sign, b in ((left, m[2], middle), (middle, m[4], right)) if sign]
+    return False if False in tests else None if None in tests else True
+
+
+def _supported(feature: str) -> bool | None:
+    """Whether a browser knows a declaration: all but the vendors' own; None if no declaration."""
+    name, colon, _ = feature.strip().partition(":")
+    return not re.match(r"-(?!-|webkit-)", name) if colon else None
+
+
+def _top(text: str, at: str) -> list[str]:
+    """``text`` cut where ``at`` matches outside parentheses."""
+    out, depth, start = [], 0, 0
+    for m in re.finditer(rf"[()]|{at}", text):
+        if m[0] in "()":
+            depth = max(0, depth + (1 if m[0] == "(" else -1))
+        elif not depth:
+            out.append(text[start:m.start()])
+            start = m.end()
+    return [*out, text[start:]]
+
+
+def _holds(condition: str, leaf, depth: int = 0) -> bool | None:
+    """A condition of and, or, not and parentheses; None if unknown."""
+    condition = condition.strip()
+    if depth > 20:
+        return None
+    for word, decides in ((r"\bor\b", True), (r"\band\b", False)):
+        parts = _top(condition, word)
+        if len(parts) > 1:
+            found = [_holds(p, leaf, depth + 1) for p in parts]
+            return decides if decides in found else None if None in found else not decides
+    denied = re.match(r"not(?=[\s(])", condition)
+    if denied:
+        found = _holds(condition[denied.end():], leaf, depth + 1)
+        return None if found is None else not found
+    if condition in ("all", "screen"):
+        return True
+    if condition.startswith("(") and condition.endswith(")"):
+        inside = condition[1:-1].strip()
+        return _holds(inside, leaf, depth + 1) if inside.startswith("(") or re.match(r"not[\s(]", inside) else leaf(inside)
+    return False if re.fullmatch(r"[a-z-]+", condition) else None
+
+
+def _media(queries: str) -> bool:
+    """Whether the default screen meets one of the media queries; what is unknown is not met."""
+    for query in _top(queries.lower(), ","):
+        query = re.sub(r"^\s*only\s+", "", query).strip()
+        denied = re.match(r"not\s+(?=[a-z])", query)
+        if denied:  # of a whole query with a media type
+            if _holds(query[denied.end():], _on_screen) is False:
+                return True
+        elif _holds(query, _on_screen):
+            return True
+    return not queries.strip()
+
+
+def _selectors(head: str) -> list[str]:
+    """The plain tag, .class and #id selectors of a rule."""
+    out = []
+    for s in _top(re.sub(r"\[[^\]]*\]", "[]", head), ","):
+        s = s.strip()
+        if _SELECTOR.fullmatch(s):
+            out.append(re.sub(r"\\(.)", r"\1", s) if s[0] in ".#" else s.lower())
+    return out
+
+
+def _declare(rules: dict, selectors: list[str], declaration: str, layered: bool, order: int) -> None:
+    name, _, value = declaration.partition(":")
+    name, value = name.strip().lower(), value.strip().lower()
+    bare = re.sub(r"\s*!\s*important$", "", value)
+    known = {"display": DISPLAY, "visibility": VISIBILITY}.get(name)
+    if known and bare and known.issuperset(bare.split()):
+        important = bare != value
+        for s in selectors:
+            weight = 3 if not s else 2 if s[0] == "#" else 1 if s[0] == "." else 0
+            new = ((important, not s, layered == important, weight, order), bare)
+            rules.setdefault(s, {})[name] = max(new, rules.get(s, {}).get(name, new))
+
+
+def _cascade(rules: dict, css: str, selectors: list[str] | None = None, live: bool = True, start: int = 0) -> int:
+    """Adds what ``css`` says of display and visibility on the default screen: selector to property to (rank, value).
+
+    Without ``selectors`` css is a style sheet, else the declarations of
+    these.  Rules that hold in print, on other screens, for a part of the
+    page or for a moment only are left out, and so is what follows from
+    selectors that are not plain.
+    """
+    stack, text, order = [(selectors, live, False)], [], start
+    for m in _CSS.finditer(css):
+        t = m[0]
+        inside, live, layered = stack[-1]
+        if t == "{":
+            head = "".join(text).replace("<!--", " ").replace("-->", " ").strip()
+            at = re.match(r"@([\w-]+)(.*)", head, re.S)
+            if at:
+                kind = at[1].lower()
+                holds = (_media(at[2]) if kind == "media" else _holds(at[2].lower(), _supported) is True if kind == "supports" else kind == "layer")
+                stack.append((inside, live and holds, layered or kind == "layer"))
+            else:
+                stack.append((_selectors(head) if inside is None else [], live, layered))
+            text = []
+        elif t == "}" and len(stack) > 1 or t == ";" and (inside is not None or "".join(text).lstrip().startswith("@")):
+            if inside and live:
+                order += 1
+                _declare(rules, inside, "".join(text), layered, order)
+            if t == "}":
+                stack.pop()
+            text = []
+        else:
+            text.append(" " if t.startswith("/*") else t)
+    if stack[-1][0] and stack[-1][1]:
+        order += 1
+        _declare(rules, stack[-1][0], "".join(text), stack[-1][2], order)
+    return order
+
+
+def _rules(styles: list[tuple[str, str]]) -> dict:
+    """What the style elements say of display and visibility, by selector."""
+    rules: dict = {}
+    order = 0
+    for media, css in styles:
+        if re.search("display|visibility", css, re.I) and _media(media):
+            order = _cascade(rules, css, start=order)
     return rules
 
 
-def _visibility(node: Node, rules: dict[str, str], shown: bool) -> tuple[bool, bool]:
+def _visibility(node: Node, rules: dict, shown: bool) -> tuple[bool, bool]:
     """(rendered at all, text visible): visibility is inherited and can be turned on again, display cannot."""
     a = node.attrs
-    style = re.sub(r"\s+", "", a.get("style", "")).lower()
+    if node.tag in UNSEEN or "hidden" in a or (node.tag == "dialog" and "open" not in a):
+        return False, False
+    found = []
     if rules:
         names = [node.tag, *("." + c for c in a.get("class", "").split()), "#" + a.get("id", "")]
-        style = ";".join([rules[n] for n in names if n in rules] + [style])
-    if node.tag in UNSEEN or "hidden" in a or "display:none" in style or (node.tag == "dialog" and "open" not in a):
+        found = [rules[n] for n in names if n in rules]
+    if re.search("display|visibility", a.get("style", ""), re.I):
+        inline: dict = {}
+        _cascade(inline, a["style"], [""])
+        found += inline.values()
+    if max((f["display"] for f in found if "display" in f), default=((), ""))[1] == "none":
         return False, False
-    for found in re.findall(r"visibility:(\w+)", style)[-1:]:
-        shown = found not in ("hidden", "collapse")
+    value = max((f["visibility"] for f in found if "visibility" in f), default=((), ""))[1]
+    if value in ("hidden", "collapse"):
+        shown = False
+    elif value in ("visible", "initial"):
+        shown = True
     return True, shown
 
 
+def _options(select: Node) -> list[tuple[Node, bool]]:
+    """The options of a select element in order, and whether each can be chosen."""
+    out, work = [], [(c, False) for c in reversed(select.children)]
+    while work:
+        node, off = work.pop()
+        if isinstance(node, Node):
+            off = off or "disabled" in node.attrs
+            if node.tag == "option":
+                out.append((node, not off))
+            else:
+                work += [(c, off) for c in reversed(node.children)]
+    return out
+
+
 class _Lines:
     """Output lines of one flow: collapses white space and the blank lines between blocks."""
 
@@ -241,7 +433,7 @@ def render(page: str | None) -> str:
     if not page:
         return ""
     root, styles = parse(page)
-    rules = _hiding_rules(styles)
+    rules = _rules(styles)
     flows = [_Lines()]
     lists: list[list] = []  # [tag, next number]
     tables: list[list] = []  # rows of the open tables
@@ -287,9 +479,12 @@ def render(page: str | None) -> str:
         children = node.children
         if tag == "details" and "open" not in node.attrs:
             children = [c for c in children if isinstance(c, Node) and c.tag == "summary"][:1]
-        elif tag == "select" and "multiple" not in node.attrs:
-            options = [c for c in children if isinstance(c, Node) and c.tag == "option"]
-            children = ([c for c in options if "selected" in c.attrs] or options)[:1]
+        elif tag == "select" and "multiple" not in node.attrs and _number(node.attrs.get("size"), 1) < 2:
+            options = _options(node)
+            chosen = [o for o, _ in options if "selected" in o.attrs][-1:] or [o for o, free in options if free][:1]
+            children = [Node("option", {}) for _ in chosen]  # it is seen in the closed list even if it is hidden in the open one
+            for c, o in zip(children, chosen, strict=True):
+                c.children = o.children
         if tag == "table":
             out.block(True)
             tables.append([])
@@ -325,7 +520,7 @@ def render(page: str | None) -> str:
             work += [("open", c, shown, pre) for c in reversed(inside)]
             continue
         work.append(("close", node, shown, pre))
-        work += [("open", c, shown, pre or tag in ("pre", "listing")) for c in reversed(children) if not (tag == "table" and isinstance(c, str) and not c.strip())]
+        work += [("open", c, shown, pre or tag in PRE) for c in reversed(children) if not (tag == "table" and isinstance(c, str) and not c.strip())]
     return "\n".join(flows[0].result())
 
 

@@ -103,6 +103,42 @@ def test_html_layout():
         "Name       Qty", "apple pie  3", "wide cell", "b          4", "c", "", " keep", "   this", "", "t", "  def", "", "a", "b", "c&d", "", "end", "", "q"]
 
 
+def _styled(css: str, page: str = '<p class="nav">text', media: str = "") -> str:
+    return render(f"<style{media}>{css}</style>{page}")
+
+
+def test_html_rules_of_print_and_other_screens_hide_nothing():
+    for css in ("@media print{.nav{display:none}}", "@media (max-width:600px){.nav{display:none}}", "@media screen and (max-width: 40em){p{display:none}}",
+                "@media (width < 600px){.nav{display:none}}", "@media not all and (min-width:600px){.nav{display:none}}", "@media tv, print{.nav{display:none}}",
+                "@media screen{@media print{.nav{display:none}}}", "@supports not (display:grid){.nav{display:none}}", "@container (width>1px){.nav{display:none}}",
+                ".nav{display:none}@media (min-width:600px){.nav{display:block}}", ".nav{@media print{display:none}}", ".nav{.x{display:none}}",
+                "@media (unknown:1){.nav{display:none}}", "@keyframes a{p{visibility:hidden}}", ":not(b,.nav,i){display:none}"):
+        assert _styled(css) == "text", css
+    assert _styled(".nav{display:none}", media=' media="print"') == "text"
+    assert render('<noscript><style>.nav{display:none}</style></noscript><p class="nav">text') == "text"
+    for css in (".nav{display:none}", "@media screen{.nav{display:none}}", "@media (min-width:600px) and (orientation:landscape){.nav{display:none}}",
+                "@media print, (600px <= width <= 90em){.nav{display:none}}", "@media not print{.nav{display:none}}", "@supports (display:grid){.nav{display:none}}",
+                "@import 'a;b.css';@media print{a{color:red}}.nav{display:none}", "b,P{color:red;display : none !important}.nav{display:block}", ".nav{display:none"):
+        assert _styled(css) == "", css
+
+
+def test_html_only_display_and_visibility_hide():
+    for css in ("-webkit-backface-visibility:hidden", "backface-visibility:hidden", "content-visibility:hidden", "--display:none", "content:';display:none'",
+                "background:url(a;display:none)", "visibility:hidden;visibility:visible", "display:none;display:block", "/*display:none*/color:red", "visibility:odd"):
+        assert _styled(f".nav{{{css}}}") == "text", css
+        assert render(f'<p style="{css}">text') == "text", css
+    assert render('<div style="VISIBILITY : Hidden">no<b style="visibility:visible">yes</b></div>') == "yes"
+    assert _styled("#a{display:block}.nav{display:none}", '<p id="a" class="nav">text') == "text"
+
+
+def test_html_form_text():
+    assert render("a <textarea>\nx &lt; <b>y\n  z</textarea> c") == "a x < <b>y\n  z c"
+    assert render("<xmp><b>&amp;</xmp>") == "<b>&amp;"
+    assert render("<select><optgroup label=g><option>a<option selected>b<optgroup label=h><option>c</select>") == "b"
+    assert render("<select><optgroup disabled><option>a</optgroup><option>b<option>c</select>") == "b"
+    assert render("<select><option hidden selected>pick<option>b</select>") == "pick" and render("<select size=3><option>a<option>b</select>") == "a\nb"
+
+
 def test_html_odd_pages(spark):
     assert render(None) == render("") == render("<p><div></div>") == ""
     assert render("<div>" * 5000 + "deep" + "</div>" * 5000) == "deep"
