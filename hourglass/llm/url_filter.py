@@ -1,8 +1,9 @@
 """URL filter: policy rules, then host word segmentation and naive Bayes.
 
-Hosts and paths are split into parts of letters and digits.  Concatenated
-names are split further into words by a unigram Viterbi search, with word
-counts of the whole corpus.  A URL with an unwanted word (a short given list)
+Hosts and paths are split into parts of letters and digits, and parts into
+runs of letters and runs of digits.  Concatenated names are split further
+into words by a unigram Viterbi search, with word counts of the whole
+corpus; a run of digits is the word '<number>'.  A URL with an unwanted word (a short given list)
 is a training example of the class block, every other URL one of the class
 allow; multinomial naive Bayes over all their words then also weighs the
 words that go with the unwanted ones.  The most specific policy rule decides
@@ -10,8 +11,8 @@ first.
 
 Scale: the corpus is counted by a partially aggregated group-by, and only
 substrings of host and path parts are looked up, by a join, so no
-dictionary is sent whole to a task.  A part is segmented once, not once per
-URL.  URLs meet the parts' weights in a join of two written tables, so
+dictionary is sent whole to a task.  A run is segmented once, not once per
+URL or part; parts meet their runs in a join of two written tables.  URLs meet the parts' weights in a join of two written tables, so
 adaptive execution splits a part that a third of all URLs share.
 """
 
@@ -85,10 +86,12 @@ def viterbi(part: str, counts: dict[str, int], total: int) -> list[str]:
 
 
 def segment(parts: DataFrame, counts: DataFrame, unwanted: Sequence[str] = UNWANTED) -> DataFrame:
-    """``parts`` (part: distinct strings) to part, words.  Parts with a digit are one word: '<number>' if all digits."""
+    """``parts`` (part: distinct strings) to part, words: those of its letter runs, and '<number>' for each digit run."""
     total = counts.agg(F.sum("n")).first()[0] or 0
     seeded = max(1, int(total * SEED_SHARE))
-    letters = parts.where(~F.col("part").rlike("[0-9]")).select("part")
+    runs = F.regexp_extract_all("part", F.lit(r"\p{N}+|\P{N}+"), F.lit(0))
+    pieces = materialize(parts.select("part", F.posexplode(runs).alias("place", "run")).withColumn("digits", F.col("run").rlike(r"^\p{N}")), "url-runs")
+    letters = pieces.where("not digits").select(F.col("run").alias("part")).distinct()
     start = F.explode(F.sequence(F.lit(1), F.length("part"))).alias("start")
     subs = (letters.select("part", start)
             .withColumn("size", F.explode(F.sequence(F.lit(1), F.least(F.lit(LONGEST_WORD), F.length("part") - F.col("start") + 1))))
@@ -106,10 +109,11 @@ def segment(parts: DataFrame, counts: DataFrame, unwanted: Sequence[str] = UNWAN
             out.append(viterbi(p, counts, total + seeded * len(seeds)))
         return pd.Series(out, dtype=object)
 
-    words = letters.join(known, "part", "left").select("part", split("part", "known").alias("words"))
-    other = parts.where(F.col("part").rlike("[0-9]")).select(
-        "part", F.array(F.when(F.col("part").rlike("^[0-9]+$"), F.lit("<number>")).otherwise(F.col("part"))).alias("words"))
-    return words.unionByName(other)
+    words = materialize(letters.join(known, "part", "left").select(F.col("part").alias("run"), split("part", "known").alias("words")), "run-words")
+    found = pieces.where("not digits").join(words, "run").select("part", "place", "words")
+    found = found.unionByName(pieces.where("digits").select("part", "place", F.array(F.lit("<number>")).alias("words")))
+    in_order = F.sort_array(F.collect_list(F.struct("place", "words")))
+    return found.groupBy("part").agg(F.flatten(F.transform(in_order, lambda e: e["words"])).alias("words"))
 
 
 def judge(pages: DataFrame, corpus: DataFrame, rules: Sequence[tuple[str, str]] = RULES,

@@ -78,6 +78,23 @@ def test_unwanted_hosts_are_blocked_also_when_concatenated(spark):
     assert all((got[i] == "block") == (i % 20 == 0) for i in range(400))
 
 
+def test_parts_with_digits_are_segmented(spark):
+    counts = spark.createDataFrame([("best", 50), ("free", 40), ("cat", 30), ("u", 5)], "word string, n long")
+    parts = ["bestcasino24", "bet365", "freeporn4u", "2024", "cat", "24bestcat7free"]
+    got = {r.part: r.words for r in url_filter.segment(spark.createDataFrame([(p,) for p in parts], "part string"), counts).collect()}
+    assert got == {"bestcasino24": ["best", "casino", "<number>"], "bet365": ["bet", "<number>"], "freeporn4u": ["free", "porn", "<number>", "u"],
+                   "2024": ["<number>"], "cat": ["cat"], "24bestcat7free": ["<number>", "best", "cat", "<number>", "free"]}
+
+
+def test_unwanted_hosts_with_digits_are_blocked(spark):
+    bad = ("bestcasino24", "bet365", "freeporn4u", "7casino")
+    rows = [(i, f"http://{bad[i // 20 % 4] if i % 20 == 0 else f'cat{i}dog'}.example/{i}") for i in range(400)]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    corpus = spark.createDataFrame([("the cat and the dog win best free " * 20,)], "text string")
+    got = {r.page_id: r.verdict for r in url_filter.judge(pages, corpus).collect()}
+    assert all((got[i] == "block") == (i % 20 == 0) for i in range(400))
+
+
 def test_url_query_covers_all_pages(spark):
     out = queries.op7_url_filter(spark, SF)
     assert out.count() == spark.read.parquet(f"{SF}/pages.parquet").count() and out.where("verdict is null").count() == 0
