@@ -35,6 +35,32 @@ def test_collapse_of_long_and_odd_conversations(spark):
     assert chat_collapse.collapse(turns.where("1 = 0")).count() == 0
 
 
+def test_collapse_spreads_ties_and_null_ids(spark):
+    """Null ids, null turns and repeated turn numbers: parts and window groups stay bounded, and nothing is lost."""
+    schema = "conv_id long, turn long, role string, text string"
+    rows = [(None, i % 3, "user", f"n{i}") for i in range(5000)] + [(1, None, "user", f"a{i}") for i in range(3000)] + [(2, 7, "user", f"b{i}") for i in range(1500)]
+    turns = spark.createDataFrame(rows + rows[:700], schema)
+    out = chat_collapse.collapse(turns).orderBy("conv_id", "part").collect()
+    for conv, n in ((None, 5000), (1, 3000), (2, 1500)):
+        parts = [r for r in out if r.conv_id == conv]
+        assert [r.part for r in parts] == list(range(-(-n // 256))) and {r.n_turns for r in parts} == {n}
+        assert max(r.text.count("<|im_start|>") for r in parts) <= 256
+        said = "".join(r.text for r in parts).replace("<|im_start|>user\n", "").split("<|im_end|>\n")[:-1]
+        assert sorted(said) == sorted({x for c, _, _, x in rows if c == conv})
+        if conv is None:
+            assert [int(x[1:]) % 3 for x in said] == sorted(int(x[1:]) % 3 for x in said)
+    chunked = chat_collapse._chunked(turns)
+    assert chunked.groupBy("conv_id", "chunk").count().agg(F.max("count")).first()[0] <= chat_collapse.CHUNK_ROWS
+    prefixes = chat_collapse.prefix_hashes(turns)
+    assert prefixes.groupBy("conv_id").agg(F.countDistinct("position").alias("n")).where("conv_id is null").first().n == 5000
+
+
+def test_collapse_drops_beginnings_of_conversations_over_chunks(spark):
+    long = [str(i) for i in range(3000)]
+    out = chat_collapse.collapse(_turns(spark, [(1, long[:2500]), (2, long), (3, long[:1024]), (4, long[:2000] + ["x"])])).collect()
+    assert {r.conv_id for r in out} == {2, 4} and {r.n_turns for r in out if r.conv_id == 2} == {3000}
+
+
 def test_collapse_runs_no_python(spark):
     plan = chat_collapse.collapse(spark.read.parquet(f"{SF}/conversations.parquet"))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Pandas" not in plan
