@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -49,7 +50,8 @@ SECOND_PERSON = frozenset("you your yours you're u ur tu te toi ton ta tes vous
 REPORTING = frozenset("said says say called calls quote quoted quotes word words term wrote writes dit disait mot cité appelé "
                       "sagte sagt wort zitat nannte dijo dice palabra cita llamó".split())
 _WORD = re.compile(r"[^\W_]+(?:[@$*!][^\W_]+)*")
-_OPENING, _CLOSING = "«“„‹", "»”“›"
+_MARK = re.compile('["«»“”„‹›\n]')
+_CLOSING = {'"': '"', "«": "»", "“": "”", "„": "“”", "‹": "›"}
 
 
 @dataclass
@@ -80,13 +82,32 @@ class Matcher:
         return found
 
 
-def _quoted(text: str, start: int, stop: int) -> bool:
-    """Whether the word stands between quotation marks that open and close on its line, at most 80 characters away."""
-    left = text[max(0, start - 80):start].rpartition("\n")[2]
-    right = text[stop:stop + 80].partition("\n")[0]
-    if left.count('"') % 2 and '"' in right:
-        return True
-    return any(left.rfind(o) > left.rfind(c) and c in right for o, c in zip(_OPENING, _CLOSING, strict=True))
+def quoted_spans(text: str) -> list[tuple[int, int]]:
+    """Places of the quotations in order: from a mark to the one that closes it on the same line, found in one pass.
+
+    A mark that nothing closes on its line opens no quotation.
+    """
+    out: list[tuple[int, int]] = []
+    opened: dict[str, int] = {}  # place of the first open mark, by kind
+
+    for m in _MARK.finditer(text):
+        mark, at = m[0], m.start()
+        if mark == "\n":
+            opened.clear()
+            continue
+        begun = [(place, kind) for kind, place in opened.items() if mark in _CLOSING[kind]]
+        if begun:
+            place, kind = max(begun)
+            del opened[kind]
+            while out and out[-1][0] > place:  # quotations inside this one
+                out.pop()
+            if not out or out[-1][1] <= place:
+                out.append((place, at))
+            else:
+                out[-1] = (out[-1][0], at)
+        elif mark in _CLOSING:
+            opened.setdefault(mark, at)
+    return out
 
 
 def hit_features(text: str | None, matcher: Matcher) -> list[float]:
@@ -99,11 +120,14 @@ def hit_features(text: str | None, matcher: Matcher) -> list[float]:
         return [0.0] * len(FEATURES)
     exact = fuzzy = quoted = directed = 0
     places = list(_WORD.finditer(text))
+    spans = quoted_spans(text)
+    starts = [a for a, _ in spans]
     for at, word in enumerate(words):
         if word not in kinds:
             continue
         near = words[max(0, at - WINDOW):at] + words[at + 1:at + 1 + WINDOW]
-        if _quoted(text, *places[at].span()) or (kinds[word] and not REPORTING.isdisjoint(words[max(0, at - 2):at])):
+        span = bisect_right(starts, places[at].start()) - 1
+        if (span >= 0 and places[at].end() <= spans[span][1]) or (kinds[word] and not REPORTING.isdisjoint(words[max(0, at - 2):at])):
             quoted += 1
             continue
         exact += kinds[word] == 2

@@ -83,6 +83,31 @@ def test_context_windows_and_misspellings():
     assert toxicity.hit_features(None, matcher) == toxicity.hit_features("", matcher) == [0.0] * 5
 
 
+def test_quotations_of_any_length():
+    matcher = toxicity.Matcher(toxicity.Model(["worthless"]))
+    long = "some other things " * 20
+
+    def counts(text):
+        exact, _, quoted, _, _ = toxicity.hit_features(text, matcher)
+        return exact > 0, quoted > 0
+
+    for a, b in ('""', "«»", "“”", "„“", "‹›"):
+        assert counts(f"x {a}{long}worthless {long}{b} y") == (False, True)
+        assert counts(f"x {a}{long}{b} worthless y {a}{long}{b}") == (True, False)
+        assert counts(f"x {a}{long} worthless\n y{b}") == (True, False)
+        assert counts(f"x {a}b{b} worthless {a}") == (True, False)
+    assert counts('x «a "worthless" b» y «c» worthless') == (True, True)
+
+
+def test_quoted_spans_are_in_order_and_apart():
+    rng = random.Random(3)
+    for _ in range(2000):
+        text = "".join(rng.choice('"«»“”„‹›\na') for _ in range(rng.randint(0, 25)))
+        spans = toxicity.quoted_spans(text)
+        assert all(a < b and "\n" not in text[a:b] for a, b in spans)
+        assert all(b <= c for (_, b), (c, _) in zip(spans, spans[1:]))  # noqa: B905
+
+
 def test_toxicity_odd_rows(spark, odd_docs, no_docs):
     labels = spark.createDataFrame([(1, 0), (None, 1), (3, None), (5, 1), (5, 0)], "doc_id long, toxic int")
     model = toxicity.learn(odd_docs, labels)
