@@ -14,8 +14,9 @@
 4. A logistic regression on the hit counts gives the score.
 
 Scale: training reads at most ``MAX_TRAINING`` labelled rows, chosen by a
-hash of their id, so the list of their ids is small enough to broadcast and
-the texts are not shuffled for the join.  Scoring is one scan of whole texts
+hash of their id and text, so the lists of ids and of text hashes are small
+enough to broadcast and only the chosen texts are shuffled, repeats once a
+task.  Scoring is one scan of whole texts
 without a shuffle; the model that is sent to tasks is at most ``MAX_TERMS``
 terms and ``MAX_CLEAN`` clean spellings.
 """
@@ -36,6 +37,7 @@ from pyspark.sql import functions as F
 from hourglass.llm.levenshtein import TrieAutomaton
 
 MAX_TRAINING = 20_000
+MAX_PER_ID = 16  # distinct texts of one labelled id
 MAX_TERMS = 2_000
 MAX_CLEAN = 20_000
 MIN_SHARE = 0.9  # of a term's contexts that are toxic
@@ -151,17 +153,23 @@ def features(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, max_training: int = MAX_TRAINING) -> DataFrame:
-    """Text and toxic (0/1) of at most ``max_training`` labelled documents.
+    """Text and toxic (0/1) of at most ``max_training`` labelled documents, each distinct text of an id once.
 
     Only labels whose crc32(doc_id as text) modulo 3 is not 1 are seen.
     Contradicting labels of one id count as toxic; null labels and ids are
-    no labels.
+    no labels.  Of a repeated id the text with the least hash in each of
+    ``MAX_PER_ID`` shares of the hashes is taken, and of all these the first
+    by hash, before any text is kept or moved.
     """
     usable = (labels.where("doc_id is not null and toxic is not null")
               .where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 != 1)
               .groupBy("doc_id").agg(F.max("toxic").alias("toxic")))
     some = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_training)
-    return docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").select("text", "toxic")
+    rows = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").withColumn("text_hash", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
+    least = rows.groupBy("doc_id", F.pmod("text_hash", F.lit(MAX_PER_ID)).alias("share")).agg(F.min("text_hash").alias("text_hash"))
+    chosen = least.orderBy(F.xxhash64("doc_id", "text_hash"), "doc_id", "text_hash").limit(max_training).select("doc_id", "text_hash")
+    return (rows.join(F.broadcast(chosen), ["doc_id", "text_hash"]).groupBy("doc_id", "text_hash", "toxic")
+            .agg(F.first("text").alias("text")).select("text", "toxic"))
 
 
 def _contexts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

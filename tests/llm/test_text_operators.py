@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+import zlib
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -108,6 +109,18 @@ def test_quoted_spans_are_in_order_and_apart():
         assert all(b <= c for (_, b), (c, _) in zip(spans, spans[1:]))  # noqa: B905
 
 
+def test_training_rows_of_repeated_ids_are_bounded(spark):
+    rows = [(7, f"text {i}") for i in range(500)] + [(8, "same")] * 500 + [(i, f"doc {i}") for i in range(10, 200)] + [(9, None), (9, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, toxic int")
+    kept = [i for i in range(200) if zlib.crc32(str(i).encode()) % 3 != 1]
+    assert {7, 8, 9} <= set(kept)
+    got = toxicity.training_rows(docs, labels).collect()
+    assert len(got) == toxicity.MAX_PER_ID + 2 + sum(i >= 10 for i in kept)
+    assert sum(r.text == "same" for r in got) == 1 and sum((r.text or "").startswith("text ") for r in got) == toxicity.MAX_PER_ID
+    assert toxicity.training_rows(docs, labels, 20).count() <= 20
+
+
 def test_toxicity_odd_rows(spark, odd_docs, no_docs):
     labels = spark.createDataFrame([(1, 0), (None, 1), (3, None), (5, 1), (5, 0)], "doc_id long, toxic int")
     model = toxicity.learn(odd_docs, labels)
