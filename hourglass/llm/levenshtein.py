@@ -14,8 +14,8 @@ KEEP_STEPS = 500_000
 
 
 def default_edits(term: str) -> int:
-    """None below five letters, one below nine, else two."""
-    return 0 if len(term) < 5 else 1 if len(term) < 9 else 2
+    """None below four letters, one below nine, else two."""
+    return 0 if len(term) < 4 else 1 if len(term) < 9 else 2
 
 
 class TrieAutomaton:

@@ -84,6 +84,11 @@ def test_context_windows_and_misspellings():
     assert toxicity.hit_features(None, matcher) == toxicity.hit_features("", matcher) == [0.0] * 5
 
 
+def test_misspellings_of_four_letter_terms():
+    matcher = toxicity.Matcher(toxicity.Model(["scum", "ass"], frozenset({"scam"})))
+    assert [matcher.kind(w) for w in ("scum", "sc*m", "scumm", "scu", "scam", "sc**m", "as", "asss")] == [2, 1, 1, 1, 0, 0, 0, 0]
+
+
 def test_quotations_of_any_length():
     matcher = toxicity.Matcher(toxicity.Model(["worthless"]))
     long = "some other things " * 20
