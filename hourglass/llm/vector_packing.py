@@ -47,6 +47,10 @@ class Limits:
         return np.array([self.tokens, self.segments, self.loss], float)
 
 
+#: Instruction data: at most half of a sequence bears loss, so this limit can bind.
+INSTRUCTION_LIMITS = Limits(loss=2048)
+
+
 class Packer:
     """Bounded window of waiting pieces; yields closed sequences as lists of (payload, length).
 
@@ -205,7 +209,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: st
 
 
 def pack_instructions(examples: DataFrame, tokenizer_path: str, end_id: int, id_col: str = "id",
-                      limits: Limits = Limits()) -> DataFrame:
+                      limits: Limits = INSTRUCTION_LIMITS) -> DataFrame:
     """Pack instruction data: ``prompt`` and ``response`` texts; only the response and its ``end_id`` bear loss."""
     check_splittable(tokenizer_path)
 

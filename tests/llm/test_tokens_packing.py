@@ -109,3 +109,15 @@ def test_training_order_round_trip_and_resume(spark, odd_docs, scratch, whole):
 def test_training_order_empty(spark, no_docs, scratch):
     assert training_order.write_training_order(no_docs, f"{scratch}/x", PATH, 2, key=5).count() == 0
     assert training_order.read_training_order(spark, f"{scratch}/x").count() == 0
+
+
+def test_loss_limit_binds_by_default_for_instructions(spark):
+    rows = [(i, "ask", "word and other words " * 100) for i in range(60)]
+    out = vector_packing.pack_instructions(spark.createDataFrame(rows, "id long, prompt string, response string").coalesce(1), PATH, 2).collect()
+    loss, tokens = defaultdict(int), defaultdict(int)
+    for r in out:
+        loss[r.sequence_id] += r.loss_tokens
+        tokens[r.sequence_id] += r.length
+    assert {r.id for r in out} == set(range(60)) and max(loss.values()) <= vector_packing.INSTRUCTION_LIMITS.loss < Limits().tokens
+    least = min(r.loss_tokens for r in out)
+    assert any(loss[s] + least > 2048 and tokens[s] + least <= 4096 for s in loss)
