@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hourglass.llm import (chat_collapse, decontaminate, html_render, radix_dedup, revisits, simhash_golay, toxicity,
+from hourglass.llm import (chat_collapse, decontaminate, html_render, prefix_trie, radix_dedup, revisits, simhash_golay, toxicity,
                            training_order, url_filter, vector_packing)
 
 END_ID = 2
@@ -107,11 +107,50 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.sha2(F.array_join("hits.items", ","), 256).alias("items_sha256"), (F.col("hits.n_hit") > 0).alias("contaminated"))
 
 
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The prefix trie of all conversations, each begun with the first turns of the first conversation of its five."""
+    rows, conversations = prefix_trie.number_turns(_read(spark, sf_dir, "conversations"))
+    head = F.crc32(F.col("conv_id").cast("string").cast("binary")) % 9
+    base = F.col("conv_id") - F.col("conv_id") % 5
+    return prefix_trie.trie(*prefix_trie.splice_heads(rows, conversations, head, base, reach=4, most=8))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_training_order, op2_simhash_golay, op3_chat_collapse, op4_vector_packing, op5_radix_dedup, op6_toxicity,
-    op7_url_filter, op8_html_render, op9_revisit_resolution, op10_decontaminate)}
+    op7_url_filter, op8_html_render, op9_revisit_resolution, op10_decontaminate, op11_conversation_trie)}
+
+# CRC-32 of a list of bytes, table driven; the table is made from the polynomial.
+CRC_TABLE_SQL = """crc_table AS (SELECT list(c ORDER BY i) AS tab FROM (SELECT i,
+  list_reduce(list_concat([i], [0, 0, 0, 0, 0, 0, 0, 0]), lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c
+  FROM (SELECT unnest(range(256)) AS i)))"""
+
+
+def crc_sql(byte_list: str) -> str:
+    return f"xor(list_reduce(list_concat([4294967295], {byte_list}), lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1])), 4294967295)"
+
 
 ORACLE_SQL = {
+    "op11_conversation_trie": f"""
+WITH {CRC_TABLE_SQL},
+t AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST,
+        sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) - 1 AS pos FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, conv_id - conv_id % 5 AS base, {crc_sql("list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda d: CAST(ascii(d) AS BIGINT))")} % 9 AS h
+      FROM (SELECT DISTINCT conv_id FROM t), crc_table),
+joined AS (SELECT c.conv_id, 0 AS own, t.pos, t.role, t.text FROM c JOIN t ON t.conv_id = c.base AND t.pos < c.h
+           UNION ALL SELECT c.conv_id, 1, t.pos, t.role, t.text FROM c JOIN t ON t.conv_id = c.conv_id AND t.pos >= c.h),
+r AS (SELECT conv_id, row_number() OVER w AS depth, octet_length(encode(text)) AS n_bytes, sha256(string_agg(sha256(length(role) || ':' || role || text), '') OVER w) AS path
+      FROM joined WINDOW w AS (PARTITION BY conv_id ORDER BY own, pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+p AS (SELECT conv_id, depth, n_bytes, path FROM r UNION ALL SELECT conv_id, 0, 0, '' FROM c),
+e AS (SELECT *, depth = max(depth) OVER (PARTITION BY conv_id) AS ends FROM p),
+n AS (SELECT depth, path, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(n_bytes) AS n_bytes,
+             sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE ends), '')) AS ends_sha256 FROM e GROUP BY depth, path),
+parent AS (SELECT a.*, up.conv_id AS parent_conv_id, up.path AS parent_path FROM n a
+           LEFT JOIN p x ON x.conv_id = a.conv_id AND x.depth = a.depth - 1 LEFT JOIN n up ON up.depth = x.depth AND up.path = x.path),
+kids AS (SELECT depth - 1 AS depth, parent_path AS path, count(*) AS n_children FROM parent WHERE depth > 0 GROUP BY ALL),
+own AS (SELECT parent.*, coalesce(n_children, 0) AS n_children FROM parent LEFT JOIN kids USING (depth, path)),
+sub AS (SELECT p.depth, p.path, count(*) FILTER (WHERE o.n_children = 0) AS n_leaves, CAST(sum((o.n_convs - 1) * o.n_bytes) AS BIGINT) AS saved_tokens
+        FROM p JOIN own o ON o.conv_id = p.conv_id AND o.depth >= p.depth GROUP BY p.depth, p.path)
+SELECT own.conv_id, depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, ends_sha256 FROM own JOIN sub USING (depth, path)""",
     "op3_chat_collapse": """
 WITH t AS (SELECT DISTINCT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations),
 o AS (SELECT *, row_number() OVER w AS pos, count(*) OVER (PARTITION BY conv_id) AS n,
