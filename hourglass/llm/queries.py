@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hourglass.llm import (chat_collapse, decontaminate, html_render, prefix_trie, radix_dedup, revisits, simhash_golay, toxicity,
+from hourglass.llm import (bpe_stream, chat_collapse, decontaminate, html_render, prefix_trie, radix_dedup, revisits, simhash_golay, toxicity,
                            training_order, url_filter, vector_packing)
 
 END_ID = 2
@@ -115,9 +115,19 @@ def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.trie(*prefix_trie.splice_heads(rows, conversations, head, base, reach=4, most=8))
 
 
+def byte_tokenizer_path() -> str:
+    import public_tokenizers
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op13_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded by the streaming transducer and decoded again, as digests."""
+    return bpe_stream.round_trip(_read(spark, sf_dir, "documents"), byte_tokenizer_path())
+
+
 QUERIES = {f.__name__: f for f in (
     op1_training_order, op2_simhash_golay, op3_chat_collapse, op4_vector_packing, op5_radix_dedup, op6_toxicity,
-    op7_url_filter, op8_html_render, op9_revisit_resolution, op10_decontaminate, op11_conversation_trie)}
+    op7_url_filter, op8_html_render, op9_revisit_resolution, op10_decontaminate, op11_conversation_trie, op13_bpe_round_trip)}
 
 # CRC-32 of a list of bytes, table driven; the table is made from the polynomial.
 CRC_TABLE_SQL = """crc_table AS (SELECT list(c ORDER BY i) AS tab FROM (SELECT i,
