@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hourglass.llm import (bpe_stream, chat_collapse, decontaminate, html_render, prefix_trie, radix_dedup, revisits, simhash_golay, toxicity,
-                           training_order, url_filter, vector_packing)
+from hourglass.llm import (bpe_stream, chat_collapse, decontaminate, html_render, prefix_trie, radix_dedup, revisits, simhash_golay,
+                           spelling_variants, toxicity, training_order, url_filter, vector_packing)
 
 END_ID = 2
 ORDER_KEY = 20240607
@@ -115,6 +115,13 @@ def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.trie(*prefix_trie.splice_heads(rows, conversations, head, base, reach=4, most=8))
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The frequent words of all documents, after deletions that a checksum picks, with their near words, form and root."""
+    runs = spelling_variants.letter_runs(_read(spark, sf_dir, "documents"))
+    words = runs.select(spelling_variants.drop_letters(runs, every=199).alias("word"))
+    return spelling_variants.variants(spelling_variants.count_words(words, min_length=6, min_count=5), ratio=5)
+
+
 def byte_tokenizer_path() -> str:
     import public_tokenizers
     return public_tokenizers.path("byte_bpe_50k.json")
@@ -127,7 +134,7 @@ def op13_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_training_order, op2_simhash_golay, op3_chat_collapse, op4_vector_packing, op5_radix_dedup, op6_toxicity,
-    op7_url_filter, op8_html_render, op9_revisit_resolution, op10_decontaminate, op11_conversation_trie, op13_bpe_round_trip)}
+    op7_url_filter, op8_html_render, op9_revisit_resolution, op10_decontaminate, op11_conversation_trie, op12_spelling_variants, op13_bpe_round_trip)}
 
 # CRC-32 of a list of bytes, table driven; the table is made from the polynomial.
 CRC_TABLE_SQL = """crc_table AS (SELECT list(c ORDER BY i) AS tab FROM (SELECT i,
@@ -171,6 +178,27 @@ kept AS (SELECT * FROM whole w WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.pos < o
 SELECT k.conv_id, CAST(floor(o.turn / 256) AS BIGINT) AS part, k.n AS n_turns, k.n_copies,
        string_agg('<|im_start|>' || o.role || chr(10) || o.text || '<|im_end|>' || chr(10), '' ORDER BY o.pos) AS text
 FROM kept k JOIN o ON o.conv_id = k.conv_id GROUP BY ALL""",
+    "op12_spelling_variants": f"""
+WITH RECURSIVE {CRC_TABLE_SQL},
+runs AS (SELECT doc_id, run, count(*) AS k FROM (SELECT doc_id, unnest(regexp_extract_all(
+           translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\u00C0-\u00FF]+')) AS run FROM documents) GROUP BY doc_id, run),
+coded AS (SELECT run, k, hex(encode(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run)) AS x FROM runs),
+hashed AS (SELECT run, k, {crc_sql("list_transform(range(1, length(x), 2), lambda i: CAST(16 * (instr('0123456789ABCDEF', substr(x, i, 1)) - 1) + instr('0123456789ABCDEF', substr(x, i + 1, 1)) - 1 AS BIGINT))")} AS h
+           FROM coded, crc_table),
+counted AS (SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, CAST(sum(k) AS BIGINT) AS n
+            FROM hashed GROUP BY 1),
+words AS MATERIALIZED (SELECT word, n FROM counted WHERE length(word) >= 6 AND n >= 5),
+skips AS (SELECT word, n, substr(word, 1, i - 1) AS p, substr(word, i + 1) AS s, i = 1 OR substr(word, i, 1) <> substr(word, i - 1, 1) AS first
+          FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words)),
+cuts AS (SELECT a.word AS long, a.n AS long_n, b.word AS short, b.n AS short_n FROM skips a JOIN words b ON b.word = a.p || a.s WHERE a.first),
+near AS (SELECT a.word, b.word AS other, b.n AS m FROM skips a JOIN skips b ON a.p = b.p AND a.s = b.s AND a.word <> b.word
+         UNION ALL SELECT long, short, short_n FROM cuts UNION ALL SELECT short, long, long_n FROM cuts),
+best AS (SELECT word, count(*) AS n_near, first(other ORDER BY m DESC, other) AS other, max(m) AS m FROM near GROUP BY word),
+formed AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 5 * w.n THEN other END AS form, CASE WHEN m >= 5 * w.n THEN m END AS form_n
+           FROM words w LEFT JOIN best USING (word)),
+chain AS (SELECT word, word AS root FROM formed UNION ALL SELECT c.word, f.form FROM chain c JOIN formed f ON f.word = c.root WHERE f.form IS NOT NULL),
+last AS (SELECT c.word, c.root FROM chain c JOIN formed f ON f.word = c.root WHERE f.form IS NULL)
+SELECT f.word, f.form, l.root, f.n, f.n_near, f.form_n FROM formed f JOIN last l USING (word)""",
     "op5_radix_dedup": r"""
 WITH d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
 SELECT doc_id, min(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
