@@ -126,12 +126,13 @@ def school_holiday(ts: str | Column, ranges=SCHOOL_HOLIDAY_RANGES) -> Column:
 
 def calendar(df: DataFrame, ts: str = "ts", fixed: Iterable[str] = FIXED_HOLIDAYS,
              offsets: Iterable[int] = EASTER_OFFSETS) -> DataFrame:
-    """Add ``is_holiday`` and ``is_school_holiday`` (BYTE) to any DataFrame with a timestamp.
+    """Add ``is_weekend``, ``is_holiday`` and ``is_school_holiday`` (BYTE) to any DataFrame with a timestamp.
 
     One projection, no shuffle; original columns are kept.
     """
     hol = fixed_holiday(ts, fixed) | easter_holiday(ts, offsets)
     return df.withColumns({
+        "is_weekend": is_weekend(ts).cast("byte"),
         "is_holiday": hol.cast("byte"),
         "is_school_holiday": school_holiday(ts).cast("byte"),
     })
@@ -172,9 +173,9 @@ ATTRIBUTE_NAMES = (
 )
 
 
-def attribute_columns(ts: str = "ts") -> list[Column]:
+def attribute_columns(ts: str | Column = "ts") -> list[Column]:
     """The 45 per-timestamp attributes as columns: 2 flags + 24 + 12 + 7 one-hots."""
-    t = F.col(ts)
+    t = _c(ts)
     hol = (fixed_holiday(t) | easter_holiday(t)).cast("int").alias("is_holiday")
     sch = school_holiday(t).cast("int").alias("is_school_holiday")
     return ([hol, sch]

@@ -72,6 +72,21 @@ def unmatched(preds: DataFrame, panel: DataFrame, keys: Sequence[str] = ("series
     return preds.join(panel.select(*keys), list(keys), "left_anti")
 
 
+def param_rows(params: Mapping[str, Sequence], skip: Callable[[dict], bool] | None = None) -> list[dict]:
+    """The configs of ``param_grid`` as dicts with ``config_id`` first."""
+    names, rows = list(params), []
+    for combo in itertools.product(*[list(params[n]) for n in names]):
+        d = dict(zip(names, combo))
+        if skip is None or not skip(d):
+            rows.append({"config_id": len(rows) + 1, **d})
+    return rows
+
+
+def grid_rows(grid: DataFrame | Sequence[Mapping]) -> list[dict]:
+    """A grid as dicts; a DataFrame's rows are read by the driver (a parameter table of a few rows)."""
+    return [r.asDict() for r in grid.collect()] if isinstance(grid, DataFrame) else [dict(r) for r in grid]
+
+
 def param_grid(spark: SparkSession, params: Mapping[str, Sequence],
                skip: Callable[[dict], bool] | None = None) -> DataFrame:
     """Cartesian product of parameter lists, in nested-loop order, with a ``config_id`` from 1.
@@ -81,12 +96,7 @@ def param_grid(spark: SparkSession, params: Mapping[str, Sequence],
     reference's ``continue`` rule.
     """
     names = list(params)
-    rows = []
-    for combo in itertools.product(*[list(params[n]) for n in names]):
-        d = dict(zip(names, combo))
-        if skip is not None and skip(d):
-            continue
-        rows.append(d)
+    rows = [{n: r[n] for n in names} for r in param_rows(params, skip)]
     kinds = []
     for n in names:
         vals = [r[n] for r in rows]
@@ -109,14 +119,14 @@ def grid_literal(grid_rows: Sequence[Mapping]) -> Column:
     return F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in r.items()]) for r in grid_rows])
 
 
-def with_grid(df: DataFrame, grid: DataFrame) -> DataFrame:
+def with_grid(df: DataFrame, grid: DataFrame | Sequence[Mapping]) -> DataFrame:
     """Every row of ``df`` once per config of a parameter grid (each config is its own fit).
 
     The grid is a parameter table whose size is fixed by its value lists; it
     is inlined as a literal array and exploded, so no join is planned.  Callers attach it to per-key
     summaries (sufficient statistics), not to raw rows.
     """
-    lit_rows = [r.asDict() for r in grid.collect()]
-    cols = grid.columns
+    lit_rows = grid_rows(grid)
+    cols = list(lit_rows[0]) if lit_rows else []
     return (df.withColumn("_cfg", F.explode(grid_literal(lit_rows)))
             .select(*[c for c in df.columns], *[F.col(f"_cfg.{c}").alias(c) for c in cols]))

@@ -78,9 +78,10 @@ def missing_ts(long: DataFrame, ts: str = "ts", value: str = "value") -> DataFra
 
 def drop_report(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
     """One row: rows before, after and dropped by ``drop_incomplete_subset`` on ``columns``, in one pass."""
+    floating = {c for c, kind in rows.dtypes if kind in ("double", "float")}
     whole = F.lit(True)
     for c in columns:
-        whole = whole & F.col(c).isNotNull()
+        whole = whole & (is_finite(F.col(q(c))) if c in floating else F.col(q(c)).isNotNull())
     n, kept = F.count(F.lit(1)), F.count_if(whole)
     return rows.agg(n.alias("rows_before"), kept.alias("rows_after"), (n - kept).alias("rows_dropped"))
 
@@ -95,6 +96,11 @@ def align(df: DataFrame, cols: Sequence[str], fill=0) -> DataFrame:
     return df.select(*[F.col(q(c)) if c in have else F.lit(fill).alias(c) for c in cols])
 
 
+def align_levels(long: DataFrame, cols: Sequence[str], keys: Sequence[str] = ("ts",), fill: int = 0) -> DataFrame:
+    """Long one-hot rows ``(keys, level, flag)`` to one column per name of ``cols``; names without a level get ``fill``."""
+    return long.groupBy(*keys).agg(*[F.coalesce(F.max(F.when(F.col("level") == F.lit(c), F.col("flag"))), F.lit(fill)).alias(c) for c in cols])
+
+
 def mask_if(df: DataFrame, cond: Column, cols: Sequence[str]) -> DataFrame:
     """Set ``cols`` to NULL where ``cond`` holds (NULL ``cond`` masks too)."""
     return df.withColumns({c: F.when(F.coalesce(~cond, F.lit(False)), F.col(q(c))) for c in cols})

@@ -20,6 +20,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from hourglass.session import materialize
+
 # Regular panels (the data model): a week is 168 hourly rows per series and chunk.
 # ``chunk_seconds=None`` picks an adaptive width for irregular timestamps at
 # the price of one extra (min, max, count) pass over the input.
@@ -67,6 +69,33 @@ def number_rows(df: DataFrame, ts: str = "ts", keys: Sequence[str] = (), out: st
             .drop("_chunk", "_r", "_off"))
 
 
+def number_rows_by_range(df: DataFrame, ts: str = "ts", keys: Sequence[str] = (), ties: Sequence[str] = (), out: str = "pos") -> DataFrame:
+    """``number_rows`` for any axis: 0-based position in the order of ``ts``, then ``ties``, within ``keys``.
+
+    The rows are range-partitioned in this order with a row number as last
+    column, so also rows that agree in everything are split, and written with
+    their number in the partition.  A key's rows are contiguous there: its
+    first number and its count per partition, summed over the partitions
+    before, give every row's position without a window over rows.  However
+    dense an hour is, it is spread over partitions.  Rows that agree in
+    ``keys``, ``ts`` and ``ties`` are numbered in any order; nulls come first.
+    """
+    keys = list(keys)
+    order = [*keys, ts, *ties, "_tie"]
+    rows = df.withColumn("_tie", F.monotonically_increasing_id()).repartitionByRange(*order).sortWithinPartitions(*order).drop("_tie")
+    rows = materialize(rows.withColumn("_seq", F.monotonically_increasing_id()), "range-positions")
+    rows = rows.withColumn("_part", F.shiftright("_seq", 33))
+    parts = rows.groupBy(*keys, "_part").agg(F.min("_seq").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    # One row per key and partition.
+    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_part").alias("_p"),
+                         (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_shift"))
+    same = F.col("_part") == F.col("_p")
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    return rows.join(parts, same).withColumn(out, F.col("_seq") + F.col("_shift")).select(*df.columns, out)
+
+
 def positions(df: DataFrame, ts: str = "ts", out: str = "pos",
               chunk_seconds: int | None = DEFAULT_CHUNK_SECONDS) -> DataFrame:
     """Table ``(ts, pos)``: 0-based position of every DISTINCT timestamp."""

@@ -26,7 +26,7 @@ def sequences(w: DataFrame, x_col: str = "scaled", y_col: str = "value",
               keys: Sequence[str] = ("series",), window: str = "window_id",
               attrs: Sequence[str] | None = None, families: bool = False,
               train: int | None = None, predict: int | None = None,
-              target_ts: str | None = None) -> DataFrame:
+              target_ts: str | None = None, input_ts: str | None = None) -> DataFrame:
     """One row per ``(keys, window)``: ``x`` (inputs) and ``y`` (targets) arrays.
 
     * plain: ``x ARRAY<DOUBLE>`` of the input values.
@@ -34,7 +34,8 @@ def sequences(w: DataFrame, x_col: str = "scaled", y_col: str = "value",
     * ``attrs`` and ``families``: ``x`` values and ``x_attrs ARRAY<ARRAY<DOUBLE>>``
       side by side (the two-family layout).
     ``train``/``predict`` drop partial windows (``size(x) = train`` and ``size(y) = predict``).
-    ``target_ts`` names a timestamp column whose target-row values are kept as the array ``y_ts``.
+    ``target_ts`` names a timestamp column whose target-row values are kept as the array ``y_ts``,
+    ``input_ts`` one whose input-row values are kept as ``x_ts``.
     """
     v = F.col(x_col).cast("double")
     aggs = []
@@ -48,6 +49,8 @@ def sequences(w: DataFrame, x_col: str = "scaled", y_col: str = "value",
     aggs.append(_ordered(F.col(y_col).cast("double"), "y").alias("y"))
     if target_ts:
         aggs.append(_ordered(F.col(target_ts), "y").alias("y_ts"))
+    if input_ts:
+        aggs.append(_ordered(F.col(input_ts), "x").alias("x_ts"))
     out = w.groupBy(*keys, window).agg(*aggs)
     if train is not None:
         out = out.where(F.size("x") == train)

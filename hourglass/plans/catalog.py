@@ -58,7 +58,11 @@ def scratch_path(spark: SparkSession, tag: str) -> str:
 
 LONG = "series:s ts:t value:d"
 TRAIN, PREDICT, GAP = 48, 4, 26          # flagship window triple
-S_TRAIN, S_PREDICT, S_GAP = 24, 4, 5     # short triple used for folds (FIXTURES.md)
+S_TRAIN, S_PREDICT, S_GAP = 24, 4, 5     # short triple (FIXTURES.md)
+FOLDS = 5
+
+# The event types, which are the series of the hourly panel.
+SERIES = ("click", "error", "purchase", "signup", "view")
 
 # ---------------------------------------------------------------- 2.1 sources / sinks
 
@@ -66,7 +70,7 @@ S_TRAIN, S_PREDICT, S_GAP = 24, 4, 5     # short triple used for folds (FIXTURES
 @query("scan_panel_csv", LONG, S.with_(S.hourly()) + "SELECT series, ts, value FROM panel")
 def q_scan_panel_csv(spark, sf):
     path = scratch_path(spark, "panel")
-    io.write_panel(fx.panel_hourly(spark, sf), path)
+    io.write_panel(fx.panel_hourly(spark, sf), path, SERIES)
     return io.read_panel(spark, path)
 
 
@@ -74,10 +78,29 @@ def q_scan_panel_csv(spark, sf):
        S.with_(S.hourly(), S.test_panel()) + "SELECT series, ts, value FROM testp")
 def q_scan_test_csv(spark, sf):
     path = scratch_path(spark, "test")
-    io.write_panel(fx.test_panel(fx.panel_hourly(spark, sf)), path)
+    io.write_panel(fx.test_panel(fx.panel_hourly(spark, sf)), path, SERIES)
     return io.read_test_panel(spark, path)
 
 
+@query("scan_panel_files", LONG, S.with_(S.hourly()) + "SELECT * FROM panel WHERE series IN ('click', 'error', 'purchase') AND day(ts) <= 15 UNION ALL "
+       + "SELECT * FROM panel WHERE series IN ('view', 'purchase', 'signup') AND day(ts) > 15")
+def q_scan_panel_files(spark, sf):
+    # Two wide files in one folder with other columns in another order.
+    p, path = fx.panel_hourly(spark, sf), scratch_path(spark, "files")
+    early = F.dayofmonth("ts") <= 15
+    io.write_panel(p.where(early), path, ["click", "error", "purchase"])
+    io.write_panel(p.where(~early), path, ["view", "purchase", "signup"], mode="append")
+    return io.read_panel(spark, path)
+
+
+@query("sink_panel_groups", LONG, S.with_(S.hourly(series="user_id")) + "SELECT * FROM panel")
+def q_sink_panel_groups(spark, sf):
+    # Every user is a series: more columns than one file takes, in groups.
+    path = scratch_path(spark, "groups")
+    io.write_panel_groups(fx.panel_users(spark, sf), path)
+    return io.read_panel_groups(spark, path)
+
+
 @query("scan_stations", "name:s latitude:d longitude:d",
        "SELECT s_name AS name, s_acctbal AS latitude, CAST(s_nationkey AS DOUBLE) AS longitude FROM supplier")
 def q_scan_stations(spark, sf):
@@ -155,10 +178,10 @@ def q_all_null_rows(spark, sf):
 
 @query("series_columns", "series:s", S.with_(S.hourly()) + "SELECT DISTINCT series FROM panel")
 def q_series_columns(spark, sf):
-    # The series found in a wide file that was written from the panel.
+    # The series that the headers of wide files written from the panel name.
     path = scratch_path(spark, "wide")
-    io.write_panel(fx.panel_hourly(spark, sf), path)
-    return io.read_panel(spark, path).select("series").distinct()
+    io.write_panel(fx.panel_hourly(spark, sf), path, SERIES)
+    return io.panel_series(spark, path)
 
 
 SELECTED = ("click", "purchase", "view")
@@ -174,9 +197,8 @@ def q_select_series(spark, sf):
        S.with_(S.daily()) + f"""SELECT ts, CAST({S.is_holiday('ts')} AS INTEGER) AS is_holiday,
        CAST({S.is_school_holiday('ts')} AS INTEGER) AS is_school_holiday FROM (SELECT DISTINCT ts FROM daily) d""")
 def q_project_attributes(spark, sf):
-    d = fx.panel_daily(spark, sf)
-    wide = panel.to_wide(d)
-    return cal.calendar(wide, "ts").select("ts", "is_holiday", "is_school_holiday")
+    days = fx.panel_daily(spark, sf).select("ts").distinct()
+    return cal.calendar(days, "ts").select("ts", "is_holiday", "is_school_holiday")
 
 
 HOURS_SPEC = "ts:t " + " ".join(f"hour_{h}:i" for h in cal.HOUR_DOMAIN)
@@ -190,9 +212,8 @@ HOURS_SPEC = "ts:t " + " ".join(f"hour_{h}:i" for h in cal.HOUR_DOMAIN)
 def q_align_columns(spark, sf):
     # Observed hour levels, then aligned to the full 24-hour domain.
     d = fx.panel_hourly_sparse(spark, sf).select("ts").distinct()
-    d = d.withColumn("hour", F.hour("ts"))
-    oh = cal.one_hot(d, "hour", domain=None, prefix="hour", drop=True)
-    return panel.align(oh, ["ts"] + [f"hour_{h}" for h in cal.HOUR_DOMAIN], fill=0)
+    levels = cal.one_hot_observed(d.withColumn("hour", F.hour("ts")), "hour")
+    return panel.align_levels(levels, [f"hour_{h}" for h in cal.HOUR_DOMAIN])
 
 
 @query("mask_if", LONG, S.with_(S.hourly())
@@ -224,11 +245,7 @@ def q_cast_features(spark, sf):
 
 @query("wide_to_long", LONG, S.with_(S.hourly()) + "SELECT series, ts, value FROM panel")
 def q_wide_to_long(spark, sf):
-    return panel.to_long(panel.to_wide(fx.panel_hourly(spark, sf)))
-
-
-# The event types, which are the series of the hourly panel.
-SERIES = ("click", "error", "purchase", "signup", "view")
+    return panel.to_long(panel.to_wide(fx.panel_hourly(spark, sf), SERIES))
 
 
 @query("long_to_wide", "ts:t " + " ".join(f"{n}:d" for n in SERIES), S.with_(S.hourly()) + "SELECT ts, "
@@ -280,8 +297,8 @@ def q_easter_date(spark, sf):
     return y.select("year", cal.easter_date("year").alias("easter"))
 
 
-@query("calendar", "ts:t is_holiday:i is_school_holiday:i", S.with_(S.daily(), DAYS)
-       + f"""SELECT ts, CAST({S.is_holiday('ts')} AS INTEGER) AS is_holiday,
+@query("calendar", "ts:t is_weekend:i is_holiday:i is_school_holiday:i", S.with_(S.daily(), DAYS)
+       + f"""SELECT ts, CAST({S.dow('ts')} IN (5, 6) AS INTEGER) AS is_weekend, CAST({S.is_holiday('ts')} AS INTEGER) AS is_holiday,
        CAST({S.is_school_holiday('ts')} AS INTEGER) AS is_school_holiday FROM days""")
 def q_calendar(spark, sf):
     return cal.calendar(fx.panel_daily(spark, sf).select("ts").distinct())
@@ -339,7 +356,7 @@ def q_join_attributes(spark, sf):
        CAST({S.is_school_holiday('ts')} AS INTEGER) AS is_school_holiday FROM (SELECT DISTINCT ts FROM panel) d)""")
        + "SELECT * FROM attrs WHERE ts IN (SELECT ts FROM sparse)")
 def q_semi_timestamps(spark, sf):
-    attrs = cal.calendar(fx.panel_hourly(spark, sf).select("ts").distinct())
+    attrs = cal.calendar(fx.panel_hourly(spark, sf).select("ts").distinct()).drop("is_weekend")
     x = fx.panel_hourly_sparse(spark, sf)
     return joins.semi_timestamps(attrs, x)
 
@@ -354,6 +371,14 @@ def q_row_position(spark, sf):
     return position.with_pos(panel.drop_incomplete(fx.panel_hourly_sparse(spark, sf)))
 
 
+@query("row_position_events", "event_id:i event_type:s pos:i", """SELECT event_id, event_type,
+  row_number() OVER (PARTITION BY event_type ORDER BY ts NULLS FIRST, event_id NULLS FIRST) - 1 AS pos FROM events""")
+def q_row_position_events(spark, sf):
+    # The raw events: an irregular axis, numbered by ranges.
+    ev = spark.read.parquet(f"{sf}/events.parquet").select("event_id", "event_type", "ts")
+    return position.number_rows_by_range(ev, "ts", ["event_type"], ["event_id"])
+
+
 WIN_SPEC = LONG + " pos:i window_id:i offset:i role:s"
 
 
@@ -535,12 +560,14 @@ def q_mse_by_key(spark, sf):
        S.with_(*UNI_CTES) + """SELECT p.series, w.ts, p.horizon, p.prediction FROM pred p
 JOIN win w ON w.series = p.series AND w.window_id = p.window_id AND w."offset" = p.horizon + 48""")
 def q_scatter_predictions(spark, sf):
-    pred = _uni_pred(spark, sf)
+    w = _flag_windows(spark, sf)
+    seq = sequences.sequences(w, train=TRAIN, predict=PREDICT)
+    pred = univariate.predict_univariate(seq, univariate.fit_univariate(seq))
     vec = pred.groupBy("series", "window_id").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("horizon", "prediction"))),
                     lambda s: s["prediction"]).alias("prediction"))
     flat = sequences.explode_horizon(vec)
-    tgt = (_flag_windows(spark, sf).where(F.col("role") == "y")
+    tgt = (w.where(F.col("role") == "y")
            .select("series", "window_id", (F.col("offset") - TRAIN).alias("horizon"), "ts"))
     return flat.join(tgt, ["series", "window_id", "horizon"]).select("series", "ts", "horizon", "prediction")
 
@@ -565,21 +592,22 @@ def q_split_rows(spark, sf):
     return windows.split_rows(fx.panel_hourly(spark, sf))
 
 
-# Four blocks over all windows; ceil(fold * nw / 4) is a block's first window.
+# Five blocks over all windows of the daily panel; ceil(fold * nw / 5) is a block's first window.
+DAILY_CTES = [S.daily("orders_daily"), "panel AS (SELECT series, ts, value / 1e6 AS value FROM orders_daily)"]
 FOLD_SQL = ["foldcount AS (SELECT max(window_id) + 1 AS nw FROM win)",
-             """folded AS (SELECT win.*, nw, CAST(window_id * 4 // nw AS INTEGER) AS fold FROM win, foldcount)""",
-             """placed AS (SELECT *, (fold * nw + 3) // 4 AS first_window,
-  ((fold + 1) * nw + 3) // 4 - (fold * nw + 3) // 4 AS block_size FROM folded)""",
+             f"""folded AS (SELECT win.*, nw, CAST(window_id * {FOLDS} // nw AS INTEGER) AS fold FROM win, foldcount)""",
+             f"""placed AS (SELECT *, (fold * nw + {FOLDS - 1}) // {FOLDS} AS first_window,
+  ((fold + 1) * nw + {FOLDS - 1}) // {FOLDS} - (fold * nw + {FOLDS - 1}) // {FOLDS} AS block_size FROM folded)""",
              """folds AS (SELECT * EXCLUDE (nw, first_window, block_size),
   CASE WHEN window_id - first_window < greatest(1, least(block_size - 1, floor(block_size * 0.8)))
        THEN 'train' ELSE 'val' END AS fold_role FROM placed)"""]
-FOLD_CTES = [S.hourly(), S.with_pos("pp", "panel"), S.gap_windows("win", "pp", S_TRAIN, S_PREDICT, S_GAP),
+FOLD_CTES = [*DAILY_CTES, S.with_pos("pp", "panel"), S.gap_windows("win", "pp", TRAIN, PREDICT, GAP),
              *FOLD_SQL]
 
 
 def _folds(spark, sf):
-    w = windows.gap_windows(fx.panel_hourly(spark, sf), S_TRAIN, S_PREDICT, S_GAP)
-    return windows.blocked_folds(w, k=4, train_share=0.8)
+    w = windows.gap_windows(fx.panel_daily_millions(spark, sf), TRAIN, PREDICT, GAP)
+    return windows.blocked_folds(w, k=FOLDS, train_share=0.8)
 
 
 @query("blocked_folds", "series:s ts:t window_id:i role:s fold:i fold_role:s",
@@ -619,8 +647,8 @@ CV_GRID_SQL = "cvgrid AS (SELECT * FROM (VALUES " + ", ".join(
     f"({i + 1}, '{k}', {l2!r})" for i, (k, l2) in enumerate(
         (k, l2) for k in UNI_GRID["kind"] for l2 in UNI_GRID["l2"])) + ") g(config_id, kind, l2))"
 
-CV_CTES = [S.hourly(), S.drop_incomplete("di", "panel"), S.with_pos("pp", "di"),
-           S.gap_windows("win", "pp", S_TRAIN, S_PREDICT, S_GAP),
+CV_CTES = [*DAILY_CTES, S.drop_incomplete("di", "panel"), S.with_pos("pp", "di"),
+           S.gap_windows("win", "pp", TRAIN, PREDICT, GAP),
            *FOLD_SQL,
            CV_GRID_SQL,
            """cvstats AS (SELECT series, fold, avg(value) AS mean,
@@ -630,7 +658,7 @@ CV_CTES = [S.hourly(), S.drop_incomplete("di", "panel"), S.with_pos("pp", "di"),
            f"""cvseq AS (SELECT * FROM (SELECT series, fold, fold_role, window_id,
     list(scaled ORDER BY "offset") FILTER (WHERE role = 'x') AS x,
     list(value ORDER BY "offset") FILTER (WHERE role = 'y') AS y
-  FROM cvscaled GROUP BY series, fold, fold_role, window_id) g WHERE len(x) = {S_TRAIN} AND len(y) = {S_PREDICT})""",
+  FROM cvscaled GROUP BY series, fold, fold_role, window_id) g WHERE len(x) = {TRAIN} AND len(y) = {PREDICT})""",
            """cvrows AS (SELECT s.series, s.fold, s.fold_role, s.window_id, g.config_id, g.kind, g.l2,
     CASE WHEN g.kind = 'last' THEN s.x[len(s.x)] ELSE list_sum(s.x) / len(s.x) END AS feature,
     unnest(s.y) AS target, CAST(generate_subscripts(s.y, 1) - 1 AS INTEGER) AS horizon
@@ -654,9 +682,9 @@ SCORE_SPEC = "config_id:i kind:s l2:d mse:d mse_std:d folds:i"
 
 
 def _uni_cv(spark, sf):
-    grid = joins.param_grid(spark, UNI_GRID)
-    return univariate.cross_validate_univariate(fx.panel_hourly(spark, sf), grid, S_TRAIN, S_PREDICT, S_GAP,
-                                                k=4, train_share=0.8)
+    grid = joins.param_rows(UNI_GRID)
+    return univariate.cross_validate_univariate(fx.panel_daily_millions(spark, sf), grid, TRAIN, PREDICT, GAP,
+                                                k=FOLDS, train_share=0.8)
 
 
 @query("config_fold_series", "config_id:i kind:s l2:d fold:i series:s train_windows:i val_windows:i",
@@ -665,7 +693,7 @@ FROM (SELECT fold, series, count(DISTINCT window_id) FILTER (WHERE fold_role = '
              count(DISTINCT window_id) FILTER (WHERE fold_role = 'val') AS val_windows
       FROM folds GROUP BY fold, series) f, cvgrid g""")
 def q_config_fold_series(spark, sf):
-    grid = joins.param_grid(spark, UNI_GRID)
+    grid = joins.param_rows(UNI_GRID)
     fs = (_folds(spark, sf).groupBy("fold", "series")
           .agg(F.count_distinct(F.when(F.col("fold_role") == "train", F.col("window_id"))).alias("train_windows"),
                F.count_distinct(F.when(F.col("fold_role") == "val", F.col("window_id"))).alias("val_windows")))
@@ -710,13 +738,13 @@ HISTORY_CTES = [S.hourly(), S.with_pos("allpos", "panel"),
                 "hist AS (SELECT series, ts, value FROM allpos, cut WHERE pos < c)",
                 "later AS (SELECT series, ts, value FROM allpos, cut WHERE pos >= c)",
                 S.test_panel(src="later")]
+PB_TB = """tb AS (SELECT tp.*, pos // 52 AS block_id, CAST(pos % 52 AS INTEGER) AS "offset",
+    CASE WHEN pos % 52 < 48 THEN 'x' ELSE 'y' END AS role FROM tp)"""
+PB_TBS = "tbs AS (SELECT tb.*, (tb.value - st.mean) / st.std AS scaled FROM tb LEFT JOIN stats st USING (series))"
 PB_CTES = HISTORY_CTES + [S.drop_incomplete("di", "hist"), S.with_pos("pp", "di"),
                        S.gap_windows("win", "pp", TRAIN, PREDICT, GAP), S.scaler("stats", "scaled", "win"),
                        S.sequences("seq", "scaled"), S.horizon_rows("hr", "seq"), S.univariate_fit("model", "hr"),
-                       S.with_pos("tp", "testp"),
-                       """tb AS (SELECT tp.*, pos // 52 AS block_id, CAST(pos % 52 AS INTEGER) AS "offset",
-    CASE WHEN pos % 52 < 48 THEN 'x' ELSE 'y' END AS role FROM tp)""",
-                       "tbs AS (SELECT tb.*, (tb.value - st.mean) / st.std AS scaled FROM tb LEFT JOIN stats st USING (series))",
+                       S.with_pos("tp", "testp"), PB_TB, PB_TBS,
                        """tseq AS (SELECT * FROM (SELECT series, block_id,
     list(scaled ORDER BY "offset") FILTER (WHERE role = 'x') AS x FROM tbs GROUP BY series, block_id) g
   WHERE len(x) = 48)""",
@@ -749,7 +777,7 @@ def q_predict_blocks(spark, sf):
        + ", ".join(f"max(CASE WHEN series = '{n}' THEN prediction END) AS {n}" for n in SERIES) + " FROM bpred GROUP BY timestamp")
 def q_sink_predictions(spark, sf):
     path = scratch_path(spark, "pred")
-    io.write_predictions(_block_pred(*_history_and_test(spark, sf)).select("series", "ts", "prediction"), path)
+    io.write_predictions(_block_pred(*_history_and_test(spark, sf)).select("series", "ts", "prediction"), path, SERIES)
     return spark.read.option("header", True).csv(path)
 
 
@@ -768,54 +796,145 @@ def q_unmatched_predictions(spark, sf):
     return joins.unmatched(pred, fx.panel_hourly_sparse(spark, sf))
 
 
-# ---------------------------------------------------------------- 2.9 lag models (rows-only checks)
+# ---------------------------------------------------------------- 2.9 lag models
 
 LAG_GRID = {"l2": [0.1, 1.0, 10.0]}
+TWO_GRID = {"l2": [0.1, 1.0, 10.0], "l2_attr": [1.0, 10.0]}
+PRED_SPEC = "series:s block_id:i horizon:i ts:t prediction:d"
+# The inputs of each penalty: all, or the 48 values and the 48 x 45 calendar attributes.
+ONE, TWO = {"l2": ""}, {"l2": f"[1:{TRAIN}]", "l2_attr": f"[{TRAIN + 1}:]"}
+HOUR_ATTRS = f"attrs AS (SELECT ts, [{ARR}] AS attrs FROM (SELECT ts, {S.attribute_select('ts')} FROM (SELECT DISTINCT ts FROM panel) d) e)"
 
 
-def _lag_blocks(spark, sf, layout):
-    history, test = _history_and_test(spark, sf)
-    model, stats = lagmodels.fit_lags(history, layout, TRAIN, PREDICT, GAP, l2=1.0, l2_attr=10.0)
-    return lagmodels.predict_blocks(test, model, stats, layout, TRAIN, PREDICT)
+def _hourly_inputs(name, src, keys, attrs=True, with_y=True):
+    """Windows of ``src`` (scaled, offset, role) with all inputs in one list."""
+    x = "list(scaled ORDER BY \"offset\") FILTER (WHERE role = 'x')"
+    if attrs:
+        x = f"list_concat({x}, flatten(list(attrs ORDER BY \"offset\") FILTER (WHERE role = 'x')))"
+    y = ", list(value ORDER BY \"offset\") FILTER (WHERE role = 'y') AS y" if with_y else ""
+    whole = f" AND len(y) = {PREDICT}" if with_y else ""
+    return f"""{name} AS (SELECT * FROM (SELECT {keys}, {x} AS x{y} FROM {src}{' LEFT JOIN attrs USING (ts)' if attrs else ''} GROUP BY {keys}) g
+  WHERE len(x) = {TRAIN * (46 if attrs else 1)}{whole})"""
 
 
-PRED_SPEC = "series:s block_id:i horizon:i ts:t prediction:d"
+def _blocks_sql(families, config, attrs):
+    """Ridge on the windows of the first half, predicted blocks of the second."""
+    params = ", ".join(config)
+    return S.with_(*PB_CTES[:len(HISTORY_CTES)], *PB_CTES[len(HISTORY_CTES):len(HISTORY_CTES) + 4], S.with_pos("tp", "testp"), PB_TB, PB_TBS, HOUR_ATTRS,
+                   _hourly_inputs("train", "scaled", "series, window_id", attrs), _hourly_inputs("target", "tbs", "series, block_id", attrs, False),
+                   S.configs([config]), S.dual_ridge("r", "train", "series", families, params), S.dual_predict("rp", "r", "target", "series", families, params, "block_id")) + """
+SELECT p.series, p.block_id, p.horizon, t.ts, p.prediction FROM rp p JOIN tb t ON t.series = p.series AND t.block_id = p.block_id AND t."offset" = p.horizon + 48"""
+
+
+def _lag_blocks(spark, sf, layout, **how):
+    history, test = _history_and_test(spark, sf)
+    model, stats = lagmodels.fit_lags(history, layout, TRAIN, PREDICT, GAP, l2=1.0, l2_attr=10.0, **how)
+    return lagmodels.predict_blocks(test, model, stats, layout, TRAIN, PREDICT)
 
 
-@query("forecast_lags", PRED_SPEC)
+@query("forecast_lags", PRED_SPEC, _blocks_sql(ONE, {"l2": 1.0}, False))
 def q_forecast_lags(spark, sf):
     return _lag_blocks(spark, sf, "lags")
 
 
-@query("forecast_lags_calendar", PRED_SPEC)
+@query("forecast_lags_calendar", PRED_SPEC, _blocks_sql(ONE, {"l2": 1.0}, True))
 def q_forecast_lags_calendar(spark, sf):
-    return _lag_blocks(spark, sf, "lags_calendar")
+    # All 48 x 46 inputs, solved window by window.
+    return _lag_blocks(spark, sf, "hourly_calendar")
 
 
-@query("forecast_two_family", PRED_SPEC)
+@query("forecast_two_family", PRED_SPEC, _blocks_sql(TWO, {"l2": 1.0, "l2_attr": 10.0}, True))
 def q_forecast_two_family(spark, sf):
-    return _lag_blocks(spark, sf, "two_family")
+    # The same inputs with a penalty per family, by conjugate gradients.
+    return _lag_blocks(spark, sf, "hourly_two_family", matrix_free=True)
+
 
+HOLDOUT_SQL = S.with_(S.hourly(), S.drop_incomplete("di", "panel"), S.with_pos("pp", "di"), S.gap_windows("win", "pp", TRAIN, PREDICT, GAP),
+                      """split AS (SELECT *, CASE WHEN window_id < floor((SELECT count(DISTINCT window_id) FROM win) * 0.8) THEN 'train' ELSE 'val' END AS split FROM win)""",
+                      """sstats AS (SELECT series, avg(value) AS mean, CASE WHEN stddev_pop(value) IS NULL OR stddev_pop(value) <= 1e-12 THEN 1.0 ELSE stddev_pop(value) END AS std
+  FROM split WHERE role = 'x' AND split = 'train' GROUP BY series)""",
+                      "sscaled AS (SELECT s.*, (s.value - t.mean) / t.std AS scaled FROM split s LEFT JOIN sstats t USING (series))",
+                      _hourly_inputs("sseq", "sscaled", "series, split, window_id", False),
+                      "train AS (SELECT * FROM sseq WHERE split = 'train')", "target AS (SELECT series, window_id, x, y FROM sseq WHERE split = 'val')",
+                      S.configs([{"l2": 1.0}]), S.dual_ridge("r", "train", "series", ONE, "l2"), S.dual_predict("rp", "r", "target", "series", ONE, "l2", "window_id")) + """
+SELECT series, avg(pow(prediction - y[horizon + 1], 2)) AS mse, count(*) AS n FROM rp JOIN target USING (series, window_id) GROUP BY series"""
 
-@query("holdout_scores", "series:s mse:d n:i")
+
+@query("holdout_scores", "series:s mse:d n:i", HOLDOUT_SQL)
 def q_holdout_scores(spark, sf):
     # Trained on the first 80 % of the windows, scored on the rest.
     return lagmodels.holdout_scores(fx.panel_hourly(spark, sf), "lags", TRAIN, PREDICT, GAP, l2=1.0)[0]
 
 
-@query("cross_validate_two_family", "config_id:i l2:d l2_attr:d mse:d mse_std:d folds:i")
-def q_cross_validate_two_family(spark, sf):
-    # Separate penalties for the lags and for the calendar of the target hour.
-    grid = joins.param_grid(spark, {"l2": [0.1, 1.0, 10.0], "l2_attr": [1.0, 10.0]})
-    return lagmodels.cross_validate(fx.panel_hourly(spark, sf), grid, "two_family", S_TRAIN, S_PREDICT, S_GAP,
-                                    k=4, train_share=0.8)[1]
+def _cv_sql(ctes, families, rows, attrs):
+    params = ", ".join(rows[0])
+    return S.with_(*ctes, HOUR_ATTRS, _hourly_inputs("fseq", "cvscaled", "series, fold, fold_role, window_id", attrs),
+                   "train AS (SELECT * FROM fseq WHERE fold_role = 'train')", "target AS (SELECT series, fold, window_id, x, y FROM fseq WHERE fold_role = 'val')",
+                   S.configs(rows), S.dual_ridge("r", "train", "series, fold", families, params), S.dual_predict("rp", "r", "target", "series, fold", families, params, "window_id"),
+                   f"""rfold AS (SELECT {params}, fold, avg(pow(prediction - y[horizon + 1], 2)) AS mse FROM rp JOIN target USING (series, fold, window_id) GROUP BY {params}, fold)""") + f"""
+SELECT {params}, avg(mse) AS mse, stddev_pop(mse) AS mse_std, count(mse) AS folds FROM rfold GROUP BY {params}"""
 
 
-@query("cross_validate", "config_id:i l2:d mse:d mse_std:d folds:i")
+CV_HEAD = CV_CTES[:CV_CTES.index(CV_GRID_SQL)] + CV_CTES[CV_CTES.index(CV_GRID_SQL) + 1:CV_CTES.index(CV_GRID_SQL) + 3]
+
+
+@query("cross_validate", "config_id:i l2:d mse:d mse_std:d folds:i", _cv_sql(CV_HEAD, ONE, joins.param_rows(LAG_GRID), False))
 def q_cross_validate(spark, sf):
-    grid = joins.param_grid(spark, LAG_GRID)
-    return lagmodels.cross_validate(fx.panel_hourly(spark, sf), grid, "lags", S_TRAIN, S_PREDICT, S_GAP,
-                                    k=4, train_share=0.8)[1]
+    return lagmodels.cross_validate(fx.panel_daily_millions(spark, sf), joins.param_rows(LAG_GRID), "lags", TRAIN, PREDICT, GAP, k=FOLDS)[1]
+
+
+@query("cross_validate_calendar", "config_id:i l2:d mse:d mse_std:d folds:i", _cv_sql(CV_HEAD, ONE, joins.param_rows(LAG_GRID), True))
+def q_cross_validate_calendar(spark, sf):
+    return lagmodels.cross_validate(fx.panel_daily_millions(spark, sf), joins.param_rows(LAG_GRID), "hourly_calendar", TRAIN, PREDICT, GAP, k=FOLDS)[1]
+
+
+@query("cross_validate_two_family", "config_id:i l2:d l2_attr:d mse:d mse_std:d folds:i", _cv_sql(CV_HEAD, TWO, joins.param_rows(TWO_GRID), True))
+def q_cross_validate_two_family(spark, sf):
+    # Separate penalties for the values and for the calendar of the input days.
+    return lagmodels.cross_validate(fx.panel_daily_millions(spark, sf), joins.param_rows(TWO_GRID), "hourly_two_family", TRAIN, PREDICT, GAP, k=FOLDS)[1]
+
+
+LOO_CTES = [*DAILY_CTES, S.drop_incomplete("di", "panel"), S.with_pos("pp", "di"), S.gap_windows("win", "pp", TRAIN, PREDICT, GAP), S.scaler("stats", "scaled", "win"),
+            _hourly_inputs("all_windows", "scaled", "series, window_id", False),
+            # One fold per left-out window.
+            "lseq AS (SELECT a.series, h.window_id AS fold, a.window_id, a.window_id = h.window_id AS out, a.x, a.y FROM all_windows a JOIN all_windows h USING (series))",
+            "train AS (SELECT * FROM lseq WHERE NOT out)", "target AS (SELECT series, fold, window_id, x, y FROM lseq WHERE out)"]
+
+
+@query("leave_one_out", "series:s config_id:i l2:d loo_mse:d n:i", S.with_(
+    *LOO_CTES, S.configs(joins.param_rows(LAG_GRID)), S.dual_ridge("r", "train", "series, fold", ONE, "config_id, l2"),
+    S.dual_predict("rp", "r", "target", "series, fold", ONE, "config_id, l2", "window_id").replace("greatest(any_value(ym[h]) + sum(a * k), 0)", "any_value(ym[h]) + sum(a * k)")) + """
+SELECT series, config_id, l2, avg(pow(prediction - y[horizon + 1], 2)) AS loo_mse, count(DISTINCT window_id) AS n FROM rp JOIN target USING (series, fold, window_id) GROUP BY ALL""")
+def q_leave_one_out(spark, sf):
+    # Leave-one-window-out error of every penalty from one decomposition per series.
+    return lagmodels.leave_one_out(fx.panel_daily_millions(spark, sf), joins.param_rows(LAG_GRID), "lags", TRAIN, PREDICT, GAP)
+
+
+# Many series: every user is one.
+
+USERS = S.hourly(series="user_id")
+
+
+@query("lag_join_users", LAGGED_SPEC, S.with_(USERS, LAGGED_SQL.replace("sparse", "panel")) + "SELECT * FROM lagged")
+def q_lag_join_users(spark, sf):
+    return lags.lag_features(fx.panel_users(spark, sf), [1, 2])
+
+
+@query("forecast_lags_users", PRED_SPEC, _blocks_sql(ONE, {"l2": 1.0}, False).replace(S.hourly(), USERS))
+def q_forecast_lags_users(spark, sf):
+    s = materialize(windows.split_rows(fx.panel_users(spark, sf), HISTORY_SHARE))
+    part = lambda name: s.where(F.col("split") == name).select("series", "ts", "value")
+    model, stats = lagmodels.fit_lags(part("train"), "lags", TRAIN, PREDICT, GAP, l2=1.0)
+    return lagmodels.predict_blocks(fx.test_panel(part("val")), model, stats, "lags", TRAIN, PREDICT)
+
+
+USER_FOLDS = 4  # nine windows
+USER_CV = [USERS, *[c.replace(f"* {FOLDS}", f"* {USER_FOLDS}").replace(f"// {FOLDS}", f"// {USER_FOLDS}").replace(f"+ {FOLDS - 1})", f"+ {USER_FOLDS - 1})") for c in CV_HEAD[len(DAILY_CTES):]]]
+
+
+@query("cross_validate_users", "config_id:i l2:d mse:d mse_std:d folds:i", _cv_sql(USER_CV, ONE, joins.param_rows(LAG_GRID), False))
+def q_cross_validate_users(spark, sf):
+    return lagmodels.cross_validate(fx.panel_users(spark, sf), joins.param_rows(LAG_GRID), "lags", TRAIN, PREDICT, GAP, k=USER_FOLDS)[1]
 
 
 # ---------------------------------------------------------------- 2.9 recursive fill, all-series model
@@ -839,8 +958,7 @@ REC_UNION = " UNION ALL ".join(f"SELECT * FROM r{k}" for k in range(1, REC_STEPS
 
 def _recursive(history, test):
     from hourglass.plans import recursive
-    model = recursive.lag1_linear_model(history)
-    return recursive.recursive_fill(test, recursive.lag1_predictor(model), steps=REC_STEPS)
+    return recursive.recursive_fill_lag1(test, recursive.lag1_linear_model(history), steps=REC_STEPS)
 
 
 @query("forecast_recursive", "step:i series:s ts:t prediction:d",
@@ -890,6 +1008,28 @@ def q_forecast_all_series(spark, sf):
     return _global(spark, sf)[1]
 
 
+@query("forecast_all_series_users", "series:s mse:d n:i")
+def q_forecast_all_series_users(spark, sf):
+    # As many targets as users, all from one Gram matrix.
+    from hourglass.plans import global_model
+    return global_model.fit_global(fx.panel_users(spark, sf), l1=1e-2)[1]
+
+
+@query("forecast_all_series_trees", "series:s mse:d n:i mse_linear:d")
+def q_forecast_all_series_trees(spark, sf):
+    # Held-out error of boosted trees beside that of the L1 regressions.
+    from hourglass.plans import global_model, trees
+    p = fx.panel_hourly(spark, sf)
+    linear = global_model.fit_global(p, l1=1e-3)[1].select("series", F.col("mse").alias("mse_linear"))
+    return trees.fit_trees(p)[1].join(linear, "series")
+
+
+@query("feature_importance_trees", "feature:s importance:d")
+def q_feature_importance_trees(spark, sf):
+    from hourglass.plans import trees
+    return trees.fit_trees(fx.panel_hourly(spark, sf))[2]
+
+
 @query("feature_importance", "feature:s importance:d")
 def q_feature_importance(spark, sf):
     from hourglass.plans import global_model
@@ -904,11 +1044,42 @@ def q_top_weights(spark, sf):
     return global_model.feature_importance(model, global_model.feature_names(names), k=11)
 
 
-@query("attribution", "series:s feature:i mean_abs_contribution:d rank:i")
-def q_attribution(spark, sf):
+ATTRIBUTION_CTES = [S.hourly(), S.drop_incomplete("di", "panel"), S.with_pos("pp", "di"), S.gap_windows("win", "pp", TRAIN, PREDICT, GAP), S.scaler("stats", "scaled", "win")]
+# Weight of every input: the dual weights on the windows, over the penalty; contributions are |f - mean| times the mean size of the weights.
+ATTRIBUTION_SQL = """cells AS (SELECT al.series, generate_subscripts(al.x, 1) AS i, unnest(al.x) AS v, al.i AS w, al.a FROM r_alpha al),
+weights AS (SELECT series, i, h, sum(v * a[h] / {l2}) AS coef FROM (SELECT *, unnest(generate_series(1, 4)) AS h FROM cells) e GROUP BY series, i, h),
+sizes AS (SELECT series, i, avg(abs(coef)) AS size FROM weights GROUP BY series, i),
+means AS (SELECT series, i, avg(v) AS fmean FROM cells GROUP BY series, i),
+per_place AS (SELECT c.series, c.i, avg(abs(c.v - m.fmean)) * any_value(s.size) AS part FROM cells c JOIN means m USING (series, i) JOIN sizes s USING (series, i) GROUP BY c.series, c.i)"""
+
+
+def _attribution(spark, sf, layout, names=None, top=10):
     from hourglass.plans import global_model
     p = fx.panel_hourly(spark, sf)
-    model, stats = lagmodels.fit_lags(p, "lags", TRAIN, PREDICT, GAP, l2=1.0)
+    model, stats = lagmodels.fit_lags(p, layout, TRAIN, PREDICT, GAP, l2=1.0)
     w = windows.gap_windows(panel.drop_incomplete(p), TRAIN, PREDICT, GAP)
-    smp = lagmodels.samples(scale.apply_scaler(w, stats), "lags", ["series"], TRAIN, PREDICT)
-    return global_model.attribution(smp, model, ["series"])
+    smp = lagmodels.samples(scale.apply_scaler(w, stats), layout, ["series"], TRAIN, PREDICT)
+    return global_model.attribution(smp, model, ["series"], top, names)
+
+
+@query("attribution", "series:s feature:i mean_abs_contribution:d rank:i", S.with_(
+    *ATTRIBUTION_CTES, HOUR_ATTRS, _hourly_inputs("train", "scaled", "series, window_id", False), S.configs([{"l2": 1.0}]),
+    S.dual_ridge("r", "train", "series", ONE, "l2"), ATTRIBUTION_SQL.format(l2="al.l2").replace("/ al.l2", "/ 1.0")) + """
+SELECT * FROM (SELECT series, i - 1 AS feature, part AS mean_abs_contribution, row_number() OVER (PARTITION BY series ORDER BY part DESC, i) AS rank FROM per_place) t WHERE rank <= 10""")
+def q_attribution(spark, sf):
+    return _attribution(spark, sf, "lags")
+
+
+#: Of every input the feature it belongs to: the value, or a calendar attribute, at each of the 48 hours.
+INPUT_NAMES = ["value"] * TRAIN + list(cal.ATTRIBUTE_NAMES) * TRAIN
+INPUT_NAMES_SQL = "[" + ", ".join(f"'{n}'" for n in cal.ATTRIBUTE_NAMES) + "]"
+
+
+@query("attribution_calendar", "series:s feature:s mean_abs_contribution:d", S.with_(
+    *ATTRIBUTION_CTES, HOUR_ATTRS, _hourly_inputs("train", "scaled", "series, window_id", True), S.configs([{"l2": 1.0}]),
+    S.dual_ridge("r", "train", "series", ONE, "l2"), ATTRIBUTION_SQL.format(l2="1.0"),
+    f"""named AS (SELECT series, CASE WHEN i <= {TRAIN} THEN 'value' ELSE {INPUT_NAMES_SQL}[(i - {TRAIN} - 1) % 45 + 1] END AS feature, avg(part) AS part FROM per_place GROUP BY 1, 2)""") + """
+SELECT series, feature, part AS mean_abs_contribution FROM named""")
+def q_attribution_calendar(spark, sf):
+    # The joined features, each averaged over the 48 hours.
+    return _attribution(spark, sf, "hourly_calendar", INPUT_NAMES, top=None)

@@ -12,10 +12,12 @@ all ``q`` horizons at once.  The fit needs only
    ``sum`` aggregates keyed by ``(key, chunk)``: map-side combine, and the
    reduction key spreads a hot series over many reducers.
 3. A per-key solve (``mapInPandas`` again) turns the summed statistics into
-   intercepts and coefficients.  Its input is one row per key (x configs),
-   sized by the model width, never by the data.
+   intercepts and coefficients.  Its input is one row per key, sized by the
+   model width, never by the data; one eigendecomposition per key serves all
+   penalties of a grid.
 
-Penalties (ridge ``l2`` per feature family) enter only in step 3, so a parameter grid multiplies the tiny solve stage, not the data.
+Penalties (ridge ``l2`` per feature family) enter only in step 3, so a
+parameter grid multiplies neither the data nor the decomposition.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hourglass.functions.numeric import clip_floor
-from hourglass.operators.joins import per_key_join, with_grid
+from hourglass.operators.joins import grid_rows, per_key_join
 
 
 def _tri(p: int) -> int:
@@ -136,45 +138,58 @@ def _unpack(stats: np.ndarray, p: int, q: int):
     return n, sx, sy, xtx, xty
 
 
-def solve_ridge(stats: np.ndarray, p: int, q: int, penalty: np.ndarray):
-    """Ridge with an unpenalized intercept: ``(S_ff + diag(penalty)) b = S_fy``."""
+def solve_ridge(stats: np.ndarray, p: int, q: int, penalties: Sequence[np.ndarray]):
+    """Ridge with an unpenalized intercept, ``(S_ff + diag(penalty)) b = S_fy``, for every penalty vector.
+
+    Penalties that are multiples of one another share one eigendecomposition
+    of the scaled matrix, so a further config of a grid costs two products.  A
+    penalty with a zero is solved directly.
+    """
     n, sx, sy, xtx, xty = _unpack(stats, p, q)
     if n < 1:
-        return None
+        return
     mx, my = sx / n, sy / n
     sxx = xtx - n * np.outer(mx, mx)
     sxy = xty - n * np.outer(mx, my)
-    a = sxx + np.diag(penalty)
-    try:
-        coef = np.linalg.solve(a, sxy)
-    except np.linalg.LinAlgError:
-        coef = np.linalg.lstsq(a, sxy, rcond=None)[0]
-    intercept = my - mx @ coef
-    return intercept, coef
+    known: dict[bytes, tuple] = {}
+    for penalty in penalties:
+        if p and penalty.min() > 0:
+            scale = (penalty / penalty[0]) ** -0.5
+            if scale.tobytes() not in known:
+                values, vectors = np.linalg.eigh(sxx * np.outer(scale, scale))
+                known[scale.tobytes()] = (np.maximum(values, 0.0), scale[:, None] * vectors, vectors.T @ (scale[:, None] * sxy))
+            values, vectors, turned = known[scale.tobytes()]
+            coef = vectors @ (turned / (values + penalty[0])[:, None])
+        else:
+            a = sxx + np.diag(penalty)
+            try:
+                coef = np.linalg.solve(a, sxy)
+            except np.linalg.LinAlgError:
+                coef = np.linalg.lstsq(a, sxy, rcond=None)[0]
+        yield my - mx @ coef, coef
 
 
 def solve(summed: DataFrame, keys: Sequence[str], p: int, q: int, families: Sequence[int] | None = None,
-          param_cols: Sequence[str] = ("l2",),
-          carry: Sequence[str] = ()) -> DataFrame:
-    """Model rows ``(keys, params..., horizon, intercept, coef, fmean, n)`` per key and config.
+          param_cols: Sequence[str] = ("l2",), configs: Sequence[dict] = ({"l2": 1.0},)) -> DataFrame:
+    """Model rows ``(keys, config columns, horizon, intercept, coef, fmean, n)`` per key and config.
 
     ``coef`` is in the unit of the inputs, ``fmean`` the training mean of each input.
 
     ``families`` splits the ``p`` features into consecutive blocks, each
     with its own penalty column of ``param_cols`` (two-family model).
     """
-    keys = list(keys) + [c for c in carry if c not in param_cols]
-    param_cols = list(param_cols)
-    families = list(families) if families else [p]
+    keys, families = list(keys), list(families) if families else [p]
     if sum(families) != p:
         raise ValueError("families must add up to p")
-    key_fields = [summed.schema[k] for k in keys + param_cols]
-    schema = T.StructType(key_fields + [
+    names = list(configs[0])
+    params = [T.StructField(c, T.StringType() if isinstance(configs[0][c], str) else T.DoubleType() if isinstance(configs[0][c], float) else T.LongType()) for c in names]
+    schema = T.StructType([summed.schema[k] for k in keys] + params + [
         T.StructField("horizon", T.IntegerType()),
         T.StructField("intercept", T.DoubleType()),
         T.StructField("coef", T.ArrayType(T.DoubleType())),
         T.StructField("fmean", T.ArrayType(T.DoubleType())),
         T.StructField("n", T.LongType())])
+    penalties = [np.concatenate([np.full(size, float(c[name])) for size, name in zip(families, param_cols)]) for c in configs]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -182,19 +197,11 @@ def solve(summed: DataFrame, keys: Sequence[str], p: int, q: int, families: Sequ
             for rec in pdf.itertuples(index=False):
                 r = rec._asdict()
                 stats = np.asarray(r["stats"], dtype=np.float64)
-                pen = np.concatenate([np.full(size, float(r[c])) for size, c in zip(families, param_cols)])
-                res = solve_ridge(stats, p, q, pen)
-                if res is None:
-                    continue
-                b0, coef = res
-                fmean = (stats[1:1 + p] / stats[0]).tolist()
-                for h in range(q):
-                    row = {k: r[k] for k in keys + param_cols}
-                    row.update(horizon=h, intercept=float(b0[h]), coef=coef[:, h].tolist(),
-                               fmean=fmean, n=int(stats[0]))
-                    rows.append(row)
+                fmean = (stats[1:1 + p] / max(stats[0], 1.0)).tolist()
+                for config, (b0, coef) in zip(configs, solve_ridge(stats, p, q, penalties)):
+                    rows += [(*[r[k] for k in keys], *[config[c] for c in names], h, float(b0[h]), coef[:, h].tolist(), fmean, int(stats[0])) for h in range(q)]
             if rows:
-                yield pd.DataFrame(rows, columns=[f.name for f in schema.fields])
+                yield pd.DataFrame(rows, columns=schema.names)
 
     return summed.mapInPandas(run, schema)
 
@@ -202,7 +209,7 @@ def solve(summed: DataFrame, keys: Sequence[str], p: int, q: int, families: Sequ
 BUCKET_WINDOWS = 256
 
 
-def fit_direct(samples: DataFrame, keys: Sequence[str], p: int, q: int, grid: DataFrame | None = None,
+def fit_direct(samples: DataFrame, keys: Sequence[str], p: int, q: int, grid: DataFrame | Sequence[dict] | None = None,
                l2: float = 1.0, families: Sequence[int] | None = None,
                param_cols: Sequence[str] = ("l2",), window: str | None = None) -> DataFrame:
     """Fit one direct model per key (and per grid config) on samples with ``f`` and ``y`` arrays.
@@ -216,13 +223,8 @@ def fit_direct(samples: DataFrame, keys: Sequence[str], p: int, q: int, grid: Da
         run = F.floor(F.col(window) / F.lit(BUCKET_WINDOWS))
         samples = samples.select(*keys, "f", "y", run.alias("_run")).repartition(*keys, "_run")
     summed = summed_stats(partial_stats(samples, keys, p, q), keys)
-    if grid is None:
-        summed = summed.withColumns({c: F.lit(float(l2)) for c in param_cols})
-        carry = []
-    else:
-        summed = with_grid(summed, grid)
-        carry = [c for c in grid.columns if c not in param_cols]
-    return solve(summed, keys, p, q, families, param_cols, carry)
+    configs = grid_rows(grid) if grid is not None else [{c: float(l2) for c in param_cols}]
+    return solve(summed, keys, p, q, families, param_cols, configs)
 
 
 def predict_direct(samples: DataFrame, model: DataFrame, keys: Sequence[str],

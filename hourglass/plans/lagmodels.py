@@ -1,16 +1,23 @@
 """Per-series lag models: samples, final fit, test-block prediction, blocked CV.
 
-Three input layouts, one solver (``hourglass.plans.direct``):
+Input layouts:
 
 * ``lags``: the 48 scaled input values; one model per series for all horizons.
-* ``lags_calendar``: the same followed by the 45 calendar attributes of the
-  target hour (one penalty).  The attributes differ between horizons, so
-  there is one model per series and horizon.
-* ``two_family``: the same vector, but lags and calendar carry separate
-  penalties (block-diagonal ridge).
-
-The calendar family uses the attributes of the predicted hour only, which
-keeps the model width at 93 instead of 48 x 46.
+* ``hourly_calendar``: the 48 values and the 45 calendar attributes of each of
+  the 48 input hours, 2,208 inputs with one penalty.
+* ``hourly_two_family``: the same inputs; values and calendar carry separate
+  penalties.
+* ``lags_calendar``: the 48 values and the 45 attributes of the target hour.
+  The attributes differ between horizons, so there is one model per series
+  and horizon.
+* ``two_family``: the same vector with separate penalties.
+
+Layouts with a few dozen inputs are solved from sufficient statistics
+(``hourglass.plans.direct``), the hourly ones window by window
+(``hourglass.plans.kernel``) or by conjugate gradients
+(``hourglass.plans.conjugate``).  Calendar attributes of input hours are
+computed from the window's timestamps after the windows are gathered, so they
+are never shuffled.
 """
 
 from __future__ import annotations
@@ -21,21 +28,31 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hourglass.functions.calendar import ATTRIBUTE_NAMES, attribute_columns
+from hourglass.operators.joins import grid_rows
 from hourglass.operators.metrics import cv_score, mse
 from hourglass.operators.panel import drop_incomplete
 from hourglass.operators.scale import apply_scaler, fit_scaler
 from hourglass.operators.sequences import sequences
 from hourglass.operators.windows import blocked_folds, gap_windows, test_blocks
-from hourglass.plans import direct
+from hourglass.plans import conjugate, direct, kernel
 from hourglass.session import materialize
 
 N_ATTR = len(ATTRIBUTE_NAMES)
+HOURLY = ("hourly_calendar", "hourly_two_family")
+
+
+def two_penalties(l2: float, l2_attr: float | None) -> list[dict]:
+    """One config with a penalty for the values and one for the calendar."""
+    return [{"config_id": 1, "l2": float(l2), "l2_attr": float(l2 if l2_attr is None else l2_attr)}]
 
 
 def features(seq: DataFrame, layout: str) -> DataFrame:
     """Add the input vector ``f``; calendar layouts get one row per target hour, numbered ``step``."""
     if layout == "lags":
         return seq.withColumn("f", F.col("x"))
+    if layout in HOURLY:
+        hour = lambda t: F.array(*[c.cast("double") for c in attribute_columns(t)])
+        return seq.withColumn("f", F.concat("x", F.flatten(F.transform("x_ts", hour)))).drop("x_ts")
     if layout in ("lags_calendar", "two_family"):
         hours = seq.select("*", F.posexplode("y_ts").alias("step", "_hour"))
         cal = F.array(*[c.cast("double") for c in attribute_columns("_hour")])
@@ -45,10 +62,12 @@ def features(seq: DataFrame, layout: str) -> DataFrame:
     raise ValueError(f"unknown layout {layout!r}")
 
 
-def fit_layout(s: DataFrame, layout: str, keys: Sequence[str], train: int, predict: int, grid: DataFrame | None = None,
+def fit_layout(s: DataFrame, layout: str, keys: Sequence[str], train: int, predict: int, grid: DataFrame | list[dict] | None = None,
                l2: float = 1.0) -> DataFrame:
-    """Ridge models of a layout; those of the calendar layouts are also keyed by ``step`` and have one horizon."""
+    """Ridge models of a layout; those of the target-hour layouts are also keyed by ``step`` and have one horizon."""
     p, families, penalties = width(layout, train)
+    if layout in HOURLY:
+        return kernel.fit_wide(s, keys, p, predict, families, penalties, grid, l2)
     if layout != "lags":
         keys, predict = [*keys, "step"], 1
     return direct.fit_direct(s, keys, p, predict, grid=grid, l2=l2, families=families, param_cols=penalties, window="window_id")
@@ -57,7 +76,7 @@ def fit_layout(s: DataFrame, layout: str, keys: Sequence[str], train: int, predi
 def predict_layout(s: DataFrame, model: DataFrame, layout: str, keys: Sequence[str], window: str = "window_id",
                    clip: bool = True) -> DataFrame:
     """``(keys, params, window, horizon, ts, prediction, target)`` with the models of ``fit_layout``."""
-    if layout == "lags":
+    if layout == "lags" or layout in HOURLY:
         pred = direct.predict_direct(s, model, keys, window, clip, carry=["y_ts"])
         at = F.col("horizon")
     else:
@@ -70,6 +89,9 @@ def width(layout: str, train: int) -> tuple[int, list[int] | None, list[str]]:
     """Feature count, family sizes and penalty columns of a layout."""
     if layout == "lags":
         return train, None, ["l2"]
+    if layout in HOURLY:
+        size = train * (1 + N_ATTR)
+        return (size, None, ["l2"]) if layout == "hourly_calendar" else (size, [train, train * N_ATTR], ["l2", "l2_attr"])
     if layout == "lags_calendar":
         return train + N_ATTR, None, ["l2"]
     return train + N_ATTR, [train, N_ATTR], ["l2", "l2_attr"]
@@ -77,24 +99,28 @@ def width(layout: str, train: int) -> tuple[int, list[int] | None, list[str]]:
 
 def samples(scaled: DataFrame, layout: str, keys: Sequence[str], train: int, predict: int,
             window: str = "window_id") -> DataFrame:
-    seq = sequences(scaled, keys=keys, window=window, train=train, predict=predict, target_ts="ts")
+    seq = sequences(scaled, keys=keys, window=window, train=train, predict=predict, target_ts="ts",
+                    input_ts="ts" if layout in HOURLY else None)
     return features(seq, layout)
 
 
 def fit_lags(panel: DataFrame, layout: str = "lags", train: int = 48, predict: int = 4, gap: int = 26,
-             l2: float = 1.0, l2_attr: float | None = None):
+             l2: float = 1.0, l2_attr: float | None = None, matrix_free: bool = False):
     """Final per-series model on every window of the complete panel.
 
     Returns ``(model, scaler_stats)``.  Inputs are scaled with training
-    statistics; targets stay raw.
+    statistics; targets stay raw.  ``matrix_free`` solves by conjugate
+    gradients.
     """
     w = materialize(gap_windows(drop_incomplete(panel), train, predict, gap))
     stats = fit_scaler(w, where=F.col("role") == "x")
     s = samples(apply_scaler(w, stats), layout, ["series"], train, predict)
-    grid = None
-    if layout == "two_family":
-        grid = panel.sparkSession.createDataFrame(
-            [(1, float(l2), float(l2 if l2_attr is None else l2_attr))], "config_id bigint, l2 double, l2_attr double")
+    grid = two_penalties(l2, l2_attr) if layout.endswith("two_family") else None
+    if matrix_free:
+        p, families, penalties = width(layout, train)
+        if layout in ("lags_calendar", "two_family"):
+            raise ValueError("conjugate gradients take layouts with one model for all horizons")
+        return conjugate.fit_conjugate(s, ["series"], p, predict, families or [p], [grid[0][c] if grid else l2 for c in penalties]), stats
     return fit_layout(s, layout, ["series"], train, predict, grid, l2), stats
 
 
@@ -112,7 +138,7 @@ def predict_blocks(test: DataFrame, model: DataFrame, stats: DataFrame, layout:
     return pred.select("series", "block_id", "horizon", "ts", "prediction")
 
 
-def cross_validate(panel: DataFrame, grid: DataFrame, layout: str = "lags", train: int = 24,
+def cross_validate(panel: DataFrame, grid: DataFrame | list[dict], layout: str = "lags", train: int = 24,
                    predict: int = 4, gap: int = 5, k: int = 4, train_share: float = 0.8,
                    complete_only: bool = True):
     """Blocked k-fold scores for every config of ``grid``.
@@ -130,11 +156,29 @@ def cross_validate(panel: DataFrame, grid: DataFrame, layout: str = "lags", trai
     s = samples(apply_scaler(w, stats, keys=keys), layout, keys + ["fold_role"], train, predict)
     model = fit_layout(s.where(F.col("fold_role") == "train"), layout, keys, train, predict, grid)
     pred = predict_layout(s.where(F.col("fold_role") == "val").drop("fold_role"), model, layout, keys)
-    cfg = [c for c in grid.columns]
+    cfg = list(grid_rows(grid)[0])
     fold_mse = mse(pred, cfg + ["fold"])
     return fold_mse, cv_score(fold_mse, cfg)
 
 
+def leave_one_out(panel: DataFrame, grid: DataFrame | list[dict], layout: str = "lags", train: int = 48, predict: int = 4, gap: int = 26) -> DataFrame:
+    """Mean squared leave-one-window-out error per series and config, ``(series, config columns, loo_mse, n)``, not clipped.
+
+    The inputs are scaled once, with all windows.  It takes the windows-by-windows
+    form, whose size grows with the windows of a series: for series with more
+    windows than inputs use ``cross_validate``; such series raise an error.
+    """
+    p, families, penalties = width(layout, train)
+    if layout in ("lags_calendar", "two_family"):
+        raise ValueError("layouts with one model per horizon have no windows-by-windows form here")
+    w = materialize(gap_windows(drop_incomplete(panel), train, predict, gap))
+    s = materialize(samples(apply_scaler(w, fit_scaler(w, where=F.col("role") == "x")), layout, ["series"], train, predict))
+    most = s.groupBy("series").count().agg(F.max("count")).first()[0] or 0
+    if most > max(p, kernel.WINDOWS):
+        raise ValueError(f"a series has {most} windows, more than its {p} inputs")
+    return kernel.fit_kernel(s, ["series"], p, predict, families or [p], penalties, grid_rows(grid))[1]
+
+
 def holdout_scores(panel: DataFrame, layout: str = "lags", train: int = 48, predict: int = 4, gap: int = 26,
                    frac: float = 0.8, l2: float = 1.0, l2_attr: float | None = None):
     """Chronological holdout: first ``frac`` of the windows train, the rest score.
@@ -147,10 +191,7 @@ def holdout_scores(panel: DataFrame, layout: str = "lags", train: int = 48, pred
     w = materialize(split_windows(gap_windows(drop_incomplete(panel), train, predict, gap), frac))
     stats = fit_scaler(w, where=(F.col("role") == "x") & (F.col("split") == "train"))
     s = samples(apply_scaler(w, stats), layout, ["series", "split"], train, predict)
-    grid = None
-    if layout == "two_family":
-        grid = panel.sparkSession.createDataFrame(
-            [(1, float(l2), float(l2 if l2_attr is None else l2_attr))], "config_id bigint, l2 double, l2_attr double")
+    grid = two_penalties(l2, l2_attr) if layout.endswith("two_family") else None
     model = fit_layout(s.where(F.col("split") == "train").drop("split"), layout, ["series"], train, predict, grid, l2)
     pred = predict_layout(s.where(F.col("split") == "val").drop("split"), model, layout, ["series"])
     return mse(pred, ["series"]), mse(pred, [])

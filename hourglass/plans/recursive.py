@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from hourglass.operators.joins import fill_from
 from hourglass.operators.lags import lag_features, shift_continuous
 from hourglass.operators.panel import missing_ts
+from hourglass.operators.position import number_rows
 from hourglass.session import materialize
 
 
@@ -63,3 +64,44 @@ def recursive_fill(test: DataFrame, predictor: Callable[[DataFrame], DataFrame],
         out = part if out is None else out.unionByName(part)
         current = nxt.drop("_new")
     return out
+
+
+FILL_SQL = """
+WITH RECURSIVE filled (step, series, ts, prediction) AS (
+  SELECT 1, t.series, t.ts, m.intercept + m.slope * k.value
+  FROM {todo} t JOIN {known} k ON k.series = t.series AND k.ts = t.ts - INTERVAL 1 HOUR JOIN {model} m ON m.series = t.series
+  WHERE t.depth = 1 AND k.value IS NOT NULL
+  UNION ALL
+  SELECT f.step + 1, t.series, t.ts, m.intercept + m.slope * f.prediction
+  FROM filled f JOIN {todo} t ON t.series = f.series AND t.ts = f.ts + INTERVAL 1 HOUR JOIN {model} m ON m.series = t.series
+  WHERE f.step < {steps} AND t.depth = f.step + 1)
+SELECT step, series, ts, prediction FROM filled WHERE prediction IS NOT NULL"""
+
+
+def missing_depth(test: DataFrame) -> DataFrame:
+    """``(ts, depth)`` of the hours that are NULL in every series: how many such hours in a row end there.
+
+    Hours are grouped into runs by their distance to their own rank, which
+    ``number_rows`` finds without a window over the whole axis.
+    """
+    hours = number_rows(missing_ts(test).select("ts"), "ts", out="_at")
+    hours = hours.withColumn("_run", F.unix_seconds("ts") - F.col("_at") * 3600)
+    starts = hours.groupBy("_run").agg(F.min("_at").alias("_first"))
+    return hours.join(starts, "_run").select("ts", (F.col("_at") - F.col("_first") + 1).alias("depth"))
+
+
+def recursive_fill_lag1(test: DataFrame, model: DataFrame, steps: int = 4) -> DataFrame:
+    """``recursive_fill`` of a linear model on the previous hour, as one recursive query.
+
+    Only the frontier moves: the hours predicted in a step are joined with the
+    hours after them.  The panel is not rewritten and nothing is written
+    between the steps.  ``test`` has a row for every hour of a block, as the
+    canonical panel does, and ``model`` is ``(series, slope, intercept)``.
+    """
+    spark = test.sparkSession
+    depth = missing_depth(test)
+    todo = test.join(depth, "ts").where(F.col("depth") <= steps).select("series", "ts", "depth")
+    # Only the hours right before a run are needed of the known values.
+    before = depth.where("depth = 1").select((F.col("ts") - F.expr("INTERVAL 1 HOUR")).alias("ts"))
+    known = test.join(before, "ts", "left_semi").select("series", "ts", "value")
+    return spark.sql(FILL_SQL.format(todo="{todo}", known="{known}", model="{model}", steps=int(steps)), todo=todo, known=known, model=model)

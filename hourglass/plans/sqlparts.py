@@ -13,7 +13,59 @@ SCHOOL_HOLIDAYS_SQL = "({md} BETWEEN '06-25' AND '08-31' OR {md} BETWEEN '12-25'
 
 
 def with_(*ctes: str) -> str:
-    return "WITH " + ",\n".join(ctes) + "\n"
+    return "WITH RECURSIVE " + ",\n".join(ctes) + "\n"
+
+
+def configs(rows: list[dict], name: str = "cfg") -> str:
+    """A parameter table from literal rows."""
+    value = lambda v: f"'{v}'" if isinstance(v, str) else repr(v)
+    lines = ", ".join("(" + ", ".join(value(v) for v in r.values()) + ")" for r in rows)
+    return f"{name} AS (SELECT * FROM (VALUES {lines}) g({', '.join(rows[0])}))"
+
+
+def dual_ridge(name: str, train: str, keys: str, families: dict[str, str], params: str, cfg: str = "cfg") -> str:
+    """Ridge models of ``train`` (keys, window_id, x, y) for every config of ``cfg``, by elimination on the windows' inner products.
+
+    ``families`` maps a penalty column to the list slice of its inputs.  The
+    result ``{name}_alpha`` has, per keys, config and window number ``i``, the
+    dual weights ``a`` (one per horizon), the inputs ``x`` and ``row_mean``, the
+    mean inner product with all windows; ``{name}_mean`` has the mean targets ``ym``.
+    """
+    cols = [k.strip() for k in keys.split(",")]
+    a_keys = ", ".join(f"a.{k}" for k in cols)
+    inner = ", ".join(f"list_dot_product(a.x{cut}, b.x{cut}) AS k_{pen}" for pen, cut in families.items())
+    total = " + ".join(f"k_{pen} / c.{pen}" for pen in families)
+    c_params = ", ".join(f"c.{p}" for p in params.split(", "))
+    over = f"PARTITION BY {keys}, {params}"
+    return f"""{name}_num AS (SELECT {keys}, row_number() OVER (PARTITION BY {keys} ORDER BY window_id) AS i, x, y FROM {train}),
+{name}_gram AS (SELECT {a_keys}, a.i, b.i AS j, {inner} FROM {name}_num a JOIN {name}_num b USING ({keys})),
+{name}_k AS (SELECT {keys}, {c_params}, i, j, {total} AS k FROM {name}_gram g, {cfg} c),
+{name}_c AS (SELECT *, avg(k) OVER ({over}, i) AS row_mean,
+    k - avg(k) OVER ({over}, i) - avg(k) OVER ({over}, j) + avg(k) OVER ({over}) AS c FROM {name}_k),
+{name}_mean AS (SELECT {keys}, list(m ORDER BY h) AS ym FROM (
+    SELECT {keys}, h, avg(v) AS m FROM (SELECT {keys}, unnest(y) AS v, generate_subscripts(y, 1) AS h FROM {name}_num) u GROUP BY {keys}, h) v GROUP BY {keys}),
+{name}_rows AS (SELECT {keys}, {params}, i, any_value(row_mean) AS row_mean, list(c + CASE WHEN i = j THEN 1 ELSE 0 END ORDER BY j) AS r FROM {name}_c GROUP BY {keys}, {params}, i),
+{name}_sys AS (SELECT {keys}, {params}, 0 AS step, list(list_concat(r, list_transform(y, lambda v, h: v - ym[h])) ORDER BY i) AS m
+    FROM {name}_rows JOIN {name}_num USING ({keys}, i) JOIN {name}_mean USING ({keys}) GROUP BY {keys}, {params}),
+{name}_gj AS (SELECT * FROM {name}_sys UNION ALL SELECT {keys}, {params}, step + 1, list_transform(m, lambda r, i:
+    CASE WHEN i = step + 1 THEN list_transform(r, lambda v: v / r[step + 1])
+         ELSE list_transform(r, lambda v, j: v - r[step + 1] * m[step + 1][j] / m[step + 1][step + 1]) END)
+  FROM {name}_gj WHERE step < len(m)),
+{name}_alpha AS (SELECT {keys}, {params}, i, a, x, row_mean FROM (
+    SELECT {keys}, {params}, unnest(range(1, len(m) + 1)) AS i, m FROM {name}_gj WHERE step = len(m)) s
+  CROSS JOIN LATERAL (SELECT s.m[s.i][len(s.m) + 1:] AS a) l JOIN {name}_num USING ({keys}, i) JOIN {name}_rows USING ({keys}, {params}, i))"""
+
+
+def dual_predict(name: str, model: str, target: str, keys: str, families: dict[str, str], params: str, carry: str) -> str:
+    """``{name}``: keys, params, carry, horizon (from 0) and prediction (not below 0) of ``target`` rows (keys, carry, x)."""
+    k = " + ".join(f"list_dot_product(t.x{cut}, al.x{cut}) / al.{pen}" for pen, cut in families.items())
+    t_keys = ", ".join(f"t.{c.strip()}" for c in keys.split(","))
+    t_carry = ", ".join(f"t.{c.strip()}" for c in carry.split(","))
+    al_params = ", ".join(f"al.{p}" for p in params.split(", "))
+    return f"""{name}_parts AS (SELECT {t_keys}, {t_carry}, {al_params}, unnest(al.a) AS a, generate_subscripts(al.a, 1) AS h, {k} - al.row_mean AS k
+    FROM {target} t JOIN {model}_alpha al USING ({keys})),
+{name} AS (SELECT {keys}, {carry}, {params}, CAST(h - 1 AS INTEGER) AS horizon, greatest(any_value(ym[h]) + sum(a * k), 0) AS prediction
+    FROM {name}_parts JOIN {model}_mean USING ({keys}) GROUP BY {keys}, {carry}, {params}, h)"""
 
 
 def hourly(name: str = "panel", series: str = "event_type") -> str:

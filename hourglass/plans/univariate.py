@@ -109,7 +109,8 @@ def cross_validate_univariate(panel: DataFrame, grid: DataFrame, train: int = 24
     validation rows.  Returns ``(fold_mse, scores)``; errors are pooled over
     series per (config, fold).
     """
-    from hourglass.operators.joins import with_grid
+    from hourglass.operators.joins import grid_rows, with_grid
+    grid = grid_rows(grid)
     p0 = drop_incomplete(panel) if complete_only else panel
     w = materialize(blocked_folds(gap_windows(p0, train, predict, gap), k, train_share))
     keys = ["series", "fold"]
@@ -128,7 +129,7 @@ def cross_validate_univariate(panel: DataFrame, grid: DataFrame, train: int = 24
                  F.var_pop(F.when(ok.isNotNull(), f)).alias(f"vx_{kind}"),
                  F.avg(F.when(ok.isNotNull(), f)).alias(f"mx_{kind}"), F.avg(ok).alias(f"my_{kind}")]
     suff = tr.groupBy(*keys, "horizon").agg(*aggs)
-    cfg_cols = grid.columns
+    cfg_cols = list(grid[0])
     pick = lambda name: F.when(F.col("kind") == "last", F.col(f"{name}_last")).otherwise(F.col(f"{name}_mean"))
     den = pick("vx") * pick("n") + F.col("l2")
     slope = F.when(den != 0, pick("cxy") * pick("n") / den).otherwise(0.0)

@@ -81,6 +81,11 @@ def panel_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
                        .agg(F.coalesce(F.sum("v"), F.lit(0.0)).alias("value")))
 
 
+def panel_daily_millions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``panel_daily`` in millions, so that squared errors keep their digits."""
+    return panel_daily(spark, sf_dir).withColumn("value", F.col("value") / 1e6)
+
+
 def test_panel(panel: DataFrame, history: int = 48, predict: int = 4) -> DataFrame:
     """Simulated test panel: blocks of ``history + predict`` hours, target values nulled.
 
