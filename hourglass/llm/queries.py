@@ -64,7 +64,7 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Host, path, rule and verdict of every page's url."""
-    judged = url_filter.judge(_read(spark, sf_dir, "pages").select("page_id", "url"), _read(spark, sf_dir, "documents"))
+    judged = url_filter.judge(_read(spark, sf_dir, "pages").select("page_id", "url"), _read(spark, sf_dir, "documents"), labels=_read(spark, sf_dir, "labels"))
     return judged.select("page_id", "host", "path", "rule", "verdict", "block_odds")
 
 
@@ -221,7 +221,7 @@ r AS (SELECT *, CASE WHEN scheme = '' THEN bare ELSE
          page_id * 4 + k AS record_id, '"' || substring(digest, 1, 8) || '-' || version || '"' AS etag FROM p),
 j AS (SELECT v.*, f.record_id AS refers_to, f.etag AS stored_etag, f.digest AS stored_digest
       FROM (SELECT * FROM r WHERE NOT full_response) v
-      ASOF LEFT JOIN (SELECT * FROM r WHERE full_response) f ON v.curl = f.curl AND v.taken >= f.taken),
+      ASOF LEFT JOIN (SELECT * FROM r WHERE full_response QUALIFY row_number() OVER (PARTITION BY curl, taken ORDER BY record_id DESC, digest DESC) = 1) f ON v.curl = f.curl AND v.taken >= f.taken),
 q AS (SELECT *, CASE WHEN refers_to IS NULL THEN 'no_response' WHEN etag = stored_etag THEN 'resolved' ELSE 'validator_mismatch' END AS outcome FROM j)
 SELECT record_id, curl AS canonical_url, strftime(taken, '%Y-%m-%d %H:%M:%S') AS captured_at, refers_to, outcome, etag,
        strftime(taken, '%Y-%m-%d %H:%M:%S') AS date, CASE WHEN outcome = 'resolved' THEN '100' ELSE '0' END AS content_length,

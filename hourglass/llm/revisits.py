@@ -7,10 +7,11 @@ last-modified date when both have one, else the payload digest.  A resolved
 revisit takes the response's body and headers; headers sent with the revisit
 replace stored ones, except those that describe the stored body.
 
-Scale: the as-of join is two-level.  Within (URL, day) a window finds the
-last response of the day so far; across days one row per URL and day carries
-the last response on.  Windows hold only ids and times, not headers or
-bodies, and a URL with a third of all captures is spread over its days.
+Scale: the as-of join is two-level.  Captures are range-partitioned by URL and
+time; within (URL, partition) a window finds the last response so far, and one
+row per URL and partition carries the last response on.  Windows hold only ids
+and times, not headers or bodies, and a URL with a third of all captures, also
+if all are of one day, is spread over partitions.
 Headers are fetched afterwards by a join on the response's own number, whose
 hot side adaptive execution splits.
 
@@ -54,22 +55,28 @@ def _tag(headers: str) -> Column:
 def latest_response(captures: DataFrame) -> DataFrame:
     """For every revisit: ``number``, and ``response``, the number of the latest earlier response of its URL (or null).
 
-    ``captures`` has number, curl, captured_at, kind.  Responses at the
-    revisit's own time count as earlier; of responses at one time the largest
-    number is the latest.  Rows without a URL or a time have no response.
+    ``captures`` has number, curl, captured_at, kind, record_id,
+    payload_digest and headers_hash.  Responses at the revisit's own time
+    count as earlier; of responses at one time the largest record_id is the
+    latest, then the largest digest (null is the least), then the largest
+    hash of the headers, so the order of the rows does not matter.  Rows
+    without a URL or a time have no response.
     """
-    rows = captures.select("number", "curl", "captured_at", "kind", F.to_date("captured_at").alias("day")).where("curl is not null and captured_at is not null")
     is_response = F.col("kind") == "response"
-    own = F.when(is_response, F.col("number"))
-    order = [F.col("captured_at"), F.when(is_response, 0).otherwise(1), F.col("number")]
-    so_far = Window.partitionBy("curl", "day").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    within = rows.withColumn("today", F.last(own, ignorenulls=True).over(so_far))
-    last_at = F.max(F.when(is_response, F.struct("captured_at", "number")))
-    days = rows.groupBy("curl", "day").agg(last_at["number"].alias("last"))
-    earlier = Window.partitionBy("curl").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
-    days = days.select("curl", "day", F.last("last", ignorenulls=True).over(earlier).alias("carried"))
-    return (within.where(F.col("kind") == "revisit").join(days, ["curl", "day"])
-            .select("number", F.coalesce("today", "carried").alias("response")))
+    rows = captures.where("curl is not null and captured_at is not null").select(
+        "number", "curl", "captured_at", F.when(is_response, 0).otherwise(1).alias("later"), "record_id", "payload_digest", "headers_hash")
+    order = ["curl", "captured_at", "later", "record_id", "payload_digest", "headers_hash", "number"]
+    rows = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    rows = materialize(rows.select("number", "curl", "later", F.monotonically_increasing_id().alias("seq")), "capture-order")
+    rows = rows.withColumn("part", F.shiftright("seq", 33))
+    own = F.when(F.col("later") == 0, F.col("number"))
+    so_far = Window.partitionBy("curl", "part").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    within = rows.withColumn("here", F.last(own, ignorenulls=True).over(so_far))
+    parts = rows.groupBy("curl", "part").agg(F.max(F.when(F.col("later") == 0, F.struct("seq", "number")))["number"].alias("last"))
+    earlier = Window.partitionBy("curl").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select("curl", "part", F.last("last", ignorenulls=True).over(earlier).alias("carried"))
+    return (within.where(F.col("later") == 1).join(parts, ["curl", "part"])
+            .select("number", F.coalesce("here", "carried").alias("response")))
 
 
 def resolve(captures: DataFrame) -> DataFrame:
@@ -84,7 +91,8 @@ def resolve(captures: DataFrame) -> DataFrame:
     """
     numbered = materialize(captures.select("record_id", "url", "captured_at", "kind", "headers", "payload_digest")
                            .withColumns({"number": F.monotonically_increasing_id(), "curl": canonical_url(F.col("url")),
-                                         "headers": F.coalesce("headers", F.create_map().cast("map<string,string>"))}), "captures")
+                                         "headers": F.coalesce("headers", F.create_map().cast("map<string,string>"))})
+                           .withColumn("headers_hash", F.xxhash64(F.array_sort(F.map_entries("headers")))).where("kind in ('response', 'revisit')"), "captures")
     found = materialize(latest_response(numbered), "as-of")
     revisits = numbered.where("kind = 'revisit'").join(found, "number", "left")
     full = numbered.where("kind = 'response'").select(F.col("number").alias("response"), F.col("record_id").alias("refers_to"),
