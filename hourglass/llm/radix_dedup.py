@@ -1,7 +1,7 @@
 """Exact deduplication by distributed most-significant-digit radix partitioning.
 
 Every text is a byte string read digit by digit, where a digit is a run of
-bytes (128 first, then four times as many each round, at most 64 KiB).  A
+bytes (128 first, then four times as many each round, at most 4 MiB).  A
 round groups the open documents by (class so far, next digit).  Groups of
 one are finished, groups whose digit is short have ended and hold equal
 texts, and the others go on as classes of the next round.  Two texts share a
@@ -13,12 +13,13 @@ documents of groups of two or more are carried on.  The join that hands the
 class to its rows is a plain shuffled join of two written tables, whose hot
 partition adaptive execution splits.  Each round's rows are written to the
 shared folder, which cuts the lineage; their number is logarithmic in the
-longest text up to 64 KiB digits, then linear.
+longest text up to a few MiB, then one for every 4 MiB, as a digit is held in
+memory as a grouping key.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hourglass.llm.rows import KEY, drop_losers, with_key
@@ -26,7 +27,7 @@ from hourglass.session import materialize, release
 
 FIRST_DIGIT = 128
 DIGIT_GROWTH = 4
-WIDEST_DIGIT = 1 << 16
+WIDEST_DIGIT = 1 << 22
 
 
 def squeeze(text: Column) -> Column:
@@ -80,19 +81,20 @@ def decisions(docs: DataFrame, id_col: str = "doc_id", text: Column | None = Non
     """One row per document: id, ``keep_id``, ``group_size``, ``kept`` and ``text``'s SHA-256.
 
     Of rows that repeat both the id and the text of the staying row, one is
-    kept.  Null ids sort last: such a row stays only if its group has no id.
+    kept: the least of a number per row, found by a partially aggregated
+    minimum, so many such rows are no window of one task.  Null ids sort last: such a row stays only if its group has no id.
     """
     text = F.coalesce(F.col("text") if text is None else text, F.lit(""))
+    light = materialize(with_key(docs, id_col, text).select(F.col(id_col), *KEY, F.sha2(text, 256).alias("text_sha256"), F.monotonically_increasing_id().alias("_row_number")), "radix-light")
     members = equal_groups(docs, id_col, text)
     found = members.groupBy(KEY).agg(F.first("keep_id").alias("keep_id"), F.first("group_size").alias("group_size"),
                                      F.first("stays").alias("stays"))
-    light = with_key(docs, id_col, text).select(F.col(id_col), *KEY, F.sha2(text, 256).alias("text_sha256"))
-    nth = F.row_number().over(Window.partitionBy(KEY).orderBy("_row_hash"))
-    return (light.join(found, KEY, "left").withColumn("nth", nth)
+    first = light.groupBy(KEY).agg(F.min("_row_number").alias("_first"))
+    return (light.join(found.join(first, KEY), KEY, "left")
             .select(id_col,
                     F.when(F.col("group_size").isNull(), F.col(id_col)).otherwise(F.col("keep_id")).alias("keep_id"),
                     F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
-                    (F.coalesce("stays", F.lit(True)) & (F.col("nth") == 1)).alias("kept"),
+                    (F.coalesce("stays", F.lit(True)) & F.coalesce(F.col("_row_number") == F.col("_first"), F.lit(True))).alias("kept"),
                     "text_sha256"))
 
 

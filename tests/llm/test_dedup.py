@@ -142,3 +142,23 @@ def test_near_duplicates_odd_rows(odd_docs, no_docs):
     assert out.columns == odd_docs.columns
     assert out.count() == rows.select("label").distinct().count()
     assert simhash_golay.drop_near_duplicates(no_docs).count() == 0
+
+
+def test_radix_rounds_of_very_long_texts(spark, monkeypatch):
+    """Two equal texts of 10 MB, and one that differs in the last byte: eleven rounds."""
+    rounds = []
+    kept = radix_dedup.materialize
+    monkeypatch.setattr(radix_dedup, "materialize", lambda df, tag: rounds.append(tag) or kept(df, tag))
+    docs = spark.range(3).select(F.col("id").alias("doc_id"), F.concat(F.repeat(F.lit("0123456789"), 1_000_000), F.when(F.col("id") == 2, "x").otherwise("y")).alias("text"))
+    got = {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in radix_dedup.decisions(docs).collect()}
+    assert got == {0: (0, 2, True), 1: (0, 2, False), 2: (2, 1, True)} and rounds.count("radix-groups") <= 11
+
+
+def test_radix_decisions_of_a_hot_row(spark):
+    """Rows that repeat one id and text, or a null id and one text: one stays, and no window gathers them."""
+    docs = spark.createDataFrame([(7, "hot")] * 500 + [(None, "none")] * 300 + [(8, "hot"), (1, "alone"), (7, "other")], "doc_id long, text string").repartition(5)
+    out = radix_dedup.decisions(docs)
+    rows = out.collect()
+    kept = [(r.doc_id, r.group_size) for r in rows if r.kept]
+    assert len(rows) == 803 and sorted(kept, key=str) == sorted([(7, 501), (None, 300), (1, 1), (7, 1)], key=str)
+    assert "Window" not in out._jdf.queryExecution().toString()
