@@ -56,10 +56,14 @@ SCREEN = {"width": 1280, "height": 800, "device-width": 1280, "device-height": 8
 UNITS = {"": 1, "px": 1, "em": 16, "rem": 16, "pt": 4 / 3, "pc": 16, "in": 96, "cm": 96 / 2.54, "mm": 96 / 25.4, "dppx": 1, "x": 1, "dpi": 1 / 96, "dpcm": 2.54 / 96}
 #: Cells wider than this are not padded against; their text is whole all the same.
 ALIGN_WIDTH = 60
+#: The limits that the HTML standard sets to colspan and rowspan; a rowspan of 0 is the rest of the table.
+MOST_COLUMNS, MOST_ROWS = 1000, 65534
+#: Input types that show neither a value nor a placeholder as text.
+NO_TEXT = frozenset("hidden checkbox radio file range color password image".split())
 #: Deeper elements are taken as siblings, as browsers do; their text is whole all the same.
 MAX_DEPTH = 512
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*+)((?:"[^"]*"|'[^']*'|[^'">])*+)(?:>|\Z)|[^<]++|<""", re.S)
+_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*+)((?:=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>"'][^\s>]*+)?+|[^>=])*+)(?:>|\Z)|[^<]++|<""", re.S)
 _ATTR = re.compile(r"""([^\s"'=<>/]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
 _CSS = re.compile(r"""/\*.*?(?:\*/|\Z)|"(?:[^"\\\n]|\\.)*+"?|'(?:[^'\\\n]|\\.)*+'?|url\([^"')]*+\)|\\.|[{};]|[^"'/\\{};u]++|.""", re.S | re.I)
 _SELECTOR = re.compile(r"[.#]?(?:[A-Za-z_-]|[^\x00-\x7f]|\\[^0-9a-fA-F])(?:[\w-]|[^\x00-\x7f]|\\[^0-9a-fA-F])*")
@@ -403,24 +407,38 @@ def _number(value: str | None, default: int) -> int:
     return int(value) if value and re.fullmatch(r"[+-]?\d{1,9}", value.strip()) else default
 
 
-def _table(rows: list[list[tuple[int, list[str]]]]) -> list[str]:
-    """Rows of (columns spanned, lines) as text: cells start at their column's place, two blanks apart."""
+def _table(rows: list[list[tuple[int, int, list[str]]]]) -> list[str]:
+    """Rows of (columns spanned, rows spanned, lines) as text: cells start at their column's place, two blanks apart.
+
+    A cell that spans rows is written in its first one and keeps its columns
+    free in the others.
+    """
     widths: dict[int, int] = {}
+    taken: dict[int, int] = {}  # column: rows it is still spanned for
+    placed = []
     for row in rows:
-        at = 0
-        for span, lines in row:
+        at, cells, spanned = 0, [], {}
+        for span, deep, lines in row:
+            while taken.get(at, 0):
+                at += 1
             wide = max(map(len, lines), default=0)
             if span == 1 and wide <= ALIGN_WIDTH:
                 widths[at] = max(widths.get(at, 0), wide)
+            cells.append((at, lines))
+            if deep > 1:
+                spanned.update(dict.fromkeys(range(at, at + span), deep - 1))
             at += span
+        taken = {c: n - 1 for c, n in taken.items() if n > 1} | spanned
+        placed.append(cells)
+    places = [0]
+    for c in range(max((at for cells in placed for at, _ in cells), default=0)):
+        places.append(places[-1] + widths.get(c, 0) + 2)
     out = []
-    for row in rows:
-        for k in range(max((len(lines) for _, lines in row), default=0)):
-            at, line = 0, ""
-            for span, lines in row:
-                room = sum(widths.get(c, 0) + 2 for c in range(at, at + span))
-                line += (lines[k] if k < len(lines) else "").ljust(room - 2) + "  "
-                at += span
+    for cells in placed:
+        for k in range(max((len(lines) for _, lines in cells), default=0)):
+            line = ""
+            for at, lines in cells:
+                line = line.ljust(places[at]) + (lines[k] if k < len(lines) else "") + "  "
             out.append(line.rstrip())
     return out
 
@@ -444,7 +462,8 @@ def render(page: str | None) -> str:
         if what == "close":
             tag = node.tag
             if tag in ("td", "th") and tables:
-                tables[-1][-1].append((max(1, min(1000, _number(node.attrs.get("colspan"), 1))), flows.pop().result()))
+                deep = _number(node.attrs.get("rowspan"), 1)
+                tables[-1][-1].append((max(1, min(MOST_COLUMNS, _number(node.attrs.get("colspan"), 1))), MOST_ROWS if deep == 0 else max(1, min(MOST_ROWS, deep)), flows.pop().result()))
             elif tag == "table":
                 rows = tables.pop()
                 for line in _table(rows):
@@ -476,6 +495,12 @@ def render(page: str | None) -> str:
         if tag == "br":
             out.end_line(keep=True)
             continue
+        if tag == "input":
+            kind = node.attrs.get("type", "text").strip().lower()
+            seen = "" if kind in NO_TEXT else node.attrs.get("value") or ("" if kind in ("submit", "button", "reset") else node.attrs.get("placeholder", ""))
+            if shown and seen:
+                out.text(f" {seen} ", False)
+            continue
         children = node.children
         if tag == "details" and "open" not in node.attrs:
             children = [c for c in children if isinstance(c, Node) and c.tag == "summary"][:1]
