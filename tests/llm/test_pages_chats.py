@@ -30,7 +30,7 @@ def test_collapse_of_long_and_odd_conversations(spark):
     whole = "".join(r.text for r in rows if r.conv_id == 1)
     assert [r.part for r in rows if r.conv_id == 1] == [0, 1, 2]
     assert whole == "".join(f"<|im_start|>{'user' if i % 2 == 0 else 'assistant'}\n{i}<|im_end|>\n" for i in range(700))
-    assert {r.conv_id for r in rows} == {None, 1, 3, 9} or {r.conv_id for r in rows} == {1, 3, 9}
+    assert {r.conv_id for r in rows} == {1, 3, 9}  # the one of the null id begins conversation 9
     assert {r.n_turns for r in rows if r.conv_id == 9} == {2}
     assert chat_collapse.collapse(turns.where("1 = 0")).count() == 0
 
@@ -146,3 +146,74 @@ def test_revisits_as_of_and_validators(spark):
     merged = revisits.resolve(table).where("record_id = 2").first().headers
     assert merged == {"etag": 'W/"v1"', "server": "t", "content-length": "9"}
     assert revisits.resolve(table.where("1 = 0")).count() == 0
+
+
+def test_order_of_rows_does_not_change_revisits(spark):
+    """Responses at one time: the largest record id, then digest, then headers decide; a URL's day is spread over partitions."""
+    schema = "record_id long, url string, captured_at timestamp, kind string, headers map<string,string>, payload_digest string"
+    rows = [_capture(i, "http://t.org/", 1, 1, "response", f'"{i}"', f"d{i}") for i in (20, 10, 30)] + [_capture(30, "http://t.org/", 1, 1, "response", '"x"', "d9"),
+            _capture(30, "http://t.org/", 1, 1, "response", '"x"', None), _capture(40, "http://t.org/", 1, 1, "revisit", '"x"')]
+    rows += [(100 + i, "http://hot.org/", datetime(2024, 1, 2, 0, i // 60, i % 60), "response" if i % 7 == 0 else "revisit", {"etag": f'"{i // 70}"'}, None) for i in range(900)]
+    want = None
+    for order in (rows, rows[::-1], rows[3:] + rows[:3]):
+        got = sorted((r.record_id, r.refers_to, r.outcome, r.payload_digest, str(r.headers)) for r in revisits.resolve(spark.createDataFrame(order, schema).repartition(3)).collect())
+        want = want or got
+        assert got == want
+    assert want[0][:4] == (40, 30, "resolved", "d9")
+    for record, refers, outcome, *_ in want[1:]:
+        i = record - 100
+        assert refers == 100 + i // 7 * 7 and outcome == ("resolved" if (i // 7 * 7) // 70 == i // 70 else "validator_mismatch")
+
+
+def _blocked(spark, urls, texts, labels, **how):
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    corpus = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    marks = spark.createDataFrame([(i, v) for i, v in enumerate(labels)] + [(None, 1), (0, None)], "doc_id long, toxic int")
+    return {urls[r.page_id]: r for r in url_filter.judge(pages, corpus, labels=marks, **how).collect()}
+
+
+def test_verdicts_that_no_list_gives(spark):
+    """Blocked: words of toxic texts in concatenated names, and words that go with listed ones.  Allowed: a listed word inside another word."""
+    clean, toxic = "the garden forum shows alphabet and recipes for sussex town " * 30, "you are scum and vermin the scum of the town vermin " * 30
+    urls = [f"http://garden{k}.example/forum/{i}" for k in ("", "forum", "recipes", "town") for i in range(30)]
+    urls += [f"http://{h}.example/{i}" for h in ("casino-jackpot", "jackpotpoker", "jackpot-bets") for i in range(4)]
+    urls += ["http://scumvermin.example/", "http://vermin-scum.example/x", "http://jackpotjackpot.example/jackpot", "http://alphabet.example/sussex", "http://town.example/"]
+    got = _blocked(spark, urls, [clean, clean, toxic, toxic], [0, 0, 1, 1])
+    bad = {u for u in urls if got[u].verdict == "block"}
+    assert {"http://scumvermin.example/", "http://vermin-scum.example/x", "http://jackpotjackpot.example/jackpot"} <= bad
+    assert bad == {u for u in urls if any(w in u for w in ("scum", "casino", "poker", "bets", "jackpot"))}
+
+
+def test_naive_bayes_equals_a_count_by_hand(spark):
+    texts, labels = ["red red blue", "blue green", "green green red"], [1, 0, 0]
+    urls = ["http://red-blue.x/1", "http://green.x/2", "http://casino.x/red", "http://blue-red.x/3"]
+    got = _blocked(spark, urls, texts, labels, unwanted=("casino",), rules=())
+    words = {u: [w if not w.isdigit() else "<number>" for w in u[7:].replace(".", "-").replace("/", "-").split("-")] for u in urls}
+    listed = {u: "casino" in words[u] for u in urls}
+    vocab = {w for ws in words.values() for w in ws}
+    url_n = {c: {w: sum(words[u].count(w) for u in urls if listed[u] == c) for w in vocab} for c in (True, False)}
+    text_n = {c: {w: sum(t.split().count(w) for t, v in zip(texts, labels) if bool(v) == c) for w in vocab} for c in (True, False)}
+    all_text = {c: sum(len(t.split()) for t, v in zip(texts, labels) if bool(v) == c) for c in (True, False)}
+    all_url = {c: sum(url_n[c].values()) for c in (True, False)}
+
+    def log_p(w, c):
+        return math.log((url_n[c][w] + text_n[c][w] * all_url[c] / all_text[c] + 1) / (2 * all_url[c] + len(vocab) + 1))
+
+    for u in urls:
+        odds = math.log(1 / 3) + sum(log_p(w, True) - log_p(w, False) for w in words[u])
+        assert math.isclose(got[u].block_odds, odds, rel_tol=1e-9) and got[u].verdict == ("block" if odds > 0 else "allow")
+
+
+def test_very_long_urls_and_words(spark, monkeypatch):
+    """A path of a hundred thousand letters, words over blocks of a run, and words longer than any usual one."""
+    long_word, alien = "donaudampfschifffahrtsgesellschaft", "zq" * 50
+    counts = spark.createDataFrame([("the", 50), ("cat", 30), (long_word, 20)], "word string, n long")
+    monkeypatch.setattr(url_filter, "BLOCK", 7)
+    parts = [f"thecat{long_word}the", "cat" * 9, f"the{alien}", "x"]
+    got = {r.part: r.words for r in url_filter.segment(spark.createDataFrame([(p,) for p in parts], "part string"), counts).collect()}
+    assert got[parts[0]] == ["the", "cat", long_word, "the"] and got[parts[1]] == ["cat"] * 9 and got[parts[2]] == ["the", alien] and got["x"] == ["x"]
+    monkeypatch.setattr(url_filter, "BLOCK", 1024)
+    url = "http://cat.example/" + "thecat" * 17_000
+    pages = spark.createDataFrame([(1, url), (1, url), (2, "http://cat.example/"), (None, None)], "page_id long, url string")
+    out = url_filter.judge(pages, spark.createDataFrame([(1, "the cat " * 20)], "doc_id long, text string")).collect()
+    assert len(out) == 4 and {r.verdict for r in out} == {"allow"}
