@@ -32,6 +32,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+import struct
 from collections import defaultdict
 from collections.abc import Iterator
 from itertools import islice
@@ -42,7 +43,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CACHED_WORDS = 150_000  # of each of two generations
+CACHED_WORDS = 400_000  # of each of two generations
 SHORT_WORD = 64  # characters of a cached word
 BLOCK = 4096  # bytes of a long word that are fed at once
 SLICE = 1 << 19  # characters of a text that are cut into words at once
@@ -202,6 +203,10 @@ class Transducer:
         return out
 
 
+def _packed(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 class Encoder:
     """Texts to the ids of a byte-level tokenizer file."""
 
@@ -230,7 +235,7 @@ class Encoder:
     def _word(self, word: str) -> bytes:
         ids = self.old.get(word)
         if ids is None:
-            ids = np.array(self.bpe.encode(word.encode("utf-8")), "<u4").tobytes()
+            ids = _packed(self.bpe.encode(word.encode("utf-8")))
         if len(self.young) >= CACHED_WORDS:
             self.old, self.young = self.young, {}
         self.young[word] = ids
@@ -239,8 +244,8 @@ class Encoder:
     def _long_word(self, word: str) -> Iterator[bytes]:
         stream = Transducer(self.bpe)
         for at in range(0, len(word), BLOCK):
-            yield np.array(stream.feed(word[at:at + BLOCK].encode("utf-8")), "<u4").tobytes()
-        yield np.array(stream.finish(), "<u4").tobytes()
+            yield _packed(stream.feed(word[at:at + BLOCK].encode("utf-8")))
+        yield _packed(stream.finish())
 
     def _ids(self, words: list[str]) -> Iterator[bytes]:
         found = list(map(self.young.get, words))
@@ -277,7 +282,7 @@ class Encoder:
         parts = self.added_words.split(text or "") if self.added_words else [text or ""]
         for part in parts:
             if part in self.added:
-                yield np.array([self.added[part]], "<u4").tobytes()
+                yield _packed([self.added[part]])
             else:
                 for words in self._words(part):
                     yield from self._ids(words)
