@@ -33,6 +33,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from hourglass.operators.joins import per_key_join
 from hourglass.session import materialize
 
 # Words that mark an unwanted site when a host or path has them.
@@ -41,6 +42,7 @@ UNWANTED = ("adult", "bet", "bets", "betting", "casino", "casinos", "escort", "e
 # The policy rules as (host and path prefix, verdict).
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
 MAX_LABELS = 20_000  # labelled documents whose words are learned
+SALTS = 32  # tasks that the parts of one frequent word are dealt to
 BLOCK = 1024  # letters of a run whose substrings are made together
 SEED_SHARE = 1e-5  # share of the corpus that an unwanted word counts for in the dictionary
 
@@ -218,7 +220,7 @@ def judge(pages: DataFrame, corpus: DataFrame, rules: Sequence[tuple[str, str]]
     tokens = per_word.join(by_part, "number").groupBy("word").agg(F.sum(F.col("b") * F.col("times")).alias("b"), F.sum(F.col("a") * F.col("times")).alias("a"))
     tokens = materialize(tokens, "word-classes")
     texts = materialize(text_classes(corpus, labels), "text-classes") if labels is not None else None
-    weights = per_word.join(class_weights(tokens, texts), "word").groupBy("number").agg(F.sum(F.col("w") * F.col("times")).alias("w"))
+    weights = per_key_join(per_word, class_weights(tokens, texts), ["word"], "inner", SALTS).groupBy("number").agg(F.sum(F.col("w") * F.col("times")).alias("w"))
     weights = materialize(weights, "part-weights")
     scores = links.join(weights, "number").groupBy("_row_number").agg(F.sum("w").alias("w"))
     prior = math.log(n_block / n_allow) if n_block and n_allow else -math.inf if not n_block else math.inf
