@@ -17,8 +17,9 @@ Scale: training reads at most ``MAX_TRAINING`` labelled rows, chosen by a
 hash of their id and text, so the lists of ids and of text hashes are small
 enough to broadcast and only the chosen texts are shuffled, repeats once a
 task.  Scoring is one scan of whole texts
-without a shuffle; the model that is sent to tasks is at most ``MAX_TERMS``
-terms and ``MAX_CLEAN`` clean spellings.
+without a shuffle.  Neither terms nor clean spellings are cut by rank: the
+model that is sent to tasks holds words of the training rows only, so its
+size is bounded by theirs and does not grow with the scored documents.
 """
 
 from __future__ import annotations
@@ -38,8 +39,6 @@ from hourglass.llm.levenshtein import TrieAutomaton
 
 MAX_TRAINING = 20_000
 MAX_PER_ID = 16  # distinct texts of one labelled id
-MAX_TERMS = 2_000
-MAX_CLEAN = 20_000
 MIN_SHARE = 0.9  # of a term's contexts that are toxic
 FALSE_TERMS = 0.01  # expected number of terms that a vocabulary without toxic words would give
 WINDOW = 8
@@ -58,7 +57,7 @@ _CLOSING = {'"': '"', "«": "»", "“": "”", "„": "“”", "‹": "›"}
 
 @dataclass
 class Model:
-    """Lexicon (at most MAX_TERMS), spellings that are no misspellings, and regression weights (bias last)."""
+    """Lexicon, spellings that are no misspellings, and regression weights (bias last)."""
     terms: list[str]
     clean: frozenset[str] = frozenset()
     weights: list[float] = field(default_factory=lambda: [0.0] * len(FEATURES) + [-20.0])
@@ -177,7 +176,7 @@ def _contexts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for text, toxic in batch.itertuples(index=False, name=None):
             words = _WORD.findall((text or "").lower())
             seen = set(zip(words, ["", *words], [*words[1:], ""]))  # noqa: B905  # the second list is longer by one
-            seen = [(w, f"{a} {b}", int(toxic > 0)) for w, a, b in seen if 3 <= len(w) <= 40]
+            seen = [(w, f"{a} {b}", int(toxic > 0)) for w, a, b in seen]
             yield pd.DataFrame(seen, columns=["word", "context", "toxic"])
 
 
@@ -196,7 +195,7 @@ def learn(docs: DataFrame, labels: DataFrame, max_training: int = MAX_TRAINING)
         ratio = 2 * (F.col("a") * F.log(F.col("a") / (n * p)) + F.when(F.col("b") > 0, F.col("b") * F.log(F.col("b") / (n * (1 - p)))).otherwise(0.0))
         found = (words.where(F.col("a") / (n + half) >= MIN_SHARE - 0.05).where(F.col("a") >= MIN_SHARE * n)
                  .withColumn("ratio", ratio).where(F.col("ratio") >= 2 * math.log(size / FALSE_TERMS)))
-        terms = [r["word"] for r in found.orderBy(F.desc("ratio"), "word").limit(MAX_TERMS).collect()]
+        terms = sorted(r["word"] for r in found.select("word").collect())
         shared = docs.sparkSession.sparkContext.broadcast(Model(terms))
 
         @F.pandas_udf("boolean")
@@ -205,7 +204,7 @@ def learn(docs: DataFrame, labels: DataFrame, max_training: int = MAX_TRAINING)
             return spellings.map(lambda w: matcher.kind(w) == 1)
 
         used = words.where((F.col("b") >= 2) & (F.col("a") < MIN_SHARE * n)).where(alike("word"))
-        clean_words = frozenset(r["word"] for r in used.orderBy(F.desc("b"), "word").limit(MAX_CLEAN).select("word").collect())
+        clean_words = frozenset(r["word"] for r in used.select("word").collect())
         model = Model(terms, clean_words)
         points = features(rows, model).select("features", "toxic").toPandas()  # at most max_training rows of five numbers
         model.weights = fit_logistic(np.array(points["features"].tolist(), float), (points["toxic"] > 0).to_numpy(float))

@@ -1,6 +1,8 @@
 from __future__ import annotations
 
+import math
 import random
+import re
 import zlib
 
 import numpy as np
@@ -75,6 +77,70 @@ def test_toxicity_on_held_out_rows(spark):
     assert caught > 0.7 and wrong <= 0.02 * len(rows)
 
 
+def _plain_lexicon(rows):
+    """Terms and clean spellings by the definition, over lists of texts and labels."""
+    seen = {}
+    for text, toxic in rows:
+        words = re.findall(r"[^\W_]+(?:[@$*!][^\W_]+)*", (text or "").lower())
+        for k, word in enumerate(words):
+            key = word, words[k - 1] if k else "", words[k + 1] if k + 1 < len(words) else ""
+            seen[key] = max(seen.get(key, 0), toxic)
+    counts = {}
+    for (word, _, _), toxic in seen.items():
+        counts.setdefault(word, [0, 0])[1 - toxic] += 1
+    a, b = (sum(c[i] for c in counts.values()) for i in (0, 1))
+    p = a / (a + b)
+    terms = set()
+    for word, (x, y) in counts.items():
+        ratio = 2 * ((x * math.log(x / (x + y) / p) if x else 0) + (y * math.log(y / (x + y) / (1 - p)) if y else 0))
+        if x / (x + y + 0.5) >= 0.85 and x >= 0.9 * (x + y) and ratio >= 2 * math.log(len(counts) / 0.01):
+            terms.add(word)
+    clean = {w for w, (x, y) in counts.items() if y >= 2 and x < 0.9 * (x + y) and w not in terms
+             and any(abs(len(w) - len(t)) <= 2 and _distance(w, t) <= default_edits(t) for t in terms)}
+    return terms, clean
+
+
+def test_lexicon_equals_its_definition(spark):
+    rng = random.Random(9)
+    common = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 7))) for _ in range(150)]
+    bad = ["scum", "worthles", "zz", "z" * 50]
+    rows = []
+    for i in range(200):
+        words = [rng.choice(common) for _ in range(60)]
+        if i % 4 == 0:
+            words = [w if rng.random() < 0.6 else rng.choice(bad) for w in words]
+        elif i % 3 == 0:
+            words[rng.randrange(60)] = rng.choice(["scam", "worthies"])
+        rows.append((i, " ".join(words), int(i % 4 == 0)))
+    rows += [(300, None, 0), (301, "", 1)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    model = toxicity.learn(docs, labels)
+    terms, clean = _plain_lexicon([(t, y) for i, t, y in rows if zlib.crc32(str(i).encode()) % 3 != 1])
+    assert set(bad) <= terms == set(model.terms) and {"scam", "worthies"} <= clean == model.clean
+
+
+def test_lexicon_has_no_limit_of_terms(spark):
+    rng = random.Random(4)
+    bad = [f"bad{'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10 % 10]}{'uvwxyz'[i // 100 % 6] * (i // 600 + 2)}" for i in range(2400)]
+    texts = []
+    for i in range(2000):
+        words = rng.sample(bad, 150) if i % 2 else [f"w{rng.randrange(900)}" for _ in range(150)]
+        texts.append((i, " ".join(words)))
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    labels = docs.selectExpr("doc_id", "cast(doc_id % 2 as int) as toxic")
+    assert set(toxicity.learn(docs, labels).terms) == set(bad)
+
+
+def test_logistic_weights_are_the_optimum():
+    rng = np.random.default_rng(5)
+    x, y = rng.normal(size=(80, 3)), rng.integers(0, 2, 80).astype(float)
+    w = np.array(toxicity.fit_logistic(x, y, ridge=0.1))
+    ones = np.column_stack((x, np.ones(80)))
+    slope = ones.T @ (1 / (1 + np.exp(-ones @ w)) - y) + np.array([0.1, 0.1, 0.1, 1e-6]) * w
+    assert np.abs(slope).max() < 1e-6
+
+
 def test_context_windows_and_misspellings():
     matcher = toxicity.Matcher(toxicity.Model(["worthless", "idiot"], frozenset({"idiom"})))
     exact, fuzzy, quoted, _, directed = toxicity.hit_features("You idiot, you are w0rthless idiom", matcher)
