@@ -7,13 +7,15 @@ index: its task's offset plus its place in the task's output, as stored in
 the written sequence table.  A four-round Feistel network on an even-width
 domain of less than four times N values, cycle-walked until the value is
 below N, permutes the indices: the result is the sequence's global slot.
-Slots are range-partitioned into shards of a fixed number of records; a
-record is the padded ids in a fixed number of bytes, so slot s lies in shard
-s // per_shard at byte (s % per_shard) * stride, and a reader can stop and go
-on anywhere.
+Slots are cut into shards of a fixed number of records; a record is the
+padded ids in a fixed number of bytes, so slot s lies in shard s // per_shard
+at byte (s % per_shard) * stride, and a reader can stop and go on anywhere.
+A range partition writes ``shards_per_task`` whole shards, one after the
+other, so the number of tasks does not depend on the size of a shard.
 
 Scale: the sequences are written once and shuffled once, by shard, as
-compressed records.  The permutation is computed per row, so there is no
+compressed records; they are sorted compressed, too, and unpacked while a
+shard is written, so a task holds no unpacked shard.  The permutation is computed per row, so there is no
 global sort.  Only a row count per task reaches the driver.  Shards are
 written by Spark's own text writer (records are raw bytes ended by one line
 feed), so they land in any store that Spark writes to and a lost task is
@@ -37,6 +39,7 @@ from hourglass.session import materialize, release, scratch_dir
 
 SEQ_LEN = 4096
 PER_SHARD = 1024
+SHARDS_PER_TASK = 8
 _SLICE = 256
 ROUNDS = 4
 
@@ -148,7 +151,7 @@ def assign_slots(rows: DataFrame, key: int) -> tuple[DataFrame, int]:
 
 def write_training_order(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, key: int, pad_id: int = 0,
                          id_col: str = "doc_id", text_col: str = "text", seq_len: int = SEQ_LEN,
-                         per_shard: int = PER_SHARD, id_bytes: int = 2) -> DataFrame:
+                         per_shard: int = PER_SHARD, id_bytes: int = 2, shards_per_task: int = SHARDS_PER_TASK) -> DataFrame:
     """Write ``path/shards/shard=K`` and ``path/index``; returns the index table.
 
     Index: slot, shard, byte_offset, n_ids, segments, crc32 (of the padded
@@ -163,9 +166,8 @@ def write_training_order(docs: DataFrame, path: str, tokenizer_path: str, end_id
     def record(packed: pd.Series) -> pd.Series:
         return packed.map(zstandard.ZstdDecompressor().decompress)
 
-    (placed.select("slot", "shard", "packed").repartitionByRange(max(1, -(-total // per_shard)), "shard")
-     .select("slot", "shard", record("packed").cast("string").alias("value"))
-     .sortWithinPartitions("shard", "slot").select("value", "shard")
+    (placed.select("slot", "shard", "packed").repartitionByRange(max(1, -(-total // (per_shard * shards_per_task))), "shard")
+     .sortWithinPartitions("shard", "slot").select(record("packed").cast("string").alias("value"), "shard")
      .write.partitionBy("shard").option("lineSep", "\n").text(f"{path}/shards"))
     (placed.select("slot", "shard", (F.col("slot") % per_shard * stride).alias("byte_offset"), "n_ids", "segments", "crc32")
      .write.parquet(f"{path}/index"))

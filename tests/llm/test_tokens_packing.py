@@ -106,6 +106,35 @@ def test_training_order_round_trip_and_resume(spark, odd_docs, scratch, whole):
     assert sorted(r.slot for r in later) == list(range(150, len(rows)))
 
 
+def test_training_order_query_covers_every_id(spark, whole):
+    docs = {r.doc_id: len(whole(r.text)) + 1 for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    rows = queries.op1_training_order(spark, SF).collect()
+    assert all(r.crc32 == r.read_crc32 for r in rows)
+    parts, records = defaultdict(list), defaultdict(int)
+    for r in rows:
+        parts[r.doc_id].append((r.start, r.length))
+        records[r.slot] += r.length
+        assert (r.shard, r.byte_offset) == (r.slot // 1024, r.slot % 1024 * (2 * 4096 + 1))
+    assert sorted(records) == list(range(len(records))) and all(records[r.slot] == r.n_ids for r in rows)
+    for doc_id, n in docs.items():
+        at = 0
+        for start, length in sorted(parts[doc_id]):
+            assert start == at
+            at += length
+        assert at == n
+
+
+def test_shards_do_not_depend_on_how_many_a_task_writes(spark, odd_docs, scratch):
+    def written(name, **more):
+        training_order.write_training_order(odd_docs, f"{scratch}/{name}", PATH, 2, key=5, seq_len=64, per_shard=30, **more)
+        read = training_order.read_training_order(spark, f"{scratch}/{name}", seq_len=64, per_shard=30)
+        return [(r.slot, bytes(r.record)) for r in read.orderBy("slot").collect()]
+
+    one = written("one", shards_per_task=1)
+    assert [s for s, _ in one] == list(range(len(one))) and len(one) > 60
+    assert written("many", shards_per_task=1000) == written("some", shards_per_task=3) == one
+
+
 def test_training_order_empty(spark, no_docs, scratch):
     assert training_order.write_training_order(no_docs, f"{scratch}/x", PATH, 2, key=5).count() == 0
     assert training_order.read_training_order(spark, f"{scratch}/x").count() == 0
