@@ -22,6 +22,7 @@ from hourglass.plans.present import present, wrap_sql
 from hourglass.session import materialize, scratch_dir
 from hourglass.sources import fixtures as fx
 from hourglass.sources import panels as io
+from hourglass.streaming import start_featurizer
 
 
 @dataclass
@@ -336,6 +337,19 @@ def q_attributes(spark, sf):
     return cal.attributes(fx.panel_hourly(spark, sf))
 
 
+@query("stream_features", "series:s value:d scaled:d " + ATTR_SPEC,
+       S.with_(S.hourly(), "every AS (SELECT *, 'x' AS role FROM panel)", S.scaler("stats", "scaled_rows", "every"))
+       + f"SELECT series, ts, value, scaled, {S.attribute_select('ts')} FROM scaled_rows")
+def q_stream_features(spark, sf):
+    # The panel's files as a stream in micro-batches, calendar and scaler applied, read back from the file sink.
+    source, out = scratch_path(spark, "stream-in"), scratch_path(spark, "stream-out")
+    fx.panel_hourly(spark, sf).repartitionByRange(8, "ts").write.parquet(source)
+    p = spark.read.parquet(source)
+    rows = spark.readStream.schema(p.schema).option("maxFilesPerTrigger", 4).parquet(source)
+    start_featurizer(rows, scale.fit_scaler(p), out, scratch_path(spark, "stream-state")).awaitTermination()
+    return spark.read.parquet(out)
+
+
 # ---------------------------------------------------------------- 2.4 joins
 
 
@@ -540,7 +554,7 @@ UNI_CTES = FLAG_CTES + [S.sequences("seq", "scaled"), S.horizon_rows("hr", "seq"
 
 
 def _uni_pred(spark, sf):
-    seq = _flag_seq(spark, sf)
+    seq = materialize(_flag_seq(spark, sf), "sequences")  # read by the fit and by the scores
     return univariate.predict_univariate(seq, univariate.fit_univariate(seq))
 
 
@@ -561,7 +575,7 @@ def q_mse_by_key(spark, sf):
 JOIN win w ON w.series = p.series AND w.window_id = p.window_id AND w."offset" = p.horizon + 48""")
 def q_scatter_predictions(spark, sf):
     w = _flag_windows(spark, sf)
-    seq = sequences.sequences(w, train=TRAIN, predict=PREDICT)
+    seq = materialize(sequences.sequences(w, train=TRAIN, predict=PREDICT), "sequences")
     pred = univariate.predict_univariate(seq, univariate.fit_univariate(seq))
     vec = pred.groupBy("series", "window_id").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("horizon", "prediction"))),

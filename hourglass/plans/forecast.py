@@ -1,7 +1,8 @@
 """End-to-end forecasting flows composed from the operators.
 
-Each function returns the final DataFrame; the windows are written to the
-shared folder while the plan is built, the rest runs with the caller's action.
+Each function returns the final DataFrame; the windows and the sequences are
+written to the shared folder while the plan is built, the rest runs with the
+caller's action.
 """
 
 from __future__ import annotations
@@ -38,7 +39,7 @@ def univariate_scores(panel: DataFrame, train: int = 48, predict: int = 4, gap:
     Fit and scored on the same windows (an in-sample error, as a
     regression anchor, not a forecast quality claim).
     """
-    seq = sequences(windowed(panel, train, predict, gap), train=train, predict=predict)
+    seq = materialize(sequences(windowed(panel, train, predict, gap), train=train, predict=predict), "sequences")
     model = fit_univariate(seq, kind=kind)
     pred = predict_univariate(seq, model, kind=kind)
     return mse(pred, ["series"])

@@ -175,3 +175,13 @@ def test_holdout_scores_run_on_fixture(spark):
     p = pooled.first()
     assert p.n == sum(r.n for r in rows)
     assert abs(p.mse - sum(r.mse * r.n for r in rows) / p.n) < 1e-9
+
+
+def test_scores_read_the_written_sequences(spark):
+    """The windows are grouped into sequences once, while the plan is built; fit and scores read the result."""
+    from hourglass.plans import forecast
+    from hourglass.sources import fixtures as fx
+    from tests.conftest import SF
+    scores = forecast.univariate_scores(fx.panel_hourly(spark, SF), 24, 4, 5)
+    plan = scores._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in plan and plan.count("Relation [") == 2
