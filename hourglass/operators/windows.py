@@ -7,7 +7,7 @@ scalar subqueries.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hourglass.operators.position import count_positions, positions
@@ -22,18 +22,20 @@ def _ensure_pos(df: DataFrame, pos: str, ts: str):
 
 
 def gap_windows(df: DataFrame, train: int = 48, predict: int = 4, gap: int = 26,
-                ts: str = "ts", pos: str = "pos", keep_gap: bool = False) -> DataFrame:
+                ts: str = "ts", pos: str = "pos", keep_gap: bool = False, n: Column | None = None) -> DataFrame:
     """Non-overlapping windows: ``train`` input rows, ``predict`` target rows, then a gap.
 
     A window starts at positions ``0, step, 2*step, ...`` with
     ``step = train + predict + gap - 1`` while ``start < N - (train + predict + gap)``
     (strict), so the effective gap is ``gap - 1`` rows and a last window that
     would just fit is dropped.  Adds ``window_id``, ``offset`` and ``role``
-    (``'x'`` input, ``'y'`` target, ``'gap'`` only with ``keep_gap``).
+    (``'x'`` input, ``'y'`` target, ``'gap'`` only with ``keep_gap``).  ``n`` is
+    the number of positions where ``df`` has ``pos`` and the caller knows it.
     """
     if min(train, predict) < 1 or gap < 1:
         raise ValueError("train, predict and gap must be positive")
-    df, n = _ensure_pos(df, pos, ts)
+    if n is None:
+        df, n = _ensure_pos(df, pos, ts)
     step = train + predict + gap - 1
     total = train + predict + gap
     wid = F.floor(F.col(pos) / F.lit(step)).cast("long")

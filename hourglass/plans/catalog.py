@@ -21,6 +21,7 @@ from hourglass.plans import forecast, lagmodels, sqlparts as S, univariate
 from hourglass.plans.present import present, wrap_sql
 from hourglass.session import materialize, scratch_dir
 from hourglass.sources import fixtures as fx
+from hourglass.sources import layout
 from hourglass.sources import panels as io
 from hourglass.streaming import start_featurizer
 
@@ -140,6 +141,14 @@ def q_lag_join(spark, sf):
     return _lagged(spark, sf)
 
 
+@query("lag_join_stored", LAGGED_SPEC, S.with_(S.sparse(), LAGGED_SQL) + "SELECT * FROM lagged")
+def q_lag_join_stored(spark, sf):
+    # The same lags from the bucketed layout, opened by its path.
+    path = scratch_path(spark, "layout")
+    layout.write_stored_panel(fx.panel_hourly_sparse(spark, sf), path, stretch_rows=168)
+    return layout.stored_lags(layout.open_stored_panel(spark, path), [1, 2])
+
+
 @query("drop_incomplete_subset", LAGGED_SPEC,
        S.with_(S.sparse(), LAGGED_SQL)
        + "SELECT * FROM lagged WHERE value_lag1 IS NOT NULL AND value_lag2 IS NOT NULL")
@@ -472,6 +481,14 @@ def q_sequence_1(spark, sf):
     return _flag_seq(spark, sf)
 
 
+@query("sequence_1_stored", "series:s window_id:i x:ad y:ad",
+       S.with_(*FLAG_CTES, S.sequences("seq", "scaled")) + "SELECT * FROM seq")
+def q_sequence_1_stored(spark, sf):
+    stored = layout.write_stored_panel(panel.drop_incomplete(fx.panel_hourly(spark, sf)), scratch_path(spark, "layout"),
+                                       layout.stretch_rows_for(TRAIN, PREDICT, GAP, windows=4))
+    return layout.stored_sequences(stored, TRAIN, PREDICT, GAP)
+
+
 def _attr_windows(spark, sf):
     p = fx.panel_hourly(spark, sf)
     w = windows.gap_windows(panel.drop_incomplete(p), TRAIN, PREDICT, GAP)
@@ -630,6 +647,15 @@ def q_blocked_folds(spark, sf):
     return _folds(spark, sf).select("series", "ts", "window_id", "role", "fold", "fold_role")
 
 
+@query("blocked_folds_stored", "series:s ts:t window_id:i role:s fold:i fold_role:s",
+       S.with_(*FOLD_CTES) + "SELECT series, ts, window_id, role, fold, fold_role FROM folds")
+def q_blocked_folds_stored(spark, sf):
+    stored = layout.write_stored_panel(fx.panel_daily_millions(spark, sf), scratch_path(spark, "layout"),
+                                       layout.stretch_rows_for(TRAIN, PREDICT, GAP, windows=4), halo_seconds=2 * 86400)
+    w = windows.blocked_folds(layout.stored_windows(stored, TRAIN, PREDICT, GAP), k=FOLDS, train_share=0.8)
+    return w.select("series", "ts", "window_id", "role", "fold", "fold_role")
+
+
 @query("shuffled_folds", "ts:t fold:i", S.with_(S.hourly())
        + """SELECT ts, CAST(CAST('0x' || substring(md5(strftime(ts, '%Y-%m-%d %H:%M:%S') || '|42'), 1, 8) AS BIGINT) % 5 AS INTEGER) AS fold
 FROM (SELECT DISTINCT ts FROM panel) t""")
