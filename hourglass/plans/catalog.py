@@ -581,6 +581,14 @@ def q_forecast_univariate(spark, sf):
     return forecast.univariate_scores(fx.panel_hourly(spark, sf), TRAIN, PREDICT, GAP)
 
 
+@query("forecast_univariate_stored", "series:s mse:d n:i",
+       S.with_(*UNI_CTES) + "SELECT series, avg(pow(prediction - target, 2)) AS mse, count(pow(prediction - target, 2)) AS n FROM pred GROUP BY series")
+def q_forecast_univariate_stored(spark, sf):
+    # The flagship flow read from the bucketed layout.
+    seq = materialize(q_sequence_1_stored(spark, sf), "sequences").drop("stretch")
+    return metrics.mse(univariate.predict_univariate(seq, univariate.fit_univariate(seq)), ["series"])
+
+
 @query("mse_by_key", "series:s horizon:i mse:d n:i",
        S.with_(*UNI_CTES) + "SELECT series, horizon, avg(pow(prediction - target, 2)) AS mse, count(*) AS n FROM pred GROUP BY series, horizon")
 def q_mse_by_key(spark, sf):
