@@ -38,12 +38,14 @@ def per_key_join(rows: DataFrame, per_key: DataFrame, keys: Sequence[str], how:
     """Join ``rows`` with a table of few rows per key, each key dealt to ``salts`` tasks.
 
     The small table is repeated once per salt; a row's salt is a hash of its
-    plain columns, so a retried task deals its rows the same way.
+    plain columns, so a retried task deals its rows the same way.  The copies
+    are dealt before the join, so Spark broadcasts them only if their measured
+    size allows it.
     """
     plain = [c for c, kind in rows.dtypes if not kind.startswith(("array", "map", "struct"))]
     salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in plain]), F.lit(salts)))
     copies = per_key.withColumn("_salt", F.explode(F.array(*[F.lit(s).cast("long") for s in range(salts)])))
-    return salted.join(copies, [*keys, "_salt"], how).drop("_salt")
+    return salted.join(copies.repartition(*keys, "_salt"), [*keys, "_salt"], how).drop("_salt")
 
 
 def semi_timestamps(attrs: DataFrame, x: DataFrame, ts: str = "ts") -> DataFrame:

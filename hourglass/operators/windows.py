@@ -11,13 +11,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hourglass.operators.position import count_positions, positions
+from hourglass.session import materialize
 
 
 def _ensure_pos(df: DataFrame, pos: str, ts: str):
-    """``(df with pos, N)``; N is a scalar subquery over the distinct-timestamp table only."""
+    """``(df with pos, N)``; N is a scalar subquery over the distinct-timestamp table only.
+
+    The table is written, so the join sees its real size: estimated from its
+    plan it is larger than a well compressed panel, which would be broadcast.
+    """
     if pos in df.columns:
         return df, count_positions(df, pos)
-    tbl = positions(df, ts=ts, out=pos)
+    tbl = materialize(positions(df, ts=ts, out=pos), "positions")
     return df.join(tbl, ts), count_positions(tbl, pos)
 
 

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hourglass.functions.numeric import clip_floor
-from hourglass.operators.joins import grid_rows, per_key_join
+from hourglass.operators.joins import SALTS, grid_rows
 
 
 def _tri(p: int) -> int:
@@ -47,21 +47,30 @@ CHUNK = 64
 
 
 def partial_stats(df: DataFrame, keys: Sequence[str], p: int, q: int, f: str = "f",
-                  y: str = "y") -> DataFrame:
+                  y: str = "y", whole: bool = False) -> DataFrame:
     """Per (key, partition): ``stats = [n, sum f, sum y, upper triangle of f'f, f'y]`` (row-major).
 
     The vector is emitted as fixed-width chunks, rows ``(keys, chunk, v0..v63)``,
-    so the element-wise sum downstream is plain column ``sum``s.
+    so the element-wise sum downstream is plain column ``sum``s.  ``whole``
+    emits ``(keys, stats)`` instead: for samples partitioned by ``keys``, whose
+    vectors need no further sum.
     """
     keys = list(keys)
     key_fields = [df.schema[k] for k in keys]
     schema = T.StructType(key_fields + [T.StructField("chunk", T.IntegerType())]
                           + [T.StructField(f"v{j}", T.DoubleType()) for j in range(CHUNK)])
+    if whole:
+        schema = T.StructType([*key_fields, T.StructField("stats", T.ArrayType(T.DoubleType()))])
     width = _stats_len(p, q)
     n_chunks = -(-width // CHUNK)
     iu = np.triu_indices(p)
     t = _tri(p)
 
+    def emit(key_rows, stats):
+        if whole:
+            return pd.DataFrame([(*k, v) for k, v in zip(key_rows, stats, strict=True)], columns=schema.names)
+        return _frame(keys, key_rows, stats, n_chunks)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cur_key, acc = None, None
         out_keys, out_stats = [], []
@@ -91,11 +100,11 @@ def partial_stats(df: DataFrame, keys: Sequence[str], p: int, q: int, f: str = "
                 acc[1 + p + q + t:width] += (X.T @ Y).ravel()
             # Emit finished keys batch by batch so memory stays O(one key).
             if out_keys:
-                yield _frame(keys, out_keys, out_stats, n_chunks)
+                yield emit(out_keys, out_stats)
                 out_keys, out_stats = [], []
         flush()
         if out_keys:
-            yield _frame(keys, out_keys, out_stats, n_chunks)
+            yield emit(out_keys, out_stats)
 
     return df.select(*keys, f, y).sortWithinPartitions(*keys).mapInPandas(run, schema)
 
@@ -211,35 +220,51 @@ BUCKET_WINDOWS = 256
 
 def fit_direct(samples: DataFrame, keys: Sequence[str], p: int, q: int, grid: DataFrame | Sequence[dict] | None = None,
                l2: float = 1.0, families: Sequence[int] | None = None,
-               param_cols: Sequence[str] = ("l2",), window: str | None = None) -> DataFrame:
+               param_cols: Sequence[str] = ("l2",), window: str | None = None, windows: int | None = None) -> DataFrame:
     """Fit one direct model per key (and per grid config) on samples with ``f`` and ``y`` arrays.
 
     With ``window`` the samples are first dealt by key and run of
     ``BUCKET_WINDOWS`` windows: a short series then emits one statistics
     vector instead of one per task (a vector is some 30 times as wide as a
-    sample), and a long series is still split over its runs.
+    sample), and a long series is still split over its runs.  Where the caller
+    knows that there are ``windows`` windows and they fit one run, a key is
+    solved in the task that has its samples, and no vector is shuffled.
     """
+    configs = grid_rows(grid) if grid is not None else [{c: float(l2) for c in param_cols}]
+    if window is not None and windows is not None and windows <= BUCKET_WINDOWS:
+        summed = partial_stats(samples.select(*keys, "f", "y").repartition(*keys), keys, p, q, whole=True)
+        return solve(summed, keys, p, q, families, param_cols, configs)
     if window is not None:
         run = F.floor(F.col(window) / F.lit(BUCKET_WINDOWS))
         samples = samples.select(*keys, "f", "y", run.alias("_run")).repartition(*keys, "_run")
     summed = summed_stats(partial_stats(samples, keys, p, q), keys)
-    configs = grid_rows(grid) if grid is not None else [{c: float(l2) for c in param_cols}]
     return solve(summed, keys, p, q, families, param_cols, configs)
 
 
 def predict_direct(samples: DataFrame, model: DataFrame, keys: Sequence[str],
-                   window: str = "window_id", clip: bool = True, f: str = "f", carry: Sequence[str] = ()) -> DataFrame:
+                   window: str = "window_id", clip: bool = True, f: str = "f", carry: Sequence[str] = (),
+                   windows: int | None = None) -> DataFrame:
     """``(keys, model params, window, carry, horizon, prediction, target)``: a join plus array arithmetic.
 
     The dot product is a higher-order function (JVM side).  Targets are
-    ``y[horizon]`` when the samples carry ``y``.
+    ``y[horizon]`` when the samples carry ``y``.  A key's samples are dealt by
+    runs of ``BUCKET_WINDOWS`` windows to at most ``SALTS`` tasks; its model is
+    repeated as often as there are runs (``SALTS`` times where the number of
+    ``windows`` is not known), once for short series.  A model is wider than a
+    sample, so both sides are dealt before the join and only what is measured
+    to be small is broadcast.
     """
     keys = list(keys)
     dot = F.aggregate(F.zip_with(F.col(f), F.col("coef"), lambda a, b: a * b), F.lit(0.0),
                       lambda acc, v: acc + v)
     pred = F.col("intercept") + dot
     has_y = "y" in samples.columns
-    j = per_key_join(samples, model.drop("fmean", "n"), keys, "inner")
+    copies = SALTS if windows is None else max(1, min(SALTS, -(-windows // BUCKET_WINDOWS)))
+    run = F.coalesce(F.pmod(F.floor(F.col(window) / F.lit(BUCKET_WINDOWS)), F.lit(copies)).cast("int"), F.lit(0))
+    needed = [window, *carry, f, *(["y"] if has_y else [])]
+    dealt = samples.select(*keys, *needed, run.alias("_run")).repartition(*keys, "_run")
+    models = model.drop("fmean", "n").withColumn("_run", F.explode(F.sequence(F.lit(0), F.lit(copies - 1)))).repartition(*keys, "_run")
+    j = dealt.join(models, [*keys, "_run"])
     cols = [c for c in model.columns if c not in (*keys, "horizon", "intercept", "coef", "fmean", "n")]
     tgt = F.element_at(F.col("y"), F.col("horizon") + 1) if has_y else F.lit(None).cast("double")
     return j.select(*keys, *cols, window, *carry, "horizon",

@@ -62,25 +62,37 @@ def features(seq: DataFrame, layout: str) -> DataFrame:
     raise ValueError(f"unknown layout {layout!r}")
 
 
+def written(s: DataFrame, layout: str, window: str = "window_id") -> tuple[DataFrame, int | None]:
+    """``(samples, number of windows)`` of samples that are read several times: written, without what ``f`` repeats.
+
+    The hourly layouts, some 40 times as wide as their values, are not written (number None).
+    """
+    if layout in HOURLY:
+        return s, None
+    s = materialize(s.drop("x"), "samples")
+    last = s.agg(F.max(window)).first()[0]
+    return s, 0 if last is None else last + 1
+
+
 def fit_layout(s: DataFrame, layout: str, keys: Sequence[str], train: int, predict: int, grid: DataFrame | list[dict] | None = None,
-               l2: float = 1.0) -> DataFrame:
+               l2: float = 1.0, windows: int | None = None) -> DataFrame:
     """Ridge models of a layout; those of the target-hour layouts are also keyed by ``step`` and have one horizon."""
     p, families, penalties = width(layout, train)
     if layout in HOURLY:
         return kernel.fit_wide(s, keys, p, predict, families, penalties, grid, l2)
     if layout != "lags":
         keys, predict = [*keys, "step"], 1
-    return direct.fit_direct(s, keys, p, predict, grid=grid, l2=l2, families=families, param_cols=penalties, window="window_id")
+    return direct.fit_direct(s, keys, p, predict, grid=grid, l2=l2, families=families, param_cols=penalties, window="window_id", windows=windows)
 
 
 def predict_layout(s: DataFrame, model: DataFrame, layout: str, keys: Sequence[str], window: str = "window_id",
-                   clip: bool = True) -> DataFrame:
+                   clip: bool = True, windows: int | None = None) -> DataFrame:
     """``(keys, params, window, horizon, ts, prediction, target)`` with the models of ``fit_layout``."""
     if layout == "lags" or layout in HOURLY:
-        pred = direct.predict_direct(s, model, keys, window, clip, carry=["y_ts"])
+        pred = direct.predict_direct(s, model, keys, window, clip, carry=["y_ts"], windows=windows)
         at = F.col("horizon")
     else:
-        pred = direct.predict_direct(s, model, [*keys, "step"], window, clip, carry=["y_ts"])
+        pred = direct.predict_direct(s, model, [*keys, "step"], window, clip, carry=["y_ts"], windows=windows)
         pred, at = pred.drop("horizon").withColumnRenamed("step", "horizon"), F.lit(0)
     return pred.withColumn("ts", F.element_at("y_ts", at + 1)).drop("y_ts")
 
@@ -153,9 +165,9 @@ def cross_validate(panel: DataFrame, grid: DataFrame | list[dict], layout: str =
     w = materialize(blocked_folds(gap_windows(p0, train, predict, gap), k, train_share))
     keys = ["series", "fold"]
     stats = fit_scaler(w, keys=keys, where=(F.col("role") == "x") & (F.col("fold_role") == "train"))
-    s = samples(apply_scaler(w, stats, keys=keys), layout, keys + ["fold_role"], train, predict)
-    model = fit_layout(s.where(F.col("fold_role") == "train"), layout, keys, train, predict, grid)
-    pred = predict_layout(s.where(F.col("fold_role") == "val").drop("fold_role"), model, layout, keys)
+    s, n = written(samples(apply_scaler(w, stats, keys=keys), layout, keys + ["fold_role"], train, predict), layout)
+    model = fit_layout(s.where(F.col("fold_role") == "train"), layout, keys, train, predict, grid, windows=n)
+    pred = predict_layout(s.where(F.col("fold_role") == "val").drop("fold_role"), model, layout, keys, windows=n)
     cfg = list(grid_rows(grid)[0])
     fold_mse = mse(pred, cfg + ["fold"])
     return fold_mse, cv_score(fold_mse, cfg)
@@ -190,8 +202,8 @@ def holdout_scores(panel: DataFrame, layout: str = "lags", train: int = 48, pred
     from hourglass.operators.windows import split_windows
     w = materialize(split_windows(gap_windows(drop_incomplete(panel), train, predict, gap), frac))
     stats = fit_scaler(w, where=(F.col("role") == "x") & (F.col("split") == "train"))
-    s = samples(apply_scaler(w, stats), layout, ["series", "split"], train, predict)
+    s, n = written(samples(apply_scaler(w, stats), layout, ["series", "split"], train, predict), layout)
     grid = two_penalties(l2, l2_attr) if layout.endswith("two_family") else None
-    model = fit_layout(s.where(F.col("split") == "train").drop("split"), layout, ["series"], train, predict, grid, l2)
-    pred = predict_layout(s.where(F.col("split") == "val").drop("split"), model, layout, ["series"])
+    model = fit_layout(s.where(F.col("split") == "train").drop("split"), layout, ["series"], train, predict, grid, l2, n)
+    pred = predict_layout(s.where(F.col("split") == "val").drop("split"), model, layout, ["series"], windows=n)
     return mse(pred, ["series"]), mse(pred, [])

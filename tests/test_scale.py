@@ -74,3 +74,53 @@ def test_hot_series_is_spread_over_the_scaler_join_and_the_sequences(spark):
     finally:
         for k, v in before.items():
             spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+
+
+def _largest_broadcast(spark, df):
+    """Rows of the largest relation that the executed plan of ``df`` broadcasts."""
+    df.collect()
+    plan, largest = df._jdf.queryExecution().executedPlan(), 0
+    nodes = [plan]
+    while nodes:
+        n = nodes.pop()
+        name = n.nodeName()
+        if name == "AdaptiveSparkPlan":
+            nodes.append(n.executedPlan())
+            continue
+        if name in ("BroadcastQueryStage", "ShuffleQueryStage"):
+            nodes.append(n.plan())
+            continue
+        if name == "BroadcastExchange":
+            largest = max(largest, n.metrics().apply("numOutputRows").value())
+        children = n.children()
+        nodes += [children.apply(i) for i in range(children.size())]
+    return largest
+
+
+def _users(spark, n, hours, value=0.0):
+    """A panel that parquet compresses to almost nothing."""
+    from hourglass.session import materialize
+    return materialize(spark.range(n * hours).select(
+        F.format_string("u%05d", F.floor(F.col("id") / hours).cast("int")).alias("series"),
+        (F.lit(BASE) + F.make_interval(hours=(F.col("id") % hours).cast("int"))).cast("timestamp").alias("ts"),
+        F.when(F.col("id") % 24 == 0, F.lit(1.0)).otherwise(F.lit(value)).alias("value")))
+
+
+def test_a_well_compressed_panel_is_not_broadcast_for_its_positions(spark):
+    from hourglass.operators import windows
+    w = windows.gap_windows(_users(spark, 400, 120), 24, 4, 5)
+    assert _largest_broadcast(spark, w.where("offset = 0")) <= 120
+
+
+def test_one_pass_models_equal_summed_statistics(spark):
+    from hourglass.plans import direct
+    rows = [(s, w, [float((w * 7 + s * 3) % 5), float((w * w + s) % 7)], [float((w + s) % 3)]) for s in range(5) for w in range(12)]
+    df = spark.createDataFrame(rows, "series int, window_id long, f array<double>, y array<double>").repartition(4)
+    a = direct.fit_direct(df, ["series"], 2, 1, window="window_id").orderBy("series").collect()
+    b = direct.fit_direct(df, ["series"], 2, 1, window="window_id", windows=12).orderBy("series").collect()
+    assert len(a) == len(b) == 5
+    for x, y in zip(a, b, strict=True):
+        assert x.n == y.n == 12 and abs(x.intercept - y.intercept) < 1e-9
+        assert max(abs(i - j) for i, j in zip(x.coef, y.coef, strict=True)) < 1e-9
+    known = direct.predict_direct(df, direct.fit_direct(df, ["series"], 2, 1), ["series"], windows=12).collect()
+    assert sorted(known) == sorted(direct.predict_direct(df, direct.fit_direct(df, ["series"], 2, 1), ["series"]).collect()) and len(known) == 60
