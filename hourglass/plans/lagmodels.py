@@ -133,7 +133,8 @@ def fit_lags(panel: DataFrame, layout: str = "lags", train: int = 48, predict: i
         if layout in ("lags_calendar", "two_family"):
             raise ValueError("conjugate gradients take layouts with one model for all horizons")
         return conjugate.fit_conjugate(s, ["series"], p, predict, families or [p], [grid[0][c] if grid else l2 for c in penalties]), stats
-    return fit_layout(s, layout, ["series"], train, predict, grid, l2), stats
+    s, n = written(s, layout)
+    return fit_layout(s, layout, ["series"], train, predict, grid, l2, n), stats
 
 
 def predict_blocks(test: DataFrame, model: DataFrame, stats: DataFrame, layout: str = "lags",
@@ -145,8 +146,8 @@ def predict_blocks(test: DataFrame, model: DataFrame, stats: DataFrame, layout:
     b = test_blocks(test, history, predict)
     x = (apply_scaler(b, stats)
          .withColumnsRenamed({"block_offset": "offset"}))
-    s = samples(x, layout, ["series"], history, predict, window="block_id")
-    pred = predict_layout(s, model, layout, ["series"], "block_id", clip)
+    s, n = written(samples(x, layout, ["series"], history, predict, window="block_id"), layout, "block_id")
+    pred = predict_layout(s, model, layout, ["series"], "block_id", clip, n)
     return pred.select("series", "block_id", "horizon", "ts", "prediction")
 
 

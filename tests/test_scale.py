@@ -112,6 +112,20 @@ def test_a_well_compressed_panel_is_not_broadcast_for_its_positions(spark):
     assert _largest_broadcast(spark, w.where("offset = 0")) <= 120
 
 
+def test_models_of_many_short_series_are_neither_broadcast_nor_repeated(spark):
+    from hourglass.plans import lagmodels
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "300k")
+    try:
+        p = _users(spark, 600, 200)
+        model, stats = lagmodels.fit_lags(p, "lags", 24, 4, 5)
+        pred = lagmodels.predict_blocks(p, model, stats, "lags", 24, 4)
+        assert _largest_broadcast(spark, pred) <= 200
+        assert pred.count() == 600 * 4 * 7
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_one_pass_models_equal_summed_statistics(spark):
     from hourglass.plans import direct
     rows = [(s, w, [float((w * 7 + s * 3) % 5), float((w * w + s) % 7)], [float((w + s) % 3)]) for s in range(5) for w in range(12)]
