@@ -138,3 +138,42 @@ def test_one_pass_models_equal_summed_statistics(spark):
         assert max(abs(i - j) for i, j in zip(x.coef, y.coef, strict=True)) < 1e-9
     known = direct.predict_direct(df, direct.fit_direct(df, ["series"], 2, 1), ["series"], windows=12).collect()
     assert sorted(known) == sorted(direct.predict_direct(df, direct.fit_direct(df, ["series"], 2, 1), ["series"]).collect()) and len(known) == 60
+
+
+def _shuffle_rows(spark, df):
+    """Rows that the exchanges of the executed plan of ``df`` write."""
+    df.collect()
+    total, nodes = 0, [df._jdf.queryExecution().executedPlan()]
+    while nodes:
+        n = nodes.pop()
+        name = n.nodeName()
+        if name == "AdaptiveSparkPlan":
+            nodes.append(n.executedPlan())
+            continue
+        if name.endswith("QueryStage"):
+            nodes.append(n.plan())
+            continue
+        if name == "Exchange":
+            total += n.metrics().apply("shuffleRecordsWritten").value()
+        children = n.children()
+        nodes += [children.apply(i) for i in range(children.size())]
+    return total
+
+
+def test_lags_shuffle_each_row_about_once(spark):
+    df = _hot_panel(spark)
+    lagged = lags.lag_features(df, [1, 2])
+    repartitioned = 9000
+    assert df.count() == 9000 and _shuffle_rows(spark, lagged) - repartitioned < 1.1 * 9000
+
+
+def test_time_lags_equal_the_gathered_ones(spark):
+    """Times between the hours, holes, null times, null series, null values."""
+    rows = [(None if i % 97 == 0 else f"s{i % 7}", None if 350 <= i < 353 else BASE + dt.timedelta(minutes=30 * (i // 7), microseconds=i % 3),
+             None if i % 11 == 0 else i * 1.5, i) for i in range(1500) if i % 13]
+    df = spark.createDataFrame(rows, "series string, ts timestamp, value double, extra long").dropDuplicates(["series", "ts"]).localCheckpoint()
+    for n in ([1, 2], [1], [3, 5], [60]):
+        want = lags.gather_shifted(df, ["series"], "ts", {"value": {k: f"value_lag{k}" for k in n}}, lambda c, k: c + F.make_dt_interval(secs=F.lit(k * 3600)))
+        got = lags.lag_features(df, n)
+        order = lambda r: tuple((v is not None, v) for v in r)
+        assert got.columns == want.columns and sorted(map(order, got.collect())) == sorted(map(order, want.collect()))
