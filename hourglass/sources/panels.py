@@ -27,6 +27,7 @@ from hourglass.session import materialize
 
 STATIONS_SCHEMA = "name STRING, latitude DOUBLE, longitude DOUBLE"
 GROUP_SERIES = 500  # columns of a column-group file
+FILE_SECONDS = 30 * 24 * 3600  # time span of a column-group file
 
 
 def csv_fields(line: str | Column) -> Column:
@@ -150,7 +151,9 @@ def write_panel_groups(long: DataFrame, path: str, value: str = "value", width:
     The series are numbered in name order by a range partitioning; a line
     holds the time and the group's values in this order, gathered as an array
     and not by a pivot, so the number of series is not limited and nothing is
-    collected first.  ``(series, ts)`` must be unique.
+    collected first.  The cells are dealt once, by group and ``FILE_SECONDS``
+    of time, and each such part is written by the task that gathers its lines,
+    in the order of time.  ``(series, ts)`` must be unique.
     """
     names = number_rows_by_range(long.select("series").distinct(), "series", out="ordinal")
     names = materialize(names.select("series", F.floor(F.col("ordinal") / width).cast("int").alias("group"), (F.col("ordinal") % width).cast("int").alias("slot")), "series-ordinals")
@@ -158,19 +161,29 @@ def write_panel_groups(long: DataFrame, path: str, value: str = "value", width:
     line = F.concat_ws(",", F.lit("timestamp"), F.transform("all", lambda s: _quoted(s["series"])))
     headers.select("group", line.alias("value")).write.partitionBy("group").text(f"{path}/header")
     sizes = headers.select(F.col("group").alias("_g"), F.size("all").alias("_size"))
-    cells = per_key_join(long.select("series", "ts", F.col(value).cast("double").alias("value")), names, ["series"], "inner")
-    rows = cells.groupBy("group", "ts").agg(F.map_from_entries(F.collect_list(F.struct("slot", F.col("value").cast("string").alias("v")))).alias("m"))
-    rows = rows.join(sizes, F.col("group") == F.col("_g"))
-    values = F.transform(F.sequence(F.lit(0), F.col("_size") - 1), lambda i: F.coalesce(F.try_element_at("m", i), F.lit("")))
+    # Every named series has its number: left joins give the same rows, and only their small sides can be broadcast.
+    cells = per_key_join(long.where(F.col("series").isNotNull()).select("series", "ts", F.col(value).cast("double").alias("value")), names, ["series"])
+    part = F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / F.lit(FILE_SECONDS)).alias("_part")
+    cells = cells.select("group", part, "ts", "slot", "value").repartition("group", "_part")
+    rows = cells.groupBy("group", "_part", "ts").agg(F.sort_array(F.collect_list(F.struct("slot", F.col("value").cast("string").alias("v")))).alias("cells"))
+    rows = rows.join(sizes, F.col("group") == F.col("_g"), "left")
+    slots = F.sequence(F.lit(0), F.col("_size") - 1)
+    # A line without some of its series, or with one twice (an error), goes by slot number.
+    by_slot = F.map_from_entries("cells")
+    values = F.when(F.transform("cells", lambda c: c["slot"]) == slots, F.transform("cells", lambda c: F.coalesce(c["v"], F.lit("")))).otherwise(
+        F.transform(slots, lambda i: F.coalesce(F.try_element_at(by_slot, i), F.lit(""))))
     out = rows.select("group", "ts", F.concat_ws(",", format_ts("ts"), values).alias("value"))
-    out.repartitionByRange("group", "ts").sortWithinPartitions("group", "ts").drop("ts").write.partitionBy("group").text(f"{path}/rows")
+    out.sortWithinPartitions("group", "ts").drop("ts").write.partitionBy("group").text(f"{path}/rows")
 
 
 def read_panel_groups(spark: SparkSession, path: str, ts_col: str = "timestamp") -> DataFrame:
     """Long ``(series, ts, value)`` of ``write_panel_groups`` files; empty cells are NULL."""
     headers = spark.read.schema("value string, group int").text(f"{path}/header").select("group", csv_fields("value").alias("names"))
-    rows = spark.read.schema("value string, group int").text(f"{path}/rows").select("group", csv_fields("value").alias("cells"))
-    cells = rows.join(headers, "group").select(parse_ts(F.get("cells", F.lit(0))).alias("ts"), F.inline(F.arrays_zip("names", "cells"))).where(F.col("names") != ts_col)
+    # Lines of numbers have no quotes; the time is read once a line, not once a cell.
+    fields = F.when(F.contains("value", F.lit('"')), csv_fields("value")).otherwise(F.split("value", ",", -1))
+    rows = spark.read.schema("value string, group int").text(f"{path}/rows").select("group", fields.alias("cells"))
+    rows = rows.select("group", parse_ts(F.get("cells", F.lit(0))).alias("ts"), "cells")
+    cells = rows.join(headers, "group").select("ts", F.inline(F.arrays_zip("names", "cells"))).where(F.col("names") != ts_col)
     return cells.select(F.col("names").alias("series"), "ts", nan_to_null(F.when(F.col("cells") != "", F.col("cells")).cast("double")).alias("value"))
 
 

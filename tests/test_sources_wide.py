@@ -79,3 +79,31 @@ def test_range_positions_equal_row_numbers_and_spread_a_dense_hour(spark):
     dense = [r for r in plain if base + dt.timedelta(hours=50) <= r.ts < base + dt.timedelta(hours=51)]
     assert len(dense) >= 300 and len({r.p for r in dense}) > 1
     assert position.number_rows_by_range(df.limit(0), "ts", ["series"]).count() == 0
+
+
+def test_group_lines_with_holes_null_values_and_a_series_twice(spark, scratch):
+    base = dt.datetime(2024, 1, 1)
+    rows = [(f"s{k:02d}", base + dt.timedelta(hours=h), None if (k + h) % 5 == 0 else k + h / 10) for k in range(7) for h in range(60 * 24) if (k, h) != (3, 5)]
+    df = spark.createDataFrame(rows, "series string, ts timestamp, value double")
+    io.write_panel_groups(df, f"{scratch}/holes", width=3)
+    got = {(r.series, r.ts): r.value for r in io.read_panel_groups(spark, f"{scratch}/holes").collect()}
+    assert got == {(s, t): v for s, t, v in rows} | {("s03", base + dt.timedelta(hours=5)): None}
+    for file in os.listdir(f"{scratch}/holes/rows/group=0"):
+        if file.startswith("part-"):
+            lines = open(f"{scratch}/holes/rows/group=0/{file}").read().split()
+            assert lines == sorted(lines)
+    with pytest.raises(PySparkException):
+        io.write_panel_groups(df.unionByName(df.limit(1)).where("series != 's01' or ts > '2024-01-02'"), f"{scratch}/twice", width=3)
+
+
+def test_group_cells_are_not_broadcast_and_dealt_once(spark, scratch, monkeypatch):
+    """The lines of a group and month come from one task: a file each, without a range partition that gathers them a second time."""
+    base = dt.datetime(2024, 1, 1)
+    df = spark.range(4 * 300).select(F.format_string("s%d", F.col("id") % 4).alias("series"),
+                                     (F.lit(base) + F.make_interval(hours=F.floor(F.col("id") / 4).cast("int"))).cast("timestamp").alias("ts"), F.col("id").cast("double").alias("value"))
+    ranged = []
+    plain = type(df).repartitionByRange
+    monkeypatch.setattr(type(df), "repartitionByRange", lambda self, *a: ranged.append(self.columns) or plain(self, *a))
+    io.write_panel_groups(df, f"{scratch}/once", width=2)
+    assert all("ts" not in c for c in ranged)
+    assert io.read_panel_groups(spark, f"{scratch}/once").exceptAll(df.select("series", "ts", "value")).count() == 0
